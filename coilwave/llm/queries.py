@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,5 +15,9 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, folder, "documents"), width=20).drop("kept_text")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, folder, "documents"), width=400).drop("kept")
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_suffix_dedup": op3_suffix_dedup}
 ORACLE: dict[str, str] = {}
