@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import substring_dedup, suffix_dedup
+from . import decontaminate, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,5 +20,14 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, folder, "documents"), width=400).drop("kept")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_suffix_dedup": op3_suffix_dedup}
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_benchmark(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), width=13)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op7_decontamination": op7_decontamination,
+}
 ORACLE: dict[str, str] = {}
