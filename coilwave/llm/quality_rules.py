@@ -21,7 +21,7 @@ RULES = {
     "pipes": ("n_pipes > 0.2 * n_words", "false"),
     "shouting": ("n_upper > n_lower and n_words >= 5", "false"),
     "exclaiming": ("n_shouts > 0.3 * n_words", "false"),
-    "repeating": ("n_repeat_words > 0.3 * n_words", "n_repeat_words <= 0.1 * n_words and n_words >= 50"),
+    "repeating": ("n_repeat_words > 0.3 * n_words", "false"),
     "lines": ("n_dup_lines >= 3", "false"),
     "word_length": ("word_chars > 12 * n_words or word_chars < 2 * n_words", "false"),
     "length": ("n_words < 20", "false"),
