@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules, substring_dedup, suffix_dedup
+from . import decontaminate, quality_cnn, quality_rules, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_cnn.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"), threshold=0.7)
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, folder, "documents"), "doc_id")
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good", "votes")
@@ -34,6 +38,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op7_decontamination": op7_decontamination,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {}
