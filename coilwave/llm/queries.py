@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, quality_cnn, quality_rules, substring_dedup, suffix_dedup
+from . import chat, decontaminate, mixing, quality_cnn, quality_rules, sharding, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,10 +16,19 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, folder, "documents"), width=20).drop("kept_text")
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, folder, "documents"), "doc_id")
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, folder, "documents"), width=400).drop("kept")
 
 
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(_table(spark, folder, "documents"), shards=16)
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_benchmark(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), width=13)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -46,7 +55,9 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_mixing": op2_mixing,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality_classifier": op9_quality_classifier,
