@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality_cnn, quality_rules, sharding, substring_dedup, suffix_dedup
+from . import chat, decontaminate, mixing, quality_cnn, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, folder, "documents"), width=400).drop("kept")
 
 
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, folder, "pages"), URL_RULES)
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(_table(spark, folder, "documents"), shards=16)
 
@@ -57,6 +64,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
     "op8_chat_formatting": op8_chat_formatting,
@@ -64,6 +72,43 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE = {
+    "op5_url_filter": r"""
+        WITH cut AS (
+            SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), parsed AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+        ), ruled AS (
+            SELECT *, CASE
+                WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+                WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM parsed
+        ), said AS (
+            SELECT *, CASE WHEN rule IN ('example.net/de/8', 'com/en/', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said FROM ruled
+        ), hosts AS (
+            SELECT host, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix,
+                count(said)::DOUBLE AS n, count(*) FILTER (said = 'block')::DOUBLE AS x FROM said GROUP BY host
+        ), s1 AS (
+            SELECT suffix, sum(n) AS n, sum(x) AS x, (SELECT (sum(x) + 1) / (sum(n) + 2) FROM hosts) AS mean FROM hosts GROUP BY suffix
+        ), r1 AS (
+            SELECT coalesce(least(greatest(sum((x - n * mean) ** 2 - n * mean * (1 - mean)) / nullif(sum(n * (n - 1) * mean * (1 - mean)), 0), 0.01), 0.8), 0.8) AS rho FROM s1
+        ), d1 AS (
+            SELECT h.domain, sum(h.n) AS n, sum(h.x) AS x, any_value(((1 / rho - 1) * mean + s1.x) / (1 / rho - 1 + s1.n)) AS mean
+            FROM hosts h JOIN s1 USING (suffix), r1 GROUP BY h.domain
+        ), r2 AS (
+            SELECT coalesce(least(greatest(sum((x - n * mean) ** 2 - n * mean * (1 - mean)) / nullif(sum(n * (n - 1) * mean * (1 - mean)), 0), 0.01), 0.8), 0.8) AS rho FROM d1
+        ), h1 AS (
+            SELECT h.host, h.n, h.x, ((1 / rho - 1) * mean + d1.x) / (1 / rho - 1 + d1.n) AS mean FROM hosts h JOIN d1 USING (domain), r2
+        ), r3 AS (
+            SELECT coalesce(least(greatest(sum((x - n * mean) ** 2 - n * mean * (1 - mean)) / nullif(sum(n * (n - 1) * mean * (1 - mean)), 0), 0.01), 0.8), 0.8) AS rho FROM h1
+        ), p1 AS (
+            SELECT host, (1 / rho - 1) * mean + x AS a, (1 / rho - 1) * (1 - mean) + n - x AS b FROM h1, r3
+        )
+        SELECT page_id, host, path, rule, coalesce(said, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+        FROM said JOIN p1 USING (host)
+    """,
     "op8_chat_formatting": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

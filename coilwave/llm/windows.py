@@ -3,9 +3,10 @@
 Every window of `width` units (words or bytes) has one anchor: its gram of least hash. Equal windows
 have equal anchors, so (1) anchors are counted over the whole corpus, (2) only text around anchors met
 twice is sent on, (3) to the shard its anchor's hash names, where an index finds the repeats exactly.
-Anchors met more often than `hot` are too much for one shard; their windows are counted by hash of
-the whole window first, and only those met again go on, one by one, to shards named by that hash.
-Equal pieces within a task are merged before any shuffle.
+Anchors that a chunk of texts has several times are known to be met again there, so each chunk sends one
+row for them to be counted. Anchors met very often are too much for one shard; their windows are counted
+by hash of the whole window first, and only those met again go on, one by one, to shards named by that
+hash. Equal pieces within a task are merged before any shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,8 @@ class Spec:
     width: int
     gram: int
     first_stays: bool
-    hot: int = 20_000
+    #: An anchor is hot if it is met more often than this, or than a millionth of all anchors if that is more; so there are at most a million.
+    hot: int = 4_000
 
     def units(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of the gram at each unit, each unit's place in data (one more entry), each text's first unit."""
@@ -75,18 +78,60 @@ def anchored(grams: np.ndarray, first: np.ndarray, width: int, gram: int) -> tup
 U64 = np.uint64
 
 
+ANCHOR = pa.schema([("fp", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
+#: known: a hit without doubt. n counts an anchor that is met more often than `often`.
+HIT = pa.schema([("key", pa.int64()), ("hit", pa.int64()), ("fp", pa.int64()), ("n", pa.int64())])
+
+
 def _anchors(spec: Spec) -> Callable[[Batches], Batches]:
+    """A row for each anchor. n is 0 if the chunk has the anchor several times, but for the first of those, which counts them."""
+
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for part, data, at in B.chunks(batch):
                 grams, _, first = spec.units(data, at)
                 anchor, start, _, text = anchored(grams, first, spec.width, spec.gram)
                 key = part.column("key").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(B.signed(grams[anchor])), pa.array(key[text]), pa.array((start - first[text]).astype(np.int32))], ["fp", "key", "pos"])
+                fp = B.signed(grams[anchor])
+                _, begin, back, n = np.unique(fp, return_index=True, return_inverse=True, return_counts=True)
+                counted = np.zeros(len(fp), np.int32)
+                counted[begin] = n
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(key[text]), pa.array((start - first[text]).astype(np.int32)), pa.array(counted)], schema=ANCHOR)
+
+    return run
+
+
+def _met(often: int) -> Callable[[Batches], Batches]:
+    """Hits among the anchors of one partition: those met again, and those that a chunk knew to be. Every row of n > 0 of one anchor is here."""
+
+    def run(batches: Batches) -> Batches:
+        held = []
+        for batch in batches:
+            key, pos, n = (batch.column(c).to_numpy() for c in ("key", "pos", "n"))
+            known = n == 0
+            yield _hits(key[known], pos[known])
+            held.append([batch.column("fp").to_numpy()[~known], key[~known], pos[~known], n[~known]])
+        if not held:
+            return
+        fp, key, pos, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(fp)
+        head = np.flatnonzero(np.diff(fp[order]) != 0) + 1
+        head = np.append(0, head) if len(order) else head
+        total = np.add.reduceat(n[order].astype(np.int64), head) if len(order) else n
+        met = order[np.repeat(total > 1, np.diff(np.append(head, len(order))))]
+        yield _hits(key[met], pos[met])
+        hot = total > often
+        none = np.full(int(hot.sum()), -1)
+        yield pa.RecordBatch.from_arrays([pa.array(none), pa.array(none), pa.array(fp[order[head[hot]]]), pa.array(total[hot])], schema=HIT)
 
     return run
 
 
+def _hits(key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(key), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(pos.astype(np.int64) * 2), none, none], schema=HIT)
+
+
 class _Merged:
     """Pieces of one task; of equal ones the earliest stays, the others are settled: all their windows are repeats."""
 
@@ -107,8 +152,8 @@ class _Merged:
             self.settled += [(key, start, n), old]
 
 
-def _pieces(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, spec: Spec) -> Iterator[tuple[int, bytes, int, int, int]]:
-    """(route, body, key, first window, windows) of the pieces that a text's hits name: place * 2, + 1 for a single window."""
+def _pieces(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, spec: Spec, hot: np.ndarray) -> Iterator[tuple[int, bytes, int, int, int]]:
+    """(route, body, key, first window, windows) of the pieces that a text's hits name (place * 2, + 1 for a single window), without hot anchors."""
     grams, place, first = spec.units(data, at)
     anchor, start, count, text = anchored(grams, first, spec.width, spec.gram)
     keys = part.column("key").to_numpy()
@@ -118,6 +163,7 @@ def _pieces(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, spec: Spec)
     at_unit = first[which] + (flat >> 1)
     whole = at_unit[(flat & 1) == 0]
     chosen = np.flatnonzero(np.isin(start, whole))
+    chosen = chosen[~np.isin(B.signed(grams[anchor[chosen]]), hot)]
     fps = B.signed(grams[anchor[chosen]])
     for fp, s, n, t in zip(fps.tolist(), start[chosen].tolist(), count[chosen].tolist(), text[chosen].tolist(), strict=True):
         yield fp, spec.body(data, place, s, s + n + spec.width - 1), int(keys[t]), s - int(first[t]), n
@@ -134,12 +180,12 @@ def hash_bytes(body: bytes) -> int:
     return int(B.signed(B.span_hashes(B.prefix_hashes(data), np.array([0]), np.array([len(data)])))[0])
 
 
-def _segments(spec: Spec) -> Callable[[Batches], Batches]:
+def _segments(spec: Spec, hot: Broadcast) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         merged = _Merged(spec)
         for batch in batches:
             for part, data, at in B.chunks(batch):
-                for piece in _pieces(part, data, at, spec):
+                for piece in _pieces(part, data, at, spec, hot.value):
                     merged.add(*piece)
         rows = [(route, key, start, n, body) for (route, body), (key, start, n) in merged.kept.items()]
         rows += [(key, key, start, n, None) for key, start, n in merged.settled]
@@ -159,15 +205,19 @@ def _batched(rows: list[tuple], schema: pa.Schema, size: int = 20_000) -> Batche
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _hot_windows(spec: Spec) -> Callable[[Batches], Batches]:
-    """Settled runs (n > 0), and the hash of each window of the pieces that stay (n = 0)."""
+def _hot_windows(spec: Spec, hot: Broadcast) -> Callable[[Batches], Batches]:
+    """Around hot anchors: settled runs (n > 0), and the hash of each window of the pieces that stay (n = 0)."""
 
     def run(batches: Batches) -> Batches:
         merged = _Merged(spec)
         for batch in batches:
             for part, data, at in B.chunks(batch):
-                for piece in _pieces(part, data, at, spec):
-                    merged.add(*piece)
+                grams, place, first = spec.units(data, at)
+                anchor, start, count, text = anchored(grams, first, spec.width, spec.gram)
+                chosen = np.flatnonzero(np.isin(B.signed(grams[anchor]), hot.value))
+                keys = part.column("key").to_numpy()
+                for s, n, t in zip(start[chosen].tolist(), count[chosen].tolist(), text[chosen].tolist(), strict=True):
+                    merged.add(0, spec.body(data, place, s, s + n + spec.width - 1), int(keys[t]), s - int(first[t]), n)
         yield from _batched([(0, *x) for x in merged.settled], HASHED)
         for (_, body), (key, start, n) in merged.kept.items():
             data = np.frombuffer(body, np.uint8)
@@ -214,20 +264,23 @@ def repeated_runs(docs: DataFrame, spec: Spec, index: Callable, limit: int) -> D
     """(key long, start int, n int): the windows start .. start+n-1 of a document are repeats.
 
     docs: (key, text). index(pieces, spec) yields RUN batches for one shard's pieces."""
-    anchors = docs.mapInArrow(_anchors(spec), "fp long, key long, pos int")
-    often = anchors.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1")
-    hits = written(anchors.join(often, "fp").select("key", "pos", (F.col("c") > spec.hot).alias("hot")), "anchors")
-    named = hits.where("not hot").select("key", (F.col("pos").cast("long") * 2).alias("hit"))
-    settled = None
-    if hits.where("hot").limit(1).count():
-        hot = hits.where("hot").groupBy("key").agg(F.collect_list(F.col("pos").cast("long") * 2).alias("hits"))
-        found = written(docs.join(hot, "key").mapInArrow(_hot_windows(spec), "wh long, key long, pos int, n int"), "hot")
+    spark = docs.sparkSession
+    # About an anchor for every half gap between grams; the estimate sets only what counts as hot.
+    total = docs.agg(F.sum(F.octet_length("text") / (1 if spec.unit == "byte" else 6))).first()[0] or 0
+    often = max(spec.hot, int(2 * total / (spec.width - spec.gram + 2)) // 1_000_000)
+    spread = F.when(F.col("n") == 0, F.xxhash64("key", "pos")).otherwise(F.col("fp"))
+    anchors = docs.mapInArrow(_anchors(spec), "fp long, key long, pos int, n int").repartition(spread)
+    hits = written(anchors.mapInArrow(_met(often), "key long, hit long, fp long, n long"), "hits")
+    hot = spark.sparkContext.broadcast(np.array(sorted(r.fp for r in hits.where("fp is not null").select("fp").collect()), np.int64))
+    named, settled = hits.where("fp is null").select("key", "hit"), None
+    if len(hot.value):
+        found = written(docs.mapInArrow(_hot_windows(spec, hot), "wh long, key long, pos int, n int"), "hot")
         windows = found.where("n = 0")
         again = windows.groupBy("wh").agg(F.count("*").alias("c")).where("c > 1").select("wh")
         named = named.unionByName(windows.join(again, "wh").select("key", (F.col("pos").cast("long") * 2 + 1).alias("hit")))
         settled = found.where("n > 0").select("key", F.col("pos").alias("start"), "n")
     by_doc = named.groupBy("key").agg(F.collect_list("hit").alias("hits"))
-    pieces = docs.join(by_doc, "key").mapInArrow(_segments(spec), "route long, key long, start int, n int, body binary")
+    pieces = docs.join(by_doc, "key").mapInArrow(_segments(spec, hot), "route long, key long, start int, n int, body binary")
     runs = pieces.repartition("route").sortWithinPartitions("route").mapInArrow(_sharded(spec, index, limit), "key long, start int, n int")
     return runs if settled is None else runs.unionByName(settled)
 
