@@ -164,6 +164,13 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> Da
     return found.select("doc_id", "text", "n_words", "n_hit", "spans", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
+    """The documents that are not contaminated (see find_benchmark), with all their columns."""
+    others = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    found = find_benchmark(docs.select(others.alias("doc_id"), "text"), benchmark, width)
+    return found.where(~F.col("contaminated")).select("doc_id.*", "text").select(*docs.columns)
+
+
 def _merged(spans: F.Column) -> F.Column:
     """Sorted spans with overlapping ones joined."""
     none = F.slice(spans, 1, 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality_cnn, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter
+from . import chat, decontaminate, mixing, ngram_join, quality_cnn, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, folder, "documents"), width=400).drop("kept")
 
 
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.link(_table(spark, folder, "documents"), width=5, percent=80)
+
+
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_ngram_join": op4_ngram_join,
     "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
