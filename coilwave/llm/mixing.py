@@ -87,9 +87,12 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def _fill_source(group: pd.DataFrame) -> pd.DataFrame:
-    """One source's histogram of lengths, with its budget for the last, partial round."""
+    """One source's histogram of lengths, with its budget for the last, partial round: filled from below, or from above by
+    what to leave out, whichever comes nearer."""
     group = group.sort_values("size", kind="stable")
-    group["n_take"] = fill(group["size"].to_numpy(), group["n"].to_numpy(), int(group["budget"].iloc[0]))
+    sizes, counts, budget = group["size"].to_numpy(), group["n"].to_numpy(), int(group["budget"].iloc[0])
+    below, above = fill(sizes, counts, budget), counts - fill(sizes, counts, int(sizes @ counts) - budget)
+    group["n_take"] = above if int(sizes @ above) - budget < budget - int(sizes @ below) else below
     return group[["source_key", "size", "n", "n_take"]]
 
 

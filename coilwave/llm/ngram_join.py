@@ -197,7 +197,8 @@ def _lists(percent: int) -> Callable[[Batches], Batches]:
             if doc.any():
                 yield batch.filter(pa.array(doc))
             if not doc.all():
-                held.append([batch.column(c).to_numpy(zero_copy_only=False)[~doc] for c in ("gram", "row", "n", "pos", "key")])
+                entries = batch.filter(pa.array(~doc))  # without the nulls of documents that have no row
+                held.append([entries.column(c).to_numpy() for c in ("gram", "row", "n", "pos", "key")])
         if not held:
             return
         gram, row, n, pos, split = (np.concatenate(c) for c in zip(*held, strict=True))

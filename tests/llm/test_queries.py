@@ -1,0 +1,88 @@
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from coilwave.llm import chat, queries, url_filter
+
+TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_same_rows_as_sql(spark, name, folder):
+    db = duckdb.connect()
+    for t in TABLES:
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, folder)
+    cur = db.execute(queries.ORACLE[name])
+    names = [c[0] for c in cur.description]
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted((tuple(r) for r in got.select(*names).collect()), key=key) == sorted(cur.fetchall(), key=key)
+
+
+def test_all_eleven_are_registered():
+    names = entry.queries()
+    assert "pipeline" in names and {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in names}
+
+
+def test_chat_round_trip(spark):
+    odd = ["", "\\", "<|im_end|>", "\\<|im_end|>\n", "<\\|", "a\nb", "\\n", "日本<|im_start|>user\nhi", "\\\\<|"]
+    rows = [(i, t, role, text) for i, text in enumerate(odd) for t, role in enumerate(("user", "assistant", text or "tool"))] + [(None, None, None, None), (99, 0, "user", "q"), (99, 1, "assistant", "a"), (99, 1, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    from pyspark.sql import functions as F
+
+    made = chat.format_chats(chat.as_records(df)).select("row.conv_id", "turns", chat.read_back(F.col("formatted")).alias("back"), chat.loss_text(F.col("formatted"), F.col("mask")).alias("loss"))
+    for r in made.collect():
+        assert r.turns == r.back
+        own = [(t or 0, role or "", x or "") for c, t, role, x in rows if c == r.conv_id]
+        assert [(t.role, t.text) for t in r.back] == [x[1:] for x in sorted(own)]
+        assert r.loss == "".join(x[2] for x in sorted(own) if x[1] == "assistant")
+
+
+def test_layouts(spark):
+    records = [
+        '{"prompt": "p", "completion": "c"}', '{"question": "p", "answer": "c"}', '{"instruction": "p", "input": "", "output": "c"}',
+        '{"messages": [{"role": "user", "content": "p"}, {"role": "assistant", "content": "c"}]}',
+        '{"conversations": [{"from": "human", "value": "p"}, {"from": "gpt", "value": "c"}]}', '{"response": "c", "prompt": "p"}',
+    ]
+    df = spark.createDataFrame([(r,) for r in [*records, None, "no json", '{"other": 1}', "{}"]], "record string")
+    got = [r.turns and [tuple(t) for t in r.turns] for r in chat.canonical(df).collect()]
+    assert got == [[("user", "p"), ("assistant", "c")]] * len(records) + [None] * 4
+
+
+def test_urls(spark):
+    urls = [None, "", "no scheme", "http://A.Example.COM/en/7?x=/en/", "https://example.net/de/81#f", "x://y.org/es/", "http://host.com", "http://h.com?u=http://a/b", "ftp://com/en/", "http://b.de\n/x/en/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: tuple(r)[1:] for r in url_filter.judge_urls(pages, queries.URL_RULES).collect()}
+    assert got[0] == got[1] == got[2] == ("", "", None, got[0][3])
+    assert got[3][:3] == ("a.example.com", "/en/7", "example.com/en/7") and got[3][3] == "allow"
+    assert got[4][:4] == ("example.net", "/de/81", "example.net/de/8", "block")
+    assert got[5][2:] == ("org/es/", "block") and got[6][:3] == ("host.com", "", None) and got[7][:2] == ("h.com", "") and got[8][2] == "com/en/"
+    assert url_filter.judge_urls(pages.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_reputation_shrinks(spark):
+    rows = [(f"h{i}.bad.com", 1) for i in range(30)] * 3 + [(f"g{i}.good.com", 0) for i in range(30)] * 3 + [("new.bad.com", None), ("new.good.com", None), ("far.net", None)]
+    got = {r.host: r for r in url_filter.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    mean = lambda h: got[h].post_a / (got[h].post_a + got[h].post_b)
+    assert mean("h1.bad.com") > mean("new.bad.com") > mean("far.net") > mean("new.good.com") > mean("g1.good.com")
+
+
+def test_pipeline_against_its_parts(spark, small):
+    import brute
+    import corpus_pipeline as c
+    from coilwave.llm import quality_rules
+
+    assert c.ORACLE_SQL is None and [n for n, _ in c.STAGES][0] == "quality_rules"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    kept = {r.row.doc_id for r in quality_rules.judge(docs, "doc_id").where("kept").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
+    assert {r.doc_id for r in c.keep_good(spark, docs, small).collect()} == kept
+    texts = {k: texts[k] for k, _, least in brute.jaccard_components(sorted(texts.items())) if k == least}
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    clean = {r[0] for r in brute.contaminated(sorted(texts.items()), items) if not r[-1]}
+    got = c.run(spark, small).collect()
+    assert {r.doc_id for r in got} <= clean
+    assert all((r.size, r.text_crc32) == brute.size_and_crc(texts[r.doc_id]) for r in got)
+    assert {len([1 for r in got if r.doc_id == k]) for k in clean} <= {0, 1, 2} and len({r.doc_id for r in got}) > 0.6 * len(clean)
