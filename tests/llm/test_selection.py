@@ -117,7 +117,7 @@ def test_mix(spark, small, request, name):
     want = mixing.targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], Fraction(3, 2), 2)
     for s, t in zip(order, want, strict=True):
         longest = max(r.size for r in got if text[r.row.doc_id][1] == s)
-        assert goal[s] == float(t) and abs(taken[s] - t) <= (1 if name == "table" else longest / 2)
+        assert goal[s] == float(t) and abs(taken[s] - t) <= (3 if name == "table" else longest / 2)
     again = {r.row.doc_id: r.times for r in mixing.mix(docs.repartition(3), "doc_id").collect()}
     assert again == {r.row.doc_id: r.times for r in got}
     assert mixing.mixed_rows(docs).count() == sum(r.times for r in got)
