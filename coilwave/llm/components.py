@@ -13,19 +13,15 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
 
     Each round joins every node's larger neighbours, then its smaller ones, to the smallest of all; this ends when all
     nodes point at their component's smallest, after about log(size) rounds. Every round is written to the shared folder."""
-    now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
     for _ in range(most_rounds):
-        ends = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ends.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = ends.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u")
-        small = moved.select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved")).unionByName(least.select("u", F.col("m").alias("v"), F.lit(False).alias("moved")))
-        step = written(small.where("u <> v").groupBy("u", "v").agg(F.max("moved").alias("moved")), "stars")
-        now = step.select("u", "v")
-        # Done when every node points at one node only, and no node that is pointed at points on.
-        if step.groupBy().agg(F.count("*").alias("n"), F.countDistinct("u").alias("d")).where("n = d").isEmpty():
-            continue
-        if step.join(step.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+        ends = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = ends.groupBy("u").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+        # Done when every node is the smallest of its neighbours, or has one only, a smaller one.
+        if near.where(~((F.col("least") > F.col("u")) | ((F.col("least") == F.col("most")) & (F.col("most") < F.col("u"))))).isEmpty():
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        large = ends.where("v > u").join(near.select("u", F.least("least", "u").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = written(small.where("u <> v").distinct(), "stars")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()

@@ -5,8 +5,8 @@ rows can link only if it shares one of the first columns of both, in an order th
 columns are first follows from the size. So (1) columns are counted over all documents, (2) each row's first columns
 are dealt to the tasks by column, where rows that meet form lists, (3) pairs from the lists that pass the bounds on
 size and place are multiplied out over the whole rows, in blocks of columns, and dropped as soon as the overlap
-counted so far and what is left cannot reach the bound. Pairs inside one component need no product: the lists are
-worked off in rounds, the first with a few pairs a row, later ones only between components that are still apart.
+counted so far and what is left cannot reach the bound. Pairs inside one component need no product: of long lists
+only a pair a row is tried first, and then only pairs between components that are still apart.
 """
 
 from __future__ import annotations
@@ -36,18 +36,20 @@ COUNTED = 4_000_000
 LEAST_LEVEL = 4
 #: A column met more often than 2 ** SPLIT_LEVEL is dealt to several tasks.
 SPLIT_LEVEL = 12
-#: A list with at most so many pairs a row is worked off at once; a longer one first gets a round or more of one partner a row.
+#: A list of at most SHORT rows, or with at most PAIRS_A_ROW pairs a row, is worked off at once; another one first gets one partner a row.
+SHORT = 16
 PAIRS_A_ROW = 4
-STAR_ROUNDS = 3
 #: Rows of a list that one task multiplies with as many others in the last round.
 BLOCK_ROWS = 512
 COLUMN_BLOCKS = 8
+#: A row's profile counts its columns in so many blocks.
+PROFILE = 128
 
 COUNT = pa.schema([("bucket", pa.int32()), ("cells", pa.binary()), ("n", pa.int32())])
 #: kind 0: a row in a column's list; 1: a document and its row; 2: a pair (a, b) = (gram, row).
 LIST = pa.schema([("kind", pa.int32()), ("gram", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("key", pa.int64())])
 LIST_DDL = "kind int, gram long, row long, n int, pos int, key long"
-SET = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("grams", pa.binary())])
+SET = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("profile", pa.binary()), ("grams", pa.binary())])
 
 
 def shingle_sets(part_data: np.ndarray, at: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -169,22 +171,16 @@ def _first_columns(width: int, percent: int, levels: Broadcast) -> Callable[[Bat
     return run
 
 
-def _stars(gram: np.ndarray, row: np.ndarray, n: np.ndarray, head: np.ndarray, percent: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """A partner for each row of each list (lists begin at head, rows by size): the middle one of the rows of nearly its size."""
-    size = np.diff(np.append(head, len(row)))
-    a, b = [], []
-    for h, m in zip(head.tolist(), size.tolist(), strict=True):
-        i = h
-        while i < h + m:
-            j = i + int(np.searchsorted(n[i : h + m], n[i] * 100 // percent, "right"))
-            c = i + (j - i) * (1 + turn * 3) // (2 + turn * 5)
-            a.append(np.full(j - i, row[c]))
-            b.append(row[i:j])
-            i = j
-    if not a:
-        return row[:0], row[:0]
-    a, b = np.concatenate(a), np.concatenate(b)
-    return np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+def _star(row: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """A partner for each row of a list (sorted by size): one from the middle of the rows of nearly its size."""
+    pairs, i = [], 0
+    while i < len(row):
+        j = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
+        c = (i + j) // 2
+        own = row[i:j][row[i:j] != row[c]]
+        pairs.append(np.stack([np.full(len(own), row[c]), own], axis=1))
+        i = j
+    return np.concatenate(pairs)
 
 
 def _lists(percent: int) -> Callable[[Batches], Batches]:
@@ -208,30 +204,82 @@ def _lists(percent: int) -> Callable[[Batches], Batches]:
         gram, row, n, pos, split = (x[own] for x in (gram, row, n, pos, split))
         head = np.flatnonzero(np.append(True, (np.diff(gram) != 0) | (np.diff(split) != 0)))
         size = np.diff(np.append(head, len(gram)))
-        keep = np.repeat((size > 1) | (split[head] > 0), size)
-        gram, row, n, pos = (x[keep] for x in (gram, row, n, pos))
-        head = np.cumsum(np.append(0, size[(size > 1) | (split[head] > 0)]))[:-1]
-        yield _entries(0, gram, row, n, pos)
-        a, b = _stars(gram, row, n, head, percent, 0)
-        if len(a):
-            pair = np.unique(np.stack([a, b], axis=1), axis=0)
-            yield _entries(2, pair[:, 0], pair[:, 1], np.zeros(len(pair)), np.zeros(len(pair)))
+        # Short lists are worked off here: every pair within bounds is tried.
+        short = np.repeat((size > 1) & (size <= SHORT) & (split[head] == 0), size)
+        g, r, m, p = (x[short] for x in (gram, row, n, pos))
+        pairs = []
+        for d in range(1, SHORT):
+            i = np.flatnonzero(g[d:] == g[:-d])
+            if not len(i):
+                break
+            i = i[_may_link(m[i], m[i + d], p[i], p[i + d], percent)]
+            pairs.append(np.stack([r[i], r[i + d]], axis=1))
+        # Longer ones too if few pairs are within bounds; else a partner a row is tried now, and the rest once components are known.
+        for h, k, part in zip(head.tolist(), size.tolist(), split[head].tolist(), strict=True):
+            if k > SHORT or part:
+                e = h + k
+                found = _within(row[h:e], n[h:e], pos[h:e], percent) if k <= BLOCK_ROWS and not part else None
+                if found is None:
+                    found = _star(row[h:e], n[h:e], percent)
+                    yield _entries(0, gram[h:e], row[h:e], n[h:e], pos[h:e])
+                pairs.append(found)
+        pair = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        pair = np.unique(np.sort(pair, axis=1), axis=0)
+        yield _entries(2, pair[:, 0], pair[:, 1], np.zeros(len(pair)), np.zeros(len(pair)))
 
     return run
 
 
+def _may_link(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows of sizes n and m can link if the column at places i and j is the first that they share. (A linked pair
+    passes in the list of its first shared column, so it is enough to judge each list as if it were that one.)"""
+    n, m = n.astype(np.int64), m.astype(np.int64)
+    return np.minimum(n - i, m - j) >= least_overlap(n, m, percent)
+
+
+def _within(row: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray | None:
+    """The pairs of a list that are within bounds, unless there are more than PAIRS_A_ROW for each row."""
+    i, j = np.nonzero(np.triu(_may_link(n[:, None], n[None], pos[:, None], pos[None], percent), 1))
+    return np.stack([row[i], row[j]], axis=1) if len(i) <= PAIRS_A_ROW * len(row) else None
+
+
 def _entries(kind: int, gram: np.ndarray, row: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), kind, np.int32)), pa.array(gram), pa.array(row), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.nulls(len(gram), pa.int64())], schema=LIST)
 
 
+def profile(grams: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((grams >> U(57)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
+
+
+def _profiles(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16)
+
+
+def _alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether profiles allow a link: what blocks of columns have more of on one side cannot be shared."""
+    n, m = n.astype(np.int64), m.astype(np.int64)
+    return np.abs(x - y).sum(axis=-1) <= n + m - 2 * least_overlap(n, m, percent)
+
+
+def _plausible(percent: int) -> Callable[[Batches], Batches]:
+    """The pairs (a, b) whose profiles allow a link."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            ok = _alike(_profiles(batch.column("profile")), _profiles(batch.column("profile_b")), batch.column("n").to_numpy(), batch.column("n_b").to_numpy(), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
 def _sets(width: int) -> Callable[[Batches], Batches]:
-    """(row, n, grams) of documents (wanted, text) whose set is the wanted row."""
+    """(row, n, profile, grams) of documents (wanted, text) whose set is the wanted row."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for part, data, at in B.chunks(batch):
                 wanted = part.column("wanted").to_pylist()
-                found = [(r, len(g), g.tobytes()) for r, g in zip(wanted, shingle_sets(data, at, width), strict=True) if len(g) and row_id(g) == r]
+                found = [(r, len(g), profile(g), g.tobytes()) for r, g in zip(wanted, shingle_sets(data, at, width), strict=True) if len(g) and row_id(g) == r]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), SET, strict=True)], schema=SET)
 
@@ -298,43 +346,38 @@ def _linked(percent: int) -> Callable[[Batches], Batches]:
 
 
 def _multiplied(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of pairs (a, b). Each side's set comes by a join of its own kind, so a row that many pairs have is split."""
+    """The linked ones of pairs (a, b): first by profiles, then by whole sets, which join rows to pairs one side at a time."""
+    short = sets.select("row", "n", "profile").dropDuplicates(["row"])
+    left = pairs.join(short.withColumnRenamed("row", "a"), "a")
+    right = short.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("profile").alias("profile_b"))
+    pairs = left.join(right, "b").mapInArrow(_plausible(percent), "a long, b long")
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("row"))
     both = ends.join(sets.select("row", "grams"), "row").repartition("a", "b").sortWithinPartitions("a", "b", "row")
     return both.mapInArrow(_linked(percent), "a long, b long")
 
 
-def _apart(percent: int, turn: int, last: bool) -> Callable[[Batches], Batches]:
-    """Pairs of different components from lists of entries (gram, block, other, side, row, label, n, pos) sorted by list.
+def _apart(percent: int) -> Callable[[Batches], Batches]:
+    """Pairs of different components from lists of entries (gram, block, other, side, row, label, n, pos, profile), sorted by list.
 
     Blocks of a list meet pairwise: side 0 with side 1 (or with itself, where the two blocks are one)."""
 
-    def one(lab: np.ndarray, row: np.ndarray, n: np.ndarray, pos: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def one(side: np.ndarray, row: np.ndarray, lab: np.ndarray, n: np.ndarray, pos: np.ndarray, prof: np.ndarray) -> np.ndarray:
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(y):
-            y = x
-        out_a, out_b = [], []
-        total = 0
+        alone = not len(y)
+        y = x if alone else y
+        pairs = [np.zeros((0, 2), np.int64)]
         for i in x.tolist():
-            hit = y[(lab[y] != lab[i]) & ((row[y] > row[i]) | (y is not x))]
-            need = least_overlap(n[i], n[hit], percent)
-            small = np.minimum(n[i], n[hit])
-            most = np.minimum(small, np.minimum(pos[i], pos[hit]) + 1 + np.minimum(n[i] - pos[i], n[hit] - pos[hit]) - 1)
-            hit = hit[most >= need]
-            out_a.append(np.full(len(hit), row[i]))
-            out_b.append(row[hit])
-            total += len(hit)
-            if not last and total > PAIRS_A_ROW * len(x):
-                order = np.lexsort((row[x], n[x]))
-                return _stars(x, row[x][order], n[x][order], np.array([0]), percent, turn)
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return np.minimum(a, b), np.maximum(a, b)
+            hit = y[(lab[y] != lab[i]) & ((row[y] > row[i]) if alone else True)]
+            hit = hit[_may_link(n[i], n[hit], pos[i], pos[hit], percent)]
+            hit = hit[_alike(prof[i], prof[hit], n[i], n[hit], percent)]
+            pairs.append(np.stack([np.full(len(hit), row[i]), row[hit]], axis=1))
+        return np.concatenate(pairs)
 
     def run(batches: Batches) -> Batches:
         names = ("gram", "block", "other", "side", "row", "label", "n", "pos")
         rest = None
         for batch in [*batches, None]:
-            now = None if batch is None else [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            now = None if batch is None else [*(batch.column(c).to_numpy(zero_copy_only=False) for c in names), _profiles(batch.column("profile"))]
             held = [np.concatenate(c) for c in zip(rest, now, strict=True)] if rest and now else now or rest
             if held is None:
                 return
@@ -343,28 +386,25 @@ def _apart(percent: int, turn: int, last: bool) -> Callable[[Batches], Batches]:
             stop = len(held[0]) if batch is None else int(head[-1]) if len(head) else 0
             rest = [x[stop:] for x in held]
             ends = np.append(head[head < stop], stop)
-            found = [one(held[5][s:e], held[4][s:e], held[6][s:e].astype(np.int64), held[7][s:e].astype(np.int64), held[3][s:e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            found = [one(*(x[s:e] for x in held[3:])) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             if found:
-                pair = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)], axis=1), axis=0)
+                pair = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=PAIR)
 
     return run
 
 
-def _cross_pairs(lists: DataFrame, labels: DataFrame, percent: int, turn: int) -> DataFrame:
+def _cross_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs to try between components that a list holds and that are still apart."""
-    last = turn > STAR_ROUNDS
     named = lists.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
     mixed = named.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y").select("gram", "m")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_ROWS)).cast("int")
-    open_lists = named.join(mixed, "gram").withColumn("own", F.pmod(F.xxhash64("row", F.lit(turn)), blocks).cast("int"))
-    if last:
-        # block i meets every block j >= i, as side 0, and every block below i as side 1
-        met = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("own", j).alias("block"), F.greatest("own", j).alias("other"), (F.col("own") > j).cast("int").alias("side")))
-    else:
-        met = F.array(F.struct(F.col("own").alias("block"), F.col("own").alias("other"), F.lit(0).alias("side")))
-    dealt = open_lists.select("gram", "row", "label", "n", "pos", F.explode(met).alias("met")).select("gram", "met.*", "row", "label", "n", "pos")
-    return dealt.repartition("gram", "block", "other").sortWithinPartitions("gram", "block", "other").mapInArrow(_apart(percent, turn, last), "a long, b long").distinct()
+    short = sets.select("row", "profile").dropDuplicates(["row"])
+    open_lists = named.join(mixed, "gram").join(short, "row").withColumn("own", F.pmod(F.xxhash64("row"), blocks).cast("int"))
+    # block i meets every block j >= i, as side 0, and every block below i as side 1
+    met = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("own", j).alias("block"), F.greatest("own", j).alias("other"), (F.col("own") > j).cast("int").alias("side")))
+    dealt = open_lists.select("gram", "row", "label", "n", "pos", "profile", F.explode(met).alias("met")).select("gram", "met.*", "row", "label", "n", "pos", "profile")
+    return dealt.repartition("gram", "block", "other").sortWithinPartitions("gram", "block", "other").mapInArrow(_apart(percent), "a long, b long").distinct()
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -376,8 +416,8 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     its own included. Repeated rows and rows of one doc_id are documents like any other. Rows without doc_id link too,
     but count last; component_id is null where no row of the component has one. Other columns are ignored.
 
-    Sets are compared by 64-bit hashes of their shingles. No partner is capped: what a round leaves apart, a later one
-    compares; the last compares all pairs of rows of a list that are still in different components and within bounds."""
+    Sets are compared by 64-bit hashes of their shingles. No partner is capped: what the first pairs leave in different
+    components is compared with all of the list that is within bounds."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = keyed(docs)
     spark = docs.sparkSession
@@ -388,24 +428,16 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     lists = found.where("kind = 0").select("gram", "row", "n", "pos")
     pairs = written(found.where("kind = 2").select(F.col("gram").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
 
-    wanted = documents.join(lists.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.min("key").alias("key"))
+    members = pairs.select(F.explode(F.array("a", "b")).alias("row")).unionByName(lists.select("row")).distinct()
+    wanted = documents.join(members, "row", "left_semi").groupBy("row").agg(F.min("key").alias("key"))
     texts = source.select("key", "text").join(wanted.withColumnRenamed("row", "wanted"), "key")
-    sets = written(texts.select("wanted", "text").mapInArrow(_sets(width), "row long, n int, grams binary"), "sets")
-    tried, labels, turn = pairs, None, 0
-    while True:
-        links = _multiplied(pairs, sets, percent)
-        if labels is not None:
-            links = links.unionByName(labels.select(F.col("row").alias("a"), F.col("label").alias("b")))
-        labels = components(written(links, "links"), "a", "b").select(F.col("node").alias("row"), "label")
-        while turn <= STAR_ROUNDS:
-            turn += 1
-            pairs = written(_cross_pairs(lists, labels, percent, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
-            if not pairs.isEmpty():
-                break
-            turn = max(turn, STAR_ROUNDS)
-        else:
-            break
-        tried = tried.unionByName(pairs)
+    sets = written(texts.select("wanted", "text").mapInArrow(_sets(width), "row long, n int, profile binary, grams binary"), "sets")
+    links = written(_multiplied(pairs, sets, percent), "links")
+    labels = written(components(links, "a", "b").select(F.col("node").alias("row"), "label"), "labels")
+    more = written(_cross_pairs(lists, sets, labels, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        links = written(_multiplied(more, sets, percent).unionByName(labels.select(F.col("row").alias("a"), F.col("label").alias("b"))), "links")
+        labels = components(links, "a", "b").select(F.col("node").alias("row"), "label")
     of_row = documents.where("row is not null").groupBy("row").agg(F.min("key").alias("key")).join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
     smallest = of_row.groupBy("label").agg(F.min("key").alias("least"))
     least = of_row.join(smallest, "label").select("row", "least")

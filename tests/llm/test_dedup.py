@@ -55,7 +55,7 @@ def test_jaccard_components_of_the_table(spark, small):
 
 
 def test_jaccard_in_small_blocks_and_split_columns(hard, monkeypatch):
-    for name, value in (("BLOCK_ROWS", 3), ("PAIRS_A_ROW", 0), ("SPLIT_LEVEL", 1), ("LEAST_LEVEL", 1)):
+    for name, value in (("BLOCK_ROWS", 3), ("PAIRS_A_ROW", 0), ("SHORT", 2), ("SPLIT_LEVEL", 1), ("LEAST_LEVEL", 1)):
         monkeypatch.setattr(ngram_join, name, value)
     got = ngram_join.link(hard, 1, 30)
     assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard_components(pairs(hard), 1, 30))
