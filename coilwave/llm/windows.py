@@ -4,8 +4,8 @@ Every window of `width` units (words or bytes) has one anchor: its gram of least
 have equal anchors, so (1) anchors are counted over the whole corpus, (2) only text around anchors met
 twice is sent on, (3) to the shard its anchor's hash names, where an index finds the repeats exactly.
 Anchors that a chunk of texts has several times are known to be met again there, so each chunk sends one
-row for them to be counted. Anchors met very often are too much for one shard; their windows are counted
-by hash of the whole window first, and only those met again go on, one by one, to shards named by that
+row for them to be counted. Anchors met very often are too much for one shard; groups of their windows are
+counted by hash of what a group has in common first, and only groups met again go on, to shards named by that
 hash. Equal pieces within a task are merged before any shuffle.
 """
 
@@ -37,6 +37,11 @@ class Spec:
     #: An anchor is hot if it is met more often than this, or than a millionth of all anchors if that is more; so there are at most a million.
     hot: int = 4_000
 
+    @property
+    def step(self) -> int:
+        """At a hot anchor so many neighbouring windows form a group."""
+        return max(1, min(48, (self.width - self.gram + 1) // 8))
+
     def units(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of the gram at each unit, each unit's place in data (one more entry), each text's first unit."""
         if self.unit == "byte":
@@ -153,26 +158,25 @@ class _Merged:
 
 
 def _pieces(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, spec: Spec, hot: np.ndarray) -> Iterator[tuple[int, bytes, int, int, int]]:
-    """(route, body, key, first window, windows) of the pieces that a text's hits name (place * 2, + 1 for a single window), without hot anchors."""
+    """(route, body, key, first window, windows) of the pieces that a text's hits name: a place * 2 without hot anchors, or a group of windows at a hot anchor (see _hot_windows)."""
     grams, place, first = spec.units(data, at)
     anchor, start, count, text = anchored(grams, first, spec.width, spec.gram)
     keys = part.column("key").to_numpy()
     hits = part.column("hits")
     flat, cut = hits.flatten().to_numpy(), np.append(0, np.cumsum(hits.value_lengths().to_numpy(zero_copy_only=False)))
     which = np.repeat(np.arange(len(keys)), np.diff(cut))
-    at_unit = first[which] + (flat >> 1)
-    whole = at_unit[(flat & 1) == 0]
+    whole = (first[which] + (flat >> 1))[(flat & 1) == 0]
     chosen = np.flatnonzero(np.isin(start, whole))
     chosen = chosen[~np.isin(B.signed(grams[anchor[chosen]]), hot)]
     fps = B.signed(grams[anchor[chosen]])
     for fp, s, n, t in zip(fps.tolist(), start[chosen].tolist(), count[chosen].tolist(), text[chosen].tolist(), strict=True):
         yield fp, spec.body(data, place, s, s + n + spec.width - 1), int(keys[t]), s - int(first[t]), n
-    single = (flat & 1) == 1
-    if single.any():
-        for u, t in zip(at_unit[single].tolist(), which[single].tolist(), strict=True):
-            if u + spec.width <= first[t + 1]:
-                body = spec.body(data, place, u, u + spec.width)
-                yield hash_bytes(body), body, int(keys[t]), u - int(first[t]), 1
+    grouped = (flat & 1) == 1
+    code, own = flat[grouped] >> 1, which[grouped]
+    for u, m, off, t in zip((first[own] + (code >> 12)).tolist(), (code >> 6 & 63).tolist(), (code & 63).tolist(), own.tolist(), strict=True):
+        if u + m - 1 + spec.width <= first[t + 1]:
+            common = spec.body(data, place, u - off + spec.step - 1, u - off + spec.width)
+            yield hash_bytes(common), spec.body(data, place, u, u + m - 1 + spec.width), int(keys[t]), u - int(first[t]), m
 
 
 def hash_bytes(body: bytes) -> int:
@@ -195,7 +199,7 @@ def _segments(spec: Spec, hot: Broadcast) -> Callable[[Batches], Batches]:
 
 
 SEGMENT = pa.schema([("route", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])
-HASHED = pa.schema([("wh", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
+HASHED = pa.schema([("wh", pa.int64()), ("key", pa.int64()), ("pos", pa.int64()), ("n", pa.int32())])
 RUN = pa.schema([("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
 
@@ -206,29 +210,37 @@ def _batched(rows: list[tuple], schema: pa.Schema, size: int = 20_000) -> Batche
 
 
 def _hot_windows(spec: Spec, hot: Broadcast) -> Callable[[Batches], Batches]:
-    """Around hot anchors: settled runs (n > 0), and the hash of each window of the pieces that stay (n = 0)."""
+    """Around hot anchors: settled runs (n > 0); and the pieces that stay, in groups of windows by their place at the anchor (n = 0),
+    each with the hash of what all windows of the group have in common. Equal windows fall into groups of equal hash."""
 
     def run(batches: Batches) -> Batches:
-        merged = _Merged(spec)
+        merged, anchor_at = _Merged(spec), {}
         for batch in batches:
             for part, data, at in B.chunks(batch):
                 grams, place, first = spec.units(data, at)
                 anchor, start, count, text = anchored(grams, first, spec.width, spec.gram)
                 chosen = np.flatnonzero(np.isin(B.signed(grams[anchor]), hot.value))
                 keys = part.column("key").to_numpy()
-                for s, n, t in zip(start[chosen].tolist(), count[chosen].tolist(), text[chosen].tolist(), strict=True):
-                    merged.add(0, spec.body(data, place, s, s + n + spec.width - 1), int(keys[t]), s - int(first[t]), n)
+                for a, s, n, t in zip(anchor[chosen].tolist(), start[chosen].tolist(), count[chosen].tolist(), text[chosen].tolist(), strict=True):
+                    body = spec.body(data, place, s, s + n + spec.width - 1)
+                    anchor_at[body] = a - s
+                    merged.add(0, body, int(keys[t]), s - int(first[t]), n)
         yield from _batched([(0, *x) for x in merged.settled], HASHED)
+        held: list[np.ndarray] = []
         for (_, body), (key, start, n) in merged.kept.items():
             data = np.frombuffer(body, np.uint8)
             sums = B.prefix_hashes(data)
-            if spec.unit == "byte":
-                s = np.arange(n)
-                wh = B.span_hashes(sums, s, s + spec.width)
-            else:
+            group = np.arange(n) - anchor_at[body] + spec.width
+            at = np.flatnonzero(np.diff(group // spec.step, prepend=-1))
+            off, size = group[at] % spec.step, np.diff(np.append(at, n))
+            lo, hi = at - off + spec.step - 1, at - off + spec.width
+            if spec.unit == "word":
                 s, e, _ = B.words(data, np.array([0, len(data)]), B.BLANKS)
-                wh = B.span_hashes(sums, s[:n], e[spec.width - 1 : spec.width - 1 + n])
-            yield pa.RecordBatch.from_arrays([pa.array(B.signed(wh)), pa.array(np.full(n, key)), pa.array((start + np.arange(n)).astype(np.int32)), pa.array(np.zeros(n, np.int32))], schema=HASHED)
+                lo, hi = s[lo], e[hi - 1]
+            held.append(np.stack([B.signed(B.span_hashes(sums, lo, hi)), np.full(len(at), key), ((start + at) * 64 + size) * 64 + off]))
+        for i in range(0, len(held), 5_000):
+            wh, key, pos = np.concatenate(held[i : i + 5_000], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(wh), pa.array(key), pa.array(pos), pa.array(np.zeros(len(wh), np.int32))], schema=HASHED)
 
     return run
 
@@ -274,11 +286,11 @@ def repeated_runs(docs: DataFrame, spec: Spec, index: Callable, limit: int) -> D
     hot = spark.sparkContext.broadcast(np.array(sorted(r.fp for r in hits.where("fp is not null").select("fp").collect()), np.int64))
     named, settled = hits.where("fp is null").select("key", "hit"), None
     if len(hot.value):
-        found = written(docs.mapInArrow(_hot_windows(spec, hot), "wh long, key long, pos int, n int"), "hot")
+        found = written(docs.mapInArrow(_hot_windows(spec, hot), "wh long, key long, pos long, n int"), "hot")
         windows = found.where("n = 0")
         again = windows.groupBy("wh").agg(F.count("*").alias("c")).where("c > 1").select("wh")
-        named = named.unionByName(windows.join(again, "wh").select("key", (F.col("pos").cast("long") * 2 + 1).alias("hit")))
-        settled = found.where("n > 0").select("key", F.col("pos").alias("start"), "n")
+        named = named.unionByName(windows.join(again, "wh").select("key", (F.col("pos") * 2 + 1).alias("hit")))
+        settled = found.where("n > 0").select("key", F.col("pos").cast("int").alias("start"), "n")
     by_doc = named.groupBy("key").agg(F.collect_list("hit").alias("hits"))
     pieces = docs.join(by_doc, "key").mapInArrow(_segments(spec, hot), "route long, key long, start int, n int, body binary")
     runs = pieces.repartition("route").sortWithinPartitions("route").mapInArrow(_sharded(spec, index, limit), "key long, start int, n int")
