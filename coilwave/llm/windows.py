@@ -157,6 +157,20 @@ class _Merged:
             self.settled += [(key, start, n), old]
 
 
+def _settled(merged: _Merged, *front: int | None) -> list[tuple]:
+    """The settled runs of a task; runs of a text that meet or overlap are one. front: what stands before (key, start, n); None stands for the key."""
+    if not merged.settled:
+        return []
+    key, start, n = (np.array(c, np.int64) for c in zip(*merged.settled, strict=True))
+    order = np.lexsort((start, key))
+    key, start, end = key[order], start[order], (start + n)[order]
+    lift = np.cumsum(np.append(0, np.diff(key) != 0)) << 40
+    far = np.maximum.accumulate(end + lift)
+    head = np.flatnonzero(np.append(True, start[1:] + lift[1:] > far[:-1]))
+    end = np.maximum.reduceat(end, head)
+    return [(*(k if f is None else f for f in front), k, s, e - s) for k, s, e in zip(key[head].tolist(), start[head].tolist(), end.tolist(), strict=True)]
+
+
 def _pieces(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, spec: Spec, hot: np.ndarray) -> Iterator[tuple[int, bytes, int, int, int]]:
     """(route, body, key, first window, windows) of the pieces that a text's hits name: a place * 2 without hot anchors, or a group of windows at a hot anchor (see _hot_windows)."""
     grams, place, first = spec.units(data, at)
@@ -192,7 +206,7 @@ def _segments(spec: Spec, hot: Broadcast) -> Callable[[Batches], Batches]:
                 for piece in _pieces(part, data, at, spec, hot.value):
                     merged.add(*piece)
         rows = [(route, key, start, n, body) for (route, body), (key, start, n) in merged.kept.items()]
-        rows += [(key, key, start, n, None) for key, start, n in merged.settled]
+        rows += [(*x, None) for x in _settled(merged, None)]
         yield from _batched(rows, SEGMENT)
 
     return run
@@ -225,7 +239,7 @@ def _hot_windows(spec: Spec, hot: Broadcast) -> Callable[[Batches], Batches]:
                     body = spec.body(data, place, s, s + n + spec.width - 1)
                     anchor_at[body] = a - s
                     merged.add(0, body, int(keys[t]), s - int(first[t]), n)
-        yield from _batched([(0, *x) for x in merged.settled], HASHED)
+        yield from _batched(_settled(merged, 0), HASHED)
         held: list[np.ndarray] = []
         for (_, body), (key, start, n) in merged.kept.items():
             data = np.frombuffer(body, np.uint8)
