@@ -21,27 +21,31 @@ def radian_factor(units: str) -> float:
         raise ValueError(f"unknown unit of angles: {units}") from None
 
 
-def corrected_inclinations(a: Column, b: Column, c: Column, units: str = "rad", squared: bool = False) -> tuple[Column, Column, Column]:
-    """Inclinations of three axes at right angles, whose sines have unit norm: the sines are scaled to it (squared: each
-    square gets an equal part of what is missing)."""
+def squared_sines(a: Column, b: Column, c: Column, units: str = "rad") -> tuple[Column, Column, Column]:
+    """Squares of the sines of the inclinations of three axes at right angles, scaled so that they add up to one."""
+    k = radian_factor(units)
+    squares = [F.sin(x * k) ** 2 for x in (a, b, c)]
+    return tuple(x / (squares[0] + squares[1] + squares[2]) for x in squares)
+
+
+def corrected_inclinations(a: Column, b: Column, c: Column, units: str = "rad") -> tuple[Column, Column, Column]:
+    """Inclinations of three axes at right angles, whose sines are scaled to unit norm."""
     k = radian_factor(units)
     s = [F.sin(x * k) for x in (a, b, c)]
-    total = s[0] ** 2 + s[1] ** 2 + s[2] ** 2
-    if squared:
-        fixed = [F.signum(x) * F.sqrt(F.greatest(x**2 + (1 - total) / 3, F.lit(0.0))) for x in s]
-    else:
-        fixed = [x / F.sqrt(total) for x in s]
-    return tuple(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))) / k for x in fixed)
+    norm = F.sqrt(s[0] ** 2 + s[1] ** 2 + s[2] ** 2)
+    return tuple(F.asin(x / norm) / k for x in s)
 
 
 def triaxial_to_geomagnetic(a: Column, b: Column, c: Column, units: str = "rad") -> Matrix:
-    """Matrix from three inclined axes at right angles to north, east and down; the first axis points to magnetic north.
-
-    Down is the sum of the axes times their sines; north is what is left of the first axis; east closes the frame."""
-    k = radian_factor(units)
-    s1, s2, s3 = (F.sin(x * k) for x in (a, b, c))
-    c1 = F.sqrt(1 - s1**2)
-    return [[c1, -s1 * s2 / c1, -s1 * s3 / c1], [F.lit(0.0), s3 / c1, -s2 / c1], [s1, s2, s3]]
+    """Matrix from three inclined axes at right angles to north, east and down; the horizontal part of the first axis points to magnetic south.
+
+    Inclinations are corrected first and taken as downward. Down is the sum of the axes times their sines, north what is left of the
+    first axis turned round, and east closes the frame. A vertical first axis has no direction: its matrix is null."""
+    q1, q2, q3 = squared_sines(a, b, c, units)
+    s1, s2, s3 = F.sqrt(q1), F.sqrt(q2), F.sqrt(q3)
+    flat = F.sqrt(q2 + q3)
+    across = F.nullif(flat, F.lit(0.0))
+    return [[-flat, s1 * s2 / across, s1 * s3 / across], [F.lit(0.0), -s3 / across, s2 / across], [s1, s2, s3]]
 
 
 def transposed(m: Matrix) -> Matrix:

@@ -175,7 +175,7 @@ def near_edges(index: Column, offset: Column, half: int, before: int, after: int
 
 def on_time_offset(df: DataFrame, keys: list[str], order: list[str], value: str, period: int, signed: bool = False, digits: int = 9) -> DataFrame:
     """(keys, offset): where the half cycles begin (signed: the cycles), as the place at which steps of the series match a
-    train of spikes best. The score at j adds the steps j - 1 + q * half for all q that fit; the smallest j of the best counts."""
+    train of spikes best. The score at j adds the steps j - 1 + q * half (signed: those at q * period less those half a period before), q from 1; the smallest j of the best counts."""
     half = period // 2
     own = indexed(df, keys, order, "_i")
     w = Window.partitionBy(*keys).orderBy("_i")
@@ -194,8 +194,8 @@ def on_time_offset(df: DataFrame, keys: list[str], order: list[str], value: str,
     prior = own.select(*keys, "_lane", F.col("_k").alias("_pk"), F.col("_s").alias("_ps"))
     scored = own.withColumn("_pk", F.col("_k") - F.col("_len")).where("_pk >= 0").join(prior, [*keys, "_lane", "_pk"], "left")
     score = F.round(F.col("_s") - F.coalesce("_ps", F.lit(0.0)), digits)
-    start = F.col("_i") + 1 - (F.col("_len") - 1) * by - (half if signed else 0)
-    best = scored.where(start >= (0 if signed else 1)).groupBy(*keys).agg(F.max(F.struct(score.alias("s"), (-start).alias("j"))).alias("b"))
+    start = F.col("_i") + 1 - F.col("_len") * by
+    best = scored.where(start >= 0).groupBy(*keys).agg(F.max(F.struct(score.alias("s"), (-start).alias("j"))).alias("b"))
     return best.select(*keys, F.pmod(-F.col("b.j"), F.lit(period if signed else half)).cast("long").alias("offset"))
 
 

@@ -213,8 +213,7 @@ def on_time_mask(spark: SparkSession, folder: str) -> DataFrame:
 
 def rotate3(spark: SparkSession, folder: str) -> DataFrame:
     li = _table(spark, folder, "part").select("p_partkey", *[(F.pmod(F.col("p_partkey") * k, F.lit(20)) + b).cast("double").alias(n) for n, k, b in (("a", 3, 25), ("b", 7, 25), ("c", 11, 25))])
-    fixed = G.corrected_inclinations(F.col("a"), F.col("b"), F.col("c"), "deg", squared=True)
-    m = G.triaxial_to_geographic(*fixed, F.lit(9.5), "deg")
+    m = G.triaxial_to_geographic(F.col("a"), F.col("b"), F.col("c"), F.lit(9.5), "deg")
     x, y, z = G.applied(m, F.lit(100.0), F.col("a"), F.lit(-30.0))
     return _rounded(li.select("p_partkey", x.alias("x"), y.alias("y"), z.alias("z"), G.azimuths(m, "deg")[1].alias("azimuth")), "x", "y", "z", "azimuth")
 
@@ -394,4 +393,46 @@ ORACLE = {
         WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey || 'a' END AS station FROM supplier), c AS (SELECT station, row_number() OVER (ORDER BY station) - 1 AS code FROM (SELECT DISTINCT station FROM s WHERE station IS NOT NULL))
         SELECT s_suppkey, station, code FROM s LEFT JOIN c USING (station)
     """,
+    "on_time_offset": f"""
+        WITH s AS (SELECT user_id, row_number() {_W} - 1 AS i, abs(lead(value) {_W} - value) AS d, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+        j AS (SELECT user_id, n // 16 AS c, unnest(range(0, n - 8 * (2 * (n // 16) - 1))) AS j FROM (SELECT DISTINCT user_id, n FROM s WHERE n >= 16)),
+        r AS (SELECT user_id, j, round(sum(d), 6) AS score FROM j JOIN s USING (user_id) WHERE i - j + 1 BETWEEN 8 AND 8 * (2 * c - 1) AND (i - j + 1) % 8 = 0 GROUP BY user_id, j)
+        SELECT user_id, j % 8 AS "offset" FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, j) AS k FROM r) WHERE k = 1
+    """,
+    "on_time_offset_signed": f"""
+        WITH s AS (SELECT user_id, row_number() {_W} - 1 AS i, lead(value) {_W} - value AS d, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+        j AS (SELECT user_id, n // 16 AS c, unnest(range(0, n - 16 * (n // 16 - 1))) AS j FROM (SELECT DISTINCT user_id, n FROM s WHERE n >= 32)),
+        r AS (SELECT user_id, j, round(sum(CASE WHEN (i - j + 1) % 16 = 0 THEN d ELSE -d END), 6) AS score FROM j JOIN s USING (user_id) WHERE i - j + 1 BETWEEN 8 AND 16 * (c - 1) AND (i - j + 1) % 8 = 0 GROUP BY user_id, j)
+        SELECT user_id, j % 16 AS "offset" FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, j) AS k FROM r) WHERE k = 1
+    """,
+    "rotate3": """
+        WITH p AS (SELECT p_partkey, (p_partkey * 3 % 20 + 25)::DOUBLE AS a, (p_partkey * 7 % 20 + 25)::DOUBLE AS b, (p_partkey * 11 % 20 + 25)::DOUBLE AS c FROM part),
+        q AS (SELECT *, sin(radians(a)) ** 2 + sin(radians(b)) ** 2 + sin(radians(c)) ** 2 AS t FROM p),
+        s AS (SELECT *, sin(radians(a)) / sqrt(t) AS u, sin(radians(b)) / sqrt(t) AS v, sin(radians(c)) / sqrt(t) AS w FROM q),
+        g AS (SELECT *, -sqrt(1 - u * u) * 100 + (u * v * a + u * w * -30) / sqrt(1 - u * u) AS north, (-w * a + v * -30) / sqrt(1 - u * u) AS east, u * v / sqrt(1 - u * u) AS n2, -w / sqrt(1 - u * u) AS e2 FROM s)
+        SELECT p_partkey, round(cos(radians(9.5)) * north - sin(radians(9.5)) * east, 6) + 0.0 AS x, round(sin(radians(9.5)) * north + cos(radians(9.5)) * east, 6) + 0.0 AS y, round(u * 100 + v * a - w * 30, 6) + 0.0 AS z,
+            round(degrees(atan2(sin(radians(9.5)) * n2 + cos(radians(9.5)) * e2, cos(radians(9.5)) * n2 - sin(radians(9.5)) * e2)), 6) + 0.0 AS azimuth FROM g
+    """,
+    "cal_interp": """
+        WITH k AS (SELECT n_regionkey AS k, (n_nationkey * 10)::DOUBLE AS f, (n_nationkey * 7 % 11)::DOUBLE AS m FROM nation),
+        l AS (SELECT *, lead(f) OVER w AS f2, lead(m) OVER w AS m2, row_number() OVER w AS i, count(*) OVER (PARTITION BY k) AS n FROM k WINDOW w AS (PARTITION BY k ORDER BY f)),
+        p AS (SELECT c_custkey, c_nationkey % 5 AS k, (c_custkey * 3 % 300)::DOUBLE AS x FROM customer)
+        SELECT c_custkey, round(m + coalesce((m2 - m) * (x - f) / (f2 - f), 0), 6) + 0.0 AS m FROM p LEFT JOIN l ON p.k = l.k AND (n = 1 OR i < n) AND (i = 1 OR x >= f) AND (i >= n - 1 OR x < f2)
+    """,
+    "commonest_and_range": """
+        WITH c AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS k FROM events GROUP BY user_id, event_type),
+        r AS (SELECT user_id, min(epoch_us(ts) // 1000000) AS a, max(epoch_us(ts) // 1000000) AS b FROM events GROUP BY user_id)
+        SELECT user_id, event_type AS usual, round(a - 0.05::DOUBLE * (b - a), 3) AS low, round(b + 0.05::DOUBLE * (b - a), 3) AS high FROM c JOIN r USING (user_id) WHERE k = 1
+    """,
+    "embedding_dft": """
+        WITH s AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings)
+        SELECT id, count(*) AS n, round(sum(v * cos(2 * pi() * i * 3 / 64)), 5) + 0.0 AS re, round(-sum(v * sin(2 * pi() * i * 3 / 64)), 5) + 0.0 AS im FROM s GROUP BY id
+    """,
+    "record_check": f"""
+        WITH s AS (SELECT user_id AS file, row_number() {_W} - 1 AS i FROM events), p AS (SELECT file, i, i * 100 + CASE WHEN file % 3 = 0 THEN i // 10 ELSE 0 END AS p FROM s),
+        e AS (SELECT *, max(p) OVER (PARTITION BY file) + 90 AS size, lead(p) OVER (PARTITION BY file ORDER BY p) AS q FROM p), l AS (SELECT *, coalesce(q, size) - p AS len FROM e),
+        u AS (SELECT file, len, row_number() OVER (PARTITION BY file ORDER BY count(*) DESC, len) AS k FROM l GROUP BY file, len),
+        t AS (SELECT file, count(*) AS n, ceil((max(size) - min(p)) / 100) AS by_size, max(i) - min(i) + 1 AS by_time, count(*) FILTER (q IS NOT NULL AND len <> 100) AS odd, max(len) FILTER (q IS NULL) AS tail FROM l GROUP BY file)
+        SELECT file, (CASE WHEN len <> 100 THEN -1 WHEN n <> by_size OR n <> by_time THEN -2 WHEN odd > 0 THEN -3 ELSE 0 END)::INTEGER AS code, n AS n_records, greatest(0, 100 - tail)::BIGINT AS missing_bytes FROM t JOIN u USING (file) WHERE k = 1
+    """,
 }
