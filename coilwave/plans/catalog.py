@@ -13,6 +13,7 @@ from coilwave.functions import geometry as G
 from coilwave.functions import timeconv as T
 from coilwave.operators import catalog as C
 from coilwave.operators import kernels as K
+from coilwave.operators import lockin as L
 from coilwave.operators import overlap as O
 from coilwave.operators import series as S
 from coilwave.operators import spectral as X
@@ -276,6 +277,10 @@ def waveform_average(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(K.waveform_filtered(_events(spark, folder), ["user_id"], ORDER, "value", 6.5, 5).select("event_id", "filtered"), "filtered", digits=4)
 
 
+def lockin(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(L.lockin(_events(spark, folder), ["user_id"], ORDER, "value", 16, 480.0, 60.0, 1, 2, 0.05).select("event_id", "filtered"), "filtered", digits=4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -283,7 +288,7 @@ QUERIES = {
         longest_run, week_rollover, interp_edge_hold, interp_linear, unwrap_phase, interval_overlap, interval_overlap_bucketed, full_overlaps, nearest_station,
         dedup_first, date_subset, gps_to_utc, mountain_time, dft_bin, window_dft, embedding_dft, ls_tf, ls_cov, mean_cov, huber_norm, on_time_offset,
         on_time_offset_signed, on_time_mask, rotate3, utm_projection, unpivot_harmonics, cal_interp, quality_counts, commonest_and_range, station_codes, record_check,
-        regression_m, notch_filter, autocorr_period, waveform_average,
+        regression_m, notch_filter, autocorr_period, waveform_average, lockin,
     )
 }
 

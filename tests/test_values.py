@@ -42,3 +42,57 @@ def test_projections(spark):
     x, y = G.web_mercator(F.lit(45.0), F.lit(180.0))
     got = spark.range(1).select(e.alias("e"), n.alias("n"), x.alias("x"), y.alias("y")).first()
     assert (got["e"], got["n"]) == pytest.approx((500_000, 0)) and got["x"] == pytest.approx(math.pi * 6378137) and got["y"] == pytest.approx(5621521.486, abs=1e-2)
+
+
+def hum_removed(x, period, rate, hum, before, after, cut):
+    """The same by loops over one series."""
+    n, half = len(x), period // 2
+    score = np.convolve(np.abs(np.diff(x)), np.tile([1.0] + [0.0] * (half - 1), 2 * (n // period) - 1), "valid")
+    off = int(np.argmax(score)) % half
+    width = round(rate / hum)
+    mean = np.full(n, np.nan)
+    for i in range(width // 2, n - (width - 1) // 2):
+        mean[i] = x[i - width // 2 : i + (width - 1) // 2 + 1].mean()
+    full = np.flatnonzero(~np.isnan(mean))
+    mean[: full[0]], mean[full[-1] :] = mean[full[0]], mean[full[-1]]
+    v = x - mean
+    known = np.array([after <= (i - off) % half < half - before for i in range(n)])
+    ordered = np.sort(v[known])
+    low = int(cut * len(ordered))
+    known &= (v >= ordered[low]) & (v <= ordered[len(ordered) - low - 1])
+    count = n // period + (n - half) // period
+    total = np.zeros((count + 1) * period // 2)
+    for k in range(count):
+        start = k * period // 2
+        j = np.arange(period)
+        wave = np.exp(2j * np.pi * hum * j / rate)
+        use = known[start : start + period]
+        c = (v[start : start + period] * use * wave.conj()).sum()
+        up = (j + 0.5) * 2 / period
+        weight = np.minimum(up, up[::-1])
+        if k == 0:
+            weight[:half] = 1
+        if k == count - 1:
+            weight = np.where(j >= half, 1, up)
+        total[start : start + period] += (2 * c * wave / use.sum()).real * weight
+    return x[: len(total)] - total
+
+
+def test_lockin(spark):
+    from coilwave.operators.lockin import lockin
+
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for k, n in enumerate((400, 333, 128)):
+        i = np.arange(n)
+        x = np.where((i - 7) // 32 % 2 == 0, 1.0, -1.0) + 0.3 * np.cos(2 * np.pi * 60 * i / 480 + k) + rng.normal(0, 0.01, n)
+        rows += [(k, int(a), float(b)) for a, b in zip(i, x, strict=True)]
+        want[k] = hum_removed(x, 64, 480.0, 60.0, 4, 8, 0.05)
+    rows += [(9, a, 1.0) for a in range(10)]
+    got = lockin(spark.createDataFrame(rows, "k int, i int, v double"), ["k"], ["i"], "v", 64, 480.0, 60.0, 4, 8, 0.05)
+    found = {}
+    for r in got.orderBy("k", "i").collect():
+        found.setdefault(r["k"], []).append(r["filtered"])
+    assert sorted(found) == [0, 1, 2]
+    for k, x in want.items():
+        assert len(found[k]) == len(x) and np.allclose(found[k], x, atol=1e-8)
