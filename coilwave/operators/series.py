@@ -202,3 +202,23 @@ def on_time_offset(df: DataFrame, keys: list[str], order: list[str], value: str,
 def clip_limits(tx: str, rx: str, tx_most: float = 39.8, rx_most: float = 1.99) -> Column:
     """Whether a pair of samples is clipped on either side."""
     return (F.abs(F.col(tx)) >= tx_most) | (F.abs(F.col(rx)) >= rx_most)
+
+
+def resampled(df: DataFrame, keys: list[str], order: list[str], value: str, samples: float, phases: int, offset: float = 0.0, out: str = "value") -> DataFrame:
+    """(keys, cycle, phase, out): the series read by straight lines at `phases` places of each period of `samples` samples. `offset` is the place
+    of the first sample in a longer signal, so that parts of it agree on phases. Each sample gives the places from it up to the next one; a place
+    beside a null is null."""
+    step = samples / phases
+    w = _window(keys, order)
+    own = indexed(df, keys, order, "_i").select(*keys, "_i", F.col(value).alias("_v"), F.lead(value).over(w).alias("_next"), F.lead("_i").over(w).isNull().alias("_last"))
+    first = F.ceil((F.col("_i") + offset) / step)
+    end = F.when(F.col("_last"), F.floor((F.col("_i") + offset) / step)).otherwise(F.ceil((F.col("_i") + 1 + offset) / step) - 1)
+    own = own.withColumns({"_first": first, "_end": end}).where("_first <= _end").withColumn("_p", F.explode(F.sequence("_first", "_end")))
+    part = F.col("_p") * step - offset - F.col("_i")
+    read = F.when(part == 0, F.col("_v")).otherwise(F.col("_v") + (F.col("_next") - F.col("_v")) * part)
+    return own.select(*keys, F.floor(F.col("_p") / phases).alias("cycle"), F.pmod("_p", F.lit(phases)).cast("int").alias("phase"), read.alias(out))
+
+
+def mean_per_phase(df: DataFrame, keys: list[str], order: list[str], value: str, samples: float, phases: int, offset: float = 0.0) -> DataFrame:
+    """(keys, phase, mean): the mean waveform of a series that repeats every `samples` samples."""
+    return resampled(df, keys, order, value, samples, phases, offset).groupBy(*keys, "phase").agg(F.avg("value").alias("mean"))

@@ -281,6 +281,14 @@ def lockin(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(L.lockin(_events(spark, folder), ["user_id"], ORDER, "value", 16, 480.0, 60.0, 1, 2, 0.05).select("event_id", "filtered"), "filtered", digits=4)
 
 
+def resample(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(S.resampled(_events(spark, folder), ["user_id"], ORDER, "value", 6.5, 8, 3.0), "value")
+
+
+def mean_waveform(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(S.mean_per_phase(_events(spark, folder), ["user_id"], ORDER, "value", 6.5, 8, 3.0), "mean", digits=10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -288,7 +296,8 @@ QUERIES = {
         longest_run, week_rollover, interp_edge_hold, interp_linear, unwrap_phase, interval_overlap, interval_overlap_bucketed, full_overlaps, nearest_station,
         dedup_first, date_subset, gps_to_utc, mountain_time, dft_bin, window_dft, embedding_dft, ls_tf, ls_cov, mean_cov, huber_norm, on_time_offset,
         on_time_offset_signed, on_time_mask, rotate3, utm_projection, unpivot_harmonics, cal_interp, quality_counts, commonest_and_range, station_codes, record_check,
-        regression_m, notch_filter, autocorr_period, waveform_average, lockin,
+        regression_m, notch_filter, autocorr_period, waveform_average, lockin, resample,
+        mean_waveform,
     )
 }
 
@@ -311,6 +320,12 @@ _GAPS = f"""
         LEFT JOIN k f1 ON f1.user_id = g.user_id AND f1.up = 1 LEFT JOIN k f2 ON f2.user_id = g.user_id AND f2.up = 2
         LEFT JOIN k l1 ON l1.user_id = g.user_id AND l1.down = 1 LEFT JOIN k l2 ON l2.user_id = g.user_id AND l2.down = 2)
 """
+_RESAMPLED = f"""
+    s AS (SELECT user_id, value AS v, row_number() {_W} - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    p AS (SELECT user_id, unnest(range(ceil(3 / 0.8125::DOUBLE)::BIGINT, floor((n + 2) / 0.8125::DOUBLE)::BIGINT + 1)) AS p FROM (SELECT DISTINCT user_id, n FROM s)),
+    t AS (SELECT user_id, p, p * 0.8125::DOUBLE - 3 AS t, floor(p * 0.8125::DOUBLE - 3)::BIGINT AS i FROM p),
+    q AS (SELECT t.user_id, p // 8 AS cycle, (p % 8)::INTEGER AS phase, a.v + coalesce((b.v - a.v) * (t - t.i), 0) AS value FROM t JOIN s a ON a.user_id = t.user_id AND a.i = t.i LEFT JOIN s b ON b.user_id = t.user_id AND b.i = t.i + 1)
+"""
 ORACLE = {
     "tf_minimal": f"""
         WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS i, value - avg(value) OVER (PARTITION BY user_id, event_type) AS v
@@ -440,4 +455,6 @@ ORACLE = {
         t AS (SELECT file, count(*) AS n, ceil((max(size) - min(p)) / 100) AS by_size, max(i) - min(i) + 1 AS by_time, count(*) FILTER (q IS NOT NULL AND len <> 100) AS odd, max(len) FILTER (q IS NULL) AS tail FROM l GROUP BY file)
         SELECT file, (CASE WHEN len <> 100 THEN -1 WHEN n <> by_size OR n <> by_time THEN -2 WHEN odd > 0 THEN -3 ELSE 0 END)::INTEGER AS code, n AS n_records, greatest(0, 100 - tail)::BIGINT AS missing_bytes FROM t JOIN u USING (file) WHERE k = 1
     """,
+    "resample": f"WITH {_RESAMPLED} SELECT user_id, cycle, phase, round(value, 6) + 0.0 AS value FROM q",
+    "mean_waveform": f"WITH {_RESAMPLED} SELECT user_id, phase, round(avg(value), 10) + 0.0 AS mean FROM q GROUP BY user_id, phase",
 }
