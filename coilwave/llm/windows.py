@@ -6,13 +6,15 @@ twice is sent on, (3) to the shard its anchor's hash names, where an index finds
 Anchors that a chunk of texts has several times are known to be met again there, so each chunk sends one
 row for them to be counted. Anchors met very often are too much for one shard; groups of their windows are
 counted by hash of what a group has in common first, and only groups met again go on, to shards named by that
-hash. Equal pieces within a task are merged before any shuffle.
+hash. A group met too often even for that (it reaches from a common passage into each document's own text) is
+counted window by window, and windows met again go on by their own hash. Equal pieces within a task are merged
+before any shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ class Spec:
     first_stays: bool
     #: An anchor is hot if it is met more often than this, or than a millionth of all anchors if that is more; so there are at most a million.
     hot: int = 4_000
+    #: A group of windows that more rows than this have is taken apart.
+    crowd: int = 400
 
     @property
     def step(self) -> int:
@@ -81,6 +85,8 @@ def anchored(grams: np.ndarray, first: np.ndarray, width: int, gram: int) -> tup
 
 
 U64 = np.uint64
+#: In place of a group's offset: a window by itself.
+LONE = 63
 
 
 ANCHOR = pa.schema([("fp", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
@@ -172,7 +178,7 @@ def _settled(merged: _Merged, *front: int | None) -> list[tuple]:
 
 
 def _pieces(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, spec: Spec, hot: np.ndarray) -> Iterator[tuple[int, bytes, int, int, int]]:
-    """(route, body, key, first window, windows) of the pieces that a text's hits name: a place * 2 without hot anchors, or a group of windows at a hot anchor (see _hot_windows)."""
+    """(route, body, key, first window, windows) of the pieces that a text's hits name: a place * 2 without hot anchors, or a group of windows at a hot anchor (see _hot_windows) or one of them (see _lone_windows)."""
     grams, place, first = spec.units(data, at)
     anchor, start, count, text = anchored(grams, first, spec.width, spec.gram)
     keys = part.column("key").to_numpy()
@@ -189,7 +195,7 @@ def _pieces(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, spec: Spec,
     code, own = flat[grouped] >> 1, which[grouped]
     for u, m, off, t in zip((first[own] + (code >> 12)).tolist(), (code >> 6 & 63).tolist(), (code & 63).tolist(), own.tolist(), strict=True):
         if u + m - 1 + spec.width <= first[t + 1]:
-            common = spec.body(data, place, u - off + spec.step - 1, u - off + spec.width)
+            common = spec.body(data, place, u, u + spec.width) if off == LONE else spec.body(data, place, u - off + spec.step - 1, u - off + spec.width)
             yield hash_bytes(common), spec.body(data, place, u, u + m - 1 + spec.width), int(keys[t]), u - int(first[t]), m
 
 
@@ -259,6 +265,36 @@ def _hot_windows(spec: Spec, hot: Broadcast) -> Callable[[Batches], Batches]:
     return run
 
 
+def _lone_windows(spec: Spec) -> Callable[[Batches], Batches]:
+    """The windows of the groups that a text's hits name, one by one, each with its hash. n is 0 if the task has the window several
+    times, but for the first of those, which counts them."""
+
+    def run(batches: Batches) -> Batches:
+        held = []
+        for batch in batches:
+            for part, data, at in B.chunks(batch):
+                grams, _, first = replace(spec, gram=spec.width).units(data, at)
+                hits = part.column("hits")
+                code, length = hits.flatten().to_numpy(), hits.value_lengths().to_numpy(zero_copy_only=False)
+                which = np.repeat(np.arange(len(length)), length)
+                start, size = code >> 12, code >> 6 & 63
+                # rows of one key share their hits, and a shorter text lacks some
+                fits = first[which] + start + size - 1 + spec.width <= first[which + 1]
+                which, start, size = which[fits], start[fits], size[fits]
+                place, of = B.spread(start, size), np.repeat(which, size)
+                held.append([B.signed(grams[first[of] + place]), part.column("key").to_numpy()[of], (place * 64 + 1) * 64 + LONE])
+        if not held:
+            return
+        wh, key, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+        _, begin, n = np.unique(wh, return_index=True, return_counts=True)
+        counted = np.zeros(len(wh), np.int32)
+        counted[begin] = n
+        for i in range(0, len(wh), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (wh, key, pos, counted)], schema=HASHED)
+
+    return run
+
+
 def _sharded(spec: Spec, index: Callable, limit: int) -> Callable[[Batches], Batches]:
     """Pieces come sorted by route; whole routes are gathered up to `limit` units and indexed together."""
 
@@ -302,8 +338,19 @@ def repeated_runs(docs: DataFrame, spec: Spec, index: Callable, limit: int) -> D
     if len(hot.value):
         found = written(docs.mapInArrow(_hot_windows(spec, hot), "wh long, key long, pos long, n int"), "hot")
         windows = found.where("n = 0")
-        again = windows.groupBy("wh").agg(F.count("*").alias("c")).where("c > 1").select("wh")
-        named = named.unionByName(windows.join(again, "wh").select("key", (F.col("pos") * 2 + 1).alias("hit")))
+        met = written(windows.groupBy("wh").agg(F.count("*").alias("c")).where("c > 1"), "met")
+        # each crowded group has more than `crowd` rows, so there are few of them
+        crowded = F.broadcast(met.where(F.col("c") > spec.crowd).select("wh")) if spec.step > 1 else None
+        again = met.where(F.col("c") <= spec.crowd) if spec.step > 1 else met
+        calm = windows if crowded is None else windows.join(crowded, "wh", "left_anti")
+        grouped = calm.join(again.select("wh"), "wh").select("key", "pos")
+        if crowded is not None:
+            by_doc = windows.join(crowded, "wh").groupBy("key").agg(F.collect_list("pos").alias("hits"))
+            lone = written(docs.join(by_doc, "key").mapInArrow(_lone_windows(spec), "wh long, key long, pos long, n int"), "lone")
+            counted = lone.where("n > 0")
+            twice = counted.groupBy("wh").agg(F.sum("n").alias("c")).where("c > 1").select("wh")
+            grouped = grouped.unionByName(counted.join(twice, "wh").select("key", "pos")).unionByName(lone.where("n = 0").select("key", "pos"))
+        named = named.unionByName(grouped.select("key", (F.col("pos") * 2 + 1).alias("hit")))
         settled = found.where("n > 0").select("key", F.col("pos").cast("int").alias("start"), "n")
     by_doc = named.groupBy("key").agg(F.collect_list("hit").alias("hits"))
     pieces = docs.join(by_doc, "key").mapInArrow(_segments(spec, hot), "route long, key long, start int, n int, body binary")

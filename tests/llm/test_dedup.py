@@ -43,6 +43,46 @@ def test_hot_anchors_are_counted_by_window(hard, monkeypatch):
     assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.repeated_strings(pairs(hard), 40))
 
 
+def test_groups_at_the_edges_of_a_passage_are_not_one_route(spark, monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from coilwave.llm import windows
+    from coilwave.llm.shared import keyed
+
+    r = random.Random(9)
+    own = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, close = own(500), own(12)
+    # Some texts share bytes beside the passage too, so that windows which reach out of it are repeats here and there.
+    texts = [own(150) + (close if i % 50 == 0 else own(12)) + passage + own(150) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    spec = windows.Spec("byte", 400, 64, first_stays=False, hot=20, crowd=30)
+
+    def rows_a_route(pieces, spec):
+        route, n = np.unique([p[0] for p in pieces], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(n.astype(np.int32)), pa.array(np.full(len(n), -1, np.int32))], schema=windows.RUN)
+
+    found = windows.repeated_runs(keyed(docs).select("key", "text"), spec, rows_a_route, 1).where("n = -1")
+    assert max(row.start for row in found.collect()) <= spec.crowd
+    monkeypatch.setattr(suffix_dedup, "Spec", lambda *a, **b: spec)
+    got = suffix_dedup.remove_repeats(docs, width=400)
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.repeated_strings(list(enumerate(texts)), 400))
+
+
+def test_crowded_groups_of_hot_anchors(hard, monkeypatch):
+    from coilwave.llm import windows
+
+    spec = windows.Spec
+    monkeypatch.setattr(substring_dedup, "Spec", lambda *a, **b: spec(*a, **b, hot=2, crowd=1))
+    monkeypatch.setattr(suffix_dedup, "Spec", lambda *a, **b: spec(*a, **b, hot=2, crowd=1))
+    got = substring_dedup.remove_repeats(hard, width=20)
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.repeated_passages(pairs(hard)))
+    got = suffix_dedup.remove_repeats(hard, width=40)
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.repeated_strings(pairs(hard), 40))
+
+
 @pytest.mark.parametrize("width,percent", [(5, 80), (2, 50), (1, 60)])
 def test_jaccard_components(hard, width, percent):
     got = ngram_join.link(hard, width, percent)
