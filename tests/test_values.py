@@ -96,3 +96,18 @@ def test_lockin(spark):
     assert sorted(found) == [0, 1, 2]
     for k, x in want.items():
         assert len(found[k]) == len(x) and np.allclose(found[k], x, atol=1e-8)
+
+
+def test_whole_series_are_used(spark, tmp_path):
+    from coilwave.plans.catalog import QUERIES
+
+    rng = np.random.default_rng(6)
+    rows = [(2 * i + k, i, 1, kind, float(rng.normal())) for i in range(200) for k, kind in enumerate(("view", "click"))]
+    spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert [r["n"] for r in QUERIES["tf_windows"](spark, str(tmp_path)).collect()] == [99]
+    got = {r["win"]: (r["n"], complex(r["re"], r["im"])) for r in QUERIES["dft_bins"](spark, str(tmp_path)).collect()}
+    x = np.array([r[-1] for r in rows])
+    for w in range(7):
+        part = x[64 * w : 64 * w + 64]
+        assert got[w][0] == len(part) and got[w][1] == pytest.approx((part * np.exp(-2j * np.pi * 3 * np.arange(len(part)) / 64)).sum(), abs=1e-5)
+    assert len(got) == 7
