@@ -1,17 +1,23 @@
 """Recursive and FFT-like kernels: NumPy over one series at a time, dealt to the tasks by series.
 
-A series is one recording or a part of it, so it fits a task: an hour at 4096 samples a second is 118 MB."""
+A series is one recording or a part of it, so it fits a task: an hour at 4096 samples a second is 118 MB. The robust
+regression takes groups of any size, in rounds of aggregations."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coilwave.llm.shared import written
+from coilwave.operators import spectral as X
+
 
 def per_series(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Adds kernel(series) as a column. Null samples reach the kernel as NaN; NaN comes back as null."""
@@ -150,17 +156,63 @@ def huber_regression(t: np.ndarray, r: np.ndarray, r0: float = 1.5, most: int =
     return h, float(pulled @ pulled - fit @ fit) / power / (2 * n - 2) / good**2, rounds, good
 
 
-def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r", r0: float = 1.5) -> DataFrame:
-    """(keys, n, re, im, v, rounds, good): a robust transfer function of each group of complex pairs. Groups of one pair have a null v."""
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        own = group.dropna()
-        t, r = (own[f"{c}_re"].to_numpy(float) + 1j * own[f"{c}_im"].to_numpy(float) for c in (tx, rx))
-        row = [*key, len(t), None, None, None, None, None]
-        if len(t) > 1 and np.abs(t).any():
-            h, v, rounds, good = huber_regression(t, r, r0)
-            row = [*key, len(t), h.real, h.imag, v, rounds, good]
-        return pd.DataFrame([row], columns=[*keys, "n", "re", "im", "v", "rounds", "good"])
-
-    fields = [pairs.schema[k] for k in keys] + [T.StructField(n, k) for n, k in (("n", T.LongType()), ("re", T.DoubleType()), ("im", T.DoubleType()), ("v", T.DoubleType()), ("rounds", T.LongType()), ("good", T.DoubleType()))]
-    return pairs.groupBy(*keys).applyInPandas(run, T.StructType(fields))
+def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r", r0: float = 1.5, most: int = 100, two_sided: bool = False) -> DataFrame:
+    """(keys, n, re, im, v, rounds, good): a robust transfer function of each group of complex pairs, as by huber_regression. Pairs with
+    a null or NaN count nowhere; groups of one pair, or without power, have nulls.
+
+    A key may have any number of pairs: each round is two aggregations over the pairs, and only H and the scale of each key go back to them."""
+    parts = [f"{c}_{p}" for c in (tx, rx) for p in ("re", "im")]
+    known = F.lit(True)
+    for c in parts:
+        known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    # as one struct, keys that are null meet too
+    own = pairs.select(F.struct(*keys).alias("k"), *[F.when(known, F.col(c).cast("double")).alias(x) for c, x in zip(parts, ("tr", "ti", "rr", "ri"), strict=True)])
+    own = written(own, "pairs")
+    tr, ti, rr, ri = (F.col(x) for x in ("tr", "ti", "rr", "ri"))
+
+    def residuals(h: str = "h") -> tuple[Column, Column]:
+        re, im = X.times((tr, ti), X.pair(h))
+        return rr - re, ri - im
+
+    def pulled(h: str, scale: str) -> tuple[Column, Column]:
+        fit = X.times((tr, ti), X.pair(h))
+        return tuple(f + X.huber_weight(x / F.col(scale), r0) * x for f, x in zip(fit, residuals(h), strict=True))
+
+    def fitted(to: tuple[Column, Column]) -> list[Column]:
+        return [F.sum(tr * to[0] + ti * to[1]).alias("a"), F.sum(tr * to[1] - ti * to[0]).alias("b")]
+
+    def met(state: DataFrame, *aggs: Column) -> DataFrame:
+        """Sums over the pairs of the keys of a state, beside the state."""
+        sums = own.join(F.broadcast(state), "k").groupBy("k").agg(*aggs)
+        return state.join(sums, "k")
+
+    squares = F.sum(residuals()[0] ** 2 + residuals()[1] ** 2).alias("ss")
+    first = own.groupBy("k").agg(F.count("tr").alias("n"), F.sum(tr * tr + ti * ti).alias("power"), *fitted((rr, ri)))
+    first = written(first.withColumns({"h_re": F.try_divide("a", "power"), "h_im": F.try_divide("b", "power")}).drop("a", "b"), "first")
+    able = (F.col("n") > 1) & (F.col("power") > 0)
+    state = met(first.where(able), squares)
+    state = state.select("k", "n", "power", "h_re", "h_im", F.sqrt(F.col("ss") / (2 * F.col("n") - 2)).alias("scale"), F.lit(0).cast("long").alias("rounds"), F.lit(math.inf).alias("old"), F.lit(0.0).alias("g_re"), F.lit(0.0).alias("g_im"), F.lit(0.0).alias("was"))
+    state = written(state, "state")
+    ended = []
+    loss = sum((F.sum(X.huber_loss(x / F.col("scale"), r0)) for x in residuals()), F.lit(0.0)).alias("now")
+    falls = (F.col("rounds") == 0) | ((F.col("now") < F.col("old") * (1 - 2e-9)) & (F.col("rounds") < most))
+    while True:
+        ended.append(state.where("scale = 0"))
+        tried = written(met(state.where("scale <> 0"), loss, *fitted(pulled("h", "scale"))), "tried")
+        ended.append(tried.where(~falls).select(*state.columns))
+        again = tried.where(falls)
+        if again.isEmpty():
+            break
+        again = again.select("k", "n", "power", (F.col("a") / F.col("power")).alias("h_re"), (F.col("b") / F.col("power")).alias("h_im"), (F.col("rounds") + 1).alias("rounds"), F.col("now").alias("old"), F.col("h_re").alias("g_re"), F.col("h_im").alias("g_im"), F.col("scale").alias("was"))
+        state = written(met(again, squares).withColumn("scale", F.sqrt(F.col("ss") / (2 * F.col("n") - 2) / 0.7784)).select(*state.columns), "state")
+    done = written(reduce(DataFrame.unionByName, ended), "done")
+    # What the last fit leaves of the pulled values: H is fitted to them, so it is also their power less the fit's.
+    last, fit = pulled("g", "was"), X.times((tr, ti), X.pair("h"))
+    rest = F.sum((last[0] - fit[0]) ** 2 + (last[1] - fit[1]) ** 2).alias("rest")
+    inside = [F.when((F.abs(x) if two_sided else x) / F.col("scale") < r0, 1.0).otherwise(0.0) for x in residuals()]
+    own_good = F.sum(F.when(tr.isNotNull(), inside[0] + inside[1])).alias("inside")
+    sums = met(done.where("scale <> 0"), rest, own_good).withColumn("good", F.col("inside") / (2 * F.col("n")))
+    variance = F.try_divide(F.col("rest") / F.col("power") / (2 * F.col("n") - 2), F.col("good") ** 2)
+    out = sums.select("k", variance.alias("v"), "rounds", "good", "h_re", "h_im").unionByName(done.where("scale = 0").select("k", F.lit(0.0).alias("v"), "rounds", F.lit(1.0).alias("good"), "h_re", "h_im"))
+    every = first.select("k", "n").join(out, "k", "left")
+    return every.select(*[F.col("k")[c].alias(c) for c in keys], "n", F.col("h_re").alias("re"), F.col("h_im").alias("im"), "v", "rounds", "good")

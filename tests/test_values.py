@@ -111,3 +111,26 @@ def test_whole_series_are_used(spark, tmp_path):
         part = x[64 * w : 64 * w + 64]
         assert got[w][0] == len(part) and got[w][1] == pytest.approx((part * np.exp(-2j * np.pi * 3 * np.arange(len(part)) / 64)).sum(), abs=1e-5)
     assert len(got) == 7
+
+
+def test_regression_in_rounds(spark):
+    from coilwave.operators import kernels as K
+
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for k, n in ((1, 300), (2, 40), (None, 25), (3, 2)):
+        t = rng.normal(size=n) + 1j * rng.normal(size=n)
+        r = (2 - 0.5j) * t + 0.1 * (rng.normal(size=n) + 1j * rng.normal(size=n))
+        r[:: 7] += rng.normal(0, 9, len(r[:: 7]))
+        want[k] = (n, K.huber_regression(t, r))
+        rows += [(k, float(a.real), float(a.imag), float(b.real), float(b.imag)) for a, b in zip(t, r, strict=True)]
+    rows += [(1, 1.0, None, 1.0, 1.0), (1, float("nan"), 1.0, 1.0, 1.0), (4, 1.0, 1.0, 1.0, 1.0), (5, 0.0, 0.0, 1.0, 1.0), (5, 0.0, 0.0, 2.0, 1.0), (6, None, 1.0, 1.0, 1.0)]
+    rows += [(7, 1.0, 0.0, 2.0, 0.0), (7, 0.0, 1.0, 0.0, 2.0)]
+    df = K.regression_m(spark.createDataFrame(rows, "k int, t_re double, t_im double, r_re double, r_im double").repartition(5), ["k"])
+    # no task holds all pairs of a key
+    assert "InPandas" not in df._jdf.queryExecution().toString()
+    got = {r["k"]: tuple(r)[1:] for r in df.collect()}
+    for k, (n, (h, v, rounds, good)) in want.items():
+        assert got[k][0] == n and got[k][1:4] == pytest.approx((h.real, h.imag, v), rel=1e-6) and got[k][5] == pytest.approx(good) and abs(got[k][4] - rounds) <= 1
+    assert got[4] == (1, *[None] * 5) and got[5] == (2, *[None] * 5) and got[6] == (0, *[None] * 5)
+    assert got[7] == (2, 2.0, 0.0, 0.0, 0, 1.0) and len(got) == 8
