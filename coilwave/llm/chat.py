@@ -53,12 +53,18 @@ def field_paths(schema: Column) -> Column:
     return F.concat(names(F.regexp_replace(schema, lists, "")), F.flatten(nested))
 
 
+#: Spark's reader of JSON variants refuses large values (over 128 MiB), so the reason for no variant is asked for from here on.
+LARGE = 16 << 20
+
+
 def canonical(records: DataFrame, record: str = "record") -> DataFrame:
     """(row, turns): each input row as a struct, and its turns as array<struct<role, text>>.
 
     `record` is a column of JSON. The fingerprint of its field paths selects the layout in LAYOUTS. turns is null if the
-    record is null, no JSON, or of a layout not listed; a null text is an empty one."""
-    parsed = records.select(F.struct(*[F.col(c) for c in records.columns]).alias("row"), F.try_parse_json(F.col(record)).alias("v"))
+    record is null, no JSON, or of a layout not listed; a null text is an empty one. A record of over 16 MiB that cannot be
+    read fails with the reader's error, as it may be whole but too large."""
+    variant = F.coalesce(F.try_parse_json(F.col(record)), F.when(F.octet_length(F.col(record)) > LARGE, F.parse_json(F.col(record))))
+    parsed = records.select(F.struct(*[F.col(c) for c in records.columns]).alias("row"), variant.alias("v"))
     printed = parsed.select("row", "v", fingerprint(field_paths(F.schema_of_variant("v"))).alias("print"))
     turns = F.lit(None).cast(TURNS)
     for paths, sql in LAYOUTS.items():
@@ -127,10 +133,18 @@ def as_records(rows: DataFrame) -> DataFrame:
     and text. A null role or text is an empty one; rows without conv_id are one conversation; repeated rows stay.
     A conversation of one user and one assistant turn is a prompt with its completion, any other a list of messages.
 
-    A conversation is one record by nature, so its turns meet in one row; conversations are spread over the tasks."""
+    A conversation's turns meet in one row here; format_turns() keeps them apart."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
     pair = (F.size("t") == 2) & (F.col("t")[0]["role"] == "user") & (F.get("t", F.lit(1))["role"] == "assistant")
     prompt = F.to_json(F.struct(F.col("t")[0]["text"].alias("prompt"), F.get("t", F.lit(1))["text"].alias("completion")))
     messages = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"], x["text"].alias("content"))).alias("messages")))
     return turns.select("conv_id", F.when(pair, prompt).otherwise(messages).alias("record"))
+
+
+def format_turns(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, formatted, mask) of each row (conv_id, turn, role, text): the row as a record of one message, formatted by
+    itself. A conversation's string is its turns' strings joined in order of turn, role and text, so its size sets no limit here."""
+    message = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    records = rows.select("conv_id", "turn", F.to_json(F.struct(F.array(message).alias("messages"))).alias("record"))
+    return format_chats(records).select("row.conv_id", "row.turn", "formatted", "mask")

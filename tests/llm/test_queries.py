@@ -40,6 +40,35 @@ def test_chat_round_trip(spark):
         assert r.loss == "".join(x[2] for x in sorted(own) if x[1] == "assistant")
 
 
+def test_conversations_larger_than_a_variant(spark, tmp_path):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    n, size = 10, 14_000_000
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    spark.range(n).select(F.lit(5).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.repeat(F.col("id").cast("string"), size).alias("text")).write.parquet(f"{tmp_path}/conversations.parquet")
+    r = queries.op8_chat_formatting(spark, str(tmp_path)).where("conv_id = 5").first()
+    turns, loss = hashlib.sha256(), hashlib.sha256()
+    for i in range(n):
+        turns.update(f"{('user', 'assistant')[i % 2]}\n{str(i) * size}\n".encode())
+        loss.update((str(i) * size).encode() if i % 2 else b"")
+    marks = sum(len(chat.START + x + "\n" + chat.END) for x in ("user", "assistant")) * n // 2
+    assert tuple(r) == (5, n, turns.hexdigest(), n // 2 * size, loss.hexdigest(), n * size + marks)
+
+
+def test_records_too_large_to_read_are_not_lost(spark):
+    record = two_halves(140_000_000)
+    with pytest.raises(Exception, match="(?i)variant|malformed|size"):
+        chat.canonical(spark.range(1).select(record.alias("record"))).select("turns").collect()
+
+
+def two_halves(size):
+    from pyspark.sql import functions as F
+
+    return F.concat(F.lit('{"prompt": "'), F.repeat(F.lit("a"), size // 2), F.lit('", "completion": "'), F.repeat(F.lit("a"), size // 2), F.lit('"}'))
+
+
 def test_layouts(spark):
     records = [
         '{"prompt": "p", "completion": "c"}', '{"question": "p", "answer": "c"}', '{"instruction": "p", "input": "", "output": "c"}',
