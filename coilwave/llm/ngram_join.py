@@ -5,8 +5,9 @@ rows can link only if it shares one of the first columns of both, in an order th
 columns are first follows from the size. So (1) columns are counted over all documents, (2) each row's first columns
 are dealt to the tasks by column, where rows that meet form lists, (3) pairs from the lists that pass the bounds on
 size and place are multiplied out over the whole rows, in blocks of columns, and dropped as soon as the overlap
-counted so far and what is left cannot reach the bound. Pairs inside one component need no product: of long lists
-only a pair a row is tried first, and then only pairs between components that are still apart.
+counted so far and what is left cannot reach the bound. Pairs inside one component need no product to find the
+component: of long lists only a pair a row is tried first, and then only pairs between components that are still
+apart. (4) For the links themselves, all rows of a component are multiplied out with each other, in blocks of rows.
 """
 
 from __future__ import annotations
@@ -407,6 +408,78 @@ def _cross_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     return dealt.repartition("gram", "block", "other").sortWithinPartitions("gram", "block", "other").mapInArrow(_apart(percent), "a long, b long").distinct()
 
 
+def _in_blocks(percent: int, as_pairs: bool) -> Callable[[Batches], Batches]:
+    """Links between two blocks of a component's rows (side 0 and 1; or in one block, with side 0 alone), from entries (label,
+    block, other, side, row, copies, grams) sorted by block: pairs (a, b), or (row, links), where links counts copies."""
+
+    def product(held: list[tuple]) -> pa.RecordBatch:
+        side, row, copies = (np.array([x[i] for x in held], np.int64) for i in range(3))
+        sets = [np.frombuffer(x[3], np.uint64) for x in held]
+        n = np.array([len(x) for x in sets])
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        alone = not len(y)
+        y = x if alone else y
+        _, column, met = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(n)), n)
+        # columns that one row has alone are shared by none
+        number = np.cumsum(met > 1) - 1
+        keep = met[column] > 1
+        of, column = of[keep], number[column[keep]]
+        order = np.argsort(column, kind="stable")
+        of, column = of[order], column[order]
+        shared = np.zeros((len(x), len(y)), np.float32)
+        width = int(number[-1]) + 1
+        for low in range(0, width, COLUMNS_AT_ONCE):
+            a, b = np.searchsorted(column, (low, low + COLUMNS_AT_ONCE))
+            part = np.zeros((len(n), min(COLUMNS_AT_ONCE, width - low)), np.float32)
+            part[of[a:b], column[a:b] - low] = 1
+            shared += part[x] @ part[y].T
+        linked = shared >= least_overlap(n[x][:, None], n[y][None], percent)
+        if as_pairs:
+            i, j = np.nonzero(np.triu(linked, 1) if alone else linked)
+            pair = np.sort(np.stack([row[x][i], row[y][j]], axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=PAIR)
+        if alone:
+            np.fill_diagonal(linked, False)
+            ends = [(row[x], linked @ copies[x])]
+        else:
+            ends = [(row[x], linked @ copies[y]), (row[y], linked.T @ copies[x])]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[i] for e in ends])) for i in (0, 1)], names=["row", "links"])
+
+    def run(batches: Batches) -> Batches:
+        last, held = None, []
+        for batch in batches:
+            place = zip(*(batch.column(c).to_pylist() for c in ("label", "block", "other")), strict=True)
+            own = zip(*(batch.column(c).to_pylist() for c in ("side", "row", "copies", "grams")), strict=True)
+            for at, entry in zip(place, own, strict=True):
+                if at != last and held:
+                    yield product(held)
+                    held = []
+                last = at
+                held.append(entry)
+        if held:
+            yield product(held)
+
+    return run
+
+
+#: Columns that are dense at a time in a product of two blocks.
+COLUMNS_AT_ONCE = 4096
+
+
+def _links_within(of_row: DataFrame, sets: DataFrame, percent: int, as_pairs: bool) -> DataFrame:
+    """All links between rows: they lie within components, so each pair of rows of a component is multiplied out once, in blocks.
+    of_row: (row, label, copies)."""
+    sizes = of_row.groupBy("label").agg(F.count("*").alias("m")).where("m > 1")
+    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    members = of_row.join(sizes, "label").join(sets.select("row", "grams").dropDuplicates(["row"]), "row").withColumn("own", F.pmod(F.xxhash64("row"), blocks).cast("int"))
+    # block i meets every block j >= i, as side 0, and every block below i as side 1
+    met = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("own", j).alias("block"), F.greatest("own", j).alias("other"), (F.col("own") > j).cast("int").alias("side")))
+    dealt = members.select("label", "row", "copies", "grams", F.explode(met).alias("met")).select("label", "met.*", "row", "copies", "grams")
+    both = dealt.repartition("label", "block", "other").sortWithinPartitions("label", "block", "other")
+    return both.mapInArrow(_in_blocks(percent, as_pairs), "a long, b long" if as_pairs else "row long, links long")
+
+
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row.
 
@@ -418,7 +491,27 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     Sets are compared by 64-bit hashes of their shingles. No partner is capped: what the first pairs leave in different
     components is compared with all of the list that is within bounds."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    documents, of_row, _ = _rows(docs, width, percent)
+    return _answer(docs, documents, of_row)
+
+
+def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """link(), and n_links: with how many other documents (rows) each document links. Copies link; a document without shingles has none."""
+    documents, of_row, sets = _rows(docs, width, percent)
+    of_row = written(of_row, "rows")
+    links = _links_within(of_row, sets, percent, as_pairs=False).groupBy("row").agg(F.sum("links").alias("links"))
+    return _answer(docs, documents, of_row.join(links, "row", "left"))
+
+
+def linked_pairs(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row): each document's class of equal sets (null: no shingles); and (a, b): all pairs of classes that link."""
+    documents, of_row, sets = _rows(docs, width, percent)
+    own = F.when(F.col("key") < NULL_KEYS, F.col("key")).cast(docs.schema["doc_id"].dataType)
+    return documents.select(own.alias("doc_id"), "row"), _links_within(of_row, sets, percent, as_pairs=True)
+
+
+def _rows(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (key, row, n), rows with their components (row, key, copies, label), and the sets of all rows that may link."""
     source = keyed(docs)
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(column_levels(docs, width))
@@ -438,12 +531,19 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     if not more.isEmpty():
         links = written(_multiplied(more, sets, percent).unionByName(labels.select(F.col("row").alias("a"), F.col("label").alias("b"))), "links")
         labels = components(links, "a", "b").select(F.col("node").alias("row"), "label")
-    of_row = documents.where("row is not null").groupBy("row").agg(F.min("key").alias("key")).join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    of_row = documents.where("row is not null").groupBy("row").agg(F.min("key").alias("key"), F.count("*").alias("copies")).join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    return documents, of_row, sets
+
+
+def _answer(docs: DataFrame, documents: DataFrame, of_row: DataFrame) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
     smallest = of_row.groupBy("label").agg(F.min("key").alias("least"))
-    least = of_row.join(smallest, "label").select("row", "least")
+    counted = ["links"] if "links" in of_row.columns else []
+    least = of_row.join(smallest, "label").select("row", "least", "copies", *counted)
     joined = documents.join(least, "row", "left").withColumn("least", F.coalesce("least", "key"))
     own = lambda c: F.when(F.col(c) < NULL_KEYS, F.col(c)).cast(kind)
-    return joined.select(own("key").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), own("least").alias("component_id"))
+    n_links = [F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links")] if counted else []
+    return joined.select(own("key").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), own("least").alias("component_id"), *n_links)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

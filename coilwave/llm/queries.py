@@ -26,7 +26,7 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.link(_table(spark, folder, "documents"), width=5, percent=80)
+    return ngram_join.linked(_table(spark, folder, "documents"), width=5, percent=80)
 
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]

@@ -101,6 +101,30 @@ def test_jaccard_in_small_blocks_and_split_columns(hard, monkeypatch):
     assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard_components(pairs(hard), 1, 30))
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_all_links_are_counted(spark, monkeypatch, block):
+    import random
+
+    for name, value in (("BLOCK_ROWS", block), ("COLUMNS_AT_ONCE", 50)):
+        monkeypatch.setattr(ngram_join, name, value)
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(80)]
+    # near copies of one text, not all of which link with each other; each up to three times
+    texts = [" ".join("x" if r.random() < 0.01 * (i % 4) else w for w in words) for i in range(40)]
+    texts = [None, "", *texts, *texts[::3], *texts[::6], "some other text of its own that is not near", "ab", "ab"]
+    sets = [brute.BLANK.findall(t or "") for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in sets]
+    near = [[i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = ngram_join.linked(docs)
+    assert {x.doc_id: x.n_links for x in got.collect()} == {i: sum(own) for i, own in enumerate(near)}
+    assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard_components(list(enumerate(texts))))
+    of, links = ngram_join.linked_pairs(docs)
+    row = {x.doc_id: x.row for x in of.collect()}
+    found = [(x.a, x.b) for x in links.collect()]
+    assert len(found) == len(set(found)) and set(found) == {(row[i], row[j]) for i, own in enumerate(near) for j, hit in enumerate(own) if hit and row[i] < row[j]}
+
+
 def test_odd_rows(odd):
     assert substring_dedup.remove_repeats(odd).count() == suffix_dedup.remove_repeats(odd).count() == 6
     got = ngram_join.link(odd).collect()
