@@ -364,13 +364,14 @@ def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def covered(runs: pa.Array, first: np.ndarray, width: int) -> np.ndarray:
-    """True for each unit of a chunk that a repeated window covers. runs: array<struct<start, n>> of each text."""
+    """True for each unit of a chunk that a repeated window covers. runs: array<struct<start, n>> of each text. Rows of one key
+    share their runs: what lies beyond a shorter text counts nowhere."""
     lengths = runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     which = np.repeat(np.arange(len(lengths)), lengths)
     flat = runs.flatten()
     start = first[which] + flat.field("start").to_numpy(zero_copy_only=False)
     end = start + flat.field("n").to_numpy(zero_copy_only=False) + width - 1
     depth = np.zeros(int(first[-1]) + 1, np.int32)
-    np.add.at(depth, start, 1)
+    np.add.at(depth, np.minimum(start, first[which + 1]), 1)
     np.add.at(depth, np.minimum(end, first[which + 1]), -1)
     return np.cumsum(depth[:-1]) > 0

@@ -133,6 +133,19 @@ def test_odd_rows(odd):
     assert kept.columns == odd.columns
 
 
+def test_runs_beyond_a_shorter_row_of_their_key():
+    import numpy as np
+    import pyarrow as pa
+
+    from coilwave.llm.windows import covered
+
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
+    run = {"start": 8, "n": 2}
+    # texts of 4, 5 and 3 units; the first and the last have a run of a longer row
+    runs = pa.array([[run], [{"start": 1, "n": 1}], [run]], kind)
+    assert np.flatnonzero(covered(runs, np.array([0, 4, 9, 12]), 3)).tolist() == [5, 6, 7]
+
+
 def test_empty_tables(empty):
     for got in (substring_dedup.remove_repeats(empty), suffix_dedup.remove_repeats(empty), ngram_join.link(empty), ngram_join.one_of_each(empty)):
         assert got.count() == 0
