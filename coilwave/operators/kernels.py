@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coilwave.llm.shared import written
 from coilwave.operators import spectral as X
+from coilwave.tables import written
 
 
 def per_series(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
