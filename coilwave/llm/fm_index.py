@@ -7,16 +7,19 @@ import numpy as np
 U = np.uint64
 
 
-def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first `depth` symbols, and the rank of each position's class (equal prefixes share it).
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes sorted by their first `depth` symbols (equal ones by place), each row's class of equal prefixes, and how many symbols
+    each row shares with the one before (`depth` at most; 0 for the first row, and one more entry of 0).
 
-    Classes of length k are doubled until `depth` is reached; the last step overlaps."""
+    Classes of length k are doubled until `depth` is reached; the last step overlaps. What two rows share is put together
+    from the classes of all lengths, longest first."""
     n = len(text)
     bits = U(max(1, int(n).bit_length()))
     rank = text.astype(np.uint64)
     where = np.arange(n, dtype=np.uint64)
     low = (U(1) << bits) - U(1)
     order = where.astype(np.int64)
+    of_length: dict[int, np.ndarray] = {}
     k = 0
     while k < depth:
         step = 0 if not k else min(k, depth - k)
@@ -35,7 +38,17 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         rank = np.empty(n, np.uint64)
         rank[order] = new
         k = k + step if k else 1
-    return order, rank.astype(np.int64)
+        of_length[k] = rank.astype(np.int32)
+    shared = np.zeros(n + 1, np.int64)
+    a, b = order[:-1], order[1:]
+    for k in sorted(of_length, reverse=True):
+        # beyond the end of the text nothing is shared
+        i, j = a + shared[1:n], b + shared[1:n]
+        fits = np.maximum(i, j) + k <= n
+        same = np.zeros(len(a), bool)
+        same[fits] = of_length[k][i[fits]] == of_length[k][j[fits]]
+        shared[1:n] += np.where(same & (shared[1:n] + k <= depth), k, 0)
+    return order, rank[order].astype(np.int64), shared
 
 
 class WaveletMatrix:
@@ -74,45 +87,68 @@ class WaveletMatrix:
 class FMIndex:
     """Backward search over `text` (symbols from 0 on; 0 ends a document), exact for patterns of up to `depth` symbols.
 
-    Suffixes are sorted by their first `depth` symbols, which is as much as such searches look at."""
+    Suffixes are sorted by their first `depth` symbols, which is as much as such searches look at. An interval [lo, hi) of
+    rows stands for all places where a pattern occurs."""
 
     def __init__(self, text: np.ndarray, sigma: int, depth: int) -> None:
-        self.depth, self.n = depth, len(text)
-        order, _rank = suffix_order(text, depth)
+        self.depth, self.n, self.sigma = depth, len(text), sigma
+        order, of_row, self.shared = suffix_order(text, depth)
         self.bwt = WaveletMatrix(text[order - 1], sigma)
         self.before = np.zeros(sigma + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=sigma), out=self.before[1:])
-        #: A suffix's class: the suffixes that share its first `depth` symbols; its first row, last row and earliest place in the text.
-        of_row = _rank[order]
-        head = np.flatnonzero(np.diff(of_row, prepend=-1))
+        #: The class of a row: the rows that share its first `depth` symbols; and a class's earliest place in the text.
         self.class_of_row = of_row
-        self.low, self.high = head, np.append(head[1:], self.n)
+        head = np.flatnonzero(np.diff(of_row, prepend=-1))
         self.earliest = np.minimum.reduceat(order, head) if self.n else head
+        # for each row the nearest rows above and below that share less with the one before them
+        row = np.arange(self.n + 1)
+        self.above, self.below = np.zeros(self.n + 1, np.int64), np.full(self.n + 1, self.n)
+        for d in range(1, depth + 1):
+            own = self.shared == d
+            less = self.shared < d
+            self.above[own] = np.maximum.accumulate(np.where(less, row, 0))[own]
+            self.below[own] = np.minimum.accumulate(np.where(less, row, self.n)[::-1])[::-1][own]
 
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One step of backward search: rows whose suffixes start with c and then what [lo, hi) starts with."""
-        return self.before[c] + self.bwt.rank(c, lo), self.before[c] + self.bwt.rank(c, hi)
+        """One step of backward search: rows whose suffixes start with c and then what [lo, hi) starts with. Symbols of no row give empty intervals."""
+        known = c < self.sigma
+        c = np.where(known, c, 0)
+        return np.where(known, self.before[c] + self.bwt.rank(c, lo), 0), np.where(known, self.before[c] + self.bwt.rank(c, hi), 0)
 
-    def widen(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows that share the first `depth` symbols of a row: what is left when a longer match loses its end."""
-        k = self.class_of_row[row]
-        return self.low[k], self.high[k]
+    def shrink(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next wider intervals, and the length of the prefix that all their rows share: what is left when a match loses its end."""
+        up, down = self.shared[lo], self.shared[hi]
+        left = np.maximum(up, down)
+        return np.where(left == 0, 0, np.where(up == left, self.above[lo], lo)), np.where(left == 0, self.n, np.where(down == left, self.below[hi], hi)), left
 
 
-def matching_statistics(index: FMIndex, text: np.ndarray, end: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Streams documents (text[end - length : end] each, all at once) backwards through an index that holds them.
+def matching_statistics(index: FMIndex, text: np.ndarray, end: np.ndarray, length: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Streams documents (text[end - length : end] each, all at once) backwards through an index.
 
-    Returns for each place of `text` how many symbols from there on, `depth` at most, match inside the index
-    (a document matches itself at least), and the first row of the matching suffixes."""
+    Returns for each place of `text` the longest match from there on within its document, `depth` symbols at most, that at least
+    `least` places of the index have, and the first row of their interval. An interval that a further symbol leaves with
+    fewer rows loses symbols at the end of its match until it has enough."""
     match, row = np.zeros(len(text), np.int32), np.zeros(len(text), np.int64)
     lane = np.argsort(-length, kind="stable")
     end, length = end[lane], length[lane]
-    lo, hi = np.zeros(len(end), np.int64), np.full(len(end), index.n)
+    lo, hi, size = np.zeros(len(end), np.int64), np.full(len(end), index.n), np.zeros(len(end), np.int64)
     for k in range(1, int(length.max(initial=0)) + 1):
         live = int(np.searchsorted(-length, -k, "right"))
-        lo, hi, at = lo[:live], hi[:live], end[:live] - k
-        lo, hi = index.extend(text[at], lo, hi)
-        if k > index.depth:
-            lo, hi = index.widen(lo)
-        match[at], row[at] = min(k, index.depth), lo
+        lo, hi, size, at = lo[:live], hi[:live], size[:live], end[:live] - k
+        # a match of full length makes room for the symbol in front; other rows may share what is left of it
+        full = np.flatnonzero(size == index.depth)
+        wide = index.shrink(lo[full], hi[full])
+        other = full[wide[2] == index.depth - 1]
+        lo[other], hi[other] = wide[0][wide[2] == index.depth - 1], wide[1][wide[2] == index.depth - 1]
+        size[full] = index.depth - 1
+        todo = np.arange(live)
+        while len(todo):
+            a, b = index.extend(text[at[todo]], lo[todo], hi[todo])
+            ok = b - a >= least
+            done = todo[ok]
+            lo[done], hi[done] = a[ok], b[ok]
+            size[done] += 1
+            todo = todo[~ok & (size[todo] > 0)]
+            lo[todo], hi[todo], size[todo] = index.shrink(lo[todo], hi[todo])
+        match[at], row[at] = size, lo
     return match, row

@@ -2,36 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Keys of rows without a doc_id start here, so they come after all others.
-NULL_KEYS = 1 << 62
+from coilwave.tables import shared_dir, written
 
+__all__ = ["NULL_KEYS", "keyed", "shared_dir", "written"]
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(key long, doc_id, text): key is the doc_id. A row without doc_id gets a key above 2**62 from
-    its text, so it comes last and rows without doc_id and of equal text share a key. Rows of one
-    key count as one document wherever an order of documents matters."""
-    own = F.lit(NULL_KEYS) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("key"), "doc_id", "text")
+#: Keys of rows without a doc_id start here, so they come after all others; doc_ids are integers below it.
+NULL_KEYS = (1 << 63) - (1 << 32)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="coilwave-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key long, doc_id, text): key is the doc_id, an integer below NULL_KEYS. A row without doc_id gets a key from there
+    on, from its text, so it comes last."""
+    own = F.lit(NULL_KEYS) + F.xxhash64("text").bitwiseAND(F.lit((1 << 32) - 1))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("key"), "doc_id", "text")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage ends there, so later work
-    survives lost executors without computing df again."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def twinned(docs: DataFrame) -> DataFrame:
+    """keyed(), and twin: (key, twin) names a document. Where no key comes twice, twin is 0; else it is a hash of the text, so
+    rows of one doc_id and different texts are documents of their own, in the order of their hashes. Only rows equal in
+    both share a name."""
+    own = keyed(docs)
+    alone = own.groupBy("key").count().where("count > 1").isEmpty()
+    return own.withColumn("twin", F.lit(0).cast("long") if alone else F.xxhash64("text"))

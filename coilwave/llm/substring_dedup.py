@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from . import bytetext as B
 from .fm_index import FMIndex, matching_statistics
-from .shared import keyed
+from .shared import twinned
 from .windows import RUN, Batches, Spec, covered, repeated_runs, with_runs
 
 #: Words of one FM-index.
@@ -20,9 +20,11 @@ SHARD_WORDS = 600_000
 
 
 def _index(pieces: list[tuple], spec: Spec) -> Batches:
-    """Builds the FM-index of a shard's pieces, in document order, and streams the same pieces through it. A window
-    is a repeat if its match reaches the width and the matching suffixes begin earlier somewhere."""
-    pieces.sort(key=lambda p: (p[1], p[2]))
+    """Builds the FM-index of a shard's pieces, in document order, and streams the pieces through it. Matching statistics count
+    what at least two places of the index have; a window is a repeat if its match reaches the width and the matching
+    suffixes begin earlier somewhere."""
+    # rows equal in doc_id and text send equal pieces: they are one document
+    pieces = sorted({p[1:] for p in pieces})
     ids: dict[bytes, int] = defaultdict(count(1).__next__)
     split = [p[4].split() for p in pieces]
     length = np.array([len(w) for w in split])
@@ -30,21 +32,24 @@ def _index(pieces: list[tuple], spec: Spec) -> Batches:
     text = np.zeros(int(end[-1]) + 1, np.int64)
     text[B.spread(end - length, length)] = [ids[w] for ws in split for w in ws]
     index = FMIndex(text, len(ids) + 1, spec.width)
-    match, row = matching_statistics(index, text, end, length)
+    match, row = matching_statistics(index, text, end, length, least=2)
     first = index.earliest[index.class_of_row[row]]
     repeat = (match >= spec.width) & (first < np.arange(len(text)))
     edge = np.flatnonzero(np.diff(repeat.astype(np.int8), prepend=0, append=0))
     lo, hi = edge[::2], edge[1::2]
     piece = np.searchsorted(end, lo)
-    key, start = (np.array([p[i] for p in pieces], np.int64) for i in (1, 2))
-    place = start[piece] + lo - (end - length)[piece]
-    yield pa.RecordBatch.from_arrays([pa.array(key[piece]), pa.array(place.astype(np.int32)), pa.array((hi - lo).astype(np.int32))], schema=RUN)
+    key, twin, start = (np.array([p[i] for p in pieces], np.int64)[piece] for i in range(3))
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((key, twin, start + lo - (end - length)[piece], hi - lo), RUN, strict=True)], schema=RUN)
 
 
 def repeated_passages(docs: DataFrame, width: int = 20) -> DataFrame:
-    """(key, start, n): windows of `width` words that also start earlier. See remove_repeats."""
+    """(key, twin, start, n): windows of `width` words that also start earlier. See remove_repeats."""
+    return _repeats(twinned(docs), width)
+
+
+def _repeats(named: DataFrame, width: int) -> DataFrame:
     spec = Spec("word", width, max(1, width * 3 // 10), first_stays=True)
-    return repeated_runs(keyed(docs).select("key", "text"), spec, _index, SHARD_WORDS)
+    return repeated_runs(named.select("key", "twin", "text"), spec, _index, SHARD_WORDS)
 
 
 def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
@@ -52,9 +57,9 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     words covers whose words also start earlier (in a smaller doc_id, or earlier in the same document).
 
     Words are [^\\x20\\x09-\\x0D]+; windows are judged on the input. A null or empty text has no words and an empty
-    kept_text. A null doc_id comes after all others. Rows of one doc_id count as one document: a repeated row is no
-    earlier copy of itself, and where their texts differ, each loses the places that are repeats in any of them.
-    Other columns are ignored, whatever their names."""
+    kept_text. A null doc_id comes after all others. Rows of one doc_id (or of none) and different texts are documents of
+    their own, in the order of a hash of the text; rows equal in both are one document, so none is an earlier copy of the
+    other and both lose the same words. Other columns are ignored, whatever their names."""
 
     def cut(batches: Batches) -> Batches:
         for batch in batches:
@@ -73,6 +78,7 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
                     ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
                 )
 
-    kept = with_runs(keyed(docs), repeated_passages(docs, width))
+    named = twinned(docs)
+    kept = with_runs(named, _repeats(named, width))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept_text string"
     return kept.select("doc_id", "text", "runs").mapInArrow(cut, schema)

@@ -50,7 +50,7 @@ def test_groups_at_the_edges_of_a_passage_are_not_one_route(spark, monkeypatch):
     import pyarrow as pa
 
     from coilwave.llm import windows
-    from coilwave.llm.shared import keyed
+    from coilwave.llm.shared import twinned
 
     r = random.Random(9)
     own = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
@@ -62,10 +62,10 @@ def test_groups_at_the_edges_of_a_passage_are_not_one_route(spark, monkeypatch):
 
     def rows_a_route(pieces, spec):
         route, n = np.unique([p[0] for p in pieces], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(n.astype(np.int32)), pa.array(np.full(len(n), -1, np.int32))], schema=windows.RUN)
+        yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(route), pa.array(n.astype(np.int32)), pa.array(np.full(len(n), -1, np.int32))], schema=windows.RUN)
 
-    found = windows.repeated_runs(keyed(docs).select("key", "text"), spec, rows_a_route, 1).where("n = -1")
-    assert max(row.start for row in found.collect()) <= spec.crowd
+    found = windows.repeated_runs(twinned(docs).select("key", "twin", "text"), spec, rows_a_route, 1).where("n = -1")
+    assert max((row.start for row in found.collect()), default=0) <= spec.crowd
     monkeypatch.setattr(suffix_dedup, "Spec", lambda *a, **b: spec)
     got = suffix_dedup.remove_repeats(docs, width=400)
     assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.repeated_strings(list(enumerate(texts)), 400))
