@@ -18,17 +18,16 @@ def sha(text):
 
 
 def repeated_passages(rows, width=20):
-    """op1 for rows of distinct doc_ids."""
-    words = {k: BLANK.findall(t or "") for k, t in rows}
-    seen, out = set(), []
-    for k in sorted(words):
-        ws, gone = words[k], set()
+    """op1. Rows equal in doc_id and text are one document; other rows of one doc_id come in any order, so texts of one doc_id must not share windows."""
+    seen, out = {}, []
+    for k, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        ws, gone = BLANK.findall(t or ""), set()
         for i in range(len(ws) - width + 1):
             w = tuple(ws[i : i + width])
             if w in seen:
                 gone.update(range(i, i + width))
-            seen.add(w)
-        out.append((k, len(ws), len(gone), sha(" ".join(w for i, w in enumerate(ws) if i not in gone))))
+            seen.setdefault(w, k)
+        out += [(k, len(ws), len(gone), sha(" ".join(w for i, w in enumerate(ws) if i not in gone)))] * list(rows).count((k, t))
     return out
 
 

@@ -133,6 +133,70 @@ def test_odd_rows(odd):
     assert kept.columns == odd.columns
 
 
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_several_texts_of_one_doc_id(spark, partitions):
+    import random
+
+    r = random.Random(4)
+    own = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(6)) for _ in range(n))
+    p, q, z, u = own(40), own(200), own(30), own(80)
+    texts = [(1, p), (7, q + " " + p), (7, "short"), (7, None), (9, z + " " + p + " " + own(5)), (9, u), (9, u), (None, u), (None, own(60)), (12, own(30) + " " + u), (12, "short")]
+    key = lambda x: (x[0] is None, x)
+    for rows_in in (texts, texts[::-1]):
+        docs = spark.createDataFrame(rows_in, "doc_id long, text string").repartition(partitions)
+        got = substring_dedup.remove_repeats(docs, width=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+        assert sorted((tuple(x) for x in got.collect()), key=key) == sorted(brute.repeated_passages(texts), key=key)
+        got = suffix_dedup.remove_repeats(docs, width=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert sorted((tuple(x) for x in got.collect()), key=key) == sorted(brute.repeated_strings(texts, 100), key=key)
+
+
+def test_matching_statistics_of_a_foreign_text():
+    import numpy as np
+
+    from coilwave.llm.fm_index import FMIndex, matching_statistics
+
+    r = np.random.default_rng(6)
+    for depth, sigma, least in ((5, 3, 1), (5, 3, 3), (20, 4, 2), (3, 30, 1)):
+        held = np.append(r.integers(1, sigma, 400), 0)
+        held[100] = held[250] = 0
+        text = r.integers(1, sigma + 3, 300)  # some symbols are not in the index
+        text[40:80] = held[20:60]
+        end, length = np.array([120, 121, 300]), np.array([120, 1, 179])
+        match, row = matching_statistics(FMIndex(held, sigma, depth), text, end, length, least)
+        places = lambda x: sum(np.array_equal(held[j : j + len(x)], x) for j in range(len(held)))
+        stop = np.repeat(end, length)
+        for i in range(300):
+            m = match[i]
+            assert m == 0 or places(text[i : i + m]) >= least
+            assert m == min(depth, stop[i] - i) or places(text[i : i + m + 1]) < least
+
+
+@pytest.mark.parametrize("letters,width", [(2, 20), (2, 33), (26, 8), (1, 30), (3, 7)])
+def test_repeated_places(letters, width):
+    import numpy as np
+
+    from collections import Counter
+
+    r = np.random.default_rng(letters + width)
+    pieces = [bytes(r.integers(0, letters, int(n), dtype=np.uint8)) for n in r.integers(0, 150, 30)]
+    pieces += [pieces[3] + b"q" * 40, pieces[4][5:], b"q" * 60, b"", pieces[5] + pieces[6], b"\0" * 50]
+    n = Counter(p[i : i + width] for p in pieces for i in range(len(p) - width + 1))
+    got = suffix_dedup.repeated_places(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces]), width)
+    assert got.tolist() == [i + width <= len(p) and n[p[i : i + width]] > 1 for p in pieces for i in range(len(p))]
+
+
+def test_a_hot_cell_covers_its_anchors(spark):
+    import numpy as np
+
+    from coilwave.llm.windows import hot_anchors
+
+    fps = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 500)
+    hot = hot_anchors(spark.createDataFrame([(int(x),) for x in fps], "fp long"), 500)
+    others = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 20_000)
+    assert hot(fps.view(np.uint64)).all() and hot(others.view(np.uint64)).mean() < 0.15
+    assert hot_anchors(spark.createDataFrame([], "fp long"), 500) is None
+
+
 def test_runs_beyond_a_shorter_row_of_their_key():
     import numpy as np
     import pyarrow as pa
