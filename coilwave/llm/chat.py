@@ -14,13 +14,15 @@ def _turn(role: str, path: str) -> str:
     return f"named_struct('role', '{role}', 'text', coalesce(try_variant_get(v, '{path}', 'string'), ''))"
 
 
-def _list(path: str, role: str, text: str) -> str:
+def _list(path: str, role: str, text: str, names: dict[str, str]) -> str:
     read = f"try_variant_get(v, '{path}', 'array<struct<{role}:string,{text}:string>>')"
-    name = f"CASE m.{role} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE coalesce(m.{role}, '') END"
+    name = f"coalesce(m.{role}, '')"
+    for k, v in names.items():
+        name = f"CASE WHEN m.{role} = '{k}' THEN '{v}' ELSE {name} END"
     return f"transform({read}, m -> named_struct('role', {name}, 'text', coalesce(m.{text}, '')))"
 
 
-#: Layouts: the field paths of a record (sorted leaves, [] for lists), and its canonical turns in SQL over the variant v.
+#: Layouts (roles of messages stay as they are; conversations[].from has names of its own for two of them): the field paths of a record (sorted leaves, [] for lists), and its canonical turns in SQL over the variant v.
 LAYOUTS = {
     "completion,prompt": f"array({_turn('user', '$.prompt')}, {_turn('assistant', '$.completion')})",
     "prompt,response": f"array({_turn('user', '$.prompt')}, {_turn('assistant', '$.response')})",
@@ -31,8 +33,8 @@ LAYOUTS = {
         "array(named_struct('role', 'user', 'text', concat_ws('\\n\\n', try_variant_get(v, '$.instruction', 'string'), "
         f"nullif(try_variant_get(v, '$.input', 'string'), ''))), {_turn('assistant', '$.output')})"
     ),
-    "messages[].content,messages[].role": _list("$.messages", "role", "content"),
-    "conversations[].from,conversations[].value": _list("$.conversations", "from", "value"),
+    "messages[].content,messages[].role": _list("$.messages", "role", "content", {}),
+    "conversations[].from,conversations[].value": _list("$.conversations", "from", "value", {"human": "user", "gpt": "assistant"}),
 }
 
 

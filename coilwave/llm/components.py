@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from .shared import written
 
 
-def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): the smallest node of each node's component, for all nodes that have a link (a, b are longs).
 
     Each round joins every node's larger neighbours, then its smaller ones, to the smallest of all; this ends when all
     nodes point at their component's smallest, after about log(size) rounds. Every round is written to the shared folder."""
     now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
-    for _ in range(most_rounds):
+    while True:
         ends = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = ends.groupBy("u").agg(F.min("v").alias("least"), F.max("v").alias("most"))
         # Done when every node is the smallest of its neighbours, or has one only, a smaller one.

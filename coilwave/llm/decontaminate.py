@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,17 @@ class WuManber:
                     yield s, found
 
 
+class _Items:
+    """A pass's items; a worker builds their tables once, for all its tasks."""
+
+    def __init__(self, items: list[tuple[str, str | None]], width: int) -> None:
+        self.items, self.width = items, width
+
+    @cached_property
+    def searches(self) -> list[WuManber]:
+        return _windows([(i, _normal(t)) for i, t in self.items], self.width)
+
+
 def _windows(items: list[tuple[str, bytes]], width: int) -> list[WuManber]:
     """One search for each window length that occurs: `width`, and the lengths of shorter items."""
     by_length: dict[int, dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
@@ -93,11 +105,10 @@ def _normal(text: str | None) -> bytes:
 
 def _pass(docs: DataFrame, items: list[tuple[str, str | None]], width: int) -> DataFrame:
     """(doc_id, text, n_words, spans, items): spans are places [first, last] of hit words, items the ids with occurring windows."""
-    held = docs.sparkSession.sparkContext.broadcast(items)
+    held = docs.sparkSession.sparkContext.broadcast(_Items(items, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = [i for i, _ in held.value]
-        searches = _windows([(i, _normal(t)) for i, t in held.value], width)
+        ids, searches = [i for i, _ in held.value.items], held.value.searches
         for batch in batches:
             for part, data, at in B.chunks(batch):
                 data = B.LOWER[data]

@@ -103,8 +103,9 @@ def mix(docs: DataFrame, *carried: str, weights: tuple[int, ...] = WEIGHTS, shar
     Words are [^\\x20\\x09-\\x0D]+ (a null or empty text has none, and is taken as often as its source is taken whole). Sources stand
     in code point order, null last, and weigh `weights`, repeating; they share `share` of all words, see targets(). Every row
     is taken as often as the target holds its whole source; what is left of the target is a subset of rows whose words fill
-    it, exactly if possible: fill() says how many of each length, a seeded hash of doc_id and text which. Rows equal in
-    both share one fate. No row is taken more than `most` times. Reruns agree. An empty table gives no rows.
+    it, exactly if possible: fill() says how many of each length, a seeded hash of doc_id and text which. Of rows equal in
+    both, as many as are wanted are taken, whichever they are. No row is taken more than `most` times. Reruns agree. An
+    empty table gives no rows.
 
     Of each source, only sums come to the driver; its histogram has a row for each length that occurs, not for each document."""
     spark = docs.sparkSession
@@ -123,7 +124,8 @@ def mix(docs: DataFrame, *carried: str, weights: tuple[int, ...] = WEIGHTS, shar
     histogram = histogram.join(F.broadcast(by_source.select("source_key", "budget")), "source_key")
     filled = written(histogram.groupBy("source_key").applyInPandas(_fill_source, "source_key string, size long, n long, n_take long"), "filled")
 
-    # Of a length taken in part, the rows of least hash are taken. Ranges of hashes are counted, and only the range that the last row falls in is ranked.
+    # Of a length taken in part, the rows of least hash are taken. Ranges of hashes are counted, and only the hashes of the range
+    # that the last row falls in are ranked; equal hashes are one, with its number of rows.
     keys = ["source_key", "size"]
     parts = F.ceil(F.col("n") / RANKED)
     part = F.least(F.floor((F.col("order").cast("double") / 2.0**64 + 0.5) * parts), parts - 1)
@@ -131,14 +133,23 @@ def mix(docs: DataFrame, *carried: str, weights: tuple[int, ...] = WEIGHTS, shar
     counts = ranged.groupBy(*keys, "part").agg(F.count("*").alias("c"), F.first("n_take").alias("n_take"))
     before = F.expr("sum(c) OVER (PARTITION BY source_key, size ORDER BY part) - c")
     cut = counts.withColumn("before", before).where("before < n_take and before + c >= n_take").select(*keys, "part", (F.col("n_take") - F.col("before")).alias("want"))
-    ranked = ranged.select(*keys, "part", "order").join(cut, [*keys, "part"]).withColumn("rank", F.expr("row_number() OVER (PARTITION BY source_key, size, part ORDER BY order)"))
-    last = ranked.where("rank = want").select(*keys, F.col("order").alias("last"))
-    whole_length = filled.where("n_take = n").select(*keys, F.lit((1 << 63) - 1).cast("long").alias("last"))
+    ranked = ranged.join(cut, [*keys, "part"]).groupBy(*keys, "part", "order").agg(F.count("*").alias("c"), F.first("want").alias("want"))
+    ranked = ranked.withColumn("before", F.expr("sum(c) OVER (PARTITION BY source_key, size, part ORDER BY order) - c"))
+    last = ranked.where("before < want and before + c >= want").select(*keys, F.col("order").alias("last"), F.when(F.col("before") + F.col("c") > F.col("want"), F.col("want") - F.col("before")).alias("tied"))
+    whole_length = filled.where("n_take = n").select(*keys, F.lit((1 << 63) - 1).cast("long").alias("last"), F.lit(None).cast("long").alias("tied"))
     rule = written(last.unionByName(whole_length), "rule")
 
     decided = own.join(F.broadcast(by_source.drop("budget")), "source_key").join(rule, keys, "left")
-    times = F.col("whole") + F.when(F.col("order") <= F.col("last"), 1).otherwise(0)
-    return decided.select("row", "size", "source_size", "target", times.alias("times"))
+    out = lambda df, more: df.select("row", "size", "source_size", "target", (F.col("whole") + more).alias("times"))
+    taken = F.when(F.col("order") <= F.col("last"), 1).otherwise(0)
+    if rule.where("tied is not null").isEmpty():
+        return out(decided, taken)
+    # Of these equal rows only some are taken: they are written with the partition they came in and numbered partition by partition.
+    at_last = F.coalesce(F.col("tied").isNotNull() & (F.col("order") == F.col("last")), F.lit(False))
+    equal = written(decided.where(at_last).withColumn("came", F.spark_partition_id()), "equal")
+    counts = equal.groupBy(*keys, "came").agg(F.count("*").alias("c")).withColumn("before", F.expr("sum(c) OVER (PARTITION BY source_key, size ORDER BY came) - c"))
+    numbered = equal.withColumn("k", F.expr("row_number() OVER (PARTITION BY source_key, size, came ORDER BY order)")).join(counts, [*keys, "came"])
+    return out(decided.where(~at_last), taken).unionByName(out(numbered, F.when(F.col("before") + F.col("k") <= F.col("tied"), 1).otherwise(0)))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:

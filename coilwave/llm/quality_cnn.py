@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from . import bytetext as B
 
-#: Documents that training reads at most, and the bytes of a longer training text that it splits into further examples.
-SAMPLE_DOCS = 3000
+#: Examples that training reads at most; an example is a labelled text, or a part of so many bytes of a longer one.
+SAMPLE = 3000
 SAMPLE_BYTES = 16_000
 FILTERS = 24
 WIDTH = 6
@@ -87,7 +87,7 @@ def score(net: Network, data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[bytes], label: np.ndarray, epochs: int = 8, seed: int = 7) -> Network:
-    """Adam on the logistic loss, classes weighed evenly. Small texts stand for empty ones too: 2 % of the examples are emptied."""
+    """Adam on the logistic loss, classes weighed evenly."""
     rng = np.random.default_rng(seed)
     net = Network((rng.normal(0, 0.15, (WIDTH, 256, FILTERS))).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.2, 2 * FILTERS), 0.0)
     weight = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum())) * len(label)
@@ -145,30 +145,28 @@ def _calibrated(net: Network, texts: list[bytes], label: np.ndarray, threshold:
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> tuple[list[bytes], np.ndarray]:
-    """At most `limit` labelled texts that are not held out, the same rows each time: those of least hash of the doc_id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list[bytes], np.ndarray]:
+    """At most `limit` examples from labelled texts that are not held out, the same each time: those of least hash of doc_id and
+    place. A text of over SAMPLE_BYTES gives several examples that together hold all of it, so `limit` bounds the bytes too."""
     own = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").alias("label")).where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "label", F.encode("text", "utf-8").alias("text"))
-    texts, label = [], []
-    # A long text gives several examples that together hold all of it, so no row is large.
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (r.doc_id, bytes(r.text)))[: 2 * limit]:
-        text = bytes(r.text)
-        for i in range(0, max(1, len(text)), SAMPLE_BYTES):
-            texts.append(text[i : i + SAMPLE_BYTES])
-            label.append(int(r.label))
-    return texts, np.array(label)
+    text = docs.select("doc_id", F.encode("text", "utf-8").alias("text")).where("text is not null").join(own, "doc_id")
+    place = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / SAMPLE_BYTES)).cast("int"))
+    parts = text.select("doc_id", "label", "text", F.explode(place).alias("k"))
+    parts = parts.select("doc_id", "label", "k", F.expr(f"substring(text, k * {SAMPLE_BYTES} + 1, {SAMPLE_BYTES})").alias("part"))
+    rows = parts.orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k", "part").limit(limit).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.k, bytes(r.part)))
+    return [bytes(r.part) for r in rows], np.array([int(r.label) for r in rows])
 
 
 def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "utf-8")), F.lit(4)) == 2, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, limit: int = SAMPLE_DOCS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, limit: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted): how likely `labels.quality` is 1, from the bytes of the whole text alone.
 
     Rows with crc32(doc_id as text) mod 4 = 2 are held out: their labels are never read. The network is fitted on the
-    driver to at most `limit` labelled documents; every document is scored whole, in overlapping chunks. A null or
+    driver to at most `limit` labelled examples of SAMPLE_BYTES each (a longer text gives several); every document is scored whole, in overlapping chunks. A null or
     empty text has no chunks and gets the score of the network's offset. Repeated rows are scored alike; a null doc_id
     is not held out. Without any labels the score is 0.5 for all. Other columns are ignored."""
     docs = docs.select("doc_id", "text")
