@@ -25,7 +25,7 @@ RULES = {
     "lines": ("n_dup_lines >= 3", "false"),
     "word_length": ("word_chars > 12 * n_words or word_chars < 2 * n_words", "false"),
     "length": ("n_words < 20", "false"),
-    "sentences": ("n_stops * 200 < n_words", "n_stops * 50 >= n_words and n_words >= 50 and n_pipes * 50 <= n_words"),
+    "sentences": ("n_stops * 200 < n_words", "n_stops * 50 >= n_words and n_words >= 50 and n_symbols * 50 <= n_words"),
 }
 
 
@@ -85,28 +85,30 @@ def votes() -> F.Column:
     return F.concat(*[F.when(F.expr(bad), "b").when(F.expr(good), "g").otherwise("-") for bad, good in RULES.values()])
 
 
-def estimate(patterns: dict[str, int], rounds: int = 50) -> tuple[float, np.ndarray, dict[str, float]]:
-    """Expectation-maximisation over how often each pattern of votes occurs: the share of good documents, each rule's
-    accuracy on bad and on good documents (when it votes), and each pattern's posterior of being good.
+def estimate(patterns: dict[str, int], rounds: int = 100) -> tuple[float, np.ndarray, dict[str, float]]:
+    """Expectation-maximisation over how often each pattern of votes occurs: the share of good documents, each rule's chances to vote
+    bad, good or not at all (last axis) on bad and on good documents (first axis), and each pattern's posterior of being good.
 
-    Accuracies start at 0.9 with a prior worth ten votes at 0.8, so a rule never becomes certain, nor turns round."""
+    Not voting is an outcome like a vote, so it also tells. Chances lean on ten votes as all documents give them, and half a vote
+    of each kind; a bad vote never speaks for a document, nor a good one against it. It starts from the votes counted,
+    ten bad ones weighing as much as a hundred good ones."""
     names = sorted(patterns)
     weight = np.array([patterns[p] for p in names], float)
-    table = np.array([[{"b": 0, "g": 1, "-": 2}[x] for x in p] for p in names])
-    good, accuracy = 0.8, np.full((len(RULES), 2), 0.9)
-    posterior = np.full(len(names), good)
+    table = np.array([["bg-".index(x) for x in p] for p in names])
+    cast = (table[:, :, None] == np.arange(3)).astype(float)
+    n_bad, n_good = (table == 0).sum(1), (table == 1).sum(1)
+    posterior = (n_good + 8) / (n_good + 10 * n_bad + 10)
+    prior = 10 * np.einsum("p,pro->ro", weight, cast) / max(1.0, weight.sum()) + 0.5
+    good, chances = 0.8, np.zeros((2, len(RULES), 3))
     for _ in range(rounds):
-        odds = np.full(len(names), np.log(good / (1 - good)))
-        for r in range(len(RULES)):
-            on_bad, on_good = accuracy[r]
-            odds += np.array([np.log((1 - on_good) / on_bad), np.log(on_good / (1 - on_bad)), 0.0])[table[:, r]]
-        posterior = 1 / (1 + np.exp(-odds))
         good = float(np.clip((weight @ posterior + 8) / (weight.sum() + 10), 0.05, 0.95))
-        for r in range(len(RULES)):
-            for label, p in ((0, 1 - posterior), (1, posterior)):
-                right, voted = weight @ (p * (table[:, r] == label)), weight @ (p * (table[:, r] != 2))
-                accuracy[r, label] = np.clip((right + 8) / (voted + 10), 0.5, 0.99)
-    return good, accuracy, dict(zip(names, posterior.tolist(), strict=True))
+        for label, p in enumerate((1 - posterior, posterior)):
+            votes_cast = np.einsum("p,pro->ro", weight * p, cast) + prior
+            chances[label] = votes_cast / votes_cast.sum(axis=1, keepdims=True)
+        says = np.log(chances[1] / chances[0])
+        says[:, 0], says[:, 1] = np.minimum(says[:, 0], 0), np.maximum(says[:, 1], 0)
+        posterior = 1 / (1 + np.exp(-np.log(good / (1 - good)) - np.einsum("pro,ro->p", cast, says)))
+    return good, chances, dict(zip(names, posterior.tolist(), strict=True))
 
 
 def judge(docs: DataFrame, *carried: str) -> DataFrame:
@@ -116,13 +118,14 @@ def judge(docs: DataFrame, *carried: str) -> DataFrame:
     windows. Other documents are kept if the posterior probability of being good is at least 0.5. A null or empty text
     has no words and fails the base. Every row is judged on its own, so repeated rows and null ids do no harm.
 
-    The vote patterns (at most 3 ** rules) are counted over all documents; only these counts come to the driver."""
-    found = counted(docs, *carried).withColumn("votes", votes())
-    patterns = {r.votes: r["count"] for r in found.groupBy("votes").count().collect()}
+    The vote patterns (at most 3 ** rules) are counted over all documents; only these counts come to the driver. Documents
+    that fail the base are not judged by the rules, so chances are estimated on the others; p_good is given for all."""
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    found = counted(docs, *carried).withColumns({"votes": votes(), "base_failed": failed})
+    patterns = {r.votes: r.n for r in found.groupBy("votes").agg(F.count_if(~F.col("base_failed")).alias("n")).collect()}
     posterior = estimate(patterns)[2] if patterns else {}
     table = docs.sparkSession.createDataFrame([(k, v) for k, v in sorted(posterior.items())], "votes string, p_good double")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return found.join(F.broadcast(table), "votes", "left").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.coalesce("p_good", F.lit(0.0)) >= 0.5))
+    return found.join(F.broadcast(table), "votes", "left").withColumn("kept", ~F.col("base_failed") & (F.coalesce("p_good", F.lit(0.0)) >= 0.5))
 
 
 def filtered(docs: DataFrame) -> DataFrame:

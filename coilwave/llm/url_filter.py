@@ -46,14 +46,31 @@ def _with_prior(groups: DataFrame, mean: str) -> DataFrame:
     return groups.withColumns({"post_a": F.lit(worth) * m + F.col("x"), "post_b": F.lit(worth) * (1 - m) + F.col("n") - F.col("x")})
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
+def registered_domain(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """hosts (host, ...) with domain and suffix. A user and a port do not count. The suffix is the longest of `suffixes` (suffix: like
+    `co.uk`) that the host ends in, else the last label, and the domain one label more. A numeric address is its own
+    domain, of the suffix `""`; so is a host that is a suffix as a whole."""
+    bare = F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", "")
+    named = hosts.withColumn("_labels", F.split(bare, "[.]")).withColumn("_n", F.size("_labels"))
+    tail = lambda k: F.array_join(F.slice("_labels", F.greatest(F.col("_n") - k + 1, F.lit(1)), F.greatest(k, F.lit(1))), ".")
+    longest = F.lit(1)
+    if suffixes is not None:
+        tails = named.select("host", "_labels", "_n", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k")).select("host", "_k", tail(F.col("_k")).alias("suffix"))
+        found = tails.join(suffixes.select(F.lower("suffix").alias("suffix")).distinct(), "suffix").groupBy("host").agg(F.max("_k").alias("_k"))
+        named = named.join(found, "host", "left")
+        longest = F.coalesce("_k", F.lit(1))
+    numeric = bare.rlike("^[0-9]{1,3}([.][0-9]{1,3}){3}$|^\\[.*\\]$")
+    return named.withColumns({"domain": F.when(numeric, bare).otherwise(tail(longest + 1)), "suffix": F.when(numeric, "").otherwise(tail(longest))}).drop("_labels", "_n", "_k")
+
+
+def reputation(outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """(host, n, x, post_a, post_b, bound) from outcomes (host, bad: 1, 0, or null where unknown).
 
-    A host's Beta prior has the posterior mean of its registered domain (its last two labels), a domain's that of its
-    suffix (the last label), a suffix's that of all pages. Hosts of no known outcome rest on their prior. bound is the
-    lower posterior bound of the rate of bad pages. Outcomes are summed by host before anything else."""
+    A host's Beta prior has the posterior mean of its registered domain (see registered_domain), a domain's that of its
+    suffix, a suffix's that of all pages. Hosts of no known outcome rest on their prior. bound is the lower posterior
+    bound of the rate of bad pages. Outcomes are summed by host before anything else."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x"))
-    hosts = written(hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)}), "hosts")
+    hosts = written(registered_domain(hosts, suffixes), "hosts")
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("x").alias("x")).first()
     level = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).withColumn("mean", F.lit(((whole.x or 0) + 1) / ((whole.n or 0) + 2)))
     for of, key in ((hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x")), "suffix"), (hosts, "domain")):
@@ -64,7 +81,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     return _with_prior(level, "mean").select("host", "n", "x", "post_a", "post_b", bound.alias("bound"))
 
 
-def judge_urls(pages: DataFrame, rules: Rules, outcomes: DataFrame | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Rules, outcomes: DataFrame | None = None, suffixes: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) of each row.
 
     A rule fits its host and all subdomains if the path starts with the rule's path; the longest fitting rule decides.
@@ -72,7 +89,7 @@ def judge_urls(pages: DataFrame, rules: Rules, outcomes: DataFrame | None = None
     (url, bad) are labelled pages; by default the pages that a rule decides are (1: blocked), the only labels that
     pages have here. A null url, or one without ://, has an empty host and path; such pages are one host. Repeated rows
     and null page_ids are rows like any other. Without any outcome all hosts have the rate 0.5 and nothing is blocked.
-    Other columns are ignored."""
+    `suffixes` (suffix) lists the suffixes of several labels under which domains are registered. Other columns are ignored."""
     host, path = host_and_path(F.col("url"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     parsed = pages.select("page_id", host.alias("host"), path.alias("path")).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"))
@@ -80,5 +97,5 @@ def judge_urls(pages: DataFrame, rules: Rules, outcomes: DataFrame | None = None
         known = parsed.select("host", F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0).alias("bad"))
     else:
         known = outcomes.select(host_and_path(F.col("url"))[0].alias("host"), F.col("bad").cast("int").alias("bad")).unionByName(parsed.select("host", F.lit(None).cast("int").alias("bad")))
-    judged = parsed.join(reputation(known).select("host", "bound"), "host", "left")
+    judged = parsed.join(reputation(known, suffixes).select("host", "bound"), "host", "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("bound") > RATE, "block").otherwise("allow")).alias("verdict"))

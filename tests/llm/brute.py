@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -114,3 +115,16 @@ def rule_counts(text):
 def size_and_crc(text):
     data = (text or "").encode()
     return len(data) + 1, zlib.crc32(data)
+
+
+def targets(sizes, weights=(5, 2, 1), share=Fraction(3, 2), most=2):
+    """op2: budgets of sources in order. The common level L solves sum(min(weight * L, most * size)) = share * all; sources without words get nothing."""
+    total, caps = share * sum(sizes), [(Fraction(most * n, weights[i % len(weights)]), i) for i, n in enumerate(sizes) if n]
+    level, full = Fraction(0), Fraction(0)
+    for at, (cap, _) in enumerate(sorted(caps)):
+        open_weight = sum(weights[i % len(weights)] for _, i in sorted(caps)[at:])
+        level = (total - full) / open_weight
+        if level <= cap:
+            break
+        full, level = full + most * sizes[sorted(caps)[at][1]], cap
+    return [min(weights[i % len(weights)] * level, Fraction(most * n)) if n else Fraction(0) for i, n in enumerate(sizes)]

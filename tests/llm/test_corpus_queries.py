@@ -91,6 +91,38 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_domains_and_suffixes(spark):
+    hosts = ["", "com", "a.com", "b.a.com", "a.co.uk", "x.a.co.uk", "co.uk", "1.2.3.4", "1.2.3.4:80", "u:p@b.a.com:8080", "[::1]:80"]
+    table = spark.createDataFrame([("co.uk",), ("com",), ("uk",)], "suffix string")
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in url_filter.registered_domain(df, table).collect()}
+    want = [("", ""), ("com", "com"), ("a.com", "com"), ("a.com", "com"), ("a.co.uk", "co.uk"), ("a.co.uk", "co.uk"), ("co.uk", "co.uk"), ("1.2.3.4", ""), ("1.2.3.4", ""), ("a.com", "com"), ("[::1]", "")]
+    assert got == dict(zip(hosts, want, strict=True))
+    assert {r.host: r.domain for r in url_filter.registered_domain(df).collect()}["x.a.co.uk"] == "co.uk"
+
+
+def test_pages_with_nulls_and_clashing_columns(spark):
+    rows = [(None, "http://a.com/en/1", "x"), (None, None, "x"), (1, "http://a.com/q", None), (1, "http://a.com/q", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = pages.selectExpr("*", *[f"1 AS {c}" for c in ("host", "path", "rule", "said", "bound", "domain", "suffix", "n", "x")])
+    got = url_filter.judge_urls(pages, queries.URL_RULES)
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
+    assert sorted((str(r.page_id), r.host, r.path) for r in got.collect()) == [("1", "a.com", "/q"), ("1", "a.com", "/q"), ("None", "", ""), ("None", "a.com", "/en/1")]
+
+
+def test_roles_of_messages_stay_and_odd_conversations(spark):
+    rows = [(1, 0, "human", "q"), (1, 1, "gpt", "a"), (1, 2, None, None), (None, None, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").selectExpr("*", "1 AS record", "2 AS row", "3 AS turns", "4 AS mask", "5 AS v")
+    from pyspark.sql import functions as F
+
+    made = chat.format_turns(df)
+    back = made.select("conv_id", F.element_at(chat.read_back(F.col("formatted")), 1).alias("t"), chat.loss_text(F.col("formatted"), F.col("mask")).alias("loss"))
+    assert sorted((str(r.conv_id), r.t.role, r.t.text, r.loss) for r in back.collect()) == [("1", "", "", ""), ("1", "gpt", "a", ""), ("1", "human", "q", ""), ("None", "assistant", "b", "b")]
+    assert chat.format_turns(df.limit(0)).count() == 0 and chat.format_chats(chat.as_records(df.limit(0))).count() == 0
+    extra = spark.createDataFrame([('{"question": "p", "answer": "c"}', 1, 2)], "record string, row int, print int")
+    assert chat.format_chats(extra).first().row.asDict() == {"record": '{"question": "p", "answer": "c"}', "row": 1, "print": 2}
+
+
 def test_reputation_shrinks(spark):
     rows = [(f"h{i}.bad.com", 1) for i in range(30)] * 3 + [(f"g{i}.good.com", 0) for i in range(30)] * 3 + [("new.bad.com", None), ("new.good.com", None), ("far.net", None)]
     got = {r.host: r for r in url_filter.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
