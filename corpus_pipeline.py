@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: quality rules, near copies, benchmark passages, the mix, shards."""
+"""A training corpus from raw documents: quality rules, near copies, benchmark passages, the mix, shards.
+
+Every stage takes a table of documents (doc_id, text, source and any other columns, whose names may be those that operators use
+inside) and judges each row by itself or with all others, as its operator's docstring says for null and empty texts, null ids,
+ties and repeated rows. An empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -11,12 +15,12 @@ from coilwave.llm.shared import shared_dir
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null, empty and short texts too."""
     return quality_rules.filtered(docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest doc_id."""
+    """One document of each group of near copies stays: that of the smallest doc_id. Rows of one doc_id stay or go together."""
     return ngram_join.one_of_each(docs, width=5, percent=80)
 
 
@@ -26,13 +30,13 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: not at all, once or twice."""
+    """Every document as often as the mix takes it: not at all, once or twice. A null source is a source."""
     return mixing.mixed_rows(docs)
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's shard and its place there."""
-    return sharding.shard(docs, shards=16)
+    """Each row with its shard and its place there."""
+    return sharding.sharded_rows(docs, shards=16)
 
 
 STAGES = [
