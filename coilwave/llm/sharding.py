@@ -55,21 +55,22 @@ def even_cuts(sums: np.ndarray, capacity: int, shards: int) -> np.ndarray:
     return np.array(ends)
 
 
-def shard(docs: DataFrame, shards: int = 16, cells: int = CELLS) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each row.
+def shard(docs: DataFrame, *carried: str, shards: int = 16, cells: int = CELLS) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each row, and `row`, a struct of the carried columns, if there are any.
 
     size: UTF-8 bytes of the text, plus 1 (a null text has none, and crc32 0). Law `bytes`: shards hold runs of atomic
     groups in order of text hash, cut so that the largest shard is as small as whole groups allow; equal texts, repeated
     rows among them, stay together, null and empty texts too. slot numbers the rows of a shard from 0 without gaps.
     grown_shard is null: under this law a new count of shards cuts anew. A null doc_id is a row like any other (it
-    comes first among its equals). An empty table gives no rows. Other columns are ignored.
+    comes first among its equals). An empty table gives no rows. Other columns are ignored. Rows equal in doc_id and text
+    are numbered in one task.
 
     Only sums by cell (at most `cells`), and by parts of crowded cells, come to the driver."""
     hashed = F.xxhash64(F.coalesce("text", F.lit("")))
     cell = F.shiftrightunsigned(hashed, 64 - int(cells).bit_length() + 1).cast("int")
     rows = written(
         docs.select(
-            "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"), hashed.alias("hash"), cell.alias("cell")
+            *([F.struct(*carried).alias("row")] if carried else []), "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"), hashed.alias("hash"), cell.alias("cell")
         ),
         "sized",
     )
@@ -101,4 +102,12 @@ def shard(docs: DataFrame, shards: int = 16, cells: int = CELLS) -> DataFrame:
     # Rows alike in every column may take each other's slots; nothing else tells them apart.
     number = F.expr("row_number() OVER (PARTITION BY cell, part ORDER BY hash, doc_id NULLS FIRST, size) - 1")
     placed = parted.join(F.broadcast(table), ["cell", "part"])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + number).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(*(["row"] if carried else []), "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + number).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharded_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs with all their columns, and size, text_crc32, law, shard, slot and grown_shard, which take the place of columns of
+    these names. To write the shards as folders: sharded_rows(docs).write.partitionBy("shard")."""
+    own = shard(docs, *docs.columns, **how)
+    added = [c for c in own.columns if c not in ("row", "doc_id")]
+    return own.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)

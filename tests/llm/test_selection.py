@@ -211,4 +211,7 @@ def test_odd_and_empty(spark, odd, empty):
     for keep in (lambda d: decontaminate.uncontaminated(d, items), quality_rules.filtered, mixing.mixed_rows):
         assert keep(odd).columns == odd.columns and keep(empty).count() == 0
     assert decontaminate.find_benchmark(odd, items.limit(0)).where("contaminated").count() == 0
-    assert sharding.shard(empty).count() == mixing.mix(empty, "doc_id").count() == 0
+    assert sharding.shard(empty).count() == mixing.mix(empty, "doc_id").count() == sharding.sharded_rows(empty).count() == 0
+    placed = sharding.sharded_rows(odd)
+    assert placed.columns == [c for c in odd.columns if c != "size"] + ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert sorted((r.doc_id or 0, r.text or "") for r in placed.collect()) == sorted((r.doc_id or 0, r.text or "") for r in odd.collect())
