@@ -12,6 +12,7 @@ apart. (4) For the links themselves, all rows of a component are multiplied out
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,7 +31,8 @@ U = np.uint64
 
 #: Counts are kept by the first 24 bits of a shingle's hash (so the table has one size, whatever the corpus), apart by 8 more bits.
 CELL_BITS = 24
-BUCKETS = 256
+#: log2 of the buckets that are counted in tasks of their own: more for larger tables, so that one has this much text on average.
+BUCKET_BITS, BUCKET_BYTES = (8, 16), 256 << 20
 #: Shingles of a task that are counted together.
 COUNTED = 4_000_000
 #: Counts below 2 ** 4 all rank first.
@@ -77,14 +79,14 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _counts(width: int) -> Callable[[Batches], Batches]:
+def _counts(width: int, bits: int) -> Callable[[Batches], Batches]:
     """Sorted hashes (32 bits) of the shingles of distinct sets, by bucket; steps between them, byte planes apart, compress well."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         own = np.sort(np.concatenate(held))
-        cut = np.searchsorted(own, np.arange(BUCKETS + 1, dtype=np.uint64) << U(24))
+        cut = np.searchsorted(own, np.arange((1 << bits) + 1, dtype=np.uint64) << U(32 - bits))
         blobs = [np.diff(own[a:b], prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array([zlib.compress(x, 1) for x in blobs], pa.binary()), pa.array(np.diff(cut).astype(np.int32))], schema=COUNT)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(1 << bits, dtype=np.int32)), pa.array([zlib.compress(x, 1) for x in blobs], pa.binary()), pa.array(np.diff(cut).astype(np.int32))], schema=COUNT)
 
     def run(batches: Batches) -> Batches:
         held, size, seen = [], 0, set()
@@ -104,22 +106,26 @@ def _counts(width: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def _levels(batches: Batches) -> Batches:
+def _levels(bits: int) -> Callable[[Batches], Batches]:
     """Each bucket's part of the table of levels: log2 of the largest count among a cell's hashes. A bucket's blobs are all here."""
-    parts: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for b, cells, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "cells", "n")), strict=True):
-            steps = np.frombuffer(zlib.decompress(cells), np.uint8).reshape(4, n).T.copy().view("<u4")[:, 0]
-            value, count = np.unique(np.cumsum(steps, dtype=np.uint64), return_counts=True)
-            parts.setdefault(b, []).append(np.stack([value, count.astype(np.uint64)]))
-            if len(parts[b]) == 16:
-                parts[b] = [_summed(parts[b])]
-    for b, held in parts.items():
-        value, count = _summed(held)
-        often = count >= U(1 << LEAST_LEVEL)
-        level = np.zeros(1 << (CELL_BITS - 8), np.uint8)
-        np.maximum.at(level, ((value[often] >> U(8)) & U((1 << (CELL_BITS - 8)) - 1)).astype(np.int64), np.log2(count[often].astype(float)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(level.tobytes())], pa.binary())], ["bucket", "level"])
+
+    def run(batches: Batches) -> Batches:
+        parts: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for b, cells, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "cells", "n")), strict=True):
+                steps = np.frombuffer(zlib.decompress(cells), np.uint8).reshape(4, n).T.copy().view("<u4")[:, 0]
+                value, count = np.unique(np.cumsum(steps, dtype=np.uint64), return_counts=True)
+                parts.setdefault(b, []).append(np.stack([value, count.astype(np.uint64)]))
+                if len(parts[b]) == 16:
+                    parts[b] = [_summed(parts[b])]
+        for b, held in parts.items():
+            value, count = _summed(held)
+            often = count >= U(1 << LEAST_LEVEL)
+            level = np.zeros(1 << (CELL_BITS - bits), np.uint8)
+            np.maximum.at(level, ((value[often] >> U(32 - CELL_BITS)) & U(len(level) - 1)).astype(np.int64), np.log2(count[often].astype(float)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(level.tobytes())], pa.binary())], ["bucket", "level"])
+
+    return run
 
 
 def _summed(parts: list[np.ndarray]) -> np.ndarray:
@@ -130,9 +136,12 @@ def _summed(parts: list[np.ndarray]) -> np.ndarray:
 
 def column_levels(docs: DataFrame, width: int) -> np.ndarray:
     """How common each cell of shingles is: one byte for each of 2 ** CELL_BITS cells, whatever the size of the corpus."""
-    counted = docs.select("text").mapInArrow(_counts(width), "bucket int, cells binary, n int")
-    table = np.zeros((BUCKETS, 1 << (CELL_BITS - 8)), np.uint8)
-    for r in counted.repartition("bucket").mapInArrow(_levels, "bucket int, level binary").collect():
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least, most = BUCKET_BITS
+    bits = min(most, max(least, int(total // BUCKET_BYTES).bit_length()))
+    counted = docs.select("text").mapInArrow(_counts(width, bits), "bucket int, cells binary, n int")
+    table = np.zeros((1 << bits, 1 << (CELL_BITS - bits)), np.uint8)
+    for r in counted.repartition("bucket").mapInArrow(_levels(bits), "bucket int, level binary").collect():
         table[r.bucket] = np.frombuffer(zlib.decompress(bytes(r.level)), np.uint8)
     return table.reshape(-1)
 
@@ -358,36 +367,34 @@ def _multiplied(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _apart(percent: int) -> Callable[[Batches], Batches]:
-    """Pairs of different components from lists of entries (gram, block, other, side, row, label, n, pos, profile), sorted by list.
-
-    Blocks of a list meet pairwise: side 0 with side 1 (or with itself, where the two blocks are one)."""
+    """Pairs of different components from blocks of entries (gram, cell, block, other, side, guest, strange, row, label, n, pos, profile),
+    sorted by block: entries of side 0 or 2 meet those of side 1 or 2, but guests no guests."""
 
-    def one(side: np.ndarray, row: np.ndarray, lab: np.ndarray, n: np.ndarray, pos: np.ndarray, prof: np.ndarray) -> np.ndarray:
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = not len(y)
-        y = x if alone else y
+    def one(side: np.ndarray, guest: np.ndarray, strange: np.ndarray, row: np.ndarray, lab: np.ndarray, n: np.ndarray, pos: np.ndarray, prof: np.ndarray) -> np.ndarray:
+        x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         pairs = [np.zeros((0, 2), np.int64)]
         for i in x.tolist():
-            hit = y[(lab[y] != lab[i]) & ((row[y] > row[i]) if alone else True)]
+            # two strange rows meet twice, of which one is enough
+            hit = y[(lab[y] != lab[i]) & ~(guest[y] & guest[i]) & (~strange[y] | (row[y] > row[i]))]
             hit = hit[_may_link(n[i], n[hit], pos[i], pos[hit], percent)]
             hit = hit[_alike(prof[i], prof[hit], n[i], n[hit], percent)]
             pairs.append(np.stack([np.full(len(hit), row[i]), row[hit]], axis=1))
         return np.concatenate(pairs)
 
     def run(batches: Batches) -> Batches:
-        names = ("gram", "block", "other", "side", "row", "label", "n", "pos")
+        names = ("gram", "cell", "block", "other", "side", "guest", "strange", "row", "label", "n", "pos")
         rest = None
         for batch in [*batches, None]:
             now = None if batch is None else [*(batch.column(c).to_numpy(zero_copy_only=False) for c in names), _profiles(batch.column("profile"))]
             held = [np.concatenate(c) for c in zip(rest, now, strict=True)] if rest and now else now or rest
             if held is None:
                 return
-            new = np.append(True, (np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) if len(held[0]) else np.zeros(0, bool)
+            new = np.append(True, np.any([np.diff(x) != 0 for x in held[:4]], axis=0)) if len(held[0]) else np.zeros(0, bool)
             head = np.flatnonzero(new)
             stop = len(held[0]) if batch is None else int(head[-1]) if len(head) else 0
             rest = [x[stop:] for x in held]
             ends = np.append(head[head < stop], stop)
-            found = [one(*(x[s:e] for x in held[3:])) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            found = [one(*(x[s:e] for x in held[4:])) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             if found:
                 pair = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=PAIR)
@@ -396,16 +403,35 @@ def _apart(percent: int) -> Callable[[Batches], Batches]:
 
 
 def _cross_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs to try between components that a list holds and that are still apart."""
+    """Pairs to try between components that a list holds and that are still apart.
+
+    Rows of a list's largest component meet only the strange rows, those of other components; so a large list with few of them
+    makes few blocks. A list of over BLOCK_ROWS rows is first cut by size: sizes of linked rows are of the same or neighbouring
+    classes, so a row is dealt to the cell of its class, and as a guest to the next one, where guests do not meet each other."""
     named = lists.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    mixed = named.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y").select("gram", "m")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_ROWS)).cast("int")
+    by_label = named.groupBy("gram", "label").agg(F.count("*").alias("c"))
+    mixed = by_label.groupBy("gram").agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.sum("c").alias("m"), F.count("*").alias("k")).where("k > 1").drop("k")
+    # a little more than the ratio of linked sizes, so that rounding parts no pair by two classes
+    size_class = F.floor(F.log("n") / math.log(max(100 / percent, 1.01) * 1.001)).cast("int")
+    own, guest = F.struct(size_class.alias("cell"), F.lit(False).alias("guest")), F.struct((size_class + 1).alias("cell"), F.lit(True).alias("guest"))
+    whole = F.array(F.struct(F.lit(0).alias("cell"), F.lit(False).alias("guest")))
+    named = named.join(mixed, "gram").withColumn("strange", F.col("label") != F.col("top"))
+    celled = named.select("gram", "row", "label", "n", "pos", "strange", F.explode(F.when(F.col("m") > BLOCK_ROWS, F.array(own, guest)).otherwise(whole)).alias("at")).select("gram", "at.*", "row", "label", "n", "pos", "strange")
+    sizes = celled.groupBy("gram", "cell").agg(F.count_if("strange").alias("f"), F.count("*").alias("t"), F.count_if(~F.col("guest")).alias("own")).where("f > 0 and own > 0")
+    blocks, others = F.ceil(F.col("f") / BLOCK_ROWS).cast("int"), F.ceil(F.col("t") / (8 * BLOCK_ROWS)).cast("int")
     short = sets.select("row", "profile").dropDuplicates(["row"])
-    open_lists = named.join(mixed, "gram").join(short, "row").withColumn("own", F.pmod(F.xxhash64("row"), blocks).cast("int"))
-    # block i meets every block j >= i, as side 0, and every block below i as side 1
-    met = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("own", j).alias("block"), F.greatest("own", j).alias("other"), (F.col("own") > j).cast("int").alias("side")))
-    dealt = open_lists.select("gram", "row", "label", "n", "pos", "profile", F.explode(met).alias("met")).select("gram", "met.*", "row", "label", "n", "pos", "profile")
-    return dealt.repartition("gram", "block", "other").sortWithinPartitions("gram", "block", "other").mapInArrow(_apart(percent), "a long, b long").distinct()
+    met = celled.join(sizes, ["gram", "cell"]).join(short, "row").withColumns({"_b": blocks, "_o": others})
+    met = met.withColumns({"_x": F.pmod(F.xxhash64("row"), "_b").cast("int"), "_y": F.pmod(F.xxhash64("row", F.lit(1)), "_o").cast("int")})
+    # as one of all rows it meets every block of strange rows; a strange row also meets, from its block, every block of all rows
+    place = lambda i, j, side: F.struct(i.cast("int").alias("block"), j.cast("int").alias("other"), F.lit(side).alias("side"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    as_all = F.transform(every(F.col("_b")), lambda i: place(i, F.col("_y"), 1))
+    elsewhere = F.filter(as_all, lambda p: p["block"] != F.col("_x"))
+    as_strange = F.transform(F.filter(every(F.col("_o")), lambda j: j != F.col("_y")), lambda j: place(F.col("_x"), j, 0))
+    places = F.when(F.col("strange"), F.concat(elsewhere, as_strange, F.array(place(F.col("_x"), F.col("_y"), 2)))).otherwise(as_all)
+    block = ["gram", "cell", "block", "other"]
+    dealt = met.select("gram", "cell", "guest", "strange", "row", "label", "n", "pos", "profile", F.explode(places).alias("met")).select(*block[:2], "met.*", "guest", "strange", "row", "label", "n", "pos", "profile")
+    return dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(_apart(percent), "a long, b long").distinct()
 
 
 def _in_blocks(percent: int, as_pairs: bool) -> Callable[[Batches], Batches]:
@@ -547,7 +573,17 @@ def _answer(docs: DataFrame, documents: DataFrame, of_row: DataFrame) -> DataFra
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component, with all their columns. Rows of one doc_id stay or go
-    together; rows without doc_id stay unless one with a doc_id is in their component."""
-    gone = link(docs, width, percent).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents whose doc_id is the smallest of their component, with all their columns. Rows of one doc_id are documents of
+    their own: of those in one component, one stays (that of the least hash of doc_id and text; of rows equal in both any).
+    Rows without doc_id come last. Texts without shingles all stay."""
+    if keyed(docs).groupBy("key").count().where("count > 1").isEmpty():
+        gone = link(docs, width, percent).where("doc_id is not null and doc_id <> component_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Rows are named by a hash of doc_id and text here.
+    named = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).alias("doc_id"), "text", F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long")).alias("rank"))
+    found = written(link(named.select("doc_id", "text"), width, percent).where("n_shingles > 0").distinct(), "found")
+    ranked = found.join(named.select("doc_id", "rank").distinct(), "doc_id")
+    stays = ranked.groupBy("component_id").agg(F.min(F.struct("rank", "doc_id"))["doc_id"].alias("doc_id")).select("doc_id")
+    kept = named.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    without = named.join(found, "doc_id", "left_anti")
+    return kept.unionByName(without).select("doc.*")

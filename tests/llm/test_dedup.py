@@ -131,6 +131,28 @@ def test_odd_rows(odd):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 3, 7), (7, 1, 7), (7, 3, 7), (7, 3, 7), (8, 0, 8)]
     kept = ngram_join.one_of_each(odd)
     assert kept.columns == odd.columns
+    # 7 has two different texts, one of them twice and also without doc_id; texts without words stay
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (7, "a b c d e f g"), (7, "z " * 30), (8, "")]
+
+
+def test_hot_lists_of_few_strangers(spark, monkeypatch):
+    """A large component, near misses of it that share its columns, and other components of the same columns, in small blocks."""
+    import random
+
+    for name, value in (("BLOCK_ROWS", 4), ("PAIRS_A_ROW", 0), ("SHORT", 2), ("SPLIT_LEVEL", 1), ("LEAST_LEVEL", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        own = words[: r.randint(30, 60)] if i % 3 else list(words)
+        for _ in range(i % 5):
+            own[r.randrange(len(own))] = f"x{r.randrange(40)}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for width, percent in ((5, 80), (1, 80), (2, 60)):
+        got = ngram_join.link(docs, width, percent)
+        assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard_components(list(enumerate(texts)), width, percent))
 
 
 @pytest.mark.parametrize("partitions", [1, 6])
