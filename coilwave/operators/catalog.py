@@ -48,9 +48,13 @@ def commonest(df: DataFrame, by: list[str], column: str, out: str) -> DataFrame:
     return df.groupBy(*by).agg(F.mode(column, deterministic=True).alias(out))
 
 
-def station_of(path: Column) -> Column:
-    """The station in a folder name like .../BC12a/... ; null if there is none."""
-    return F.nullif(F.regexp_extract(path, r"/(?:BC|sub|Sub|SUB|LMA)(\d+[a-zA-Z]+)/", 1), F.lit(""))
+#: Fixed value: folders of stations in the surveys this was made for; other surveys name theirs otherwise.
+STATION = r"/(?:BC|sub|Sub|SUB|LMA)(\d+[a-zA-Z]+)/"
+
+
+def station_of(path: Column, pattern: str = STATION) -> Column:
+    """The station in a folder name like .../BC12a/..., which is the first group of the pattern; null if there is none."""
+    return F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
 
 
 def digits(text: Column) -> Column:
@@ -96,7 +100,6 @@ def interpolated(points: DataFrame, table: DataFrame, keys: list[str], x: str, y
     """points with y at x from a table of knots (keys, x, y): straight lines between neighbours, going on beyond the ends. A key of one knot is constant, one of none null.
 
     Each knot interval knows its end, and the outer ones reach to infinity; points meet the one interval that holds them."""
-    w = Window.partitionBy(*keys).orderBy(x)
     k = table.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     w = Window.partitionBy(*keys).orderBy("_x")
     k = k.withColumns({"_x2": F.lead("_x").over(w), "_y2": F.lead("_y").over(w), "_first": F.row_number().over(w) == 1, "_n": F.count("*").over(Window.partitionBy(*keys))})

@@ -6,12 +6,12 @@ regression takes groups of any size, in rounds of aggregations."""
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,17 +19,42 @@ from coilwave.operators import spectral as X
 from coilwave.tables import written
 
 
+def _series(df: DataFrame, keys: list[str], order: list[str], value: str, schema: T.StructType, result: Callable[[pa.RecordBatch, np.ndarray, list[np.ndarray]], pa.RecordBatch]) -> DataFrame:
+    """result(rows, first, values) for whole series at a time: rows sorted by series and order, the row where each series begins, and its samples
+    (null: NaN). The window that numbers the samples has dealt and sorted the rows; a series that a batch cuts waits for its rest."""
+    numbered = df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def whole(rows: pa.RecordBatch) -> pa.RecordBatch:
+            first = np.flatnonzero(rows.column("_place").to_numpy() == 1)
+            x = rows.column(value).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+            return result(rows.drop_columns(["_place"]), first, np.split(x, first[1:]))
+
+        for batch in batches:
+            begins = np.flatnonzero(batch.column("_place").to_numpy() == 1)
+            if len(begins) and (held or begins[-1] > 0):
+                yield whole(pa.concat_batches([*held, batch.slice(0, begins[-1])]))
+                held = []
+            held.append(batch.slice(begins[-1]) if len(begins) else batch)
+        if held:
+            yield whole(pa.concat_batches(held))
+
+    return numbered.mapInArrow(run, schema)
+
+
+#: The variance of normal residuals that Huber's function pulls in at 1.5 scales, and by how much the loss must fall to go on.
+SPREAD, FALL = 0.7784, 2e-9
+
+
 def per_series(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Adds kernel(series) as a column. Null samples reach the kernel as NaN; NaN comes back as null."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        got = kernel(group[value].to_numpy(float))
-        group[out] = pd.Series(got, index=group.index).astype(object).where(~np.isnan(got), None)
-        return group
+    def result(rows: pa.RecordBatch, first: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+        return rows.append_column(out, pa.array(np.concatenate([kernel(x) for x in values]), from_pandas=True))
 
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return _series(df, keys, order, value, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]), result)
 
 
 def notch_coefficients(frequency: float, rate: float, bandwidth: float) -> tuple[np.ndarray, np.ndarray]:
@@ -39,16 +64,30 @@ def notch_coefficients(frequency: float, rate: float, bandwidth: float) -> tuple
     return gain * np.array([1, -2 * math.cos(w), 1]), np.array([1, -2 * gain * math.cos(w), 2 * gain - 1])
 
 
+#: Samples that a recursive filter takes as one block.
+BLOCK = 64
+
+
 def recursive(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """A second-order filter from a state, one sample after another."""
-    out = np.empty(len(x))
-    s0, s1 = state.tolist()
-    b0, b1, b2, a1, a2 = *b.tolist(), *a[1:].tolist()
-    for i, v in enumerate(x.tolist()):
-        y = b0 * v + s0
-        s0, s1 = b1 * v - a1 * y + s1, b2 * v - a2 * y
-        out[i] = y
-    return out
+    """A second-order filter from a state, block by block: what a block answers to its own samples is one product for all blocks, and
+    the state at its beginning adds a fixed response."""
+    step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
+    inward = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    reach = np.empty((BLOCK + 1, 2, 2))
+    reach[0] = np.eye(2)
+    for k in range(BLOCK):
+        reach[k + 1] = step @ reach[k]
+    pulse = np.concatenate([[b[0]], (reach[: BLOCK - 1] @ inward)[:, 0]])
+    lag = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
+    own = np.where(lag >= 0, pulse[np.maximum(lag, 0)], 0.0)
+    blocks = np.zeros((-(-len(x) // BLOCK), BLOCK))
+    blocks.reshape(-1)[: len(x)] = x
+    left = blocks @ (reach[BLOCK - 1 :: -1] @ inward)
+    states = np.empty((len(blocks), 2))
+    for k in range(len(blocks)):
+        states[k] = state
+        state = reach[BLOCK] @ state + left[k]
+    return (blocks @ own.T + states @ reach[:BLOCK, 0].T).reshape(-1)[: len(x)]
 
 
 def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray, pad: int = 9) -> np.ndarray:
@@ -84,14 +123,13 @@ def best_period(x: np.ndarray, guess: int, around: int) -> float:
 
 
 def period(df: DataFrame, keys: list[str], order: list[str], value: str, guess: int, around: int) -> DataFrame:
-    """(keys, period) of each series."""
+    """(keys, period) of each series; missing samples are left out."""
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values(order, kind="stable")[value].dropna().to_numpy(float)
-        return pd.DataFrame([[*key, best_period(x, guess, around)]], columns=[*keys, "period"])
+    def result(rows: pa.RecordBatch, first: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+        found = pa.array([best_period(x[~np.isnan(x)], guess, around) for x in values], pa.float64())
+        return rows.select(keys).take(pa.array(first)).append_column("period", found)
 
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("period", T.DoubleType())])
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return _series(df, keys, order, value, T.StructType([*[df.schema[k] for k in keys], T.StructField("period", T.DoubleType())]), result)
 
 
 def folded_waveform(x: np.ndarray, samples: float, periods: int) -> np.ndarray:
@@ -105,13 +143,16 @@ def folded_waveform(x: np.ndarray, samples: float, periods: int) -> np.ndarray:
     own = np.interp(at, np.arange(n), x).reshape(rows, m)
     known = ~np.isnan(own)
     weight = np.hanning(periods + 2)
-    smooth = lambda t: np.apply_along_axis(lambda c: np.convolve(c, weight, "full")[len(weight) // 2 :][: len(c)], 0, t)
+
+    def smooth(t: np.ndarray) -> np.ndarray:
+        wide = np.zeros((rows + len(weight) - 1, m))
+        wide[len(weight) - 1 - len(weight) // 2 :][:rows] = t
+        return sum(w * wide[k : k + rows] for k, w in enumerate(weight[::-1].tolist()))
+
     total, count = smooth(np.where(known, own, 0.0)), smooth(known.astype(float))
     mean = (total / np.where(count > 1e-12, count, np.nan)).reshape(-1)
     place = np.arange(n)
-    inside = np.minimum(place, at[-1] - (np.ceil((place - at[-1]) / samples) * 0))
-    beyond = place > at[-1]
-    inside = np.where(beyond, place - np.ceil((place - at[-1]) / samples) * samples, inside)
+    inside = np.where(place > at[-1], place - np.ceil((place - at[-1]) / samples) * samples, place)
     return np.interp(inside, at, mean)
 
 
@@ -139,14 +180,14 @@ def huber_regression(t: np.ndarray, r: np.ndarray, r0: float = 1.5, most: int =
     loss = lambda x: float(np.where(np.abs(x) < r0, x * x / 2, r0 * np.abs(x) - r0 * r0 / 2).sum())
     old, rounds, pulled = math.inf, 0, parts(r)
     now = loss(res / scale)
-    while rounds == 0 or (now < old * (1 - 2e-9) and rounds < most):
+    while rounds == 0 or (now < old * (1 - FALL) and rounds < most):
         old = now
         x = np.abs(res / scale)
         pulled = parts(h * t) + np.where(x <= r0, 1.0, r0 / np.maximum(x, 1e-300)) * res
         star = pulled[:n] + 1j * pulled[n:]
         h = complex((t.conj() * star).sum() / power)
         res = parts(r - h * t)
-        scale = math.sqrt(float(res @ res) / (2 * n - 2) / 0.7784)
+        scale = math.sqrt(float(res @ res) / (2 * n - 2) / SPREAD)
         rounds += 1
         if not scale:
             return h, 0.0, rounds, 1.0
@@ -195,7 +236,7 @@ def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r"
     state = written(state, "state")
     ended = []
     loss = sum((F.sum(X.huber_loss(x / F.col("scale"), r0)) for x in residuals()), F.lit(0.0)).alias("now")
-    falls = (F.col("rounds") == 0) | ((F.col("now") < F.col("old") * (1 - 2e-9)) & (F.col("rounds") < most))
+    falls = (F.col("rounds") == 0) | ((F.col("now") < F.col("old") * (1 - FALL)) & (F.col("rounds") < most))
     while True:
         ended.append(state.where("scale = 0"))
         tried = written(met(state.where("scale <> 0"), loss, *fitted(pulled("h", "scale"))), "tried")
@@ -204,7 +245,7 @@ def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r"
         if again.isEmpty():
             break
         again = again.select("k", "n", "power", (F.col("a") / F.col("power")).alias("h_re"), (F.col("b") / F.col("power")).alias("h_im"), (F.col("rounds") + 1).alias("rounds"), F.col("now").alias("old"), F.col("h_re").alias("g_re"), F.col("h_im").alias("g_im"), F.col("scale").alias("was"))
-        state = written(met(again, squares).withColumn("scale", F.sqrt(F.col("ss") / (2 * F.col("n") - 2) / 0.7784)).select(*state.columns), "state")
+        state = written(met(again, squares).withColumn("scale", F.sqrt(F.col("ss") / (2 * F.col("n") - 2) / SPREAD)).select(*state.columns), "state")
     done = written(reduce(DataFrame.unionByName, ended), "done")
     # What the last fit leaves of the pulled values: H is fitted to them, so it is also their power less the fit's.
     last, fit = pulled("g", "was"), X.times((tr, ti), X.pair("h"))

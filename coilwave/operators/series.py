@@ -100,10 +100,8 @@ def interpolate(df: DataFrame, keys: list[str], order: list[str], index: str, va
         return df.withColumn(out, F.coalesce(inside, F.col("_a.y"), F.col("_b.y"))).drop("_p", "_a", "_b")
     # the two values nearest to either end of the series
     whole = Window.partitionBy(*keys)
-    first = F.array_sort(F.collect_list("_p").over(whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     rank_up = F.count("_p").over(back)
     rank_down = F.count("_p").over(ahead)
-    del first
     df = df.withColumns({"_u": rank_up, "_d": rank_down})
     pick = lambda r, k: F.max(F.when(F.col("_p").isNotNull() & (F.col(r) == k), F.col("_p"))).over(whole)
     df = df.withColumns({"_f1": pick("_u", 1), "_f2": pick("_u", 2), "_l1": pick("_d", 1), "_l2": pick("_d", 2)})

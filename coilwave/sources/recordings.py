@@ -168,7 +168,7 @@ def catalog(files: DataFrame) -> DataFrame:
     one, two = C.offsets(text("CH.OFFSET.XYZ1", "CH.XYZ1")), C.offsets(text("CH.OFFSET.XYZ2", "CH.XYZ2"))
     component, magnetic = text("CH.CMP"), F.col("component").startswith("H")
     rows = h.join(ends, "path", "left").select(
-        "path", error.alias("error"), F.when(m["Tx.Freq"].isNotNull(), "TX").otherwise("RX").alias("type"), rate.alias("sampling_rate"), n.alias("num_records"),
+        "path", error.alias("error"), F.when(m["TX.SENSE"].isNotNull(), "TX").otherwise("RX").alias("type"), rate.alias("sampling_rate"), n.alias("num_records"),
         T.gps_stamp_to_utc(F.col("_from"), week).alias("start"), T.gps_stamp_to_utc(F.col("_to"), week + (F.col("_to") < F.col("_from")).cast("long")).alias("end"),
         place("Lat").alias("lat"), place("Long").alias("lon"), number(m, "Tx.Freq").alias("txfreq"), number(m, "Tx.Duty").alias("txduty"), text("TX.SN").alias("tx_sn"),
         text("CH.STN", "RX.STN").alias("station"), text("JOB.NUMBER").alias("job"), component.alias("component"), text("Box number").alias("box"), text("ChannelSerial").alias("channel_serial"),
