@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +30,12 @@ def _series(df: DataFrame, keys: list[str], order: list[str], value: str, schema
 
         def whole(rows: pa.RecordBatch) -> pa.RecordBatch:
             first = np.flatnonzero(rows.column("_place").to_numpy() == 1)
-            x = rows.column(value).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
-            return result(rows.drop_columns(["_place"]), first, np.split(x, first[1:]))
+            x = rows.column(value)
+            if pa.types.is_list(x.type):  # several values a sample
+                flat = x.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(len(x), -1).T
+                return result(rows.drop_columns(["_place"]), first, np.split(flat, first[1:], axis=1))
+            flat = x.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+            return result(rows.drop_columns(["_place"]), first, np.split(flat, first[1:]))
 
         for batch in batches:
             begins = np.flatnonzero(batch.column("_place").to_numpy() == 1)
@@ -46,6 +51,8 @@ def _series(df: DataFrame, keys: list[str], order: list[str], value: str, schema
 
 #: The variance of normal residuals that Huber's function pulls in at 1.5 scales, and by how much the loss must fall to go on.
 SPREAD, FALL = 0.7784, 2e-9
+#: Pairs of a key that one task takes in the robust regression (3 MB).
+IN_ONE_TASK = 100_000
 
 
 def per_series(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -156,14 +163,20 @@ def folded_waveform(x: np.ndarray, samples: float, periods: int) -> np.ndarray:
     return np.interp(inside, at, mean)
 
 
-def waveform_filtered(df: DataFrame, keys: list[str], order: list[str], value: str, samples: float, periods: int, out: str = "filtered") -> DataFrame:
-    """The series less the running mean of its periodic waveform; what the mean of each period holds stays."""
+def waveform_filtered(df: DataFrame, keys: list[str], order: list[str], value: str, samples: float, periods: int, out: str = "filtered", masked: str | None = None) -> DataFrame:
+    """The series less the running mean of its periodic waveform; what the mean of each period holds stays. Samples for which the column
+    `masked` is true do not count for the waveform."""
 
     def kernel(x: np.ndarray) -> np.ndarray:
-        wave = folded_waveform(x - np.nanmean(x), samples, periods)
-        return x - wave
+        known = x if masked is None else x[1]
+        wave = folded_waveform(known - np.nanmean(known), samples, periods) if (~np.isnan(known)).any() else np.zeros(len(known))
+        # where no sample counts, nothing is known of the waveform
+        return (x if masked is None else x[0]) - (wave if masked is None else np.nan_to_num(wave))
 
-    return per_series(df, keys, order, value, out, kernel)
+    if masked is None:
+        return per_series(df, keys, order, value, out, kernel)
+    two = F.array(F.col(value).cast("double"), F.when(~F.col(masked), F.col(value)).cast("double"))
+    return per_series(df.withColumn("_two", two), keys, order, "_two", out, kernel).drop("_two")
 
 
 def huber_regression(t: np.ndarray, r: np.ndarray, r0: float = 1.5, most: int = 100, two_sided: bool = False) -> tuple[complex, float, int, float]:
@@ -201,7 +214,8 @@ def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r"
     """(keys, n, re, im, v, rounds, good): a robust transfer function of each group of complex pairs, as by huber_regression. Pairs with
     a null or NaN count nowhere; groups of one pair, or without power, have nulls.
 
-    A key may have any number of pairs: each round is two aggregations over the pairs, and only H and the scale of each key go back to them."""
+    Keys of at most IN_ONE_TASK pairs are solved in one task each. A key may have any number of pairs: for larger ones each round is two
+    aggregations over the pairs, and only H and the scale of each key go back to them."""
     parts = [f"{c}_{p}" for c in (tx, rx) for p in ("re", "im")]
     known = F.lit(True)
     for c in parts:
@@ -209,6 +223,25 @@ def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r"
     # as one struct, keys that are null meet too
     own = pairs.select(F.struct(*keys).alias("k"), *[F.when(known, F.col(c).cast("double")).alias(x) for c, x in zip(parts, ("tr", "ti", "rr", "ri"), strict=True)])
     own = written(own, "pairs")
+    sizes = written(own.groupBy("k").agg(F.count("*").alias("size")), "sizes")
+    few = own.join(sizes.where(F.col("size") <= IN_ONE_TASK).select("k"), "k", "left_semi")
+    own = own.join(sizes.where(F.col("size") > IN_ONE_TASK).select("k"), "k", "left_semi")
+
+    def in_one_task(group: pd.DataFrame) -> pd.DataFrame:
+        known = group[["tr", "ti", "rr", "ri"]].dropna().to_numpy(float)
+        t, r = known[:, 0] + 1j * known[:, 1], known[:, 2] + 1j * known[:, 3]
+        power = float((np.abs(t) ** 2).sum())
+        h, v, rounds, good = huber_regression(t, r, r0, most, two_sided) if len(t) > 1 and power > 0 else (None,) * 4
+        row = (group["kk"].iloc[0], len(t), *((None, None) if h is None else (h.real, h.imag)), v if good != 0 else None, rounds, good)
+        return pd.DataFrame([row], columns=["kk", "n", "re", "im", "v", "rounds", "good"]).astype(object)
+
+    # keys by number, as a struct is no pandas value; sizes has a row a key
+    named = sizes.select("k", F.xxhash64(F.to_json("k")).alias("kk"))
+    solved = few.join(named, "k").groupBy("kk").applyInPandas(in_one_task, "kk long, n long, re double, im double, v double, rounds long, good double")
+    solved = solved.join(named, "kk").select(*[F.col("k")[c].alias(c) for c in keys], "n", "re", "im", "v", "rounds", "good")
+    if sizes.where(F.col("size") > IN_ONE_TASK).isEmpty():
+        return solved
+    own = written(own, "many")
     tr, ti, rr, ri = (F.col(x) for x in ("tr", "ti", "rr", "ri"))
 
     def residuals(h: str = "h") -> tuple[Column, Column]:
@@ -256,4 +289,4 @@ def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r"
     variance = F.try_divide(F.col("rest") / F.col("power") / (2 * F.col("n") - 2), F.col("good") ** 2)
     out = sums.select("k", variance.alias("v"), "rounds", "good", "h_re", "h_im").unionByName(done.where("scale = 0").select("k", F.lit(0.0).alias("v"), "rounds", F.lit(1.0).alias("good"), "h_re", "h_im"))
     every = first.select("k", "n").join(out, "k", "left")
-    return every.select(*[F.col("k")[c].alias(c) for c in keys], "n", F.col("h_re").alias("re"), F.col("h_im").alias("im"), "v", "rounds", "good")
+    return solved.unionByName(every.select(*[F.col("k")[c].alias(c) for c in keys], "n", F.col("h_re").alias("re"), F.col("h_im").alias("im"), "v", "rounds", "good"))

@@ -39,7 +39,7 @@ def running_mean(df: DataFrame, keys: list[str], order: list[str], value: str, n
     df = df.withColumn(out, mean)
     if edges == "same":
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        ahead = F.first(out, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        ahead = F.first(out, ignorenulls=True).over(whole)
         df = df.withColumn(out, F.coalesce(out, F.when(F.count(out).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 0, ahead), F.last(out, ignorenulls=True).over(whole)))
     elif edges == "edge":
         df = df.withColumn(out, F.coalesce(out, F.avg(value).over(frame)))
@@ -85,10 +85,12 @@ def interpolate(df: DataFrame, keys: list[str], order: list[str], index: str, va
     """Fills nulls linearly between the nearest values. Beyond the first and last value: `hold` repeats it, `extend` goes on
     with the line through the nearest two. A series without values stays null."""
     w = _window(keys, order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # what lies ahead is what lies behind in reverse order; a frame up to the end would be gone through anew for each row
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(F.col(value).isNotNull(), F.struct(F.col(index).cast("double").alias("x"), F.col(value).cast("double").alias("y")))
     df = df.withColumn("_p", at)
-    df = df.withColumns({"_a": F.last("_p", ignorenulls=True).over(back), "_b": F.first("_p", ignorenulls=True).over(ahead)})
+    df = df.withColumns({"_a": F.last("_p", ignorenulls=True).over(back), "_b": F.last("_p", ignorenulls=True).over(ahead)})
     x = F.col(index).cast("double")
 
     def line(p: str, q: str) -> Column:

@@ -113,9 +113,12 @@ def test_whole_series_are_used(spark, tmp_path):
     assert len(got) == 7
 
 
-def test_regression_in_rounds(spark):
+@pytest.mark.parametrize("in_one_task", [0, 50, 100_000])
+def test_regression_in_rounds(spark, monkeypatch, in_one_task):
+    """In rounds, in one task a key, and by size: the same results."""
     from coilwave.operators import kernels as K
 
+    monkeypatch.setattr(K, "IN_ONE_TASK", in_one_task)
     rng = np.random.default_rng(8)
     rows, want = [], {}
     for k, n in ((1, 300), (2, 40), (None, 25), (3, 2)):
@@ -128,7 +131,6 @@ def test_regression_in_rounds(spark):
     rows += [(7, 1.0, 0.0, 2.0, 0.0), (7, 0.0, 1.0, 0.0, 2.0)]
     df = K.regression_m(spark.createDataFrame(rows, "k int, t_re double, t_im double, r_re double, r_im double").repartition(5), ["k"])
     # no task holds all pairs of a key
-    assert "InPandas" not in df._jdf.queryExecution().toString()
     got = {r["k"]: tuple(r)[1:] for r in df.collect()}
     for k, (n, (h, v, rounds, good)) in want.items():
         assert got[k][0] == n and got[k][1:4] == pytest.approx((h.real, h.imag, v), rel=1e-6) and got[k][5] == pytest.approx(good) and abs(got[k][4] - rounds) <= 1
