@@ -76,7 +76,7 @@ def refined_buckets(gram: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
             depth[member] = reached
             left.append(member[np.repeat(size > 1, size) & (reached < width)])
         active = np.concatenate(left)
-    return np.argsort(pointer, kind="stable"), pointer.astype(np.int64)
+    return (np.sort((pointer << bits) | np.arange(n, dtype=np.uint64)) & low).astype(np.int64), pointer.astype(np.int64)
 
 
 def repeated_places(text: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
@@ -107,29 +107,25 @@ def repeated_places(text: np.ndarray, length: np.ndarray, width: int) -> np.ndar
 
 
 def _index(pieces: list[tuple], spec: Spec) -> Batches:
-    """Pieces of several routes are suffix-sorted together. Of pieces of one route that are equal as a whole two go into the array, and
-    further ones share what it says of them."""
+    """Pieces of several routes are suffix-sorted together, each distinct one once. Pieces of one route that are equal as a whole (copies that
+    different tasks sent) are repeats of each other already, and stand in the array for what others share with them."""
     own: list[list[tuple]] = []
     for _, route in groupby(pieces, key=lambda p: p[0]):
         same: dict[bytes, list[tuple]] = {}
         for p in route:
             same.setdefault(p[5], []).append(p)
         own += same.values()
-    entries = [(k, c[5]) for k, copies in enumerate(own) for c in copies[:2]]
-    length = np.array([len(b) for _, b in entries])
+    length = np.array([len(copies[0][5]) for copies in own])
     end = np.cumsum(length)
-    found = repeated_places(np.frombuffer(b"".join(b for _, b in entries), np.uint8), length, spec.width).astype(np.int8)
-    rows: list[tuple] = []
+    found = repeated_places(np.frombuffer(b"".join(copies[0][5] for copies in own), np.uint8), length, spec.width).astype(np.int8)
+    rows = [p[1:5] for copies in own if len(copies) > 1 for p in copies]
     edge = np.flatnonzero(np.diff(found, prepend=0, append=0))
     lo, hi = edge[::2], edge[1::2]
     at = np.searchsorted(end, lo, "right")
-    last = -1
     for e, s, n in zip(at.tolist(), (lo - (end - length)[at]).tolist(), (hi - lo).tolist(), strict=True):
-        if entries[e][0] == last and e != first:
-            continue  # the second of two equal pieces
-        if entries[e][0] != last:
-            first, last = e, entries[e][0]
-        rows += [(key, twin, start + s, n) for _, key, twin, start, _, _ in own[last]]
+        if len(own[e]) == 1:
+            _, key, twin, start, _, _ = own[e][0]
+            rows.append((key, twin, start + s, n))
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RUN, strict=True)], schema=RUN)
 
