@@ -15,6 +15,7 @@ from coilwave.operators import catalog as C
 from coilwave.operators import kernels as K
 from coilwave.operators import lockin as L
 from coilwave.operators import overlap as O
+from coilwave.operators import pairs as P
 from coilwave.operators import series as S
 from coilwave.operators import spectral as X
 
@@ -305,6 +306,21 @@ def mean_waveform(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(S.mean_per_phase(_events(spark, folder), ["user_id"], ORDER, "value", 6.5, 8, 3.0), "mean", digits=10)
 
 
+def window_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of 8 samples of each user's series, and those half a window later, at one turn a window."""
+    return _rounded(P.bin_sums(S.indexed(_events(spark, folder), ["user_id"], ORDER), ["user_id"], "i", "value", 8, 1 / 8, halves=True), "re", "im")
+
+
+def pair_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Views as a transmitter and clicks as a receiver: each user's first, second, ... of either side by side, 4 samples a cycle."""
+    own = S.indexed(_events(spark, folder).where(F.col("event_type").isin("view", "click")), ["user_id", "event_type"], ORDER)
+    side = lambda kind, n: own.where(F.col("event_type") == kind).select(F.col("user_id").alias("pair"), "i", F.col("value").alias(n))
+    samples = side("view", "tx").join(side("click", "rx"), ["pair", "i"])
+    settings = samples.select("pair").distinct().select("pair", F.lit(16.0).alias("rate"), F.lit(4.0).alias("frequency"))
+    got = P.checks(samples, settings, 80.0, 70.0)
+    return got.select("pair", "num_samples", "num_nans", "min_current", "max_current", "num_clips", "clip_first", F.col("clip_free").cast("long").alias("clip_free"), "num_cycles", "signal_duration", "max_clipfree_tx_cycles", "enough")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -313,7 +329,7 @@ QUERIES = {
         dedup_first, date_subset, gps_to_utc, mountain_time, dft_bin, dft_bins, window_dft, embedding_dft, ls_tf, ls_cov, mean_cov, huber_norm, on_time_offset,
         on_time_offset_signed, on_time_mask, rotate3, utm_projection, unpivot_harmonics, cal_interp, quality_counts, commonest_and_range, station_codes, record_check,
         regression_m, notch_filter, autocorr_period, waveform_average, lockin, resample,
-        mean_waveform,
+        mean_waveform, window_sums, pair_checks,
     )
 }
 
@@ -343,6 +359,23 @@ _RESAMPLED = f"""
     q AS (SELECT t.user_id, p // 8 AS cycle, (p % 8)::INTEGER AS phase, a.v + coalesce((b.v - a.v) * (t - t.i), 0) AS value FROM t JOIN s a ON a.user_id = t.user_id AND a.i = t.i LEFT JOIN s b ON b.user_id = t.user_id AND b.i = t.i + 1)
 """
 ORACLE = {
+    "window_sums": f"""
+        WITH s AS (SELECT user_id, value AS v, row_number() {_W} - 1 AS i FROM events),
+        w AS (SELECT user_id, v, (i // 8) * 2 AS win, i % 8 AS p FROM s UNION ALL SELECT user_id, v, ((i - 4) // 8) * 2 + 1, (i - 4) % 8 FROM s WHERE i >= 4)
+        SELECT user_id, win, count(v) AS n, round(sum(v * cos(pi() * p / 4)), 6) + 0.0 AS re, round(-sum(v * sin(pi() * p / 4)), 6) + 0.0 AS im
+        FROM w GROUP BY user_id, win HAVING count(*) = 8
+    """,
+    "pair_checks": """
+        WITH o AS (SELECT user_id AS pair, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS i FROM events WHERE event_type IN ('view', 'click')),
+        s AS (SELECT t.pair, t.i, t.value AS tx, r.value AS rx, abs(t.value) >= 80 OR abs(r.value) >= 70 AS clip FROM o t JOIN o r ON r.pair = t.pair AND r.i = t.i AND r.event_type = 'click' WHERE t.event_type = 'view'),
+        g AS (SELECT *, i - row_number() OVER (PARTITION BY pair ORDER BY i) AS run FROM s WHERE NOT clip),
+        f AS (SELECT pair, min(i) AS first, count(*) AS n FROM g GROUP BY pair, run),
+        b AS (SELECT pair, first, n, row_number() OVER (PARTITION BY pair ORDER BY n DESC, first) AS k FROM f),
+        c AS (SELECT pair, count(*) AS num_samples, min(tx) AS min_current, max(tx) AS max_current, count(*) FILTER (clip) AS num_clips FROM s GROUP BY pair)
+        SELECT c.pair, num_samples, 0::BIGINT AS num_nans, min_current, max_current, num_clips, b.first AS clip_first, coalesce(b.n, 0) AS clip_free, num_samples // 4 AS num_cycles,
+            num_samples / 16.0::DOUBLE AS signal_duration, coalesce(b.n, 0) / 16.0::DOUBLE * 4 AS max_clipfree_tx_cycles, num_clips = 0 OR coalesce(b.n, 0) / 16.0::DOUBLE * 4 >= 3 AS enough
+        FROM c LEFT JOIN b ON b.pair = c.pair AND b.k = 1
+    """,
     "tf_minimal": f"""
         WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS i, value - avg(value) OVER (PARTITION BY user_id, event_type) AS v
             FROM events WHERE event_type IN ('view', 'click')),
