@@ -359,6 +359,18 @@ _RESAMPLED = f"""
     q AS (SELECT t.user_id, p // 8 AS cycle, (p % 8)::INTEGER AS phase, a.v + coalesce((b.v - a.v) * (t - t.i), 0) AS value FROM t JOIN s a ON a.user_id = t.user_id AND a.i = t.i LEFT JOIN s b ON b.user_id = t.user_id AND b.i = t.i + 1)
 """
 ORACLE = {
+    "utm_projection": """
+        WITH c AS (SELECT 1 / 298.257223563::DOUBLE / (2 - 1 / 298.257223563::DOUBLE) AS n),
+        k AS (SELECT 0.9996 * 6378137 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS scale, 2 * sqrt(n) / (1 + n) AS e,
+            [n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16, 13 * n ** 2 / 48 - 3 * n ** 3 / 5, 61 * n ** 3 / 240] AS a FROM c),
+        p AS (SELECT c_custkey, c_custkey % 60 + 0.25::DOUBLE AS lat, c_custkey * 7 % 50 / 10::DOUBLE - 107.5::DOUBLE AS lon FROM customer),
+        t AS (SELECT p.*, k.*, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t, radians(lon + 105) AS l FROM p, k),
+        x AS (SELECT *, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t ** 2)) AS eta FROM t)
+        SELECT c_custkey, round(500000 + scale * (eta + a[1] * cos(2 * xi) * sinh(2 * eta) + a[2] * cos(4 * xi) * sinh(4 * eta) + a[3] * cos(6 * xi) * sinh(6 * eta)), 3) + 0.0 AS easting,
+            round(scale * (xi + a[1] * sin(2 * xi) * cosh(2 * eta) + a[2] * sin(4 * xi) * cosh(4 * eta) + a[3] * sin(6 * xi) * cosh(6 * eta)), 3) + 0.0 AS northing,
+            round(6378137 * radians(lon), 3) + 0.0 AS x, round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2)), 3) + 0.0 AS y
+        FROM x
+    """,
     "window_sums": f"""
         WITH s AS (SELECT user_id, value AS v, row_number() {_W} - 1 AS i FROM events),
         w AS (SELECT user_id, v, (i // 8) * 2 AS win, i % 8 AS p FROM s UNION ALL SELECT user_id, v, ((i - 4) // 8) * 2 + 1, (i - 4) % 8 FROM s WHERE i >= 4)
