@@ -32,6 +32,11 @@ def to_local(utc: Column, zone: str = "America/Denver") -> Column:
     return F.from_utc_timestamp(utc.cast("timestamp"), zone).cast("timestamp_ntz")
 
 
+def week_seconds_to_local(week: Column, seconds: Column, zone: str = "America/Denver") -> Column:
+    """Wall clock time from GPS week and seconds of the week, fractions kept."""
+    return to_local(week_seconds_to_utc(week, seconds), zone)
+
+
 def sample_times(start: Column, end: Column, n: Column) -> Column:
     """n evenly spaced timestamps from start to end, both included."""
     a, b = F.unix_micros(start.cast("timestamp")), F.unix_micros(end.cast("timestamp"))

@@ -62,6 +62,10 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "").try_cast("long")
 
 
+def without_digits(text: Column) -> Column:
+    return F.regexp_replace(text, r"\d", "")
+
+
 def offsets(xyz: Column) -> Column:
     """A text `x:y:z` as a struct of numbers."""
     parts = F.split(xyz, ":")

@@ -64,6 +64,35 @@ def per_series(df: DataFrame, keys: list[str], order: list[str], value: str, out
     return _series(df, keys, order, value, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]), result)
 
 
+def spectrum(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """(keys, n, k, re, im): the Fourier sums of whole series of n samples at k / n cycles a sample, for k up to n / 2. A series with a missing
+    sample has null sums: fill it first. Keys have other names than these columns."""
+    out = T.StructType([*[df.schema[k] for k in keys], T.StructField("n", T.LongType()), T.StructField("k", T.LongType()), T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])
+
+    def result(rows: pa.RecordBatch, first: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+        sums = [np.fft.rfft(x) for x in values]
+        sizes = np.array([len(s) for s in sums])
+        own = rows.select(keys).take(pa.array(np.repeat(first, sizes)))
+        c = np.concatenate(sums)
+        added = (np.repeat([len(x) for x in values], sizes), np.concatenate([np.arange(m) for m in sizes.tolist()]), c.real, c.imag)
+        return pa.RecordBatch.from_arrays([*own.columns, *[pa.array(a, from_pandas=True) for a in added]], names=out.names)
+
+    return _series(df.select(*{*keys, *order, value}), keys, order, value, out, result)
+
+
+def series_of(sums: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, i, value): the series of which spectrum() gives these sums (keys, n, k, re, im)."""
+    out = T.StructType([*[sums.schema[k] for k in keys], T.StructField("i", T.LongType()), T.StructField(value, T.DoubleType())])
+
+    def result(rows: pa.RecordBatch, first: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = rows.column("n").to_numpy()[first]
+        own = rows.select(keys).take(pa.array(np.repeat(first, sizes)))
+        back = np.concatenate([np.fft.irfft(c[0] + 1j * c[1], n) for c, n in zip(values, sizes.tolist(), strict=True)])
+        return pa.RecordBatch.from_arrays([*own.columns, pa.array(np.concatenate([np.arange(n) for n in sizes.tolist()])), pa.array(back, from_pandas=True)], names=out.names)
+
+    return _series(sums.select(*keys, "n", "k", F.array("re", "im").alias("_c")), keys, ["k"], "_c", out, result)
+
+
 def notch_coefficients(frequency: float, rate: float, bandwidth: float) -> tuple[np.ndarray, np.ndarray]:
     """Second-order notch: zeros on the unit circle at the frequency, gain 1 far from it, half power at +- bandwidth / 2."""
     w, half = 2 * math.pi * frequency / rate, math.tan(math.pi * bandwidth / rate)

@@ -4,6 +4,9 @@ Every window is partitioned by the series, so series are spread over the tasks a
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +60,18 @@ def running_mean_fractional(df: DataFrame, keys: list[str], order: list[str], va
     return df.withColumn(out, mean)
 
 
+def windowed_mean(df: DataFrame, keys: list[str], order: list[str], value: str, weights: list[float], out: str = "mean", mask: str | None = None) -> DataFrame:
+    """Mean over a window of any shape: of m weights, that of place k (from 0) belongs to the sample (m - 1) // 2 - k places further on.
+    Missing samples count nowhere, and `mask` weighs samples (0: not at all). Where no sample counts: null."""
+    w = _window(keys, order)
+    each = F.when(F.col(value).isNotNull(), F.lit(1.0) if mask is None else F.coalesce(F.col(mask).cast("double"), F.lit(0.0))).otherwise(0.0)
+    own = df.withColumns({"_m": each, "_x": F.coalesce(F.col(value).cast("double"), F.lit(0.0)) * each})
+    zero = F.lit(0.0)
+    places = [((len(weights) - 1) // 2 - k, float(g)) for k, g in enumerate(weights) if g]
+    total, count = (reduce(Column.__add__, [F.coalesce(F.lead(c, o).over(w), zero) * g for o, g in places], zero) for c in ("_x", "_m"))
+    return own.withColumns({"_t": total, "_c": count}).withColumn(out, F.col("_t") / F.nullif("_c", zero)).drop("_m", "_x", "_t", "_c")
+
+
 def demean(df: DataFrame, keys: list[str], order: list[str], value: str, n: float, out: str = "demeaned") -> DataFrame:
     """The value less its centred mean over n samples; null at the edges."""
     return running_mean_fractional(df, keys, order, value, n, "_m").withColumn(out, F.col(value) - F.col("_m")).drop("_m")
@@ -140,6 +155,14 @@ def runs(df: DataFrame, keys: list[str], order: list[str], flag: Column) -> Data
     return own.withColumn("_g", island).groupBy(*keys, "_g").agg(F.min("_i").alias("first"), F.max("_i").alias("last"), F.count("*").alias("n")).drop("_g")
 
 
+def gap_statistics(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """(keys, n, n_missing, share, first, n_free): samples, missing ones and their share, and the longest run without one (null and 0 if all are missing)."""
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(~known).alias("n_missing"))
+    runs_of = longest_run(df, keys, order, known).select(*keys, "first", F.col("n").alias("_free"))
+    return sums.join(runs_of, keys, "left").select(*keys, "n", "n_missing", (F.col("n_missing") / F.col("n")).alias("share"), "first", F.coalesce("_free", F.lit(0)).cast("long").alias("n_free"))
+
+
 def longest_run(df: DataFrame, keys: list[str], order: list[str], flag: Column) -> DataFrame:
     """(keys, first, n): the longest run, the first of equally long ones. Series without a run have no row."""
     best = F.max(F.struct(F.col("n"), (-F.col("first")).alias("f")))
@@ -160,6 +183,23 @@ def folded(df: DataFrame, index: str, period: int, shift: int = 0) -> DataFrame:
     return df.withColumns({"cycle": F.floor(i / period).cast("long"), "phase": F.pmod(i, F.lit(period)).cast("long")})
 
 
+def reshaped(df: DataFrame, keys: list[str], order: list[str], value: str, period: int, shift: int | None = None, keep: bool = False, out: str = "value") -> DataFrame:
+    """(keys, cycle, phase, out): the series as rows of whole cycles. The first cycle begins at `shift`, by default so late that the last sample ends
+    one; what is left over goes, or with keep is a cycle filled up with nulls."""
+    w = _window(keys, order)
+    own = indexed(df, keys, order, "_i").select(*keys, "_i", F.col(value).alias("_v"), F.lead(F.lit(1)).over(w).isNull().alias("_last"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
+    own = own.withColumn("_s", F.col("_n") % period if shift is None else F.lit(shift % period))
+    if not keep:
+        place = F.col("_i") - F.col("_s")
+        own = own.withColumn("_p", place).where((place >= 0) & (F.floor(place / period) < F.floor((F.col("_n") - F.col("_s")) / period)))
+    else:
+        own = own.withColumn("_at", F.col("_i") + F.pmod(-F.col("_s"), F.lit(period)))
+        end = F.when(F.col("_last"), (F.floor(F.col("_at") / period) + 1) * period - 1).otherwise(F.col("_at"))
+        own = own.withColumn("_p", F.explode(F.sequence(F.when(F.col("_i") == 0, F.lit(0).cast("long")).otherwise(F.col("_at")), end)))
+        own = own.withColumn("_v", F.when(F.col("_p") == F.col("_at"), F.col("_v")))
+    return own.select(*keys, F.floor(F.col("_p") / period).cast("long").alias("cycle"), (F.col("_p") % period).cast("int").alias("phase"), F.col("_v").alias(out))
+
+
 def robust_running_mean(df: DataFrame, keys: list[str], order: list[str], value: str, n: int, p: float = 0.05, out: str = "mean") -> DataFrame:
     """Running mean over n samples after each phase of n has been winsorized over all cycles; edges repeat the nearest full mean."""
     own = folded(indexed(df, keys, order, "_i"), "_i", n)
@@ -222,3 +262,32 @@ def resampled(df: DataFrame, keys: list[str], order: list[str], value: str, samp
 def mean_per_phase(df: DataFrame, keys: list[str], order: list[str], value: str, samples: float, phases: int, offset: float = 0.0) -> DataFrame:
     """(keys, phase, mean): the mean waveform of a series that repeats every `samples` samples."""
     return resampled(df, keys, order, value, samples, phases, offset).groupBy(*keys, "phase").agg(F.avg("value").alias("mean"))
+
+
+def unresampled(cells: DataFrame, keys: list[str], sizes: DataFrame, samples: float, phases: int, offset: float = 0.0, value: str = "value") -> DataFrame:
+    """(keys, i, value): what resampled() gave, or a waveform in its cells, read back by straight lines at the samples i < n of each series; sizes: (keys, n).
+
+    Beyond the first and last cell the cells of a period further in are repeated. A sample between cells of which one is null or missing is null;
+    one without a cell before it has no row."""
+    step = samples / phases
+    whole = Window.partitionBy(*keys)
+    own = cells.select(*keys, (F.col("cycle") * phases + F.col("phase")).alias("_p"), F.col(value).alias("_v"))
+    own = own.withColumns({"_lo": F.min("_p").over(whole), "_hi": F.max("_p").over(whole)})
+    own = own.withColumn("_q", F.explode(F.array_compact(F.array(F.col("_p"), F.when(F.col("_p") < F.col("_lo") + phases, F.col("_p") - phases), F.when(F.col("_p") > F.col("_hi") - phases, F.col("_p") + phases)))))
+    w = whole.orderBy("_q")
+    own = own.withColumns({"_next": F.when(F.lead("_q").over(w) == F.col("_q") + 1, F.lead("_v").over(w))}).join(sizes.select(*keys, F.col("n").alias("_n")), keys)
+    first = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("_q") * step - offset).cast("long"))
+    last = F.least(F.col("_n").cast("long"), F.ceil((F.col("_q") + 1) * step - offset).cast("long")) - 1
+    own = own.withColumns({"_first": first, "_end": last}).where("_first <= _end").withColumn("i", F.explode(F.sequence("_first", "_end")))
+    part = (F.col("i") + offset) / step - F.col("_q")
+    return own.select(*keys, "i", F.when(part == 0, F.col("_v")).otherwise(F.col("_v") + (F.col("_next") - F.col("_v")) * part).alias(value))
+
+
+def running_waveform(df: DataFrame, keys: list[str], order: list[str], value: str, samples: float, phases: int, periods: int, offset: float = 0.0) -> DataFrame:
+    """(keys, i, value): at each sample the waveform that repeats around it, each phase averaged over `periods` periods with a Hann weight; missing
+    samples, and places beside one, count nowhere."""
+    hann = [0.5 - 0.5 * math.cos(2 * math.pi * k / (periods + 1)) for k in range(periods + 2)]
+    hann[0] = hann[-1] = 0.0
+    cells = windowed_mean(resampled(df, keys, order, value, samples, phases, offset), [*keys, "phase"], ["cycle"], "value", hann, "_mean")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return unresampled(cells.select(*keys, "cycle", "phase", F.col("_mean").alias("value")), keys, sizes, samples, phases, offset)

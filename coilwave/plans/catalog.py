@@ -18,40 +18,28 @@ from coilwave.operators import overlap as O
 from coilwave.operators import pairs as P
 from coilwave.operators import series as S
 from coilwave.operators import spectral as X
-
-ORDER = ["ts", "event_id"]
-
-
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value")
-
-
-def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
+from coilwave.plans import steps
+from coilwave.plans.tables import ORDER, OVER, RESAMPLED, events, rounded, table
 
 
 def tf_minimal(spark: SparkSession, folder: str) -> DataFrame:
     """Transfer function per user from views (transmitter) to clicks (receiver): windows of 4, hop 2, bin 1, at most 5 windows."""
-    ev = _events(spark, folder).where(F.col("event_type").isin("view", "click"))
+    ev = events(spark, folder).where(F.col("event_type").isin("view", "click"))
     own = S.indexed(ev, ["user_id", "event_type"], ORDER).withColumn("v", F.col("value") - F.avg("value").over(Window.partitionBy("user_id", "event_type")))
     bins = X.windowed_bins(own.where("i < 12"), ["user_id", "event_type"], "i", "v", 4, 2, [1])
     side = lambda kind, n: bins.where(F.col("event_type") == kind).select("user_id", "win", F.col("re").alias(f"{n}_re"), F.col("im").alias(f"{n}_im"))
     h = X.least_squares(side("view", "t").join(side("click", "r"), ["user_id", "win"]), ["user_id"]).where("n > 1")
-    return _rounded(h.select("user_id", "n", "re", "im", "v"), "re", "im", "v")
+    return rounded(h.select("user_id", "n", "re", "im", "v"), "re", "im", "v")
 
 
 def tf_windows(spark: SparkSession, folder: str) -> DataFrame:
     """tf_minimal over all windows of each series."""
-    ev = _events(spark, folder).where(F.col("event_type").isin("view", "click"))
+    ev = events(spark, folder).where(F.col("event_type").isin("view", "click"))
     own = S.indexed(ev, ["user_id", "event_type"], ORDER).withColumn("v", F.col("value") - F.avg("value").over(Window.partitionBy("user_id", "event_type")))
     bins = X.windowed_bins(own, ["user_id", "event_type"], "i", "v", 4, 2, [1])
     side = lambda kind, n: bins.where(F.col("event_type") == kind).select("user_id", "win", F.col("re").alias(f"{n}_re"), F.col("im").alias(f"{n}_im"))
     h = X.least_squares(side("view", "t").join(side("click", "r"), ["user_id", "win"]), ["user_id"]).where("n > 1")
-    return _rounded(h.select("user_id", "n", "re", "im", "v"), "re", "im", "v")
+    return rounded(h.select("user_id", "n", "re", "im", "v"), "re", "im", "v")
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,74 +47,74 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def running_mean(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(S.running_mean(_events(spark, folder), ["user_id"], ORDER, "value", 4).select("event_id", "mean"), "mean")
+    return rounded(S.running_mean(events(spark, folder), ["user_id"], ORDER, "value", 4).select("event_id", "mean"), "mean")
 
 
 def running_mean_same(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(S.running_mean(_events(spark, folder), ["user_id"], ORDER, "value", 5, edges="same").select("event_id", "mean"), "mean")
+    return rounded(S.running_mean(events(spark, folder), ["user_id"], ORDER, "value", 5, edges="same").select("event_id", "mean"), "mean")
 
 
 def running_mean_long(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(S.running_mean(_events(spark, folder), ["event_type"], ORDER, "value", 101).select("event_id", "mean"), "mean", digits=4)
+    return rounded(S.running_mean(events(spark, folder), ["event_type"], ORDER, "value", 101).select("event_id", "mean"), "mean", digits=4)
 
 
 def running_mean_frac(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(S.running_mean_fractional(_events(spark, folder), ["user_id"], ORDER, "value", 4.5).select("event_id", "mean"), "mean")
+    return rounded(S.running_mean_fractional(events(spark, folder), ["user_id"], ORDER, "value", 4.5).select("event_id", "mean"), "mean")
 
 
 def demean(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(S.demean(_events(spark, folder), ["user_id"], ORDER, "value", 4.5).select("event_id", "demeaned"), "demeaned")
+    return rounded(S.demean(events(spark, folder), ["user_id"], ORDER, "value", 4.5).select("event_id", "demeaned"), "demeaned")
 
 
 def running_median(spark: SparkSession, folder: str) -> DataFrame:
-    return S.running_median(_events(spark, folder), ["user_id"], ORDER, "value", 5).select("event_id", "median")
+    return S.running_median(events(spark, folder), ["user_id"], ORDER, "value", 5).select("event_id", "median")
 
 
 def prewhiten(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(S.prewhiten(_events(spark, folder), ["user_id"], ORDER, "value").select("event_id", "diff"), "diff")
+    return rounded(S.prewhiten(events(spark, folder), ["user_id"], ORDER, "value").select("event_id", "diff"), "diff")
 
 
 def winsorize(spark: SparkSession, folder: str) -> DataFrame:
-    return S.winsorize(_events(spark, folder), ["user_id"], "value", 0.05, ["event_id"]).select("event_id", "clipped")
+    return S.winsorize(events(spark, folder), ["user_id"], "value", 0.05, ["event_id"]).select("event_id", "clipped")
 
 
 def mask_outliers(spark: SparkSession, folder: str) -> DataFrame:
-    return S.winsorize(_events(spark, folder), ["user_id"], "value", 0.1, ["event_id"], mask=True).select("event_id", "clipped")
+    return S.winsorize(events(spark, folder), ["user_id"], "value", 0.1, ["event_id"], mask=True).select("event_id", "clipped")
 
 
 def gap_islands(spark: SparkSession, folder: str) -> DataFrame:
-    return S.sessions(_events(spark, folder), ["user_id"], "ts", ["event_id"], 6 * 3600).select("user_id", F.col("session").cast("long").alias("session"), "n")
+    return S.sessions(events(spark, folder), ["user_id"], "ts", ["event_id"], 6 * 3600).select("user_id", F.col("session").cast("long").alias("session"), "n")
 
 
 def longest_run(spark: SparkSession, folder: str) -> DataFrame:
-    return S.longest_run(_events(spark, folder), ["user_id"], ORDER, F.col("value") < 60)
+    return S.longest_run(events(spark, folder), ["user_id"], ORDER, F.col("value") < 60)
 
 
 def week_rollover(spark: SparkSession, folder: str) -> DataFrame:
-    own = _events(spark, folder).withColumn("sec", F.pmod(F.col("event_id") * 7919, F.lit(604_800)).cast("long"))
+    own = events(spark, folder).withColumn("sec", F.pmod(F.col("event_id") * 7919, F.lit(604_800)).cast("long"))
     return S.week_numbers(own, ["user_id"], ["event_id"], "sec", 1900).select("event_id", F.col("week").cast("long").alias("week"))
 
 
 def _gappy(spark: SparkSession, folder: str) -> DataFrame:
-    own = S.indexed(_events(spark, folder), ["user_id"], ORDER)
+    own = S.indexed(events(spark, folder), ["user_id"], ORDER)
     return own.withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
 
 
 def interp_edge_hold(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(S.interpolate(_gappy(spark, folder), ["user_id"], ["i"], "i", "value").select("event_id", "filled"), "filled")
+    return rounded(S.interpolate(_gappy(spark, folder), ["user_id"], ["i"], "i", "value").select("event_id", "filled"), "filled")
 
 
 def interp_linear(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(S.interpolate(_gappy(spark, folder), ["user_id"], ["i"], "i", "value", ends="extend").select("event_id", "filled"), "filled")
+    return rounded(S.interpolate(_gappy(spark, folder), ["user_id"], ["i"], "i", "value", ends="extend").select("event_id", "filled"), "filled")
 
 
 def unwrap_phase(spark: SparkSession, folder: str) -> DataFrame:
-    own = _events(spark, folder).withColumn("phase", F.round(F.pmod(F.col("value"), F.lit(2 * math.pi)), 9))
-    return _rounded(S.unwrap(own, ["user_id"], ORDER, "phase").select("event_id", "unwrapped"), "unwrapped")
+    own = events(spark, folder).withColumn("phase", F.round(F.pmod(F.col("value"), F.lit(2 * math.pi)), 9))
+    return rounded(S.unwrap(own, ["user_id"], ORDER, "phase").select("event_id", "unwrapped"), "unwrapped")
 
 
 def _spans(spark: SparkSession, folder: str, odd: int) -> DataFrame:
-    own = S.sessions(_events(spark, folder).where(F.col("user_id") % 2 == odd), ["user_id"], "ts", ["event_id"], 3 * 3600).where("n > 1")
+    own = S.sessions(events(spark, folder).where(F.col("user_id") % 2 == odd), ["user_id"], "ts", ["event_id"], 3 * 3600).where("n > 1")
     return own.select((F.col("user_id") * 1000 + F.col("session")).cast("long").alias("id"), "start", "end", (F.col("n") > 2).alias("valid"))
 
 
@@ -144,107 +132,107 @@ def full_overlaps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nearest_station(spark: SparkSession, folder: str) -> DataFrame:
-    points = _table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.pmod(F.col("c_custkey") * 37, F.lit(1000)).cast("double").alias("x"), F.pmod(F.col("c_custkey") * 91, F.lit(1000)).cast("double").alias("y"))
-    stations = _table(spark, folder, "nation").select(F.col("n_name").alias("name"), ((F.col("n_nationkey") % 5) * 220 + 50).cast("double").alias("x"), (F.floor(F.col("n_nationkey") / 5) * 220 + 50).cast("double").alias("y"))
+    points = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.pmod(F.col("c_custkey") * 37, F.lit(1000)).cast("double").alias("x"), F.pmod(F.col("c_custkey") * 91, F.lit(1000)).cast("double").alias("y"))
+    stations = table(spark, folder, "nation").select(F.col("n_name").alias("name"), ((F.col("n_nationkey") % 5) * 220 + 50).cast("double").alias("x"), (F.floor(F.col("n_nationkey") / 5) * 220 + 50).cast("double").alias("y"))
     return O.nearest_station(points, stations, 100.0).select("id", "station")
 
 
 def dedup_first(spark: SparkSession, folder: str) -> DataFrame:
-    return C.drop_duplicates(_events(spark, folder), ["user_id", "event_type"], ORDER).select("event_id", "user_id", "event_type")
+    return C.drop_duplicates(events(spark, folder), ["user_id", "event_type"], ORDER).select("event_id", "user_id", "event_type")
 
 
 def date_subset(spark: SparkSession, folder: str) -> DataFrame:
     start, end = (F.lit(x).cast("timestamp_ntz") for x in ("2024-01-05 00:00:00", "2024-01-12 00:00:00"))
-    return _events(spark, folder).where((F.col("ts") >= start) & (F.col("ts") < end)).select("event_id", "ts")
+    return events(spark, folder).where((F.col("ts") >= start) & (F.col("ts") < end)).select("event_id", "ts")
 
 
 def gps_to_utc(spark: SparkSession, folder: str) -> DataFrame:
     week, stamp = F.lit(1950) + F.col("event_id") % 300, F.pmod(F.col("event_id") * 7919, F.lit(604_800)) * 1024 + 512
-    return _events(spark, folder).select("event_id", T.gps_stamp_to_utc(stamp, week).cast("timestamp_ntz").alias("utc"))
+    return events(spark, folder).select("event_id", T.gps_stamp_to_utc(stamp, week).cast("timestamp_ntz").alias("utc"))
 
 
 def mountain_time(spark: SparkSession, folder: str) -> DataFrame:
     at = F.col("o_orderdate").cast("timestamp_ntz")
-    return _table(spark, folder, "orders").select("o_orderkey", T.to_local(at.cast("timestamp")).alias("local"))
+    return table(spark, folder, "orders").select("o_orderkey", T.to_local(at.cast("timestamp")).alias("local"))
 
 
 def dft_bin(spark: SparkSession, folder: str) -> DataFrame:
-    own = S.indexed(_events(spark, folder), ["user_id"], ORDER).where("i < 64")
-    return _rounded(X.dft_bin(own, ["user_id"], "i", "value", 3 / 64), "re", "im")
+    own = S.indexed(events(spark, folder), ["user_id"], ORDER).where("i < 64")
+    return rounded(X.dft_bin(own, ["user_id"], "i", "value", 3 / 64), "re", "im")
 
 
 def dft_bins(spark: SparkSession, folder: str) -> DataFrame:
     """dft_bin over all consecutive windows of 64 of each series; the last one may be shorter."""
-    own = S.indexed(_events(spark, folder), ["user_id"], ORDER).withColumn("win", F.floor(F.col("i") / 64))
-    return _rounded(X.dft_bin(own, ["user_id", "win"], "i", "value", 3 / 64), "re", "im")
+    own = S.indexed(events(spark, folder), ["user_id"], ORDER).withColumn("win", F.floor(F.col("i") / 64))
+    return rounded(X.dft_bin(own, ["user_id", "win"], "i", "value", 3 / 64), "re", "im")
 
 
 def window_dft(spark: SparkSession, folder: str) -> DataFrame:
-    own = S.indexed(_events(spark, folder), ["user_id"], ORDER)
-    return _rounded(X.windowed_bins(own, ["user_id"], "i", "value", 8, 4, [1, 3]), "re", "im")
+    own = S.indexed(events(spark, folder), ["user_id"], ORDER)
+    return rounded(X.windowed_bins(own, ["user_id"], "i", "value", 8, 4, [1, 3]), "re", "im")
 
 
 def embedding_dft(spark: SparkSession, folder: str) -> DataFrame:
-    emb = _table(spark, folder, "embeddings")
+    emb = table(spark, folder, "embeddings")
     key = emb.columns[0]
     long = emb.select(F.col(key).alias("id"), F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    return _rounded(X.dft_bin(long, ["id"], "i", "v", 3 / 64), "re", "im", digits=5)
+    return rounded(X.dft_bin(long, ["id"], "i", "v", 3 / 64), "re", "im", digits=5)
 
 
 def _complex_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    ev = _events(spark, folder)
+    ev = events(spark, folder)
     return ev.select("event_type", F.col("value").alias("t_re"), (F.pmod(F.col("event_id"), F.lit(17)) - 8.0).alias("t_im"), F.pmod(F.col("event_id") * 3, F.lit(23)).cast("double").alias("r_re"), (F.col("value") / 2 - 5).alias("r_im"))
 
 
 def ls_tf(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(X.least_squares(_complex_pairs(spark, folder), ["event_type"]), "re", "im", "v")
+    return rounded(X.least_squares(_complex_pairs(spark, folder), ["event_type"]), "re", "im", "v")
 
 
 def ls_cov(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(X.least_squares_cov(_complex_pairs(spark, folder), ["event_type"]), "re", "im", "c_rr", "c_ri", "c_ii", digits=8)
+    return rounded(X.least_squares_cov(_complex_pairs(spark, folder), ["event_type"]), "re", "im", "c_rr", "c_ri", "c_ii", digits=8)
 
 
 def mean_cov(spark: SparkSession, folder: str) -> DataFrame:
     own = _complex_pairs(spark, folder).select("event_type", F.col("t_re").alias("h_re"), F.col("t_im").alias("h_im"))
-    return _rounded(X.mean_cov(own, ["event_type"]), "re", "im", "c_rr", "c_ri", "c_ii", digits=4)
+    return rounded(X.mean_cov(own, ["event_type"]), "re", "im", "c_rr", "c_ri", "c_ii", digits=4)
 
 
 def huber_norm(spark: SparkSession, folder: str) -> DataFrame:
-    stats = _events(spark, folder).groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+    stats = events(spark, folder).groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
     r = (F.col("value") - F.col("m")) / F.col("s")
-    own = _events(spark, folder).join(stats, "event_type").groupBy("event_type").agg(F.sum(X.huber_loss(r)).alias("norm"), F.avg(X.huber_weight(r)).alias("weight"))
-    return _rounded(own, "norm", "weight", digits=4)
+    own = events(spark, folder).join(stats, "event_type").groupBy("event_type").agg(F.sum(X.huber_loss(r)).alias("norm"), F.avg(X.huber_weight(r)).alias("weight"))
+    return rounded(own, "norm", "weight", digits=4)
 
 
 def on_time_offset(spark: SparkSession, folder: str) -> DataFrame:
-    return S.on_time_offset(_events(spark, folder), ["user_id"], ORDER, "value", 16, digits=6)
+    return S.on_time_offset(events(spark, folder), ["user_id"], ORDER, "value", 16, digits=6)
 
 
 def on_time_offset_signed(spark: SparkSession, folder: str) -> DataFrame:
-    return S.on_time_offset(_events(spark, folder), ["user_id"], ORDER, "value", 16, signed=True, digits=6)
+    return S.on_time_offset(events(spark, folder), ["user_id"], ORDER, "value", 16, signed=True, digits=6)
 
 
 def on_time_mask(spark: SparkSession, folder: str) -> DataFrame:
-    own = S.indexed(_events(spark, folder), ["user_id"], ORDER)
+    own = S.indexed(events(spark, folder), ["user_id"], ORDER)
     return own.select("event_id", S.near_edges(F.col("i"), F.lit(3), 8, 2, 3).alias("masked"))
 
 
 def rotate3(spark: SparkSession, folder: str) -> DataFrame:
-    li = _table(spark, folder, "part").select("p_partkey", *[(F.pmod(F.col("p_partkey") * k, F.lit(20)) + b).cast("double").alias(n) for n, k, b in (("a", 3, 25), ("b", 7, 25), ("c", 11, 25))])
+    li = table(spark, folder, "part").select("p_partkey", *[(F.pmod(F.col("p_partkey") * k, F.lit(20)) + b).cast("double").alias(n) for n, k, b in (("a", 3, 25), ("b", 7, 25), ("c", 11, 25))])
     m = G.triaxial_to_geographic(F.col("a"), F.col("b"), F.col("c"), F.lit(9.5), "deg")
     x, y, z = G.applied(m, F.lit(100.0), F.col("a"), F.lit(-30.0))
-    return _rounded(li.select("p_partkey", x.alias("x"), y.alias("y"), z.alias("z"), G.azimuths(m, "deg")[1].alias("azimuth")), "x", "y", "z", "azimuth")
+    return rounded(li.select("p_partkey", x.alias("x"), y.alias("y"), z.alias("z"), G.azimuths(m, "deg")[1].alias("azimuth")), "x", "y", "z", "azimuth")
 
 
 def utm_projection(spark: SparkSession, folder: str) -> DataFrame:
-    own = _table(spark, folder, "customer").select("c_custkey", (F.pmod(F.col("c_custkey"), F.lit(60)) + 0.25).alias("lat"), (F.pmod(F.col("c_custkey") * 7, F.lit(50)) / 10 - 107.5).alias("lon"))
+    own = table(spark, folder, "customer").select("c_custkey", (F.pmod(F.col("c_custkey"), F.lit(60)) + 0.25).alias("lat"), (F.pmod(F.col("c_custkey") * 7, F.lit(50)) / 10 - 107.5).alias("lon"))
     e, n = G.utm(F.col("lat"), F.col("lon"))
     wx, wy = G.web_mercator(F.col("lat"), F.col("lon"))
-    return _rounded(own.select("c_custkey", e.alias("easting"), n.alias("northing"), wx.alias("x"), wy.alias("y")), "easting", "northing", "x", "y", digits=3)
+    return rounded(own.select("c_custkey", e.alias("easting"), n.alias("northing"), wx.alias("x"), wy.alias("y")), "easting", "northing", "x", "y", digits=3)
 
 
 def unpivot_harmonics(spark: SparkSession, folder: str) -> DataFrame:
-    li = _table(spark, folder, "supplier").select(
+    li = table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("CARDSNX"), F.lit(4096.0).alias("ADFREQ"), (F.col("s_suppkey") % 8 + 1).cast("double").alias("CALFREQ"),
         *[(F.col("s_suppkey") * h).cast("double").alias(f"MAG{h}") for h in (1, 3, 5, 7, 9)], *[(F.col("s_suppkey") - h).cast("double").alias(f"PHASE{h}") for h in (1, 3, 5, 7, 9)],
     )
@@ -252,68 +240,68 @@ def unpivot_harmonics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cal_interp(spark: SparkSession, folder: str) -> DataFrame:
-    knots = _table(spark, folder, "nation").select(F.col("n_regionkey").alias("k"), (F.col("n_nationkey") * 10).cast("double").alias("f"), F.pmod(F.col("n_nationkey") * 7, F.lit(11)).cast("double").alias("mag"))
-    points = _table(spark, folder, "customer").select("c_custkey", (F.col("c_nationkey") % 5).alias("k"), F.pmod(F.col("c_custkey") * 3, F.lit(300)).cast("double").alias("f"))
-    return _rounded(C.interpolated(points, knots, ["k"], "f", "mag", "m").select("c_custkey", "m"), "m")
+    knots = table(spark, folder, "nation").select(F.col("n_regionkey").alias("k"), (F.col("n_nationkey") * 10).cast("double").alias("f"), F.pmod(F.col("n_nationkey") * 7, F.lit(11)).cast("double").alias("mag"))
+    points = table(spark, folder, "customer").select("c_custkey", (F.col("c_nationkey") % 5).alias("k"), F.pmod(F.col("c_custkey") * 3, F.lit(300)).cast("double").alias("f"))
+    return rounded(C.interpolated(points, knots, ["k"], "f", "mag", "m").select("c_custkey", "m"), "m")
 
 
 def quality_counts(spark: SparkSession, folder: str) -> DataFrame:
-    own = C.flag_original(_events(spark, folder), ["user_id", "event_type"], ORDER)
+    own = C.flag_original(events(spark, folder), ["user_id", "event_type"], ORDER)
     return C.quality_counts(own, ["event_type"], copies=~F.col("original"), small=F.col("value") < 10)
 
 
 def commonest_and_range(spark: SparkSession, folder: str) -> DataFrame:
-    ev = _events(spark, folder)
-    return C.commonest(ev, ["user_id"], "event_type", "usual").join(_rounded(C.padded_range(ev, ["user_id"], "ts", "ts"), "low", "high", digits=3), "user_id")
+    ev = events(spark, folder)
+    return C.commonest(ev, ["user_id"], "event_type", "usual").join(rounded(C.padded_range(ev, ["user_id"], "ts", "ts"), "low", "high", digits=3), "user_id")
 
 
 def station_codes(spark: SparkSession, folder: str) -> DataFrame:
-    own = _table(spark, folder, "supplier").select("s_suppkey", F.concat(F.lit("/data/sub"), F.col("s_nationkey").cast("string"), F.when(F.col("s_suppkey") % 3 > 0, "a").otherwise(""), F.lit("/x.z3d")).alias("path"))
+    own = table(spark, folder, "supplier").select("s_suppkey", F.concat(F.lit("/data/sub"), F.col("s_nationkey").cast("string"), F.when(F.col("s_suppkey") % 3 > 0, "a").otherwise(""), F.lit("/x.z3d")).alias("path"))
     return C.coded(own.withColumn("station", C.station_of(F.col("path"))), "station", "code").select("s_suppkey", "station", F.col("code").cast("long").alias("code"))
 
 
 def record_check(spark: SparkSession, folder: str) -> DataFrame:
-    own = S.indexed(_events(spark, folder), ["user_id"], ORDER).select(F.col("user_id").alias("file"), (F.col("i") * 100 + F.when(F.col("user_id") % 3 == 0, F.floor(F.col("i") / 10)).otherwise(0)).alias("position"), F.col("i").alias("gps_second"))
+    own = S.indexed(events(spark, folder), ["user_id"], ORDER).select(F.col("user_id").alias("file"), (F.col("i") * 100 + F.when(F.col("user_id") % 3 == 0, F.floor(F.col("i") / 10)).otherwise(0)).alias("position"), F.col("i").alias("gps_second"))
     sized = own.join(own.groupBy("file").agg((F.max("position") + 90).alias("file_size")), "file").withColumn("record_size", F.lit(100))
     return C.check_records(sized)
 
 
 def regression_m(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(K.regression_m(_complex_pairs(spark, folder), ["event_type"]), "re", "im", digits=4)
+    return rounded(K.regression_m(_complex_pairs(spark, folder), ["event_type"]), "re", "im", digits=4)
 
 
 def notch_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(K.notch(_events(spark, folder), ["user_id"], ORDER, "value", 60.0, 4096.0, 0.2).select("event_id", "filtered"), "filtered", digits=4)
+    return rounded(K.notch(events(spark, folder), ["user_id"], ORDER, "value", 60.0, 4096.0, 0.2).select("event_id", "filtered"), "filtered", digits=4)
 
 
 def autocorr_period(spark: SparkSession, folder: str) -> DataFrame:
-    return K.period(_events(spark, folder), ["user_id"], ORDER, "value", 12, 4)
+    return K.period(events(spark, folder), ["user_id"], ORDER, "value", 12, 4)
 
 
 def waveform_average(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(K.waveform_filtered(_events(spark, folder), ["user_id"], ORDER, "value", 6.5, 5).select("event_id", "filtered"), "filtered", digits=4)
+    return rounded(K.waveform_filtered(events(spark, folder), ["user_id"], ORDER, "value", 6.5, 5).select("event_id", "filtered"), "filtered", digits=4)
 
 
 def lockin(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(L.lockin(_events(spark, folder), ["user_id"], ORDER, "value", 16, 480.0, 60.0, 1, 2, 0.05).select("event_id", "filtered"), "filtered", digits=4)
+    return rounded(L.lockin(events(spark, folder), ["user_id"], ORDER, "value", 16, 480.0, 60.0, 1, 2, 0.05).select("event_id", "filtered"), "filtered", digits=4)
 
 
 def resample(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(S.resampled(_events(spark, folder), ["user_id"], ORDER, "value", 6.5, 8, 3.0), "value")
+    return rounded(S.resampled(events(spark, folder), ["user_id"], ORDER, "value", 6.5, 8, 3.0), "value")
 
 
 def mean_waveform(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(S.mean_per_phase(_events(spark, folder), ["user_id"], ORDER, "value", 6.5, 8, 3.0), "mean", digits=10)
+    return rounded(S.mean_per_phase(events(spark, folder), ["user_id"], ORDER, "value", 6.5, 8, 3.0), "mean", digits=10)
 
 
 def window_sums(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of 8 samples of each user's series, and those half a window later, at one turn a window."""
-    return _rounded(P.bin_sums(S.indexed(_events(spark, folder), ["user_id"], ORDER), ["user_id"], "i", "value", 8, 1 / 8, halves=True), "re", "im")
+    return rounded(P.bin_sums(S.indexed(events(spark, folder), ["user_id"], ORDER), ["user_id"], "i", "value", 8, 1 / 8, halves=True), "re", "im")
 
 
 def pair_checks(spark: SparkSession, folder: str) -> DataFrame:
     """Views as a transmitter and clicks as a receiver: each user's first, second, ... of either side by side, 4 samples a cycle."""
-    own = S.indexed(_events(spark, folder).where(F.col("event_type").isin("view", "click")), ["user_id", "event_type"], ORDER)
+    own = S.indexed(events(spark, folder).where(F.col("event_type").isin("view", "click")), ["user_id", "event_type"], ORDER)
     side = lambda kind, n: own.where(F.col("event_type") == kind).select(F.col("user_id").alias("pair"), "i", F.col("value").alias(n))
     samples = side("view", "tx").join(side("click", "rx"), ["pair", "i"])
     settings = samples.select("pair").distinct().select("pair", F.lit(16.0).alias("rate"), F.lit(4.0).alias("frequency"))
@@ -331,9 +319,8 @@ QUERIES = {
         regression_m, notch_filter, autocorr_period, waveform_average, lockin, resample,
         mean_waveform, window_sums, pair_checks,
     )
-}
+} | steps.QUERIES
 
-_W = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
 _SPANS = """
     cut AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 10800000000 THEN 1 ELSE 0 END AS new FROM events),
     named AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM cut),
@@ -344,7 +331,7 @@ _OVERLAP = f"WITH {_SPANS} SELECT tx.id AS tx_id, rx.id AS rx_id, greatest(tx.s,
 _PAIRS = "p AS (SELECT event_type, value AS tr, event_id % 17 - 8.0::DOUBLE AS ti, (event_id * 3 % 23)::DOUBLE AS rr, value / 2 - 5 AS ri FROM events)"
 _H = f"{_PAIRS}, h AS (SELECT event_type, count(*) AS n, sum(tr * tr + ti * ti) AS pw, sum(tr * rr + ti * ri) / sum(tr * tr + ti * ti) AS re, sum(tr * ri - ti * rr) / sum(tr * tr + ti * ti) AS im FROM p GROUP BY event_type)"
 _GAPS = f"""
-    s AS (SELECT event_id, user_id, row_number() {_W} - 1 AS i, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events),
+    s AS (SELECT event_id, user_id, row_number() {OVER} - 1 AS i, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events),
     k AS (SELECT user_id, i, v, row_number() OVER (PARTITION BY user_id ORDER BY i) AS up, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS down FROM s WHERE v IS NOT NULL),
     g AS (SELECT s.*, (SELECT max(i) FROM k WHERE k.user_id = s.user_id AND k.i <= s.i) AS a, (SELECT min(i) FROM k WHERE k.user_id = s.user_id AND k.i >= s.i) AS b FROM s),
     f AS (SELECT g.*, ka.v AS va, kb.v AS vb, f1.i AS i1, f1.v AS v1, f2.i AS i2, f2.v AS v2, l1.i AS j1, l1.v AS w1, l2.i AS j2, l2.v AS w2 FROM g
@@ -352,12 +339,6 @@ _GAPS = f"""
         LEFT JOIN k f1 ON f1.user_id = g.user_id AND f1.up = 1 LEFT JOIN k f2 ON f2.user_id = g.user_id AND f2.up = 2
         LEFT JOIN k l1 ON l1.user_id = g.user_id AND l1.down = 1 LEFT JOIN k l2 ON l2.user_id = g.user_id AND l2.down = 2)
 """
-_RESAMPLED = f"""
-    s AS (SELECT user_id, value AS v, row_number() {_W} - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
-    p AS (SELECT user_id, unnest(range(ceil(3 / 0.8125::DOUBLE)::BIGINT, floor((n + 2) / 0.8125::DOUBLE)::BIGINT + 1)) AS p FROM (SELECT DISTINCT user_id, n FROM s)),
-    t AS (SELECT user_id, p, p * 0.8125::DOUBLE - 3 AS t, floor(p * 0.8125::DOUBLE - 3)::BIGINT AS i FROM p),
-    q AS (SELECT t.user_id, p // 8 AS cycle, (p % 8)::INTEGER AS phase, a.v + coalesce((b.v - a.v) * (t - t.i), 0) AS value FROM t JOIN s a ON a.user_id = t.user_id AND a.i = t.i LEFT JOIN s b ON b.user_id = t.user_id AND b.i = t.i + 1)
-"""
 ORACLE = {
     "utm_projection": """
         WITH c AS (SELECT 1 / 298.257223563::DOUBLE / (2 - 1 / 298.257223563::DOUBLE) AS n),
@@ -372,7 +353,7 @@ ORACLE = {
         FROM x
     """,
     "window_sums": f"""
-        WITH s AS (SELECT user_id, value AS v, row_number() {_W} - 1 AS i FROM events),
+        WITH s AS (SELECT user_id, value AS v, row_number() {OVER} - 1 AS i FROM events),
         w AS (SELECT user_id, v, (i // 8) * 2 AS win, i % 8 AS p FROM s UNION ALL SELECT user_id, v, ((i - 4) // 8) * 2 + 1, (i - 4) % 8 FROM s WHERE i >= 4)
         SELECT user_id, win, count(v) AS n, round(sum(v * cos(pi() * p / 4)), 6) + 0.0 AS re, round(-sum(v * sin(pi() * p / 4)), 6) + 0.0 AS im
         FROM w GROUP BY user_id, win HAVING count(*) = 8
@@ -406,16 +387,16 @@ ORACLE = {
         h AS (SELECT user_id, count(*) AS n, sum(tr * tr + ti * ti) AS pw, sum(tr * rr + ti * ri) / sum(tr * tr + ti * ti) AS re, sum(tr * ri - ti * rr) / sum(tr * tr + ti * ti) AS im FROM p GROUP BY user_id HAVING count(*) > 1)
         SELECT user_id, n, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im, round(sum((rr - (tr * re - ti * im)) ** 2 + (ri - (tr * im + ti * re)) ** 2) / pw / (2 * n - 2), 6) + 0.0 AS v FROM p JOIN h USING (user_id) GROUP BY user_id, n, pw, re, im
     """,
-    "running_mean": f"SELECT event_id, round(CASE WHEN count(*) {_W[:-1]} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) = 4 THEN avg(value) {_W[:-1]} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) END, 6) + 0.0 AS mean FROM events",
+    "running_mean": f"SELECT event_id, round(CASE WHEN count(*) {OVER[:-1]} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) = 4 THEN avg(value) {OVER[:-1]} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) END, 6) + 0.0 AS mean FROM events",
     "running_mean_same": f"""
-        WITH m AS (SELECT event_id, user_id, row_number() {_W} AS i, count(*) OVER (PARTITION BY user_id) AS n, avg(value) {_W[:-1]} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x FROM events)
+        WITH m AS (SELECT event_id, user_id, row_number() {OVER} AS i, count(*) OVER (PARTITION BY user_id) AS n, avg(value) {OVER[:-1]} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x FROM events)
         SELECT a.event_id, round(b.x, 6) + 0.0 AS mean FROM m a LEFT JOIN m b ON b.user_id = a.user_id AND a.n >= 5 AND b.i = least(greatest(a.i, 3), a.n - 2)
     """,
     "running_mean_long": "SELECT event_id, round(CASE WHEN count(*) OVER w = 101 THEN avg(value) OVER w END, 4) + 0.0 AS mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING)",
-    "running_mean_frac": f"SELECT event_id, round((sum(value) {_W[:-1]} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) + 0.75::DOUBLE * (lag(value, 2) {_W} + lead(value, 2) {_W})) / 4.5::DOUBLE, 6) + 0.0 AS mean FROM events",
-    "demean": f"SELECT event_id, round(value - (sum(value) {_W[:-1]} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) + 0.75::DOUBLE * (lag(value, 2) {_W} + lead(value, 2) {_W})) / 4.5::DOUBLE, 6) + 0.0 AS demeaned FROM events",
-    "running_median": f"WITH l AS (SELECT event_id, list_sort(list(value) {_W[:-1]} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS x FROM events) SELECT event_id, x[len(x) // 2 + 1] AS median FROM l",
-    "prewhiten": f"SELECT event_id, round(coalesce(value - lag(value) {_W}, 0), 6) + 0.0 AS diff FROM events",
+    "running_mean_frac": f"SELECT event_id, round((sum(value) {OVER[:-1]} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) + 0.75::DOUBLE * (lag(value, 2) {OVER} + lead(value, 2) {OVER})) / 4.5::DOUBLE, 6) + 0.0 AS mean FROM events",
+    "demean": f"SELECT event_id, round(value - (sum(value) {OVER[:-1]} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) + 0.75::DOUBLE * (lag(value, 2) {OVER} + lead(value, 2) {OVER})) / 4.5::DOUBLE, 6) + 0.0 AS demeaned FROM events",
+    "running_median": f"WITH l AS (SELECT event_id, list_sort(list(value) {OVER[:-1]} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS x FROM events) SELECT event_id, x[len(x) // 2 + 1] AS median FROM l",
+    "prewhiten": f"SELECT event_id, round(coalesce(value - lag(value) {OVER}, 0), 6) + 0.0 AS diff FROM events",
     "winsorize": """
         WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events),
         b AS (SELECT user_id, max(value) FILTER (r = floor(0.05 * n)) AS lo, max(value) FILTER (r = n - floor(0.05 * n) - 1) AS hi FROM r GROUP BY user_id)
@@ -427,11 +408,11 @@ ORACLE = {
         SELECT event_id, CASE WHEN value BETWEEN lo AND hi THEN value END AS clipped FROM events JOIN b USING (user_id)
     """,
     "gap_islands": f"""
-        WITH c AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) {_W}) > 21600000000 THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) {_W} AS session FROM c)
+        WITH c AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) {OVER}) > 21600000000 THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) {OVER} AS session FROM c)
         SELECT user_id, session::BIGINT AS session, count(*) AS n FROM s GROUP BY user_id, session
     """,
     "longest_run": f"""
-        WITH s AS (SELECT user_id, value, row_number() {_W} - 1 AS i FROM events), g AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM s WHERE value < 60),
+        WITH s AS (SELECT user_id, value, row_number() {OVER} - 1 AS i FROM events), g AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM s WHERE value < 60),
         r AS (SELECT user_id, min(i) AS first, count(*) AS n FROM g GROUP BY user_id, g)
         SELECT user_id, first, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) AS k FROM r) WHERE k = 1
     """,
@@ -443,8 +424,8 @@ ORACLE = {
     "interp_linear": f"""WITH {_GAPS} SELECT event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN a IS NULL THEN coalesce(v1 + (v2 - v1) * (i - i1) / (i2 - i1), v1)
         WHEN b IS NULL THEN coalesce(w1 + (w2 - w1) * (i - j1) / (j2 - j1), w1) ELSE va + (vb - va) * (i - a) / (b - a) END, 6) + 0.0 AS filled FROM f""",
     "unwrap_phase": f"""
-        WITH p AS (SELECT event_id, user_id, ts, round(value % (2 * pi()), 9) AS phase FROM events), d AS (SELECT *, phase - lag(phase) {_W} AS s FROM p),
-        t AS (SELECT *, CASE WHEN abs(s) > pi() THEN -round(s / (2 * pi())) ELSE 0 END AS t FROM d) SELECT event_id, round(phase + 2 * pi() * sum(t) {_W}, 6) + 0.0 AS unwrapped FROM t
+        WITH p AS (SELECT event_id, user_id, ts, round(value % (2 * pi()), 9) AS phase FROM events), d AS (SELECT *, phase - lag(phase) {OVER} AS s FROM p),
+        t AS (SELECT *, CASE WHEN abs(s) > pi() THEN -round(s / (2 * pi())) ELSE 0 END AS t FROM d) SELECT event_id, round(phase + 2 * pi() * sum(t) {OVER}, 6) + 0.0 AS unwrapped FROM t
     """,
     "interval_overlap": _OVERLAP,
     "interval_overlap_bucketed": _OVERLAP,
@@ -458,10 +439,10 @@ ORACLE = {
     "date_subset": "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'",
     "gps_to_utc": "SELECT event_id, make_timestamp((315964800 + (1950 + event_id % 300) * 604800 - 18 + event_id * 7919 % 604800) * 1000000 + 500000) AS utc FROM events",
     "mountain_time": "SELECT o_orderkey, (o_orderdate::TIMESTAMP AT TIME ZONE 'UTC') AT TIME ZONE 'America/Denver' AS local FROM orders",
-    "dft_bin": f"WITH s AS (SELECT user_id, value, row_number() {_W} - 1 AS i FROM events) SELECT user_id, count(*) AS n, round(sum(value * cos(2 * pi() * i * 3 / 64)), 6) + 0.0 AS re, round(-sum(value * sin(2 * pi() * i * 3 / 64)), 6) + 0.0 AS im FROM s WHERE i < 64 GROUP BY user_id",
-    "dft_bins": f"WITH s AS (SELECT user_id, value, row_number() {_W} - 1 AS i FROM events) SELECT user_id, i // 64 AS win, count(*) AS n, round(sum(value * cos(2 * pi() * (i % 64) * 3 / 64)), 6) + 0.0 AS re, round(-sum(value * sin(2 * pi() * (i % 64) * 3 / 64)), 6) + 0.0 AS im FROM s GROUP BY user_id, i // 64",
+    "dft_bin": f"WITH s AS (SELECT user_id, value, row_number() {OVER} - 1 AS i FROM events) SELECT user_id, count(*) AS n, round(sum(value * cos(2 * pi() * i * 3 / 64)), 6) + 0.0 AS re, round(-sum(value * sin(2 * pi() * i * 3 / 64)), 6) + 0.0 AS im FROM s WHERE i < 64 GROUP BY user_id",
+    "dft_bins": f"WITH s AS (SELECT user_id, value, row_number() {OVER} - 1 AS i FROM events) SELECT user_id, i // 64 AS win, count(*) AS n, round(sum(value * cos(2 * pi() * (i % 64) * 3 / 64)), 6) + 0.0 AS re, round(-sum(value * sin(2 * pi() * (i % 64) * 3 / 64)), 6) + 0.0 AS im FROM s GROUP BY user_id, i // 64",
     "window_dft": f"""
-        WITH s AS (SELECT user_id, value AS v, row_number() {_W} - 1 AS i FROM events), m AS (SELECT user_id, unnest(range(0, max(i) // 4 + 1)) AS win FROM s GROUP BY user_id),
+        WITH s AS (SELECT user_id, value AS v, row_number() {OVER} - 1 AS i FROM events), m AS (SELECT user_id, unnest(range(0, max(i) // 4 + 1)) AS win FROM s GROUP BY user_id),
         w AS (SELECT user_id, win, v, i - 4 * win AS p FROM m JOIN s USING (user_id) WHERE i >= 4 * win AND i < 4 * win + 8)
         SELECT user_id, win, bin::INTEGER AS bin, round(sum(v * (0.5 - 0.5 * cos(pi() * p / 4)) * cos(pi() * bin * p / 4)) / 4, 6) + 0.0 AS re, round(-sum(v * (0.5 - 0.5 * cos(pi() * p / 4)) * sin(pi() * bin * p / 4)) / 4, 6) + 0.0 AS im
         FROM w, (VALUES (1), (3)) b(bin) GROUP BY user_id, win, bin HAVING count(*) = 8
@@ -477,7 +458,7 @@ ORACLE = {
         WITH s AS (SELECT event_type, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY event_type), r AS (SELECT event_type, abs((value - m) / s) AS r FROM events JOIN s USING (event_type))
         SELECT event_type, round(sum(CASE WHEN r < 1.5 THEN r * r / 2 ELSE 1.5 * r - 1.125 END), 4) + 0.0 AS norm, round(avg(CASE WHEN r <= 1.5 THEN 1 ELSE 1.5 / r END), 4) + 0.0 AS weight FROM r GROUP BY event_type
     """,
-    "on_time_mask": f"WITH s AS (SELECT event_id, row_number() {_W} - 1 AS i FROM events) SELECT event_id, (i - 3 + 8) % 8 < 3 OR (i - 3 + 8) % 8 >= 6 AS masked FROM s",
+    "on_time_mask": f"WITH s AS (SELECT event_id, row_number() {OVER} - 1 AS i FROM events) SELECT event_id, (i - 3 + 8) % 8 < 3 OR (i - 3 + 8) % 8 >= 6 AS masked FROM s",
     "unpivot_harmonics": "SELECT s_suppkey AS CARDSNX, 4096.0::DOUBLE AS ADFREQ, ((s_suppkey % 8 + 1) * h)::DOUBLE AS CALFREQ, (s_suppkey * h)::DOUBLE AS MAG, (s_suppkey - h)::DOUBLE AS PHASE FROM supplier, (VALUES (1), (3), (5), (7), (9)) t(h)",
     "quality_counts": "WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) SELECT event_type, count(*) AS n, count(*) FILTER (k > 1) AS copies, count(*) FILTER (value < 10) AS small FROM f GROUP BY event_type",
     "station_codes": """
@@ -485,13 +466,13 @@ ORACLE = {
         SELECT s_suppkey, station, code FROM s LEFT JOIN c USING (station)
     """,
     "on_time_offset": f"""
-        WITH s AS (SELECT user_id, row_number() {_W} - 1 AS i, abs(lead(value) {_W} - value) AS d, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+        WITH s AS (SELECT user_id, row_number() {OVER} - 1 AS i, abs(lead(value) {OVER} - value) AS d, count(*) OVER (PARTITION BY user_id) AS n FROM events),
         j AS (SELECT user_id, n // 16 AS c, unnest(range(0, n - 8 * (2 * (n // 16) - 1))) AS j FROM (SELECT DISTINCT user_id, n FROM s WHERE n >= 16)),
         r AS (SELECT user_id, j, round(sum(d), 6) AS score FROM j JOIN s USING (user_id) WHERE i - j + 1 BETWEEN 8 AND 8 * (2 * c - 1) AND (i - j + 1) % 8 = 0 GROUP BY user_id, j)
         SELECT user_id, j % 8 AS "offset" FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, j) AS k FROM r) WHERE k = 1
     """,
     "on_time_offset_signed": f"""
-        WITH s AS (SELECT user_id, row_number() {_W} - 1 AS i, lead(value) {_W} - value AS d, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+        WITH s AS (SELECT user_id, row_number() {OVER} - 1 AS i, lead(value) {OVER} - value AS d, count(*) OVER (PARTITION BY user_id) AS n FROM events),
         j AS (SELECT user_id, n // 16 AS c, unnest(range(0, n - 16 * (n // 16 - 1))) AS j FROM (SELECT DISTINCT user_id, n FROM s WHERE n >= 32)),
         r AS (SELECT user_id, j, round(sum(CASE WHEN (i - j + 1) % 16 = 0 THEN d ELSE -d END), 6) AS score FROM j JOIN s USING (user_id) WHERE i - j + 1 BETWEEN 8 AND 16 * (c - 1) AND (i - j + 1) % 8 = 0 GROUP BY user_id, j)
         SELECT user_id, j % 16 AS "offset" FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, j) AS k FROM r) WHERE k = 1
@@ -520,12 +501,12 @@ ORACLE = {
         SELECT id, count(*) AS n, round(sum(v * cos(2 * pi() * i * 3 / 64)), 5) + 0.0 AS re, round(-sum(v * sin(2 * pi() * i * 3 / 64)), 5) + 0.0 AS im FROM s GROUP BY id
     """,
     "record_check": f"""
-        WITH s AS (SELECT user_id AS file, row_number() {_W} - 1 AS i FROM events), p AS (SELECT file, i, i * 100 + CASE WHEN file % 3 = 0 THEN i // 10 ELSE 0 END AS p FROM s),
+        WITH s AS (SELECT user_id AS file, row_number() {OVER} - 1 AS i FROM events), p AS (SELECT file, i, i * 100 + CASE WHEN file % 3 = 0 THEN i // 10 ELSE 0 END AS p FROM s),
         e AS (SELECT *, max(p) OVER (PARTITION BY file) + 90 AS size, lead(p) OVER (PARTITION BY file ORDER BY p) AS q FROM p), l AS (SELECT *, coalesce(q, size) - p AS len FROM e),
         u AS (SELECT file, len, row_number() OVER (PARTITION BY file ORDER BY count(*) DESC, len) AS k FROM l GROUP BY file, len),
         t AS (SELECT file, count(*) AS n, ceil((max(size) - min(p)) / 100) AS by_size, max(i) - min(i) + 1 AS by_time, count(*) FILTER (q IS NOT NULL AND len <> 100) AS odd, max(len) FILTER (q IS NULL) AS tail FROM l GROUP BY file)
         SELECT file, (CASE WHEN len <> 100 THEN -1 WHEN n <> by_size OR n <> by_time THEN -2 WHEN odd > 0 THEN -3 ELSE 0 END)::INTEGER AS code, n AS n_records, greatest(0, 100 - tail)::BIGINT AS missing_bytes FROM t JOIN u USING (file) WHERE k = 1
     """,
-    "resample": f"WITH {_RESAMPLED} SELECT user_id, cycle, phase, round(value, 6) + 0.0 AS value FROM q",
-    "mean_waveform": f"WITH {_RESAMPLED} SELECT user_id, phase, round(avg(value), 10) + 0.0 AS mean FROM q GROUP BY user_id, phase",
-}
+    "resample": f"WITH {RESAMPLED} SELECT user_id, cycle, phase, round(value, 6) + 0.0 AS value FROM q",
+    "mean_waveform": f"WITH {RESAMPLED} SELECT user_id, phase, round(avg(value), 10) + 0.0 AS mean FROM q GROUP BY user_id, phase",
+} | steps.ORACLE

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coilwave.operators import catalog as C
+from coilwave.operators import kernels as K
 
 # Fixed values of the format.
 HARMONICS = (1, 3, 5, 7, 9)
@@ -67,14 +68,14 @@ def antennas(files: DataFrame) -> DataFrame:
 
 
 def unwrapped_by_delay(df: DataFrame, keys: list[str], frequency: str, phase: str, out: str = "unwrapped", scale: float = 1e-3) -> DataFrame:
-    """Phases of a delayed signal without their jumps by pi. The delay is that of the first frequency, mended by a straight line through the
+    """Phases of a delayed signal without their jumps by pi. The delay is that of the first frequency above 0, mended by a straight line through the
     first quarter of the points; with under eight points that line does not exist and `out` is null. `scale` is radians a unit."""
     every = Window.partitionBy(*keys)
     w = every.orderBy(frequency)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     f, p = F.col(frequency), F.col(phase) * scale
     pi = F.lit(3.141592653589793)
-    own = df.withColumns({"_d": F.first(p / f).over(whole), "_k": F.row_number().over(w), "_n": F.count("*").over(every)})
+    own = df.withColumns({"_d": F.first(p / F.nullif(f, F.lit(0.0)), ignorenulls=True).over(whole), "_k": F.row_number().over(w), "_n": F.count("*").over(every)})
     own = own.withColumn("_r", F.pmod(p - F.col("_d") * f + pi / 2, pi) - pi / 2)
     head = F.col("_k") <= F.floor(F.col("_n") / 4)
     own = own.withColumns({"_slope": F.regr_slope(F.when(head, F.col("_r")), F.when(head, f)).over(every), "_cut": F.regr_intercept(F.when(head, F.col("_r")), F.when(head, f)).over(every)})
@@ -104,3 +105,18 @@ def antenna_corrected(fc: DataFrame, cal: DataFrame, keys: list[str]) -> DataFra
     own = divided(own, "re", "im", F.coalesce(F.pow(F.lit(2.0), F.col("_mag")), F.lit(1.0)), F.coalesce(F.col("_phase") / 1000, F.lit(0.0)))
     zero = F.col("f") == 0
     return own.withColumns({c: F.when(zero, 0.0).otherwise(F.col(c)) for c in ("re", "im")}).drop("_lf", "_mag", "_phase")
+
+
+def calibrated_series(df: DataFrame, keys: list[str], order: list[str], value: str, rate: float, board: DataFrame, antenna: DataFrame | None = None) -> DataFrame:
+    """(keys, i, value): whole series less the responses of their boards, and of their antennas where a table is given, through one spectrum of the
+    series. Calibrations have the keys of the series. With antennas the mean becomes 0."""
+    sums = K.spectrum(df, keys, order, value).withColumn("f", F.col("k") * rate / F.col("n"))
+    sums = board_corrected(sums, board, keys)
+    return K.series_of(sums if antenna is None else antenna_corrected(sums, antenna, keys), keys, value)
+
+
+def write_as_text(series: DataFrame, keys: list[str], order: list[str], value: str, path: str) -> None:
+    """One value a line in order, in a folder of its own for each series; the parts of a folder are in order by name. Missing values are `nan`."""
+    line = F.when(F.col(value).isNull(), "nan").otherwise(F.format_string("%.18e", F.col(value).cast("double")))
+    own = series.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    own.select(*keys, line.alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)

@@ -122,3 +122,26 @@ def test_delay_and_correction(spark):
     fc = spark.createDataFrame([(1, 4.0, 2.0, 0.0), (1, 0.0, 2.0, 1.0)], "k int, f double, re double, im double")
     got = {r["f"]: complex(r["re"], r["im"]) for r in B.antenna_corrected(fc, ant, ["k"]).collect()}
     assert got[0.0] == 0 and got[4.0] == pytest.approx(complex(math.cos(-0.1), math.sin(-0.1)))
+
+
+def test_whole_series_through_their_calibrations(spark, tmp_path):
+    rate, rng = 64.0, np.random.default_rng(4)
+    series = {"a": rng.normal(size=128), "b": rng.normal(size=75)}
+    knots = [float(f) for f in range(1, 33)]
+    board = [("a", f, 2.0 + f / 100, -3.0 * f) for f in knots]
+    antenna = [("a", f, 3.0, 100.0) for f in (0.5, 64.0)]
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)], "file string, i long, v double")
+    boards = spark.createDataFrame(board, "file string, f double, mag double, phase double")
+    antennas = spark.createDataFrame(antenna, "file string, base_frequency double, mag double, phz double")
+    got = B.calibrated_series(df, ["file"], ["i"], "v", rate, boards, antennas).collect()
+    for k, x in series.items():
+        sums, f = np.fft.rfft(x), np.fft.rfftfreq(len(x), 1 / rate)
+        if k == "a":
+            sums = sums / ((2 + f / 100) * np.exp(-3e-3j * f)) / (3 * np.exp(0.1j))
+        sums[0] = 0
+        own = dict((r.i, r.v) for r in got if r.file == k)
+        assert [own[i] for i in range(len(x))] == pytest.approx(list(np.fft.irfft(sums, len(x))))
+    B.write_as_text(df, ["file"], ["i"], "v", str(tmp_path / "text"))
+    for k, x in series.items():
+        lines = [line for part in sorted((tmp_path / "text" / f"file={k}").glob("part-*")) for line in part.read_text().splitlines()]
+        assert [float(line) for line in lines] == list(x)

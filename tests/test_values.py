@@ -136,3 +136,31 @@ def test_regression_in_rounds(spark, monkeypatch, in_one_task):
         assert got[k][0] == n and got[k][1:4] == pytest.approx((h.real, h.imag, v), rel=1e-6) and got[k][5] == pytest.approx(good) and abs(got[k][4] - rounds) <= 1
     assert got[4] == (1, *[None] * 5) and got[5] == (2, *[None] * 5) and got[6] == (0, *[None] * 5)
     assert got[7] == (2, 2.0, 0.0, 0.0, 0, 1.0) and len(got) == 8
+
+
+def test_waveforms_and_grids_of_gaps(spark):
+    rng = np.random.default_rng(5)
+    series = {0: rng.normal(size=43), 1: rng.normal(size=1), 2: rng.normal(size=9), 3: rng.normal(size=24)}
+    rows = [(k, i, None if (k, i) == (0, 20) else float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k int, i int, v double")
+    got = {(r.k, r.cycle, r.phase): r.value for r in S.reshaped(df, ["k"], ["i"], "v", 8, shift=3, keep=True).collect()}
+    for k, x in series.items():
+        padded = [None] * 5 + [None if (k, i) == (0, 20) else float(v) for i, v in enumerate(x)]
+        padded += [None] * (-len(padded) % 8)
+        assert {(c, p): v for (n, c, p), v in got.items() if n == k} == {divmod(j, 8): v for j, v in enumerate(padded)}
+    # a waveform that repeats comes back as it is, also where a sample is missing
+    wave = [(0, i, None if i == 20 else math.sin(2 * math.pi * i / 8) + i % 3) for i in range(48)]
+    back = {r.i: r.value for r in S.running_waveform(spark.createDataFrame(wave, "k int, i int, v double"), ["k"], ["i"], "v", 24.0, 24, 3).collect()}
+    assert sorted(back) == list(range(48)) and all(back[i] == pytest.approx(math.sin(2 * math.pi * i / 8) + i % 3) for i in range(48))
+    empty = df.where("k < 0")
+    assert S.running_waveform(empty, ["k"], ["i"], "v", 6.5, 8, 3).count() == 0 == S.reshaped(empty, ["k"], ["i"], "v", 8).count()
+
+
+def test_windows_of_any_shape(spark):
+    rng = np.random.default_rng(6)
+    x, known = rng.normal(size=30), rng.random(30) < 0.7
+    df = spark.createDataFrame([(1, i, float(v) if k else None) for i, (v, k) in enumerate(zip(x, known, strict=True))], "k int, i int, v double")
+    for weights in ([1, 2, 4], [0.5, 1], [0, 1, 3, 1, 0]):
+        own, count = (np.convolve(a, weights, "same") for a in (np.where(known, x, 0), known.astype(float)))
+        got = [r["mean"] for r in S.windowed_mean(df, ["k"], ["i"], "v", weights).orderBy("i").collect()]
+        assert all((g is None) == (c == 0) and (g is None or g == pytest.approx(o / c)) for g, o, c in zip(got, own, count, strict=True))
