@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coilwave.tables import written
+
 
 def flag_original(df: DataFrame, by: list[str], order: list[str], out: str = "original") -> DataFrame:
     """True for the first row of each group of equal `by`, in the order given."""
@@ -38,8 +40,14 @@ def padded_range(df: DataFrame, by: list[str], start: str, end: str, pad: float
 
 
 def coded(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Adds the place of each value among the distinct values of a column. The distinct values are few (stations, components)."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(out, F.dense_rank().over(Window.orderBy(column)) - 1)
+    """Adds the place of each value among the distinct values of a column, from 0; null stays null.
+
+    The distinct values are kept in the shared folder in parts that follow each other; each part is numbered by itself, after all before it."""
+    parts = written(df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).withColumn("_part", F.spark_partition_id()), "codes")
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each shuffle partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1 + F.col("_before")
+    values = parts.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").select(column, place.alias(out))
     return df.join(values, column, "left")
 
 

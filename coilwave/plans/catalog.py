@@ -119,11 +119,12 @@ def _spans(spark: SparkSession, folder: str, odd: int) -> DataFrame:
 
 
 def interval_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    return O.overlaps_theta(_spans(spark, folder, 0), _spans(spark, folder, 1))
+    return O.overlaps(_spans(spark, folder, 0), _spans(spark, folder, 1))
 
 
 def interval_overlap_bucketed(spark: SparkSession, folder: str) -> DataFrame:
-    return O.overlaps(_spans(spark, folder, 0), _spans(spark, folder, 1))
+    """The same by buckets shorter than most spans."""
+    return O.overlaps(_spans(spark, folder, 0), _spans(spark, folder, 1), bucket_seconds=600)
 
 
 def full_overlaps(spark: SparkSession, folder: str) -> DataFrame:

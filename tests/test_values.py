@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import numpy as np
@@ -5,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from coilwave.functions import geometry as G
+from coilwave.operators import catalog as C
+from coilwave.operators import overlap as O
 from coilwave.operators import series as S
 
 
@@ -164,3 +167,28 @@ def test_windows_of_any_shape(spark):
         own, count = (np.convolve(a, weights, "same") for a in (np.where(known, x, 0), known.astype(float)))
         got = [r["mean"] for r in S.windowed_mean(df, ["k"], ["i"], "v", weights).orderBy("i").collect()]
         assert all((g is None) == (c == 0) and (g is None or g == pytest.approx(o / c)) for g, o, c in zip(got, own, count, strict=True))
+
+
+def test_overlaps_of_all_lengths(spark):
+    """Against all with all: short and day-long recordings, some of years and centuries, reversed and missing times."""
+    rng = np.random.default_rng(8)
+    base = dt.datetime(2020, 1, 1)
+
+    def some(first):
+        rows = [(first + k, base + dt.timedelta(seconds=int(s)), base + dt.timedelta(seconds=int(s) + int(n))) for k, (s, n) in enumerate(zip(rng.integers(-400_000, 400_000, 60), rng.choice([600, 7200, 21600, 90_000, -50], 60), strict=True))]
+        rows += [(first + 60, base, base + dt.timedelta(days=2000)), (first + 61, dt.datetime(1700, 1, 1), dt.datetime(2300, 1, 1)), (first + 62, None, base), (first + 63, base, None), (first + 64, base, base)]
+        return rows
+
+    tx, rx = some(0), some(1000)
+    fields = "id long, start timestamp_ntz, end timestamp_ntz"
+    want = sorted((a, b, max(s, u), min(e, v)) for a, s, e in tx for b, u, v in rx if None not in (s, e, u, v) and s < e and u < v and max(s, u) < min(e, v))
+    for seconds in (600, 21600):
+        got = O.overlaps(spark.createDataFrame(tx, fields), spark.createDataFrame(rx, fields), seconds)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_codes_over_many_parts(spark):
+    names = [f"s{k * 7919 % 1000:03d}" for k in range(1000)] + [None, "s005"]
+    got = C.coded(spark.createDataFrame([(n,) for n in names], "station string").repartition(16), "station", "code").collect()
+    assert len(got) == len(names) and all(r.code == (None if r.station is None else int(r.station[1:])) for r in got)
+    assert C.coded(spark.createDataFrame([], "station string"), "station", "code").count() == 0
