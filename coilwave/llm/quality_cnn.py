@@ -149,10 +149,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
     """At most `limit` examples from labelled texts that are not held out, the same each time: those of least hash of doc_id and
     place. A text of over SAMPLE_BYTES gives several examples that together hold all of it, so `limit` bounds the bytes too."""
     own = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").alias("label")).where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    text = docs.select("doc_id", F.encode("text", "utf-8").alias("text")).where("text is not null").join(own, "doc_id")
-    place = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / SAMPLE_BYTES)).cast("int"))
-    parts = text.select("doc_id", "label", "text", F.explode(place).alias("k"))
-    parts = parts.select("doc_id", "label", "k", F.expr(f"substring(text, k * {SAMPLE_BYTES} + 1, {SAMPLE_BYTES})").alias("part"))
+    texts = docs.where("text is not null")
+    sizes = texts.select("doc_id", F.octet_length("text").alias("n")).join(own, "doc_id")
+    place = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / SAMPLE_BYTES)).cast("int"))
+    # the examples are chosen by size alone; only their texts are read after that
+    chosen = sizes.select("doc_id", "label", F.explode(place).alias("k")).orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k").limit(limit)
+    chosen = chosen.groupBy("doc_id", "label").agg(F.collect_set("k").alias("ks"))  # `limit` rows at most
+    found = texts.select("doc_id", F.encode("text", "utf-8").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", F.explode("ks").alias("k"))
+    parts = found.select("doc_id", "label", "k", F.expr(f"substring(text, k * {SAMPLE_BYTES} + 1, {SAMPLE_BYTES})").alias("part")).where(F.expr("k = 0 or length(part) > 0"))
     rows = parts.orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k", "part").limit(limit).collect()
     rows.sort(key=lambda r: (r.doc_id, r.k, bytes(r.part)))
     return [bytes(r.part) for r in rows], np.array([int(r.label) for r in rows])
