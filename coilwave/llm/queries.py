@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, ngram_join, quality_cnn, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter
+from . import byte_bpe, chat, decontaminate, fill_middle, lexical_search, mixing, ngram_join, quality_cnn, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,6 +69,28 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good", "votes")
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), top=20)
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    digest = lambda c: F.sha2(F.col(c), 256).alias(f"{c}_sha256")
+    made = fill_middle.fill_in_middle(_table(spark, folder, "documents"), "doc_id")
+    told = made.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), "output")
+    back = fill_middle.restore(told, *[c for c in told.columns if c != "output"])
+    return back.select("row.*", digest("restored"))
+
+
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    how = {"ranks": byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), "pattern": public_tokenizers.PATTERN}
+    made = byte_bpe.encode(_table(spark, folder, "documents"), "doc_id", **how)
+    told = made.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    back = byte_bpe.decode(told, "doc_id", "n_tokens", "ids_sha256", **how)
+    return back.select("row.*", F.sha2("data", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -80,6 +102,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLE = {
     "op5_url_filter": r"""
@@ -132,4 +157,42 @@ ORACLE = {
                 + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
         FROM rows GROUP BY conv_id
     """,
+    "op11_lexical_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS doc, doc_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM documents
+        ), p AS (
+            SELECT doc, doc_id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY doc)::BIGINT AS n FROM d GROUP BY doc, doc_id, term
+        ), whole AS (
+            SELECT count(DISTINCT doc) AS n_docs, sum(tf)::BIGINT AS n_terms FROM p
+        ), asked AS (
+            SELECT item, item_id, term, count(*) AS q FROM (
+                SELECT row_number() OVER () AS item, item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM benchmark
+            ) GROUP BY item, item_id, term
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, whole WHERE term IN (SELECT term FROM asked) GROUP BY term, n_docs
+        ), scores AS (
+            SELECT item, item_id, doc, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN p USING (term), whole GROUP BY item, item_id, doc, doc_id
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, doc)::INTEGER AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY rank <= 20
+    """,
+    "op12_fill_in_middle": r"""
+        WITH h AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+        ), u AS (
+            SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+                list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS k FROM h
+        ), f AS (
+            SELECT *, len(units) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR k[3] % 100 >= 50 THEN 'plain'
+                WHEN k[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+                least(k[1] % (len(units) + 1), k[2] % (len(units) + 1)) AS a, greatest(k[1] % (len(units) + 1), k[2] % (len(units) + 1)) AS b FROM u
+        ), c AS (
+            SELECT *, array_to_string(units[:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM f
+        )
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(t) AS restored_sha256
+        FROM c
+    """,
 }
