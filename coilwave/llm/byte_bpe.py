@@ -19,9 +19,13 @@ from pyspark.sql import functions as F
 #: Texts are split into pieces in blocks of about so many code points, each ending between a character and the blank after it.
 BLOCK = 1 << 20
 #: Pieces, and pairs of tokens, that a worker remembers at most; beyond that it forgets them and starts anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
+#: Pieces of more code points are not remembered.
+LONG = 100
 #: Rank files are read by the driver and sent to the tasks; larger ones are refused.
 RANKS_BYTES = 64 << 20
+#: Rows of about so many bytes are worked on at a time.
+SLICE = 4 << 20
 
 
 class Vocabulary:
@@ -36,7 +40,9 @@ class Vocabulary:
             raise ValueError("ranks must differ, and every single byte must have one")
         self.pattern = regex.compile(pattern)
         self.longest = max(map(len, self.ranks))
-        self.suffixes = {token[i:] for token in self.ranks for i in range(len(token))}
+        # what tokens end with: a token's rank, or -1 for what is none itself
+        self.ends = dict.fromkeys((token[i:] for token in self.ranks for i in range(1, len(token))), -1) | self.ranks
+        self.packed = {rank: rank.to_bytes(4, "little") for rank in self.token}
         self.made = {rank: -1 if len(token) == 1 else rank for rank, token in self.token.items()}
         self.parts: dict[int, tuple[int, int]] = {}
         for rank in sorted(self.token):
@@ -50,7 +56,7 @@ class Vocabulary:
         self.lengths = np.zeros(max(self.token) + 1, np.int64)
         self.lengths[list(self.token)] = [len(t) for t in self.token.values()]
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces = _Pieces(self)
+        self.pieces: dict[str, bytes] = {}
 
     def fits(self, a: int, b: int, limit: float = float("inf")) -> bool:
         """Whether the bytes of tokens a and b, merged by rank (up to `limit`), end up as these two.
@@ -77,35 +83,64 @@ class Vocabulary:
             found = self.pairs[a, b] = self.fits(a, b)
         return found
 
-    def extended(self, data: bytes, last: list[int], until: int, old: tuple[list[int], int] | None = None) -> None:
-        """Appends the last tokens of the prefixes of data that are longer than len(last) bytes, up to `until` bytes. old: a table of other
-        bytes and by how much its places differ; where `longest` prefixes in a row have its tokens, all later ones have."""
-        alike = 0
+    def extended(self, data: bytes, last: list[int], until: int) -> None:
+        """Appends the last tokens of the prefixes of data that are longer than len(last) bytes, up to `until` bytes."""
+        ends, pairs = self.ends, self.pairs
         for end in range(len(last) + 1, until + 1):
-            fits = []
-            for begin in range(end - 1, max(-1, end - self.longest - 1), -1):
-                part = data[begin:end]
-                if part not in self.suffixes:
+            found, begin = [], end - 1
+            while begin >= 0 and (rank := ends.get(data[begin:end])) is not None:
+                if rank >= 0:
+                    found.append((begin, rank))
+                begin -= 1
+            while True:
+                begin, rank = found.pop()
+                if not begin:
                     break
-                if part in self.ranks:
-                    fits.append((begin, self.ranks[part]))
-            last.append(next(t for begin, t in reversed(fits) if not begin or self.follows(last[begin - 1], t)))
-            if old:
-                table, by = old
-                alike = alike + 1 if table[end - 1 - by] == last[-1] else 0
-                if alike == self.longest:
-                    last += table[end - by :]
-                    return
-
-    def ids(self, text: str) -> bytes:
-        """The text's tokens as little-endian unsigned 32-bit integers."""
-        out, begin = [], 0
-        while begin < len(text):
-            cut = _CUT.search(text, begin + BLOCK) if len(text) - begin > BLOCK else None
-            end = cut.start() + 1 if cut else len(text)
-            out.append(b"".join([self.pieces[p] for p in self.pattern.findall(text, begin, end)]))
-            begin = end
-        return b"".join(out)
+                pair = (last[begin - 1], rank)
+                fits = pairs.get(pair)
+                if self.follows(*pair) if fits is None else fits:
+                    break
+            last.append(rank)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's tokens as little-endian unsigned 32-bit integers."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            begin = 0
+            while begin < len(text):
+                cut = _CUT.search(text, begin + BLOCK) if len(text) - begin > BLOCK else None
+                end = cut.start() + 1 if cut else len(text)
+                held.append((k, self.pattern.findall(text, begin, end)))
+                size += end - begin
+                begin = end
+                if size >= BLOCK:
+                    self._packed(held, out)
+                    held, size = [], 0
+        self._packed(held, out)
+        return [b"".join(parts) for parts in out]
+
+    def _packed(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        """Appends the ids of each list of pieces to its text's. Pieces met for the first time go in order of their bytes, so that each is an
+        edit of the one before, whose table it shares up to where they differ."""
+        met = set().union(*(pieces for _, pieces in held))
+        if len(self.pieces) + len(met) > REMEMBERED:
+            self.pieces.clear()
+        table = PrefixTokens(self)
+        for piece in sorted(met - self.pieces.keys()):
+            data = piece.encode()
+            rank = self.ranks.get(data)
+            if rank is None:
+                table.become(data)
+                self.pieces[piece] = b"".join([self.packed[t] for t in table.tokens()])
+            else:
+                self.pieces[piece] = self.packed[rank]
+        for k, pieces in held:
+            out[k].append(b"".join([self.pieces[p] for p in pieces]))
+        for piece in met:
+            if len(piece) > LONG:
+                del self.pieces[piece]
 
     def bytes_of(self, ids: bytes) -> bytes:
         """What the tokens stand for; an id that is no token is an error."""
@@ -120,28 +155,13 @@ class Vocabulary:
         after = cut.start() + 1 if cut else len(text)
         places = np.append(0, np.cumsum(self.lengths[np.frombuffer(ids, "<u4")]))
         i, j = np.searchsorted(places, [len(text[:first].encode()), len(text[:after].encode())])
-        return text[:start] + new + text[end:], ids[: 4 * i] + self.ids(text[first:start] + new + text[end:after]) + ids[4 * j :]
+        return text[:start] + new + text[end:], ids[: 4 * i] + self.ids([text[first:start] + new + text[end:after]])[0] + ids[4 * j :]
 
 
 #: Between a character and a blank a piece always ends, whatever stands before and after; so pieces on both sides are found separately.
 _CUT, _CUT_BEFORE = regex.compile(r"\S(?=\s)"), regex.compile(r"(?r)\S(?=\s)")
 
 
-class _Pieces(dict):
-    """Packed ids of pieces, made when first asked for."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        own = np.array(PrefixTokens(self.vocabulary, piece.encode()).tokens(), "<u4").tobytes()
-        if len(piece) < 100:
-            self[piece] = own
-        return own
-
-
 class PrefixTokens:
     """One piece with the last token of each of its byte prefixes."""
 
@@ -153,13 +173,24 @@ class PrefixTokens:
         self.data += more
         self.vocabulary.extended(self.data, self.last, len(self.data))
 
+    def become(self, data: bytes) -> None:
+        """Other bytes in place of all; what both begin with stays."""
+        same = next((i for i, (x, y) in enumerate(zip(self.data, data, strict=False)) if x != y), min(len(self.data), len(data)))
+        del self.last[same:]
+        self.data = data
+        self.vocabulary.extended(data, self.last, len(data))
+
     def edit(self, start: int, end: int, new: bytes) -> None:
-        """Puts `new` in place of the bytes start to end. Prefixes up to start stay; later ones are found again until they are as before."""
+        """Puts `new` in place of the bytes start to end. Prefixes up to start stay; later ones are found again until as many in a row as the
+        longest token has bytes end as before: from there on all do."""
         before, self.data = self.last, self.data[:start] + new + self.data[end:]
         self.last = before[:start]
-        by = len(new) - (end - start)
+        by, sure = len(new) - (end - start), self.vocabulary.longest
         self.vocabulary.extended(self.data, self.last, start + len(new))
-        self.vocabulary.extended(self.data, self.last, len(self.data), (before, by))
+        while (at := len(self.last)) < len(self.data):
+            self.vocabulary.extended(self.data, self.last, min(at + sure, len(self.data)))
+            if self.last[at:] == before[at - by : at - by + sure]:
+                self.last += before[len(self.last) - by :]
 
     def tokens(self) -> list[int]:
         """The encoding, read from its end."""
@@ -186,23 +217,22 @@ def read_ranks(path: str) -> bytes:
 
 
 def _mapped(df: DataFrame, carried: tuple[str, ...], inputs: tuple[str, ...], outputs: dict[str, str], lines: bytes, pattern: str, make) -> DataFrame:
-    """`carried` as a struct `row`, and what make(vocabulary, *inputs) gives for each row."""
+    """`carried` as a struct `row`, and the columns that make(vocabulary, *columns of inputs) gives for some rows at a time."""
     source = df.select(F.struct(*[F.col(c) for c in carried]).alias("row"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(inputs)])
-    kinds = [pa.large_binary() if kind == "binary" else pa.large_string() if kind == "string" else pa.int64() for kind in outputs.values()]
+    kinds = [{"binary": (pa.large_binary(), pa.binary()), "string": (pa.large_string(), pa.string()), "long": (pa.int64(), pa.int64())}[kind] for kind in outputs.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(lines, pattern)
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                made, size, first = [], 0, at
-                while at < batch.num_rows and size < 16 << 20:
-                    own = make(vocabulary, *(batch.column(i + 1)[at].as_py() for i in range(len(inputs))))
-                    size += sum(len(x) for x in own if isinstance(x, bytes | str))
-                    made.append(own)
+                first, size, rows = at, 0, []
+                while at < batch.num_rows and size < SLICE:
+                    rows.append([batch.column(i + 1)[at].as_py() for i in range(len(inputs))])
+                    size += sum(len(x) for x in rows[-1] if isinstance(x, bytes | str))
                     at += 1
-                columns = [pa.array(list(c), k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), *(c.cast(pa.binary()) if k == pa.large_binary() else c.cast(pa.string()) if k == pa.large_string() else c for c, k in zip(columns, kinds, strict=True))], ["row", *outputs])
+                columns = [pa.array(c, kind).cast(small) for c, (kind, small) in zip(make(vocabulary, *map(list, zip(*rows, strict=True))), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), *columns], ["row", *outputs])
 
     return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in outputs.items()))
 
@@ -214,24 +244,27 @@ def encode(docs: DataFrame, *carried: str, ranks: bytes, pattern: str) -> DataFr
     Each match of the pattern is encoded by itself, without special tokens. A null or empty text has no tokens. Rows are encoded one
     by one, so repeated rows, null ids and other columns do no harm; an empty table gives none. A text's ids must stay below 2 GB."""
 
-    def make(vocabulary: Vocabulary, text: str | None) -> tuple[int, bytes]:
-        ids = vocabulary.ids(text or "")
-        return len(ids) // 4, ids
+    def make(vocabulary: Vocabulary, texts: list[str | None]) -> tuple[list, ...]:
+        ids = vocabulary.ids([t or "" for t in texts])
+        return [len(x) // 4 for x in ids], ids
 
     return _mapped(docs, carried, ("text",), {"n_tokens": "long", "ids": "binary"}, ranks, pattern, make)
 
 
 def decode(encoded: DataFrame, *carried: str, ranks: bytes, pattern: str) -> DataFrame:
     """(row, data): `carried` columns as a struct, and the bytes that the packed `ids` stand for (null: none)."""
-    return _mapped(encoded, carried, ("ids",), {"data": "binary"}, ranks, pattern, lambda vocabulary, ids: (vocabulary.bytes_of(ids or b""),))
+    return _mapped(encoded, carried, ("ids",), {"data": "binary"}, ranks, pattern, lambda vocabulary, ids: ([vocabulary.bytes_of(x or b"") for x in ids],))
 
 
 def reencode(edits: DataFrame, *carried: str, ranks: bytes, pattern: str) -> DataFrame:
     """(row, text, ids): for rows with text, ids, start, end and new, the text with `new` in place of its code points start (from 0) to end,
     and its tokens. Only the stretch between the blanks around the edit is encoded again. Nulls are empty, or 0."""
 
-    def make(vocabulary: Vocabulary, text: str | None, ids: bytes | None, start: int | None, end: int | None, new: str | None) -> tuple[str, bytes]:
+    def one(vocabulary: Vocabulary, text: str | None, ids: bytes | None, start: int | None, end: int | None, new: str | None) -> tuple[str, bytes]:
         text, start = text or "", start or 0
         return vocabulary.edited(text, ids or b"", min(start, len(text)), min(max(start, end or 0), len(text)), new or "")
 
+    def make(vocabulary: Vocabulary, *columns: list) -> Iterator[tuple]:
+        return zip(*[one(vocabulary, *row) for row in zip(*columns, strict=True)], strict=True)
+
     return _mapped(edits, carried, ("text", "ids", "start", "end", "new"), {"text": "string", "ids": "binary"}, ranks, pattern, make)
