@@ -1,15 +1,14 @@
 """Binary recordings: headers, records, samples and the catalog of a folder, and recordings written again.
 
 A recording is two 512-byte header blocks, metadata blocks, a calibration text that ends in a zero byte, and records of one second:
-64 bytes that begin with a flag, then 32-bit counts. Spark reads the files, so they may be in any store that it reads. A task holds
-one file at a time, of up to 2 GB (a day and a half at 4096 samples a second); records leave it in batches."""
+64 bytes that begin with a flag, then 32-bit counts. Here Spark reads the files, so they may be in any store that it reads; a task holds
+one file at a time, of up to 2 GB (a day and a half at 4096 samples a second). sources/ranged.py reads files of any size in parts,
+and writes them."""
 
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -131,15 +130,27 @@ def factor(metadata: Column) -> Column:
     return volts / F.coalesce(number(metadata, "TX.SENSE"), F.lit(1.0))
 
 
+def rates(records: DataFrame, headers: DataFrame) -> DataFrame:
+    """(path, rate, factor): samples a record, from the header or, where it names none, as many as most of the file's records have."""
+    usual = records.groupBy("path").agg(F.mode(F.floor((F.col("length") - RECORD_HEADER) / 4), deterministic=True).cast("int").alias("_usual"))
+    own = headers.where("error is null").select("path", number(F.col("metadata"), "A/D Rate").cast("int").alias("_rate"), factor(F.col("metadata")).alias("factor"))
+    return own.join(usual, "path").select("path", F.coalesce("_rate", "_usual").alias("rate"), "factor")
+
+
 def samples(records: DataFrame, headers: DataFrame) -> DataFrame:
-    """(path, record_no, gps_second, values): each record's values, as many as the rate says; what a short one lacks is null, what a long one has over is cut."""
-    m = headers.where("error is null").select("path", number(F.col("metadata"), "A/D Rate").cast("int").alias("_rate"), factor(F.col("metadata")).alias("_factor"))
+    """(path, record_no, gps_second, values): each record's values, as many as rates() says; what a short one lacks is null, what a long one has over is cut."""
+    m = rates(records, headers).select("path", F.col("rate").alias("_rate"), F.col("factor").alias("_factor"))
     own = records.join(m, "path")
     known = F.transform(F.slice("counts", F.lit(1), F.col("_rate")), lambda c: c * F.col("_factor"))
     filled = F.concat(known, F.array_repeat(F.lit(None).cast("double"), F.greatest(F.col("_rate") - F.size("counts"), F.lit(0))))
     return own.select("path", "record_no", (F.col("gps_stamp") / 1024.0).alias("gps_second"), filled.alias("values"))
 
 
+def missing_samples(samples: DataFrame) -> DataFrame:
+    """(path, sample): places in their series (from 0) of the samples that short records lack."""
+    return samples.select("path", "record_no", F.size("values").alias("_n"), F.posexplode("values").alias("_k", "_v")).where("_v is null").select("path", (F.col("record_no") * F.col("_n") + F.col("_k")).alias("sample"))
+
+
 def checked(records: DataFrame, headers: DataFrame) -> DataFrame:
     """`catalog.check_records` over the records of files."""
     size = (RECORD_HEADER + 4 * number(F.col("metadata"), "A/D Rate")).cast("long")
@@ -148,13 +159,19 @@ def checked(records: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def catalog(files: DataFrame) -> DataFrame:
-    """One row a file: whether it is valid (else why not), kind, rate, records, UTC start and end, place in degrees, component and geometry.
-
-    num_records is the bytes from the first record on by the bytes of a full record. The week turns where a later stamp is smaller."""
-    h = headers(files)
+    """described() over files that are read whole; ranged.catalog() reads only their ends."""
     w = Window.partitionBy("path")
     r = records(files).select("path", "record_no", "gps_stamp").withColumn("_last", F.max("record_no").over(w)).where("record_no in (0, _last)")
     ends = r.groupBy("path").agg(F.min_by("gps_stamp", "record_no").alias("_from"), F.max_by("gps_stamp", "record_no").alias("_to"))
+    return described(headers(files).join(ends, "path", "left"))
+
+
+def described(h: DataFrame) -> DataFrame:
+    """One row a file: whether it is valid (else why not), kind, rate, records, UTC start and end, place in degrees, component and geometry.
+    h: headers(), with the stamps of the first and last records as _from and _to.
+
+    num_records is the bytes from the first record on by the bytes of a full record. The week turns where a later stamp is smaller. A
+    component is magnetic (H), electric (E) or a reference (R); a file of another one is not valid."""
     m = F.col("metadata")
     week = number(m, "GpsWeek").cast("long")
     rate = number(m, "A/D Rate")
@@ -163,11 +180,12 @@ def catalog(files: DataFrame) -> DataFrame:
     error = (
         F.when(F.col("error").isNotNull(), F.col("error")).when(rate.isNull(), "no sampling rate").when(week.isNull(), "no week")
         .when(F.col("_from").isNull(), "no records").when(n >= MOST_RECORDS, "a week or more of records")
+        .when(~F.coalesce(F.substring(text("CH.CMP"), 1, 1).isin("H", "E", "R"), F.lit(False)), F.concat(F.lit("unknown component "), F.coalesce(text("CH.CMP"), F.lit(""))))
     )
     place = lambda key: F.degrees(number(m, key))
     one, two = C.offsets(text("CH.OFFSET.XYZ1", "CH.XYZ1")), C.offsets(text("CH.OFFSET.XYZ2", "CH.XYZ2"))
     component, magnetic = text("CH.CMP"), F.col("component").startswith("H")
-    rows = h.join(ends, "path", "left").select(
+    rows = h.select(
         "path", error.alias("error"), F.when(m["TX.SENSE"].isNotNull(), "TX").otherwise("RX").alias("type"), rate.alias("sampling_rate"), n.alias("num_records"),
         T.gps_stamp_to_utc(F.col("_from"), week).alias("start"), T.gps_stamp_to_utc(F.col("_to"), week + (F.col("_to") < F.col("_from")).cast("long")).alias("end"),
         place("Lat").alias("lat"), place("Long").alias("lon"), number(m, "Tx.Freq").alias("txfreq"), number(m, "Tx.Duty").alias("txduty"), text("TX.SN").alias("tx_sn"),
@@ -184,23 +202,6 @@ def record_bytes(gps_stamp: pd.Series, lat: pd.Series, lon: pd.Series, status: p
     return pd.Series([FLAG + struct.pack("<Idd4sIf24s", *row[:-1]) + np.asarray(row[-1], "<i4").tobytes() for row in rows], dtype=object)
 
 
-def joined(records: DataFrame, preambles: DataFrame) -> DataFrame:
-    """(path, content): files from their preambles (path, preamble) and records, in the order of record_no. A file is one row, as it was when it was read."""
-    own = records.select("path", "record_no", record_bytes("gps_stamp", "lat", "lon", "status", "accuracy", "temperature", "opaque", "counts").alias("bytes"))
-    whole = own.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("record_no", "bytes"))), lambda r: r["bytes"]).alias("parts"))
-    return preambles.join(whole, "path", "left").select("path", together("preamble", F.coalesce("parts", F.array().cast("array<binary>"))).alias("content"))
-
-
-@F.pandas_udf(BinaryType())
-def together(preamble: pd.Series, parts: pd.Series) -> pd.Series:
-    return pd.Series([b"".join([head, *rest]) for head, rest in zip(preamble, parts, strict=True)], dtype=object)
-
-
-def preambles(files: DataFrame, headers: DataFrame) -> DataFrame:
-    """(path, preamble): what stands before the first record, byte for byte."""
-    return files.join(headers.select("path", "first_record"), "path").select("path", F.expr("substring(content, 1, cast(coalesce(first_record, length(content)) as int))").alias("preamble"))
-
-
 def rotated(records: DataFrame, triplets: DataFrame, matrix: list[list[Column]]) -> DataFrame:
     """Records of three files turned by a matrix over columns of triplets (file1, file2, file3, ...): counts cut to whole numbers, as many
     as the shortest of the three has; all other fields stay. Triplets without all three files are skipped; records whose seconds differ raise."""
@@ -225,20 +226,3 @@ def rotated(records: DataFrame, triplets: DataFrame, matrix: list[list[Column]])
 def renamed(path: Column, suffix: str = "_rot") -> Column:
     """A path with a suffix before its ending."""
     return F.regexp_replace(path, r"(\.[^./]*)$", f"{suffix}$1")
-
-
-def write(files: DataFrame) -> int:
-    """Writes each (target, content) as a file, targets being paths in a folder that all machines share; returns how many.
-    A file gets its name when it is whole, so a task that runs again does no harm."""
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for target, content in zip(batch["target"], batch["content"], strict=True):
-                whole = Path(target.removeprefix("file:"))
-                part = whole.with_name(f".{whole.name}.{uuid.uuid4().hex}")
-                whole.parent.mkdir(parents=True, exist_ok=True)
-                part.write_bytes(content)
-                part.replace(whole)
-            yield batch[["target"]]
-
-    return files.select("target", "content").mapInPandas(run, "target string").count()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coilwave.functions import geometry as G
 from coilwave.sources import calibrations as B
+from coilwave.sources import ranged as N
 from coilwave.sources import recordings as R
 
 RATE = 16
@@ -66,23 +67,113 @@ def test_samples_and_check(spark, folder):
     assert checks == {"a.z3d": (0, 5, 0), "b.Z3D": (-2, 4, 12)}
 
 
+def test_records_by_ranges(spark, folder):
+    """Equal rows for any split, whole files or parts of them; flags that are not aligned, or cut by a range, are told apart."""
+    path, whole, short = folder
+    odd = recording([(7, np.arange(9)), (8, np.arange(4))])
+    (path / "flagged.z3d").write_bytes(odd + b"\xff" + R.FLAG + b"\0\0\0" + R.FLAG + b"cut off")
+    (path / "void.z3d").write_bytes(b"")
+    files = R.files(spark, str(path))
+    key = lambda r: (r["path"], r["record_no"])
+    want = sorted((r.asDict() for r in R.records(files).collect()), key=key)
+    assert len(want) == 5 + 4 + 5 + 2
+    for split in (8, 64, 100, 1000, 1 << 20):
+        got = sorted((r.asDict() for r in N.records(spark, str(path), split).collect()), key=key)
+        assert got == want, split
+        lengths = {(r["path"], r["position"]): r["length"] for r in N.record_lengths(spark, str(path), split).collect()}
+        assert {(r["path"], r["position"]): r["length"] for r in want}.items() <= lengths.items()
+    assert N.records(spark, str(path), 64).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_chunks_of_long_records(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    (tmp_path / "a.z3d").write_bytes(recording([(i, rng.integers(-9, 9, 300)) for i in range(9)]))
+    data = (tmp_path / "a.z3d").read_bytes()
+    for chunk in (8, 12, 100, 1204, 5000):
+        monkeypatch.setattr(N, "CHUNK", chunk)
+        for split in (400, 1300, 20_000):
+            rows = []
+            for start in range(0, len(data), split):
+                with N.opened(str(tmp_path / "a.z3d"))[0].open_input_file(str(tmp_path / "a.z3d")) as f:
+                    rows += [r for b in N._records(f, "a", start, min(start + split, len(data)), len(data)) for r in b.to_pylist()]
+            assert [r["position"] for r in rows] == R.flags(data).tolist() and all(len(r["counts"]) == 300 for r in rows)
+
+
+def test_catalog_from_ends(spark, folder, monkeypatch):
+    path, whole, short = folder
+    (path / "cut.z3d").write_bytes(recording(whole) + R.FLAG + b"cut")
+    (path / "q.z3d").write_bytes(recording(whole, component="Q1"))
+    want = {k: r.asDict() for k, r in by_name(R.catalog(R.files(spark, str(path)))).items()}
+    got = {k: r.asDict() for k, r in by_name(N.catalog(spark, str(path))).items()}
+    assert got == want and got["q.z3d"]["error"] == "unknown component Q1"
+    heads = by_name(N.heads(spark, str(path), second=True))
+    assert (heads["a.z3d"]["second_stamp"], heads["a.z3d"]["last_stamp"], heads["none.z3d"]["last_record"]) == (101 * 1024, 104 * 1024, None)
+    long = tmp = path / "deep" / "long.z3d"
+    long.write_bytes(recording([(i, np.zeros(1 << 12)) for i in range(200)]))
+    read = []
+    class Counted:
+        def __init__(self, f):
+            self.f, self.seek = f, f.seek
+        def read(self, n):
+            read.append(n)
+            return self.f.read(n)
+    with tmp.open("rb") as f:
+        assert N._head(Counted(f), "x", long.stat().st_size, 0, False)[-1] == 199 * 1024
+    assert sum(read) < 5 * N.END < long.stat().st_size / 9
+
+
+def test_only_paths_that_are_asked_for_are_opened(spark, folder):
+    path = f"file:{folder[0]}"
+    (folder[0] / "a2.z3d").write_bytes(b"broken")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got = N.heads(spark, path).where(F.col("path") == f"{path}/a.z3d")
+        assert [r["path"] for r in got.collect()] == [f"{path}/a.z3d"]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    reader = N.FilteringReader({"path": path, "mode": "heads"})
+    list(reader.pushFilters([N.In(("path",), (f"{path}/a.z3d", "x")), N.EqualTo(("file_size",), 3)]))
+    assert [r[0] for p in reader.partitions() for r in p.ranges] == [f"{path}/a.z3d"]
+
+
+def test_failed_writes_leave_nothing(spark, tmp_path):
+    rows = spark.range(20, numPartitions=2).select(F.lit(str(tmp_path / "x.z3d")).alias("target"), F.col("id").alias("place"), F.when(F.col("id") < 19, F.lit(b"ab")).otherwise(F.raise_error(F.lit("stop"))).cast("binary").alias("bytes"))
+    spark.dataSource.register(N.Recordings)
+    with pytest.raises(Exception, match="stop"):
+        rows.repartition("target").sortWithinPartitions("place").write.format("recordings").mode("append").save(str(tmp_path))
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+    with pytest.raises(Exception, match="two tasks"):
+        rows.where("id < 19").write.format("recordings").mode("append").save(str(tmp_path))
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+
+
+def test_rates_and_missing_samples(spark, tmp_path):
+    data = recording([(1, np.arange(RATE)), (2, np.arange(RATE - 2)), (3, np.arange(RATE))])
+    (tmp_path / "a.z3d").write_bytes(data.replace(b"A/D Rate=16\n", b"A_D Rate=16\n"))
+    records, heads = N.records(spark, str(tmp_path)), N.heads(spark, str(tmp_path))
+    assert R.rates(records, heads).first()["rate"] == RATE
+    samples = R.samples(records, heads)
+    assert [len(r["values"]) for r in samples.collect()] == [RATE] * 3
+    assert sorted(r["sample"] for r in R.missing_samples(samples).collect()) == [2 * RATE - 2, 2 * RATE - 1]
+
+
 def test_rotation_round_trip(spark, tmp_path):
     rng = np.random.default_rng(2)
     counts = rng.integers(-10_000, 10_000, (3, 4, RATE))
     for k in range(3):
         (tmp_path / f"f{k}.z3d").write_bytes(recording([(9 + i, c[: RATE - (k == 2 and i == 3)]) for i, c in enumerate(counts[k])]))
-    files = R.files(spark, str(tmp_path))
-    heads, records = R.headers(files), R.records(files)
-    names = sorted(r["path"] for r in files.select("path").collect())
-    same = R.joined(records, R.preambles(files, heads))
-    for r in same.collect():
-        assert bytes(r["content"]) == (tmp_path / r["path"].rsplit("/", 1)[-1]).read_bytes()
+    records = N.records(spark, str(tmp_path), split=200)
+    names = sorted(r["path"] for r in R.files(spark, str(tmp_path)).select("path").collect())
+    N.write(records, N.preambles(spark, str(tmp_path)), str(tmp_path / "same"), F.regexp_replace("path", "/(f[0-9].z3d)$", "/same/$1"))
+    for k in range(3):
+        assert (tmp_path / "same" / f"f{k}.z3d").read_bytes() == (tmp_path / f"f{k}.z3d").read_bytes()
     triplets = spark.createDataFrame([(*names, 35.0, 35.3, 35.5, 9.0), (names[0], "", None, 1.0, 1.0, 1.0, 1.0)], "file1 string, file2 string, file3 string, a double, b double, c double, d double")
     matrix = G.triaxial_to_geographic(F.col("a"), F.col("b"), F.col("c"), F.col("d"), "deg")
     m = np.array(triplets.limit(1).select(F.array(*[F.array(*row) for row in matrix])).first()[0])
-    out = R.joined(R.rotated(records, triplets, matrix), R.preambles(files, heads))
-    assert R.write(out.select(R.renamed(F.col("path")).alias("target"), "content")) == 3
-    back = R.records(R.files(spark, str(tmp_path)).where("path like '%_rot.z3d'")).orderBy("path", "record_no").collect()
+    only = N.preambles(spark, str(tmp_path)).where(F.col("path").isin(names))
+    N.write(R.rotated(records.where(F.col("path").isin(names)), triplets, matrix), only, str(tmp_path), R.renamed(F.col("path")))
+    assert not (tmp_path / "_temporary").exists() or not list((tmp_path / "_temporary").iterdir())
+    back = N.records(spark, str(tmp_path)).where("path like '%_rot.z3d'").orderBy("path", "record_no").collect()
     assert len(back) == 12
     for r in back:
         k, i = int(r["path"][-9]), r["record_no"]
