@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,16 +111,21 @@ def unpivoted_calibrations(df: DataFrame, harmonics: tuple[int, ...] = (1, 3, 5,
 
 
 def interpolated(points: DataFrame, table: DataFrame, keys: list[str], x: str, y: str, out: str) -> DataFrame:
-    """points with y at x from a table of knots (keys, x, y): straight lines between neighbours, going on beyond the ends. A key of one knot is constant, one of none null.
-
-    Each knot interval knows its end, and the outer ones reach to infinity; points meet the one interval that holds them."""
-    k = table.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    w = Window.partitionBy(*keys).orderBy("_x")
-    k = k.withColumns({"_x2": F.lead("_x").over(w), "_y2": F.lead("_y").over(w), "_first": F.row_number().over(w) == 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
-    k = k.where("_x2 is not null or _n = 1").withColumn("_last", F.lead("_x").over(w).isNull())
-    k = k.select(*keys, "_x", "_y", "_x2", "_y2", F.when(F.col("_first"), F.lit(float("-inf"))).otherwise(F.col("_x")).alias("_from"), F.when(F.col("_last"), F.lit(float("inf"))).otherwise(F.col("_x2")).alias("_to"))
-    knots = k.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_from", "_to", "_x", "_y", "_x2", "_y2"))).alias("_k"))
-    at = F.col(x).cast("double")
-    own = points.join(knots, keys, "left").withColumn("_h", F.get(F.filter("_k", lambda s: (s["_from"] <= at) & (at < s["_to"])), F.lit(0)))
-    line = F.col("_h._y") + F.coalesce((F.col("_h._y2") - F.col("_h._y")) * (at - F.col("_h._x")) / F.nullif(F.col("_h._x2") - F.col("_h._x"), F.lit(0.0)), F.lit(0.0))
-    return own.withColumn(out, line).drop("_k", "_h")
+    """points with y at x from a table of knots (keys, x, y): straight lines between neighbours, going on beyond the ends. A key of one knot is constant, one of
+    none, or a null key or x, gives null. Of knots at one x the least y counts.
+
+    Knots and the places that are asked for, each once a key, lie in one order; a place takes the last knot before it, or the first of all. So however many points
+    a key has, its order holds only their distinct places."""
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*keys, x)])
+    knots = table.where(known).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.min(F.col(y).cast("double")).alias("_y"))
+    every = Window.partitionBy(*keys)
+    w = every.orderBy("_x")
+    lines = knots.withColumns({"_x2": F.lead("_x").over(w), "_y2": F.lead("_y").over(w), "_n": F.count("*").over(every)}).where("_x2 is not null or _n = 1")
+    lines = lines.select(*keys, "_x", F.struct("_x", "_y", "_x2", "_y2").alias("_s"))
+    own = points.withColumn("_x", F.col(x).cast("double"))
+    asked = own.where(known).select(*keys, "_x").distinct()
+    met = lines.unionByName(asked, allowMissingColumns=True)
+    before = F.last("_s", ignorenulls=True).over(every.orderBy("_x", F.col("_s").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    found = met.withColumn("_h", F.coalesce(before, F.min("_s").over(every))).where("_s is null").drop("_s")
+    line = F.col("_h._y") + F.coalesce((F.col("_h._y2") - F.col("_h._y")) * (F.col("_x") - F.col("_h._x")) / (F.col("_h._x2") - F.col("_h._x")), F.lit(0.0))
+    return own.join(found, [*keys, "_x"], "left").withColumn(out, line).select(*points.columns, out)

@@ -208,8 +208,9 @@ def waveform_filtered(df: DataFrame, keys: list[str], order: list[str], value: s
     return per_series(df.withColumn("_two", two), keys, order, "_two", out, kernel).drop("_two")
 
 
-def huber_regression(t: np.ndarray, r: np.ndarray, r0: float = 1.5, most: int = 100, two_sided: bool = False) -> tuple[complex, float, int, float]:
-    """Robust H with r = H t, its variance by part, rounds, and share of good residuals (by default those below r0, whatever their sign).
+def huber_regression(t: np.ndarray, r: np.ndarray, r0: float = 1.5, most: int = 100, two_sided: bool = False) -> tuple[complex, float, int, float, bool]:
+    """Robust H with r = H t, its variance by part, rounds, share of good residuals (by default those below r0, whatever their sign), and whether the loss
+    had stopped falling when the rounds ended.
 
     Residuals beyond r0 scales, real and imaginary parts apart, are pulled in and H is fitted anew, while the loss falls."""
     n, power = len(t), float((np.abs(t) ** 2).sum())
@@ -218,7 +219,7 @@ def huber_regression(t: np.ndarray, r: np.ndarray, r0: float = 1.5, most: int =
     res = parts(r - h * t)
     scale = math.sqrt(float(res @ res) / (2 * n - 2))
     if not scale:
-        return h, 0.0, 0, 1.0
+        return h, 0.0, 0, 1.0, True
     loss = lambda x: float(np.where(np.abs(x) < r0, x * x / 2, r0 * np.abs(x) - r0 * r0 / 2).sum())
     old, rounds, pulled = math.inf, 0, parts(r)
     now = loss(res / scale)
@@ -232,16 +233,16 @@ def huber_regression(t: np.ndarray, r: np.ndarray, r0: float = 1.5, most: int =
         scale = math.sqrt(float(res @ res) / (2 * n - 2) / SPREAD)
         rounds += 1
         if not scale:
-            return h, 0.0, rounds, 1.0
+            return h, 0.0, rounds, 1.0, True
         now = loss(res / scale)
     good = float(np.mean((np.abs(res) if two_sided else res) / scale < r0))
     fit = parts(h * t)
-    return h, float(pulled @ pulled - fit @ fit) / power / (2 * n - 2) / good**2, rounds, good
+    return h, float(pulled @ pulled - fit @ fit) / power / (2 * n - 2) / good**2, rounds, good, now >= old * (1 - FALL)
 
 
 def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r", r0: float = 1.5, most: int = 100, two_sided: bool = False) -> DataFrame:
-    """(keys, n, re, im, v, rounds, good): a robust transfer function of each group of complex pairs, as by huber_regression. Pairs with
-    a null or NaN count nowhere; groups of one pair, or without power, have nulls.
+    """(keys, n, re, im, v, rounds, good, converged): a robust transfer function of each group of complex pairs, as by huber_regression. Pairs with
+    a null or NaN count nowhere; groups of one pair, or without power, have nulls. converged is false where `most` rounds were not enough.
 
     Keys of at most IN_ONE_TASK pairs are solved in one task each. A key may have any number of pairs: for larger ones each round is two
     aggregations over the pairs, and only H and the scale of each key go back to them."""
@@ -260,14 +261,14 @@ def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r"
         known = group[["tr", "ti", "rr", "ri"]].dropna().to_numpy(float)
         t, r = known[:, 0] + 1j * known[:, 1], known[:, 2] + 1j * known[:, 3]
         power = float((np.abs(t) ** 2).sum())
-        h, v, rounds, good = huber_regression(t, r, r0, most, two_sided) if len(t) > 1 and power > 0 else (None,) * 4
-        row = (group["kk"].iloc[0], len(t), *((None, None) if h is None else (h.real, h.imag)), v if good != 0 else None, rounds, good)
-        return pd.DataFrame([row], columns=["kk", "n", "re", "im", "v", "rounds", "good"]).astype(object)
+        h, v, rounds, good, converged = huber_regression(t, r, r0, most, two_sided) if len(t) > 1 and power > 0 else (None,) * 5
+        row = (group["kk"].iloc[0], len(t), *((None, None) if h is None else (h.real, h.imag)), v if good != 0 else None, rounds, good, converged)
+        return pd.DataFrame([row], columns=["kk", "n", "re", "im", "v", "rounds", "good", "converged"]).astype(object)
 
     # keys by number, as a struct is no pandas value; sizes has a row a key
     named = sizes.select("k", F.xxhash64(F.to_json("k")).alias("kk"))
-    solved = few.join(named, "k").groupBy("kk").applyInPandas(in_one_task, "kk long, n long, re double, im double, v double, rounds long, good double")
-    solved = solved.join(named, "kk").select(*[F.col("k")[c].alias(c) for c in keys], "n", "re", "im", "v", "rounds", "good")
+    solved = few.join(named, "k").groupBy("kk").applyInPandas(in_one_task, "kk long, n long, re double, im double, v double, rounds long, good double, converged boolean")
+    solved = solved.join(named, "kk").select(*[F.col("k")[c].alias(c) for c in keys], "n", "re", "im", "v", "rounds", "good", "converged")
     if sizes.where(F.col("size") > IN_ONE_TASK).isEmpty():
         return solved
     own = written(own, "many")
@@ -300,9 +301,9 @@ def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r"
     loss = sum((F.sum(X.huber_loss(x / F.col("scale"), r0)) for x in residuals()), F.lit(0.0)).alias("now")
     falls = (F.col("rounds") == 0) | ((F.col("now") < F.col("old") * (1 - FALL)) & (F.col("rounds") < most))
     while True:
-        ended.append(state.where("scale = 0"))
+        ended.append(state.where("scale = 0").withColumn("converged", F.lit(True)))
         tried = written(met(state.where("scale <> 0"), loss, *fitted(pulled("h", "scale"))), "tried")
-        ended.append(tried.where(~falls).select(*state.columns))
+        ended.append(tried.where(~falls).select(*state.columns, (F.col("now") >= F.col("old") * (1 - FALL)).alias("converged")))
         again = tried.where(falls)
         if again.isEmpty():
             break
@@ -316,6 +317,6 @@ def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r"
     own_good = F.sum(F.when(tr.isNotNull(), inside[0] + inside[1])).alias("inside")
     sums = met(done.where("scale <> 0"), rest, own_good).withColumn("good", F.col("inside") / (2 * F.col("n")))
     variance = F.try_divide(F.col("rest") / F.col("power") / (2 * F.col("n") - 2), F.col("good") ** 2)
-    out = sums.select("k", variance.alias("v"), "rounds", "good", "h_re", "h_im").unionByName(done.where("scale = 0").select("k", F.lit(0.0).alias("v"), "rounds", F.lit(1.0).alias("good"), "h_re", "h_im"))
+    out = sums.select("k", variance.alias("v"), "rounds", "good", "h_re", "h_im", "converged").unionByName(done.where("scale = 0").select("k", F.lit(0.0).alias("v"), "rounds", F.lit(1.0).alias("good"), "h_re", "h_im", "converged"))
     every = first.select("k", "n").join(out, "k", "left")
-    return solved.unionByName(every.select(*[F.col("k")[c].alias(c) for c in keys], "n", F.col("h_re").alias("re"), F.col("h_im").alias("im"), "v", "rounds", "good"))
+    return solved.unionByName(every.select(*[F.col("k")[c].alias(c) for c in keys], "n", F.col("h_re").alias("re"), F.col("h_im").alias("im"), "v", "rounds", "good", "converged"))

@@ -18,22 +18,12 @@ from coilwave.operators import overlap as O
 from coilwave.operators import pairs as P
 from coilwave.operators import series as S
 from coilwave.operators import spectral as X
-from coilwave.plans import steps
+from coilwave.plans import files, steps, whole
 from coilwave.plans.tables import ORDER, OVER, RESAMPLED, events, rounded, table
 
 
-def tf_minimal(spark: SparkSession, folder: str) -> DataFrame:
-    """Transfer function per user from views (transmitter) to clicks (receiver): windows of 4, hop 2, bin 1, at most 5 windows."""
-    ev = events(spark, folder).where(F.col("event_type").isin("view", "click"))
-    own = S.indexed(ev, ["user_id", "event_type"], ORDER).withColumn("v", F.col("value") - F.avg("value").over(Window.partitionBy("user_id", "event_type")))
-    bins = X.windowed_bins(own.where("i < 12"), ["user_id", "event_type"], "i", "v", 4, 2, [1])
-    side = lambda kind, n: bins.where(F.col("event_type") == kind).select("user_id", "win", F.col("re").alias(f"{n}_re"), F.col("im").alias(f"{n}_im"))
-    h = X.least_squares(side("view", "t").join(side("click", "r"), ["user_id", "win"]), ["user_id"]).where("n > 1")
-    return rounded(h.select("user_id", "n", "re", "im", "v"), "re", "im", "v")
-
-
 def tf_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """tf_minimal over all windows of each series."""
+    """Transfer function per user from views (transmitter) to clicks (receiver): all windows of 4, hop 2, bin 1."""
     ev = events(spark, folder).where(F.col("event_type").isin("view", "click"))
     own = S.indexed(ev, ["user_id", "event_type"], ORDER).withColumn("v", F.col("value") - F.avg("value").over(Window.partitionBy("user_id", "event_type")))
     bins = X.windowed_bins(own, ["user_id", "event_type"], "i", "v", 4, 2, [1])
@@ -43,7 +33,7 @@ def tf_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return tf_minimal(spark, folder)
+    return tf_windows(spark, folder)
 
 
 def running_mean(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,13 +147,8 @@ def mountain_time(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select("o_orderkey", T.to_local(at.cast("timestamp")).alias("local"))
 
 
-def dft_bin(spark: SparkSession, folder: str) -> DataFrame:
-    own = S.indexed(events(spark, folder), ["user_id"], ORDER).where("i < 64")
-    return rounded(X.dft_bin(own, ["user_id"], "i", "value", 3 / 64), "re", "im")
-
-
 def dft_bins(spark: SparkSession, folder: str) -> DataFrame:
-    """dft_bin over all consecutive windows of 64 of each series; the last one may be shorter."""
+    """Bin 3 of all consecutive windows of 64 of each series; the last one may be shorter."""
     own = S.indexed(events(spark, folder), ["user_id"], ORDER).withColumn("win", F.floor(F.col("i") / 64))
     return rounded(X.dft_bin(own, ["user_id", "win"], "i", "value", 3 / 64), "re", "im")
 
@@ -313,14 +298,14 @@ def pair_checks(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tf_minimal, tf_windows, running_mean, running_mean_same, running_mean_long, running_mean_frac, demean, running_median, prewhiten, winsorize, mask_outliers, gap_islands,
+        tf_windows, running_mean, running_mean_same, running_mean_long, running_mean_frac, demean, running_median, prewhiten, winsorize, mask_outliers, gap_islands,
         longest_run, week_rollover, interp_edge_hold, interp_linear, unwrap_phase, interval_overlap, interval_overlap_bucketed, full_overlaps, nearest_station,
-        dedup_first, date_subset, gps_to_utc, mountain_time, dft_bin, dft_bins, window_dft, embedding_dft, ls_tf, ls_cov, mean_cov, huber_norm, on_time_offset,
+        dedup_first, date_subset, gps_to_utc, mountain_time, dft_bins, window_dft, embedding_dft, ls_tf, ls_cov, mean_cov, huber_norm, on_time_offset,
         on_time_offset_signed, on_time_mask, rotate3, utm_projection, unpivot_harmonics, cal_interp, quality_counts, commonest_and_range, station_codes, record_check,
         regression_m, notch_filter, autocorr_period, waveform_average, lockin, resample,
         mean_waveform, window_sums, pair_checks,
     )
-} | steps.QUERIES
+} | steps.QUERIES | files.QUERIES | whole.QUERIES
 
 _SPANS = """
     cut AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 10800000000 THEN 1 ELSE 0 END AS new FROM events),
@@ -370,15 +355,6 @@ ORACLE = {
             num_samples / 16.0::DOUBLE AS signal_duration, coalesce(b.n, 0) / 16.0::DOUBLE * 4 AS max_clipfree_tx_cycles, num_clips = 0 OR coalesce(b.n, 0) / 16.0::DOUBLE * 4 >= 3 AS enough
         FROM c LEFT JOIN b ON b.pair = c.pair AND b.k = 1
     """,
-    "tf_minimal": f"""
-        WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS i, value - avg(value) OVER (PARTITION BY user_id, event_type) AS v
-            FROM events WHERE event_type IN ('view', 'click')),
-        w AS (SELECT user_id, event_type, m, sum(v * (0.5 - 0.5 * cos(pi() * (i - 2 * m) / 2)) * cos(pi() * (i - 2 * m) / 2)) / 2 AS re, -sum(v * (0.5 - 0.5 * cos(pi() * (i - 2 * m) / 2)) * sin(pi() * (i - 2 * m) / 2)) / 2 AS im
-            FROM s, range(5) t(m) WHERE i >= 2 * m AND i < 2 * m + 4 GROUP BY user_id, event_type, m HAVING count(*) = 4),
-        p AS (SELECT t.user_id, t.re AS tr, t.im AS ti, r.re AS rr, r.im AS ri FROM w t JOIN w r ON t.user_id = r.user_id AND t.m = r.m AND t.event_type = 'view' AND r.event_type = 'click'),
-        h AS (SELECT user_id, count(*) AS n, sum(tr * tr + ti * ti) AS pw, sum(tr * rr + ti * ri) / sum(tr * tr + ti * ti) AS re, sum(tr * ri - ti * rr) / sum(tr * tr + ti * ti) AS im FROM p GROUP BY user_id HAVING count(*) > 1)
-        SELECT user_id, n, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im, round(sum((rr - (tr * re - ti * im)) ** 2 + (ri - (tr * im + ti * re)) ** 2) / pw / (2 * n - 2), 6) + 0.0 AS v FROM p JOIN h USING (user_id) GROUP BY user_id, n, pw, re, im
-    """,
     "tf_windows": f"""
         WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS i, value - avg(value) OVER (PARTITION BY user_id, event_type) AS v
             FROM events WHERE event_type IN ('view', 'click')),
@@ -388,6 +364,7 @@ ORACLE = {
         h AS (SELECT user_id, count(*) AS n, sum(tr * tr + ti * ti) AS pw, sum(tr * rr + ti * ri) / sum(tr * tr + ti * ti) AS re, sum(tr * ri - ti * rr) / sum(tr * tr + ti * ti) AS im FROM p GROUP BY user_id HAVING count(*) > 1)
         SELECT user_id, n, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im, round(sum((rr - (tr * re - ti * im)) ** 2 + (ri - (tr * im + ti * re)) ** 2) / pw / (2 * n - 2), 6) + 0.0 AS v FROM p JOIN h USING (user_id) GROUP BY user_id, n, pw, re, im
     """,
+    "notch_filter": whole.notch_sql("user_id"),
     "running_mean": f"SELECT event_id, round(CASE WHEN count(*) {OVER[:-1]} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) = 4 THEN avg(value) {OVER[:-1]} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) END, 6) + 0.0 AS mean FROM events",
     "running_mean_same": f"""
         WITH m AS (SELECT event_id, user_id, row_number() {OVER} AS i, count(*) OVER (PARTITION BY user_id) AS n, avg(value) {OVER[:-1]} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x FROM events)
@@ -440,7 +417,6 @@ ORACLE = {
     "date_subset": "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'",
     "gps_to_utc": "SELECT event_id, make_timestamp((315964800 + (1950 + event_id % 300) * 604800 - 18 + event_id * 7919 % 604800) * 1000000 + 500000) AS utc FROM events",
     "mountain_time": "SELECT o_orderkey, (o_orderdate::TIMESTAMP AT TIME ZONE 'UTC') AT TIME ZONE 'America/Denver' AS local FROM orders",
-    "dft_bin": f"WITH s AS (SELECT user_id, value, row_number() {OVER} - 1 AS i FROM events) SELECT user_id, count(*) AS n, round(sum(value * cos(2 * pi() * i * 3 / 64)), 6) + 0.0 AS re, round(-sum(value * sin(2 * pi() * i * 3 / 64)), 6) + 0.0 AS im FROM s WHERE i < 64 GROUP BY user_id",
     "dft_bins": f"WITH s AS (SELECT user_id, value, row_number() {OVER} - 1 AS i FROM events) SELECT user_id, i // 64 AS win, count(*) AS n, round(sum(value * cos(2 * pi() * (i % 64) * 3 / 64)), 6) + 0.0 AS re, round(-sum(value * sin(2 * pi() * (i % 64) * 3 / 64)), 6) + 0.0 AS im FROM s GROUP BY user_id, i // 64",
     "window_dft": f"""
         WITH s AS (SELECT user_id, value AS v, row_number() {OVER} - 1 AS i FROM events), m AS (SELECT user_id, unnest(range(0, max(i) // 4 + 1)) AS win FROM s GROUP BY user_id),
@@ -510,4 +486,4 @@ ORACLE = {
     """,
     "resample": f"WITH {RESAMPLED} SELECT user_id, cycle, phase, round(value, 6) + 0.0 AS value FROM q",
     "mean_waveform": f"WITH {RESAMPLED} SELECT user_id, phase, round(avg(value), 10) + 0.0 AS mean FROM q GROUP BY user_id, phase",
-} | steps.ORACLE
+} | steps.ORACLE | files.ORACLE | whole.ORACLE

@@ -220,11 +220,11 @@ _SERIES = f"s AS (SELECT event_id, user_id, value AS v, row_number() {OVER} - 1
 _GAPPY = _SERIES.replace("value AS v", "CASE WHEN event_id % 7 <> 0 THEN value END AS v")
 #: Cells with those of a period further in repeated beyond either end, read at the samples.
 _READ_BACK = """
-    b AS (SELECT *, min(p) OVER (PARTITION BY user_id) AS lo, max(p) OVER (PARTITION BY user_id) AS hi FROM c),
-    a AS (SELECT user_id, p, v FROM b UNION ALL SELECT user_id, p - 8, v FROM b WHERE p < lo + 8 UNION ALL SELECT user_id, p + 8, v FROM b WHERE p > hi - 8),
-    z AS (SELECT user_id, i, (i + 3) / 0.8125::DOUBLE AS t FROM s)
+    b AS MATERIALIZED (SELECT *, min(p) OVER (PARTITION BY user_id) AS lo, max(p) OVER (PARTITION BY user_id) AS hi FROM c),
+    a AS MATERIALIZED (SELECT user_id, p, v FROM b UNION ALL SELECT user_id, p - 8, v FROM b WHERE p < lo + 8 UNION ALL SELECT user_id, p + 8, v FROM b WHERE p > hi - 8),
+    z AS MATERIALIZED (SELECT user_id, i, (i + 3) / 0.8125::DOUBLE AS t, floor((i + 3) / 0.8125::DOUBLE)::BIGINT AS f FROM s)
     SELECT z.user_id, i, round(CASE WHEN t = floor(t) THEN x.v ELSE x.v + (y.v - x.v) * (t - floor(t)) END, {digits}) + 0.0 AS value
-    FROM z JOIN a x ON x.user_id = z.user_id AND x.p = floor(t)::BIGINT LEFT JOIN a y ON y.user_id = z.user_id AND y.p = floor(t)::BIGINT + 1
+    FROM z JOIN a x ON x.user_id = z.user_id AND x.p = z.f LEFT JOIN a y ON y.user_id = z.user_id AND y.p = z.f + 1
 """
 _ANGLES = "p AS (SELECT p_partkey, sin(radians(p_partkey * 3 % 20 + 25)) AS a, sin(radians(p_partkey * 7 % 20 + 25)) AS b, sin(radians(p_partkey * 11 % 20 + 25)) AS c, (p_partkey * 7 % 20 + 25)::DOUBLE AS y FROM part), t AS (SELECT *, sqrt(a * a + b * b + c * c) AS r FROM p)"
 ORACLE = {

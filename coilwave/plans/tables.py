@@ -22,8 +22,7 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 RESAMPLED = f"""
-    s AS (SELECT user_id, value AS v, row_number() {OVER} - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
-    p AS (SELECT user_id, unnest(range(ceil(3 / 0.8125::DOUBLE)::BIGINT, floor((n + 2) / 0.8125::DOUBLE)::BIGINT + 1)) AS p FROM (SELECT DISTINCT user_id, n FROM s)),
-    t AS (SELECT user_id, p, p * 0.8125::DOUBLE - 3 AS t, floor(p * 0.8125::DOUBLE - 3)::BIGINT AS i FROM p),
-    q AS (SELECT t.user_id, p // 8 AS cycle, (p % 8)::INTEGER AS phase, a.v + coalesce((b.v - a.v) * (t - t.i), 0) AS value FROM t JOIN s a ON a.user_id = t.user_id AND a.i = t.i LEFT JOIN s b ON b.user_id = t.user_id AND b.i = t.i + 1)
+    s AS MATERIALIZED (SELECT user_id, value AS v, row_number() {OVER} - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, lead(value) {OVER} AS w FROM events),
+    p AS MATERIALIZED (SELECT user_id, i, v, w, unnest(range(ceil((i + 3) / 0.8125::DOUBLE)::BIGINT, CASE WHEN i = n - 1 THEN floor((i + 3) / 0.8125::DOUBLE)::BIGINT + 1 ELSE ceil((i + 4) / 0.8125::DOUBLE)::BIGINT END)) AS p FROM s),
+    q AS MATERIALIZED (SELECT user_id, p // 8 AS cycle, (p % 8)::INTEGER AS phase, v + coalesce((w - v) * (p * 0.8125::DOUBLE - 3 - i), 0) AS value FROM p)
 """

@@ -57,9 +57,10 @@ def boards(files: DataFrame) -> DataFrame:
 def antennas(files: DataFrame) -> DataFrame:
     """(antenna_sn, base_frequency, mag, phz) from blocks `AMT antenna <frequency>`: the nearest power of two and, from the second pair of
     columns, one and a half times that."""
-    body = F.slice(F.split("text", ANTENNA_BLOCK), F.lit(2), F.lit(1 << 20))
+    rest = lambda c: F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
+    body = rest(F.split("text", ANTENNA_BLOCK))
     block = files.select("path", F.explode(body).alias("block"))
-    lines = block.select("path", F.split("block", r"\r?\n").alias("l")).select("path", F.pow(F.lit(2.0), F.rint(F.log2(F.trim(F.col("l")[0]).cast("double")))).alias("f"), F.explode(F.slice("l", F.lit(2), F.lit(1 << 20))).alias("line"))
+    lines = block.select("path", F.split("block", r"\r?\n").alias("l")).select("path", F.pow(F.lit(2.0), F.rint(F.log2(F.trim(F.col("l")[0]).cast("double")))).alias("f"), F.explode(rest(F.col("l"))).alias("line"))
     cells = F.split(F.trim("line"), r"\s+")
     at = lambda k: F.get(cells, F.lit(k)).try_cast("double")
     own = lines.where(F.trim("line") != "")

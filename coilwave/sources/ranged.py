@@ -17,15 +17,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as A
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from coilwave.sources import recordings as R
+from coilwave.tables import written
 
-#: Bytes of a range, unless the option `split` says otherwise, and what opening a file counts for when files are packed.
-SPLIT, OPENING = 64 << 20, 1 << 16
+#: Bytes of a range and of a task's ranges, unless the options `split` and `pack` say otherwise, and what opening a file counts for.
+SPLIT, OPENING = 64 << 20, 1 << 14
 #: Bytes that are read at once.
 CHUNK = 4 << 20
 #: What is read of either end of a file at first; twice as much each time, until a flag is found.
@@ -70,15 +72,16 @@ def aligned_flags(data: bytes, at: int) -> np.ndarray:
 class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.folder, self.mode, self.split = options["path"], options.get("mode", "records"), max(8, int(options.get("split", SPLIT)) // 4 * 4)
+        self.pack = int(options.get("pack", max(SPLIT, self.split)))
         self.second = options.get("second", "false").lower() == "true"
-        self.paths = set(options["paths"].split("\n")) if options.get("paths") else None
+        self.paths = set(options["only"].split("\n")) if options.get("only") else None
 
     def partitions(self) -> list[Ranges]:
         system, path, prefix = opened(self.folder)
         found = system.get_file_info(path)
         infos = [found] if found.type == A.FileType.File else system.get_file_info(A.FileSelector(path, recursive=True))
         packed: list[list] = [[]]
-        room = self.split
+        room = self.pack
         for i in sorted(infos, key=lambda i: i.path):
             name = prefix + i.path
             hidden = any(x.startswith((".", "_")) for x in i.path.removeprefix(path).split("/"))
@@ -90,7 +93,7 @@ class Reader(DataSourceReader):
                 cost = (end - start if self.mode in ("records", "flags") else END) + OPENING
                 if cost > room and packed[-1]:
                     packed.append([])
-                    room = self.split
+                    room = self.pack
                 room -= cost
                 packed[-1].append((name, start, end, i.size, (i.mtime_ns or 0) // 1000))
         return [Ranges(p) for p in packed if p] or [Ranges([])]
@@ -280,7 +283,7 @@ class Writer(DataSourceArrowWriter):
 
 
 class Recordings(DataSource):
-    """Options: mode (see SCHEMAS), split (bytes of a range), second (true: heads also tell the second record), paths (only these, one a line)."""
+    """Options: mode (see SCHEMAS), split (bytes of a range), pack (bytes of a task), second (true: heads also tell the second record), only (only these paths, one a line)."""
 
     @classmethod
     def name(cls) -> str:
@@ -303,40 +306,65 @@ def _read(spark: SparkSession, folder: str, mode: str, **options: object) -> Dat
     return spark.read.format("recordings").options(mode=mode, filtering=filtering, **{k: str(v) for k, v in options.items()}).load(folder)
 
 
-def records(spark: SparkSession, folder: str, split: int = SPLIT) -> DataFrame:
+def records(spark: SparkSession, folder: str, split: int = SPLIT, pack: int = SPLIT) -> DataFrame:
     """Every record of a folder's recordings, as recordings.records() gives them, whatever the split; files may have any size.
 
     Records are numbered from counts of flags by range: a row for each range is sent to the tasks, no record is moved."""
-    held = _read(spark, folder, "records", split=split)
-    counts = _read(spark, folder, "flags", split=split).groupBy("path", "range_start").agg(F.count("*").alias("n"))
+    held = _read(spark, folder, "records", split=split, pack=pack)
+    counts = _read(spark, folder, "flags", split=split, pack=pack).groupBy("path", "range_start").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select("path", "range_start", before.alias("_base"))
     named = [c.split()[0] for c in R.RECORD_SCHEMA.split(", ")]
     return held.join(F.broadcast(bases), ["path", "range_start"]).withColumn("record_no", F.col("_base") + F.col("place")).select(*named)
 
 
-def heads(spark: SparkSession, folder: str, second: bool = False) -> DataFrame:
+def heads(spark: SparkSession, folder: str, second: bool = False, paths: list[str] | None = None) -> DataFrame:
     """A row a file, from its first and last bytes: what recordings.headers() tells, and places and stamps of the first, the last and, if asked
-    for, the second record. What is read does not grow with the length of files that have records."""
-    return _read(spark, folder, "heads", second=second)
+    for, the second record; only of `paths`, if they are given. What is read does not grow with the length of files that have records."""
+    return _read(spark, folder, "heads", second=second, **({} if paths is None else {"only": "\n".join(["", *paths])}))
 
 
-def record_lengths(spark: SparkSession, folder: str, split: int = SPLIT) -> DataFrame:
+def record_lengths(spark: SparkSession, folder: str, split: int = SPLIT, pack: int = SPLIT) -> DataFrame:
     """(path, position, length) of every record, in bytes: only flags are looked for."""
-    found = _read(spark, folder, "flags", split=split)
+    found = _read(spark, folder, "flags", split=split, pack=pack)
     after = F.lead("position").over(Window.partitionBy("path").orderBy("position"))
     return found.select("path", "position", (F.coalesce(after, F.col("file_size")) - F.col("position")).alias("length"))
 
 
-def catalog(spark: SparkSession, folder: str) -> DataFrame:
+def catalog(spark: SparkSession, folder: str, paths: list[str] | None = None) -> DataFrame:
     """recordings.catalog() from heads and tails."""
-    return described(heads(spark, folder))
+    return described(heads(spark, folder, paths=paths))
 
 
 def described(heads: DataFrame) -> DataFrame:
     return R.described(heads.withColumns({"_from": F.col("first_stamp"), "_to": F.col("last_stamp")}))
 
 
+def grown_catalog(spark: SparkSession, folder: str, kept: str, parts: int = 16) -> DataFrame:
+    """catalog() of a folder, kept as Parquet at `kept`, with file_size and modified. Only files that are new, or have another size or time than when they were
+    read, are opened; files that are gone are marked so and left out. The kept table has `parts` parts by path, and only those that change are written."""
+    part = F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int").alias("part")
+    listed = written(_read(spark, folder, "files").select("*", part), "listed")
+    same = ["path", "file_size", "modified"]
+    try:
+        had = spark.read.parquet(kept)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        had = None
+    known = listed.where("false") if had is None else had.where("not gone")
+    fresh = listed.join(known, same, "left_anti").select("path", "part").collect()
+    gone = known.join(listed, "path", "left_anti").select("path", "part").collect()
+    if fresh or gone or had is None:
+        read = catalog(spark, folder, [r.path for r in fresh]).join(listed, "path").withColumn("gone", F.lit(False))
+        if had is not None:
+            old = had.where(F.col("part").isin({r.part for r in [*fresh, *gone]})).join(read.select("path"), "path", "left_anti")
+            read = old.withColumn("gone", F.col("gone") | F.col("path").isin([r.path for r in gone])).unionByName(read)
+        # Spark does not overwrite what it reads
+        written(read, "catalog").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(kept)
+    return spark.read.parquet(kept).where("not gone").drop("gone", "part")
+
+
 def preambles(spark: SparkSession, folder: str) -> DataFrame:
     """(path, preamble): what stands before the first record, byte for byte."""
     return _read(spark, folder, "preambles")

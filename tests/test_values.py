@@ -135,10 +135,12 @@ def test_regression_in_rounds(spark, monkeypatch, in_one_task):
     df = K.regression_m(spark.createDataFrame(rows, "k int, t_re double, t_im double, r_re double, r_im double").repartition(5), ["k"])
     # no task holds all pairs of a key
     got = {r["k"]: tuple(r)[1:] for r in df.collect()}
-    for k, (n, (h, v, rounds, good)) in want.items():
-        assert got[k][0] == n and got[k][1:4] == pytest.approx((h.real, h.imag, v), rel=1e-6) and got[k][5] == pytest.approx(good) and abs(got[k][4] - rounds) <= 1
-    assert got[4] == (1, *[None] * 5) and got[5] == (2, *[None] * 5) and got[6] == (0, *[None] * 5)
-    assert got[7] == (2, 2.0, 0.0, 0.0, 0, 1.0) and len(got) == 8
+    for k, (n, (h, v, rounds, good, converged)) in want.items():
+        assert converged and got[k][6] and got[k][0] == n and got[k][1:4] == pytest.approx((h.real, h.imag, v), rel=1e-6) and got[k][5] == pytest.approx(good) and abs(got[k][4] - rounds) <= 1
+    assert got[4] == (1, *[None] * 6) and got[5] == (2, *[None] * 6) and got[6] == (0, *[None] * 6)
+    assert got[7] == (2, 2.0, 0.0, 0.0, 0, 1.0, True) and len(got) == 8
+    cut = K.regression_m(spark.createDataFrame(rows[:300], "k int, t_re double, t_im double, r_re double, r_im double"), ["k"], most=1).first()
+    assert (cut["rounds"], cut["converged"]) == (1, False)
 
 
 def test_waveforms_and_grids_of_gaps(spark):
@@ -192,3 +194,27 @@ def test_codes_over_many_parts(spark):
     got = C.coded(spark.createDataFrame([(n,) for n in names], "station string").repartition(16), "station", "code").collect()
     assert len(got) == len(names) and all(r.code == (None if r.station is None else int(r.station[1:])) for r in got)
     assert C.coded(spark.createDataFrame([], "station string"), "station", "code").count() == 0
+
+
+def test_points_between_knots(spark):
+    """Straight lines by hand; a point's columns keep their names and order, and no array holds a key's knots."""
+    from coilwave.operators import catalog as C
+
+    knots = {1: [(0.0, 1.0), (2.0, 5.0), (3.0, 4.0)], 2: [(1.0, 7.0)], 3: []}
+    table = spark.createDataFrame([(k, x, y) for k, own in knots.items() for x, y in own] + [(None, 1.0, 9.0), (1, 2.0, 6.0), (1, None, 3.0)], "k int, f double, m double")
+    points = [(i, k, x) for i, (k, x) in enumerate([(k, x) for k in (1, 2, 3, None) for x in (-1.0, 0.0, 1.5, 2.0, 2.5, 3.0, 9.0, None)] * 3)]
+    df = C.interpolated(spark.createDataFrame(points, "id int, k int, f double"), table, ["k"], "f", "m", "out")
+    assert df.columns == ["id", "k", "f", "out"] and "collect_list" not in df._jdf.queryExecution().toString()
+
+    def line(k, x):
+        own = knots.get(k) or []
+        if x is None or not own:
+            return None
+        if len(own) == 1:
+            return own[0][1]
+        j = max([i for i, p in enumerate(own[:-1]) if p[0] <= x], default=0)
+        (a, b), (c, d) = own[j], own[j + 1]
+        return b + (d - b) * (x - a) / (c - a)
+
+    got = {r["id"]: r["out"] for r in df.collect()}
+    assert got == {i: pytest.approx(line(k, x)) if line(k, x) is not None else None for i, k, x in points}
