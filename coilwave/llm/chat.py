@@ -22,7 +22,11 @@ def _list(path: str, role: str, text: str, names: dict[str, str]) -> str:
     return f"transform({read}, m -> named_struct('role', {name}, 'text', coalesce(m.{text}, '')))"
 
 
-#: Layouts (roles of messages stay as they are; conversations[].from has names of its own for two of them): the field paths of a record (sorted leaves, [] for lists), and its canonical turns in SQL over the variant v.
+#: Fields that say nothing of a conversation's turns; a record may have them beside a layout's own.
+BESIDE = ("id", "source", "lang", "license", "score", "created", "messages[].name", "messages[].id", "conversations[].id")
+
+#: Layouts (roles of messages stay as they are; conversations[].from has names of its own for two of them): the field paths that a record must have and, but for those BESIDE, may
+#: have (sorted leaves, [] for lists), and its canonical turns in SQL over the variant v.
 LAYOUTS = {
     "completion,prompt": f"array({_turn('user', '$.prompt')}, {_turn('assistant', '$.completion')})",
     "prompt,response": f"array({_turn('user', '$.prompt')}, {_turn('assistant', '$.response')})",
@@ -62,12 +66,12 @@ LARGE = 16 << 20
 def canonical(records: DataFrame, record: str = "record") -> DataFrame:
     """(row, turns): each input row as a struct, and its turns as array<struct<role, text>>.
 
-    `record` is a column of JSON. The fingerprint of its field paths selects the layout in LAYOUTS. turns is null if the
+    `record` is a column of JSON. The fingerprint of its field paths, less those BESIDE, selects the layout in LAYOUTS. turns is null if the
     record is null, no JSON, or of a layout not listed; a null text is an empty one. A record of over 16 MiB that cannot be
     read fails with the reader's error, as it may be whole but too large."""
     variant = F.coalesce(F.try_parse_json(F.col(record)), F.when(F.octet_length(F.col(record)) > LARGE, F.parse_json(F.col(record))))
     parsed = records.select(F.struct(*[F.col(c) for c in records.columns]).alias("row"), variant.alias("v"))
-    printed = parsed.select("row", "v", fingerprint(field_paths(F.schema_of_variant("v"))).alias("print"))
+    printed = parsed.select("row", "v", fingerprint(F.array_except(field_paths(F.schema_of_variant("v")), F.array(*[F.lit(p) for p in BESIDE]))).alias("print"))
     turns = F.lit(None).cast(TURNS)
     for paths, sql in LAYOUTS.items():
         turns = F.when(F.col("print") == fingerprint(F.split(F.lit(paths), ",")), F.expr(sql)).otherwise(turns)
@@ -130,23 +134,48 @@ def format_chats(records: DataFrame, record: str = "record") -> DataFrame:
     return canonical(records, record).select("row", "turns", formatted(F.col("turns")).alias("formatted"), loss_mask(F.col("turns")).alias("mask"))
 
 
+#: Conversations of more bytes of text are formatted turn by turn and never put together in one row.
+TOGETHER = 4 << 20
+
+
 def as_records(rows: DataFrame) -> DataFrame:
     """(conv_id, record): rows (conv_id, turn, role, text) of each conversation as one JSON record, in order of turn, then role
     and text. A null role or text is an empty one; rows without conv_id are one conversation; repeated rows stay.
-    A conversation of one user and one assistant turn is a prompt with its completion, any other a list of messages.
 
-    A conversation's turns meet in one row here; format_turns() keeps them apart."""
+    A hash of conv_id deals conversations to the layouts that can hold them: a user's and an assistant's turn, also behind one of the system, to those of
+    prompts, questions and instructions; any others to messages, or to conversations where no role is named as that layout names its own.
+
+    A conversation's turns meet in one row here; format_turns() keeps large ones apart."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
-    pair = (F.size("t") == 2) & (F.col("t")[0]["role"] == "user") & (F.get("t", F.lit(1))["role"] == "assistant")
-    prompt = F.to_json(F.struct(F.col("t")[0]["text"].alias("prompt"), F.get("t", F.lit(1))["text"].alias("completion")))
-    messages = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"], x["text"].alias("content"))).alias("messages")))
-    return turns.select("conv_id", F.when(pair, prompt).otherwise(messages).alias("record"))
-
-
-def format_turns(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, formatted, mask) of each row (conv_id, turn, role, text): the row as a record of one message, formatted by
-    itself. A conversation's string is its turns' strings joined in order of turn, role and text, so its size sets no limit here."""
+    roles, text = F.array_join(F.transform("t", lambda x: x["role"]), "\n"), lambda k: F.get("t", F.lit(k))["text"]
+    listed = lambda name, role, content, named: F.to_json(F.struct(F.transform("t", lambda x: F.struct(named(x["role"]).alias(role), x["text"].alias(content))).alias(name)))
+    from_name = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    pair = [(("prompt", 0), ("completion", 1)), (("prompt", 0), ("response", 1)), (("question", 0), ("answer", 1)), (("instruction", 0), ("output", 1)), (("instruction", 0), ("input", None), ("output", 1))]
+    flat = lambda fields: F.to_json(F.struct(*[(F.lit("") if k is None else text(k)).alias(n) for n, k in fields]))
+    deal = lambda n: F.pmod(F.xxhash64("conv_id"), F.lit(n))
+    of_pair = F.element_at(F.array(*[flat(f) for f in pair]), (deal(len(pair)) + 1).cast("int"))
+    clear = ~F.exists("t", lambda x: x["role"].isin("human", "gpt"))
+    record = (
+        F.when(roles == "user\nassistant", of_pair).when(roles == "system\nuser\nassistant", flat((("system", 0), ("prompt", 1), ("completion", 2))))
+        .when(clear & (deal(2) == 0), listed("conversations", "from", "value", from_name)).otherwise(listed("messages", "role", "content", lambda r: r))
+    )
+    return turns.select("conv_id", record.alias("record"))
+
+
+def format_turns(rows: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """(conv_id, turn, formatted, mask) of each row (conv_id, turn, role, text). A conversation's string is its turns' strings joined in order of turn, role and
+    text; turn is a turn's place among them (of conversations of over `together` bytes, its own number).
+
+    Conversations are records in the layouts of as_records(); the fingerprint of each record finds its turns, which are formatted one by one. One of over
+    `together` bytes goes turn by turn, each a record of one message, so its size sets no limit."""
+    sizes = rows.groupBy("conv_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("role"), F.lit(0)) + 32).alias("_n"))
+    large = sizes.where(F.col("_n") > together).select(F.col("conv_id").alias("_c"))
+    own = rows.select("conv_id", "turn", "role", "text")
+    is_large = F.col("conv_id").eqNullSafe(F.col("_c"))
+    whole = canonical(as_records(own.join(large, is_large, "left_anti"))).select("row.conv_id", F.posexplode("turns").alias("turn", "_t"))
     message = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    records = rows.select("conv_id", "turn", F.to_json(F.struct(F.array(message).alias("messages"))).alias("record"))
-    return format_chats(records).select("row.conv_id", "row.turn", "formatted", "mask")
+    parts = own.join(large, is_large, "left_semi").select("conv_id", "turn", F.to_json(F.struct(F.array(message).alias("messages"))).alias("record"))
+    single = canonical(parts).select("row.conv_id", "row.turn", F.col("turns")[0].alias("_t"))
+    one = F.array("_t")
+    return whole.unionByName(single).select("conv_id", "turn", formatted(one).alias("formatted"), loss_mask(one).alias("mask"))

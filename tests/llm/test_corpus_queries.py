@@ -80,6 +80,34 @@ def test_layouts(spark):
     assert got == [[("user", "p"), ("assistant", "c")]] * len(records) + [None] * 4
 
 
+def test_fields_beside_a_layout(spark):
+    records = ['{"id": 3, "prompt": "p", "completion": "c"}', '{"messages": [{"role": "user", "content": "p", "name": "x"}, {"role": "assistant", "content": "c"}], "source": "s"}', '{"prompt": "p", "completion": "c", "context": "not to be lost"}']
+    df = spark.createDataFrame([(r,) for r in records], "record string")
+    got = [r.turns and [tuple(t) for t in r.turns] for r in chat.canonical(df).collect()]
+    assert got == [[("user", "p"), ("assistant", "c")]] * 2 + [None]
+
+
+def test_layouts_that_conversations_are_dealt_to(spark, small):
+    """The table's conversations meet most layouts, and large conversations turn by turn give the same."""
+    from pyspark.sql import functions as F
+
+    rows = spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = [(-5, 0, "human", "q"), (-5, 1, "gpt", "a"), (-6, 0, "system", ""), (-6, 1, "user", "u\\n"), (-6, 2, "assistant", None), (None, 0, "user", "\u0000\\\""), (None, 1, "assistant", "b"), (-7, 0, "assistant", "alone")]
+    rows = rows.unionByName(spark.createDataFrame(odd, rows.schema)).cache()
+    records = chat.as_records(rows)
+    prints = records.select(F.array_join(F.array_sort(chat.field_paths(F.schema_of_variant(F.parse_json("record")))), ",").alias("p")).groupBy("p").count().collect()
+    assert {r.p for r in prints} <= set(chat.LAYOUTS) and len(prints) >= 5
+
+    def strings(together):
+        made = chat.format_turns(rows, together).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("mask")))
+        # of large conversations turn is the row's own number, of others the place
+        return sorted((str(r.conv_id), r.formatted, r.loss) for r in made.collect())
+
+    whole = strings(1 << 30)
+    assert whole == strings(0) == strings(300) and len(whole) == rows.count()
+    assert [(f, x) for c, f, x in whole if c == "-7"] == [("<|im_start|>assistant\nalone<|im_end|>\n", "alone")]
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Example.COM/en/7?x=/en/", "https://example.net/de/81#f", "x://y.org/es/", "http://host.com", "http://h.com?u=http://a/b", "ftp://com/en/", "http://b.de\n/x/en/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
