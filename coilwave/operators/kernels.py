@@ -144,30 +144,6 @@ def notch(df: DataFrame, keys: list[str], order: list[str], value: str, frequenc
     return per_series(df, keys, order, value, out, lambda x: zero_phase(b, a, x))
 
 
-def best_period(x: np.ndarray, guess: int, around: int) -> float:
-    """Samples a waveform lasts: the lag near the guess at which the series is most like itself, then near twice the lag and
-    so on while the series is long enough, each time as a part of a longer lag."""
-    x = x - x.mean() if len(x) else x
-    lag, times, spread = float(guess), 1, around
-    while lag * times + spread < len(x):
-        centre = round(lag * times)
-        lags = np.arange(max(1, centre - spread), centre + spread + 1)
-        like = [float(x[:-k] @ x[k:]) / (len(x) - k) for k in lags.tolist()]
-        lag = float(lags[int(np.argmax(like))]) / times
-        times, spread = times * 2, max(1, around // 2)
-    return lag
-
-
-def period(df: DataFrame, keys: list[str], order: list[str], value: str, guess: int, around: int) -> DataFrame:
-    """(keys, period) of each series; missing samples are left out."""
-
-    def result(rows: pa.RecordBatch, first: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
-        found = pa.array([best_period(x[~np.isnan(x)], guess, around) for x in values], pa.float64())
-        return rows.select(keys).take(pa.array(first)).append_column("period", found)
-
-    return _series(df, keys, order, value, T.StructType([*[df.schema[k] for k in keys], T.StructField("period", T.DoubleType())]), result)
-
-
 def folded_waveform(x: np.ndarray, samples: float, periods: int) -> np.ndarray:
     """At each sample the waveform of its surroundings: the series is read at whole fractions of a period, each phase is averaged over
     `periods` periods with a Hann weight, and the result is read back at the samples. NaN counts nowhere."""

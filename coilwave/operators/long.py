@@ -151,6 +151,73 @@ def interpolate(df: DataFrame, keys: list[str], index: str, value: str, out: str
     return own.withColumn(out, value_at).select(*df.columns, out)
 
 
+#: Ranges that values are counted in at once, and values of one range that one task ranks.
+CELLS, RANKED = 256, 100_000
+
+
+def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], cells: int = CELLS, most: int = RANKED) -> DataFrame:
+    """(keys, a column for each of `ranks`): the values of these ranks (from 0) among the known values of each series; a rank is an expression over n, how many there are.
+
+    Values are counted in `cells` ranges between their least and greatest, and only the range that holds a rank goes on to the next round, with its own least and
+    greatest; once a range has at most `most` values, or one value only, it is ranked. No task gets more, however many samples a series has."""
+    own = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    sizes = own.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]))
+    state = written(sizes.withColumn("_a", asked).select(*keys, "n", "lo", "hi", "_a.name", "_a.rank").where("rank between 0 and n - 1"), "ranks")
+    done = []
+    while True:
+        done.append(state.where(F.col("lo") == F.col("hi")).select(*keys, "name", F.col("lo").alias("_r")))
+        open_ = state.where("lo < hi")
+        if open_.isEmpty():
+            break
+        met = own.join(_renamed(open_, keys), _same(keys, F.col("_v").between(F.col("lo"), F.col("hi")))).select(*keys, "name", "rank", "n", "lo", "hi", "_v")
+        few = met.where(F.col("n") <= most).withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "name").orderBy("_v")) - 1)
+        done.append(written(few.where("_k = rank").select(*keys, "name", F.col("_v").alias("_r")), "ranked"))
+        # halves first, as the span of two doubles may be no double; equal values share a cell, and cells keep their order
+        cell = F.least(F.floor((F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * cells), F.lit(cells - 1))
+        counts = met.where(F.col("n") > most).groupBy(*keys, "name", "rank", cell.alias("cell")).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy(*keys, "name").orderBy("cell"))
+        held = counts.withColumn("_upto", upto).where("rank >= _upto - n and rank < _upto")
+        state = written(held.select(*keys, "n", "lo", "hi", "name", (F.col("rank") - F.col("_upto") + F.col("n")).alias("rank")), "ranks")
+    found = reduce(DataFrame.unionByName, done)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("_r"))).alias(name) for name in ranks])
+
+
+def winsorize(df: DataFrame, keys: list[str], value: str, p: float, out: str = "clipped", mask: bool = False, **how: int) -> DataFrame:
+    """series.winsorize(), for series of any length."""
+    k = F.floor(F.lit(p) * F.col("n"))
+    bounds = _renamed(ranked_values(df, keys, value, {"_lo": k, "_hi": F.col("n") - k - 1}, **how), keys)
+    own = df.join(bounds, _same(keys, F.lit(True)), "left")
+    inside = F.col(value).between(F.col("_lo"), F.col("_hi"))
+    clipped = F.when(inside, F.col(value)) if mask else F.when(F.col(value).isNotNull(), F.greatest("_lo", F.least("_hi", value)))
+    return own.withColumn(out, clipped).select(*df.columns, out)
+
+
+def period(df: DataFrame, keys: list[str], index: str, value: str, guess: int, around: int = 2, excluded: int = 3) -> DataFrame:
+    """(keys, period): samples a waveform lasts. Of the lags within `around` of twice the guess that one counts at which the sum of products of samples is greatest (of
+    equal ones the least), then of those around twice that lag, and so on while lags stay below the series' length less `excluded` guesses; the last one is divided
+    by its number of waveforms. A series that is too short keeps the guess. Null samples add nothing.
+
+    Each round is a join of the samples with themselves by place and lag, summed by series and lag."""
+    own = df.select(*keys, F.col(index).cast("long").alias("_i"), F.col(value).cast("double").alias("_x"))
+    sizes = own.groupBy(*keys).agg((F.count(F.lit(1)) - excluded * guess).alias("_most"))
+    state = written(sizes.select(*keys, "_most", F.lit(2 * guess).cast("long").alias("_lag"), F.lit(2).cast("long").alias("_times")), "lags")
+    done = []
+    going = F.col("_lag") + around < F.col("_most")
+    shifted = _renamed(own.select(*keys, F.col("_i").alias("_j"), F.col("_x").alias("_y")), keys)
+    while True:
+        done.append(state.where(~going).select(*keys, (F.col("_lag") / F.col("_times")).alias("period")))
+        open_ = state.where(going)
+        if open_.isEmpty():
+            break
+        lagged = own.join(_renamed(open_, keys), _same(keys, F.lit(True))).select(*own.columns, "_most", "_times", F.explode(F.sequence(F.col("_lag") - around, F.col("_lag") + around)).alias("_l"))
+        met = lagged.join(shifted, _same(keys, F.col("_i") + F.col("_l") == F.col("_j")))
+        sums = met.groupBy(*keys, "_most", "_times", "_l").agg(F.coalesce(F.sum(F.col("_x") * F.col("_y")), F.lit(0.0)).alias("_s"))
+        best = sums.groupBy(*keys, "_most", "_times").agg(F.max(F.struct("_s", (-F.col("_l")).alias("_l"))).alias("_b"))
+        state = written(best.select(*keys, "_most", (-2 * F.col("_b._l")).alias("_lag"), (2 * F.col("_times")).alias("_times")), "lags")
+    return reduce(DataFrame.unionByName, done)
+
+
 def notch(df: DataFrame, keys: list[str], index: str, value: str, frequency: float, rate: float, bandwidth: float, out: str = "filtered", size: int = SIZE) -> DataFrame:
     """kernels.notch(): a recursive filter forth and back over series of any length, whose samples are placed by `index` (from 0, without gaps).
 

@@ -105,16 +105,18 @@ def trimmed(samples: DataFrame, checked: DataFrame) -> DataFrame:
     return own.where(inside).select("pair", F.when(F.col("num_clips") > 0, F.col("i") - F.col("clip_first")).otherwise(F.col("i")).alias("i"), "tx", "rx")
 
 
-def coefficients(samples: DataFrame, rate: float, frequency: float, cycles_per_window: int = 2, strides_per_cycle: int = 2, notch_bandwidth: float = 0.2, hum: float = 60.0, periods: int = 15, before: int = 40, after: int = 100) -> DataFrame:
+def coefficients(samples: DataFrame, rate: float, frequency: float, cycles_per_window: int = 2, strides_per_cycle: int = 2, notch_bandwidth: float = 0.2, hum: float = 60.0, periods: int = 15, before: int = 40, after: int = 100, taper: str = "hann") -> DataFrame:
     """(pair, win, harmonic, f, t_re, t_im, r_re, r_im) of pairs of one rate and transmitter frequency: samples less hum and drift, in windows
-    of whole cycles, at the odd harmonics that a window resolves.
+    of whole cycles (with the tapers of X.LONGER some samples more), at the odd harmonics that a window resolves.
 
     Above 16 Hz hum is notched, else its mean waveform goes, which samples near the transmitter's edges do not count for. Drift is the robust
     running mean over a cycle."""
     cycle = round(rate / frequency)
-    width, hop = cycle * cycles_per_window, max(1, round(cycle / strides_per_cycle))
+    width, hop = cycle * cycles_per_window + X.longer(taper), max(1, round(cycle / strides_per_cycle))
     found = width // 2 + 1
+    # whole bins for windows of whole cycles; a longer window reads the same frequencies between its bins
     kept = [h for h in HARMONICS[: found // 2] if h * cycles_per_window < found]
+    per_bin = width / cycle
     own = samples
     if frequency <= 16:
         offset = S.on_time_offset(own, ["pair"], ["i"], "tx", cycle)
@@ -126,9 +128,9 @@ def coefficients(samples: DataFrame, rate: float, frequency: float, cycles_per_w
         else:
             less = K.waveform_filtered(own.select("pair", "i", c, "_near"), ["pair"], ["i"], c, rate / hum, periods, "_f", masked="_near")
         flat = S.robust_running_mean(less, ["pair"], ["i"], "_f", cycle, out="_m").withColumn("_v", F.col("_f") - F.col("_m"))
-        bins = X.windowed_bins(flat, ["pair"], "i", "_v", width, hop, [h * cycles_per_window for h in kept])
+        bins = X.windowed_bins(flat, ["pair"], "i", "_v", width, hop, [h * per_bin for h in kept], taper, named=kept)
         sides.append(bins.select("pair", "win", "bin", F.col("re").alias(f"{n}_re"), F.col("im").alias(f"{n}_im")))
-    harmonic = (F.col("bin") / cycles_per_window).cast("int")
+    harmonic = F.col("bin").cast("int")
     return sides[0].join(sides[1], ["pair", "win", "bin"]).select("pair", "win", harmonic.alias("harmonic"), (harmonic * frequency).alias("f"), "t_re", "t_im", "r_re", "r_im")
 
 
@@ -169,6 +171,31 @@ def result_rows(catalog: DataFrame, checked: DataFrame, tf: DataFrame) -> DataFr
     return catalog.join(checked.select(*own), "pair", "left").join(wide, "pair", "left").withColumn("processed", F.coalesce("processed", F.lit(False)))
 
 
+# The columns of a result table by name and order.
+RESULT_COLUMNS = [
+    "processed", "tx_station", "rx_station", "rx_run", "rx_component", "num_nans", "num_clips", "max_clipfree_tx_cycles", "sampling_rate", "num_samples", "signal_duration",
+    "samples_per_cycle", "num_cycles", "tx_filename", "rx_filename", "dx1", "dy1", "dz1", "dx2", "dy2", "dz2", "azimuth", "inclination", "transmitter_frequency", "min_current", "max_current",
+    *[f"tf{h}_{part}_LS" for h in HARMONICS for part in ("real", "imag")], *[f"tf{h}_var_LS" for h in HARMONICS],
+    *[f"tf{h}_{part}_RM" for h in HARMONICS for part in ("real", "imag")], *[f"tf{h}_var_RM" for h in HARMONICS],
+    "n_iter", "n_good",
+]
+#: Where they come from, if not from a column of the same name.
+RESULT_SOURCES = {"sampling_rate": "rate", "tx_filename": "tx_path", "rx_filename": "rx_path", "transmitter_frequency": "frequency"}
+
+
+def result_table(done: DataFrame) -> DataFrame:
+    """result_rows() with the columns of a result table and no others, in their order; columns that the catalog did not have are null. dx1 to inclination are
+    the receiver's, also from columns named rx_dx1 and so on."""
+
+    def column(name: str) -> Column:
+        for c in (name, RESULT_SOURCES.get(name), f"rx_{name}"):
+            if c in done.columns:
+                return F.col(c).alias(name)
+        return F.lit(None).cast("string" if name in ("tx_station", "rx_station", "rx_run", "rx_component") else "double").alias(name)
+
+    return done.select(*[column(c) for c in RESULT_COLUMNS])
+
+
 def processed(records: DataFrame, pairs: DataFrame, boards: DataFrame, antennas: DataFrame, save_coefficients: str | None = None, **how) -> DataFrame:
     """All of it: result_rows of pairs (pair, tx_path, rx_path, start, end, tx_rate, rx_rate, frequency, tx_box, tx_card, tx_antenna,
     tx_component, rx_..., any others), with `problem`: why a pair was left out. `how` goes to coefficients(), once for each rate and frequency that

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Pair = tuple[Column, Column]
@@ -45,23 +46,49 @@ def hat(n: int, mode: str = "center") -> Column:
     return F.transform(i, lambda x: shape(x.cast("double")))
 
 
-def windowed_bins(df: DataFrame, keys: list[str], index: str, value: str, width: int, hop: int, bins: list[int], taper: str = "hann") -> DataFrame:
+def _tukey(place: Column, width: int, edge: int = 10) -> Column:
+    """Flat but for `edge` samples that rise and as many that fall, as a cosine."""
+    near = F.least(place, width - place)
+    return F.when(near < edge, 0.5 - 0.5 * F.cos(math.pi * near / edge)).otherwise(1.0)
+
+
+#: Tapers by name: the weight of a place (from 0) in a window of so many samples; the window after the last place begins anew. Add your own.
+TAPERS: dict[str, Callable[[Column, int], Column]] = {
+    "none": lambda place, width: F.lit(1.0),
+    "hann": lambda place, width: 0.5 - 0.5 * F.cos(2 * math.pi * place / width),
+    "hamming": lambda place, width: 0.54 - 0.46 * F.cos(2 * math.pi * place / width),
+    "blackman": lambda place, width: 0.42 - 0.5 * F.cos(2 * math.pi * place / width) + 0.08 * F.cos(4 * math.pi * place / width),
+    "tukey_ten_sample_taper": _tukey,
+}
+#: By how many samples a window of whole cycles is longer with a taper.
+LONGER = {"tukey_ten_sample_taper": 10}
+
+
+def longer(taper: str) -> int:
+    return LONGER.get(taper, 0)
+
+
+def taper_table(spark: SparkSession, shape: str, width: int) -> DataFrame:
+    """(place, weight) of a taper."""
+    return spark.range(width).select(F.col("id").alias("place"), TAPERS[shape](F.col("id").cast("double"), width).alias("weight"))
+
+
+def windowed_bins(df: DataFrame, keys: list[str], index: str, value: str, width: int, hop: int, bins: list[float], taper: str = "hann", named: list[int] | None = None) -> DataFrame:
     """(keys, win, bin, re, im) of each full window of `width` samples that begins at a multiple of `hop`: the tapered sum of
-    value * exp(-2 pi i * bin * place / width), by the taper's sum. Only the wanted bins are computed. A sample meets only the
-    windows that hold it (width / hop of them, rounded up)."""
+    value * exp(-2 pi i * bin * place / width), by the taper's sum. Only the wanted bins are computed, which need not be whole (`named`: what to call
+    them). A sample meets only the windows that hold it (width / hop of them, rounded up), and the weight of its place; taper names one of TAPERS."""
     i = F.col(index)
     first = F.greatest(F.lit(0), F.ceil((i - width + 1) / hop)).cast("long")
     last = F.floor(i / hop).cast("long")
     windows = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
     long = df.select(*keys, i.alias("_i"), F.col(value).alias("_v"), F.explode(windows).alias("win")).withColumn("_p", F.col("_i") - F.col("win") * hop)
-    weight = 0.5 - 0.5 * F.cos(2 * math.pi * F.col("_p") / width) if taper == "hann" else F.lit(1.0)
-    total = width / 2 if taper == "hann" else float(width)
-    aggs = []
-    for b in bins:
+    long = long.withColumn("_w", TAPERS[taper](F.col("_p"), width))
+    aggs = [F.sum("_w").alias("_t")]
+    for k, b in enumerate(bins):
         angle = 2 * math.pi * b * F.col("_p") / width
-        aggs += [(F.sum(F.col("_v") * weight * F.cos(angle)) / total).alias(f"re{b}"), (-F.sum(F.col("_v") * weight * F.sin(angle)) / total).alias(f"im{b}")]
+        aggs += [F.sum(F.col("_v") * F.col("_w") * F.cos(angle)).alias(f"re{k}"), (-F.sum(F.col("_v") * F.col("_w") * F.sin(angle))).alias(f"im{k}")]
     wide = long.groupBy(*keys, "win").agg(F.count("_v").alias("_n"), *aggs).where(F.col("_n") == width)
-    stacked = ", ".join(f"{b}, re{b}, im{b}" for b in bins)
+    stacked = ", ".join(f"{b}, re{k} / _t, im{k} / _t" for k, b in enumerate(bins if named is None else named))
     return wide.select(*keys, "win", F.expr(f"stack({len(bins)}, {stacked}) as (bin, re, im)"))
 
 

@@ -260,10 +260,6 @@ def notch_filter(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(K.notch(events(spark, folder), ["user_id"], ORDER, "value", 60.0, 4096.0, 0.2).select("event_id", "filtered"), "filtered", digits=4)
 
 
-def autocorr_period(spark: SparkSession, folder: str) -> DataFrame:
-    return K.period(events(spark, folder), ["user_id"], ORDER, "value", 12, 4)
-
-
 def waveform_average(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(K.waveform_filtered(events(spark, folder), ["user_id"], ORDER, "value", 6.5, 5).select("event_id", "filtered"), "filtered", digits=4)
 
@@ -302,7 +298,7 @@ QUERIES = {
         longest_run, week_rollover, interp_edge_hold, interp_linear, unwrap_phase, interval_overlap, interval_overlap_bucketed, full_overlaps, nearest_station,
         dedup_first, date_subset, gps_to_utc, mountain_time, dft_bins, window_dft, embedding_dft, ls_tf, ls_cov, mean_cov, huber_norm, on_time_offset,
         on_time_offset_signed, on_time_mask, rotate3, utm_projection, unpivot_harmonics, cal_interp, quality_counts, commonest_and_range, station_codes, record_check,
-        regression_m, notch_filter, autocorr_period, waveform_average, lockin, resample,
+        regression_m, notch_filter, waveform_average, lockin, resample,
         mean_waveform, window_sums, pair_checks,
     )
 } | steps.QUERIES | files.QUERIES | whole.QUERIES

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from coilwave.operators import kernels as K
 from coilwave.operators import long as G
+from coilwave.operators import series as S
+from coilwave.operators import spectral as X
 from coilwave.plans.tables import ORDER, OVER, events, rounded
 
 #: Samples of a part here, so that the tables have many; ranges that the series is first sorted into.
@@ -59,13 +61,34 @@ def long_extend(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(G.interpolate(own, ["series"], "i", "gappy", ends="extend", size=SIZE).select("event_id", "filled"), "filled")
 
 
+def long_winsorize(spark: SparkSession, folder: str) -> DataFrame:
+    own = events(spark, folder).withColumn("series", F.lit("all"))
+    return G.winsorize(own, ["series"], "value", 0.05, most=500).select("event_id", "clipped")
+
+
+def long_mask(spark: SparkSession, folder: str) -> DataFrame:
+    own = events(spark, folder).withColumn("gappy", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+    return G.winsorize(own, ["event_type"], "gappy", 0.1, mask=True, most=500).select("event_id", "clipped")
+
+
+def autocorr_period(spark: SparkSession, folder: str) -> DataFrame:
+    return G.period(S.indexed(events(spark, folder), ["user_id"], ORDER), ["user_id"], "i", "value", 6)
+
+
+def tapered_bins(spark: SparkSession, folder: str) -> DataFrame:
+    """Bin 3 of windows of 40 in each event type's series, with two tapers."""
+    own = S.indexed(events(spark, folder), ["event_type"], ORDER)
+    made = [X.windowed_bins(own, ["event_type"], "i", "value", 40, 20, [3], taper).withColumn("taper", F.lit(taper)) for taper in ("tukey_ten_sample_taper", "blackman")]
+    return rounded(made[0].unionByName(made[1]).select("taper", "event_type", "win", "re", "im"), "re", "im")
+
+
 def long_notch(spark: SparkSession, folder: str) -> DataFrame:
     """A notch over the events of each type, in parts of 256 samples."""
     own = G.numbered(events(spark, folder), ["event_type"], ORDER, parts=RANGES)
     return rounded(G.notch(own, ["event_type"], "i", "value", *NOTCH, size=256).select("event_id", "filtered"), "filtered", digits=4)
 
 
-QUERIES = {f.__name__: f for f in (long_index, long_mean, long_mean_same, long_demean, long_diff, long_weeks, long_unwrap, long_hold, long_extend, long_notch)}
+QUERIES = {f.__name__: f for f in (long_index, long_mean, long_mean_same, long_demean, long_diff, long_weeks, long_unwrap, long_hold, long_extend, long_winsorize, long_mask, long_notch, autocorr_period, tapered_bins)}
 
 _ALL = "s AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, CASE WHEN event_id % 7 <> 0 THEN value END AS gappy FROM events)"
 _FILL = """
@@ -127,5 +150,33 @@ ORACLE = {
         e AS (SELECT max(i) FILTER (u = 1) AS a, max(gappy) FILTER (u = 1) AS ay, max(i) FILTER (u = 2) AS b, max(gappy) FILTER (u = 2) AS by_, max(i) FILTER (d = 1) AS z, max(gappy) FILTER (d = 1) AS zy, max(i) FILTER (d = 2) AS w, max(gappy) FILTER (d = 2) AS wy FROM k)
         SELECT event_id, round(coalesce(gappy, py + (qy - py) * (i - p) / (q - p)::DOUBLE, CASE WHEN p IS NULL THEN ay + (by_ - ay) * (i - a) / (b - a)::DOUBLE ELSE zy + (wy - zy) * (i - z) / (w - z)::DOUBLE END), 6) + 0.0 AS filled FROM f, e
     """,
+    "long_winsorize": """
+        WITH r AS (SELECT event_id, value, row_number() OVER (ORDER BY value, event_id) - 1 AS r, count(*) OVER () AS n FROM events),
+        b AS (SELECT max(value) FILTER (r = floor(0.05::DOUBLE * n)) AS lo, max(value) FILTER (r = n - floor(0.05::DOUBLE * n) - 1) AS hi FROM r)
+        SELECT event_id, greatest(lo, least(hi, value)) AS clipped FROM events, b
+    """,
+    "long_mask": """
+        WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE event_id % 7 <> 0),
+        b AS (SELECT event_type, max(value) FILTER (r = floor(0.1::DOUBLE * n)) AS lo, max(value) FILTER (r = n - floor(0.1::DOUBLE * n) - 1) AS hi FROM r GROUP BY event_type)
+        SELECT event_id, CASE WHEN event_id % 7 <> 0 AND value BETWEEN lo AND hi THEN value END AS clipped FROM events JOIN b USING (event_type)
+    """,
+    "autocorr_period": f"""
+        WITH RECURSIVE s AS MATERIALIZED (SELECT user_id, value AS v, row_number() {OVER} - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+        c AS MATERIALIZED (SELECT a.user_id, b.i - a.i AS lag, sum(a.v * b.v) AS p FROM s a JOIN s b ON b.user_id = a.user_id AND b.i >= a.i GROUP BY ALL),
+        m AS MATERIALIZED (SELECT user_id, lag, arg_max(lag, p) OVER (PARTITION BY user_id ORDER BY lag ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS best FROM c),
+        e(user_id, most, lag, times) AS (
+            SELECT DISTINCT user_id, n - 18, 12::BIGINT, 2::BIGINT FROM s
+            UNION ALL SELECT e.user_id, most, 2 * best, 2 * times FROM e JOIN m ON m.user_id = e.user_id AND m.lag = e.lag WHERE e.lag + 2 < most
+        )
+        SELECT user_id, arg_max(lag, times) / max(times)::DOUBLE AS period FROM e GROUP BY user_id
+    """,
+    "tapered_bins": """
+        WITH s AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events),
+        w AS (SELECT event_type, v, m AS win, i - 20 * m AS p FROM (SELECT *, unnest([i // 20 - 1, i // 20]) AS m FROM s) WHERE m >= 0),
+        t AS (SELECT *, 'tukey_ten_sample_taper' AS taper, CASE WHEN least(p, 40 - p) < 10 THEN 0.5 - 0.5 * cos(pi() * least(p, 40 - p) / 10) ELSE 1 END AS g FROM w
+            UNION ALL SELECT *, 'blackman', 0.42::DOUBLE - 0.5 * cos(2 * pi() * p / 40) + 0.08::DOUBLE * cos(4 * pi() * p / 40) FROM w)
+        SELECT taper, event_type, win, round(sum(v * g * cos(2 * pi() * 3 * p / 40)) / sum(g), 6) + 0.0 AS re, round(-sum(v * g * sin(2 * pi() * 3 * p / 40)) / sum(g), 6) + 0.0 AS im
+        FROM t GROUP BY taper, event_type, win HAVING count(*) = 40
+    """,
     "long_notch": notch_sql("event_type"),
 }

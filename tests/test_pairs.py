@@ -81,6 +81,10 @@ def test_whole_pairs(spark, survey, tmp_path):
     assert (c.num_clips, c.clip_first, c.max_clipfree_tx_cycles) == (2, 2 * RATE + 8, (8 * RATE - 8) / RATE * 32)
     assert got["worse"].max_clipfree_tx_cycles < 3 and 9.9 < c.max_current < 10.1 and -10.1 < c.min_current < -9.9
     assert set(r.pair for r in spark.read.parquet(str(tmp_path / "fc")).select("pair").distinct().collect()) == {0, 1, 2, 3, 5}
+    table = P.result_table(done)
+    assert len(table.columns) == 58 and table.columns == P.RESULT_COLUMNS and (table.columns[26], table.columns[35], table.columns[36], table.columns[41], table.columns[-1]) == ("tf1_real_LS", "tf9_imag_LS", "tf1_var_LS", "tf1_real_RM", "n_good")
+    rows = {r.rx_filename: r for r in table.collect()}
+    assert rows["gaps"].num_nans == 3 and rows["gaps"].sampling_rate == RATE and rows["gaps"].dx1 is None and rows["gaps"].tf3_imag_LS == g.tf3_imag_LS
     C.save(done, str(tmp_path / "avg"), "csv", order=("pair",), one_file=True)
     again = spark.read.csv(str(tmp_path / "avg"), header=True, inferSchema=True)
     assert again.count() == 8 and again.columns == done.columns
@@ -98,6 +102,14 @@ def test_calibration_of_pairs(spark, survey):
             assert abs(complex(got[name][f"tf{h}_real_LS"], got[name][f"tf{h}_imag_LS"]) - 0.05 * gain * turn) < 0.003
 
 
+def test_pairs_with_a_longer_taper(spark, survey):
+    records, pairs, _, _ = survey
+    none = [spark.createDataFrame([], s) for s in (NO_BOARDS, NO_ANTENNAS)]
+    got = P.processed(records, pairs.where("pair = 0"), *none, taper="tukey_ten_sample_taper").first()
+    for h in P.HARMONICS:
+        assert abs(complex(got[f"tf{h}_real_LS"], got[f"tf{h}_imag_LS"]) - 0.05) < 0.003
+
+
 def test_window_sums(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=50)
