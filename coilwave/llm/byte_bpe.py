@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 #: Texts are split into pieces in blocks of about so many code points, each ending between a character and the blank after it.
 BLOCK = 1 << 20
-#: Pieces, and pairs of tokens, that a worker remembers at most; beyond that it forgets them and starts anew.
-REMEMBERED = 1 << 18
+#: Pieces of about so many code points are looked up together.
+GROUP = 2 << 20
+#: Pieces (beside those of two groups) and, twice as many, pairs of tokens that a worker remembers; beyond that it forgets what it has not met lately.
+REMEMBERED = 1 << 17
 #: Pieces of more code points are not remembered.
 LONG = 100
 #: Rank files are read by the driver and sent to the tasks; larger ones are refused.
@@ -57,6 +59,7 @@ class Vocabulary:
         self.lengths[list(self.token)] = [len(t) for t in self.token.values()]
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def fits(self, a: int, b: int, limit: float = float("inf")) -> bool:
         """Whether the bytes of tokens a and b, merged by rank (up to `limit`), end up as these two.
@@ -78,7 +81,7 @@ class Vocabulary:
         """fits(), remembered."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) >= REMEMBERED:
+            if len(self.pairs) >= 2 * REMEMBERED:
                 self.pairs.clear()
             found = self.pairs[a, b] = self.fits(a, b)
         return found
@@ -115,7 +118,7 @@ class Vocabulary:
                 held.append((k, self.pattern.findall(text, begin, end)))
                 size += end - begin
                 begin = end
-                if size >= BLOCK:
+                if size >= GROUP:
                     self._packed(held, out)
                     held, size = [], 0
         self._packed(held, out)
@@ -125,10 +128,13 @@ class Vocabulary:
         """Appends the ids of each list of pieces to its text's. Pieces met for the first time go in order of their bytes, so that each is an
         edit of the one before, whose table it shares up to where they differ."""
         met = set().union(*(pieces for _, pieces in held))
-        if len(self.pieces) + len(met) > REMEMBERED:
-            self.pieces.clear()
+        if 2 * len(self.pieces) > REMEMBERED:
+            self.before, self.pieces = self.pieces, {}  # what is met again comes along
+        new = met - self.pieces.keys()
+        for piece in new & self.before.keys():
+            self.pieces[piece] = self.before[piece]
         table = PrefixTokens(self)
-        for piece in sorted(met - self.pieces.keys()):
+        for piece in sorted(new - self.before.keys()):
             data = piece.encode()
             rank = self.ranks.get(data)
             if rank is None:
