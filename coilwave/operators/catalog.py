@@ -110,14 +110,15 @@ def unpivoted_calibrations(df: DataFrame, harmonics: tuple[int, ...] = (1, 3, 5,
     return df.select("CARDSNX", "ADFREQ", F.expr(f"stack({len(harmonics)}, {stacked}) as (CALFREQ, MAG, PHASE)"))
 
 
-def interpolated(points: DataFrame, table: DataFrame, keys: list[str], x: str, y: str, out: str) -> DataFrame:
+def interpolated(points: DataFrame, table: DataFrame, keys: list[str], x: str, y: str | list[str], out: str | list[str]) -> DataFrame:
     """points with y at x from a table of knots (keys, x, y): straight lines between neighbours, going on beyond the ends. A key of one knot is constant, one of
-    none, or a null key or x, gives null. Of knots at one x the least y counts.
+    none, or a null key or x, gives null. Of knots at one x the least y counts. Several y with as many names go at once.
 
     Knots and the places that are asked for, each once a key, lie in one order; a place takes the last knot before it, or the first of all. So however many points
     a key has, its order holds only their distinct places."""
+    ys, outs = ([y], [out]) if isinstance(y, str) else (y, out)
     known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*keys, x)])
-    knots = table.where(known).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.min(F.col(y).cast("double")).alias("_y"))
+    knots = table.where(known).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.array(*[F.min(F.col(c).cast("double")) for c in ys]).alias("_y"))
     every = Window.partitionBy(*keys)
     w = every.orderBy("_x")
     lines = knots.withColumns({"_x2": F.lead("_x").over(w), "_y2": F.lead("_y").over(w), "_n": F.count("*").over(every)}).where("_x2 is not null or _n = 1")
@@ -127,5 +128,9 @@ def interpolated(points: DataFrame, table: DataFrame, keys: list[str], x: str, y
     met = lines.unionByName(asked, allowMissingColumns=True)
     before = F.last("_s", ignorenulls=True).over(every.orderBy("_x", F.col("_s").isNull()).rowsBetween(Window.unboundedPreceding, 0))
     found = met.withColumn("_h", F.coalesce(before, F.min("_s").over(every))).where("_s is null").drop("_s")
-    line = F.col("_h._y") + F.coalesce((F.col("_h._y2") - F.col("_h._y")) * (F.col("_x") - F.col("_h._x")) / (F.col("_h._x2") - F.col("_h._x")), F.lit(0.0))
-    return own.join(found, [*keys, "_x"], "left").withColumn(out, line).select(*points.columns, out)
+
+    def line(j: int) -> Column:
+        a, b = F.col("_h._y")[j], F.col("_h._y2")[j]
+        return a + F.coalesce((b - a) * (F.col("_x") - F.col("_h._x")) / (F.col("_h._x2") - F.col("_h._x")), F.lit(0.0))
+
+    return own.join(found, [*keys, "_x"], "left").withColumns({n: line(j) for j, n in enumerate(outs)}).select(*points.columns, *outs)

@@ -138,50 +138,14 @@ def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray, pad: int = 9) -> np.
     return back[pad:-pad]
 
 
-def notch(df: DataFrame, keys: list[str], order: list[str], value: str, frequency: float, rate: float, bandwidth: float, out: str = "filtered") -> DataFrame:
-    """Takes out one frequency without shifting phases. Series with missing samples come back null: fill them first."""
-    b, a = notch_coefficients(frequency, rate, bandwidth)
-    return per_series(df, keys, order, value, out, lambda x: zero_phase(b, a, x))
-
-
-def folded_waveform(x: np.ndarray, samples: float, periods: int) -> np.ndarray:
-    """At each sample the waveform of its surroundings: the series is read at whole fractions of a period, each phase is averaged over
-    `periods` periods with a Hann weight, and the result is read back at the samples. NaN counts nowhere."""
-    n, m = len(x), max(2, round(samples))
-    rows = int((n - 1) // samples) if n else 0
-    if rows < 2:
-        return np.zeros(n)
-    at = np.arange(rows * m) * (samples / m)
-    own = np.interp(at, np.arange(n), x).reshape(rows, m)
-    known = ~np.isnan(own)
-    weight = np.hanning(periods + 2)
-
-    def smooth(t: np.ndarray) -> np.ndarray:
-        wide = np.zeros((rows + len(weight) - 1, m))
-        wide[len(weight) - 1 - len(weight) // 2 :][:rows] = t
-        return sum(w * wide[k : k + rows] for k, w in enumerate(weight[::-1].tolist()))
-
-    total, count = smooth(np.where(known, own, 0.0)), smooth(known.astype(float))
-    mean = (total / np.where(count > 1e-12, count, np.nan)).reshape(-1)
-    place = np.arange(n)
-    inside = np.where(place > at[-1], place - np.ceil((place - at[-1]) / samples) * samples, place)
-    return np.interp(inside, at, mean)
-
-
-def waveform_filtered(df: DataFrame, keys: list[str], order: list[str], value: str, samples: float, periods: int, out: str = "filtered", masked: str | None = None) -> DataFrame:
-    """The series less the running mean of its periodic waveform; what the mean of each period holds stays. Samples for which the column
-    `masked` is true do not count for the waveform."""
-
-    def kernel(x: np.ndarray) -> np.ndarray:
-        known = x if masked is None else x[1]
-        wave = folded_waveform(known - np.nanmean(known), samples, periods) if (~np.isnan(known)).any() else np.zeros(len(known))
-        # where no sample counts, nothing is known of the waveform
-        return (x if masked is None else x[0]) - (wave if masked is None else np.nan_to_num(wave))
-
-    if masked is None:
-        return per_series(df, keys, order, value, out, kernel)
-    two = F.array(F.col(value).cast("double"), F.when(~F.col(masked), F.col(value)).cast("double"))
-    return per_series(df.withColumn("_two", two), keys, order, "_two", out, kernel).drop("_two")
+def notch(df: DataFrame, keys: list[str], order: list[str], value: str, frequency: float, rate: float | Column, bandwidth: float, out: str = "filtered") -> DataFrame:
+    """Takes out one frequency without shifting phases. Series with missing samples come back null: fill them first. The rate may be a column that is
+    the same for all samples of a series."""
+    if not isinstance(rate, Column):
+        b, a = notch_coefficients(frequency, rate, bandwidth)
+        return per_series(df, keys, order, value, out, lambda x: zero_phase(b, a, x))
+    two = F.array(F.col(value).cast("double"), rate.cast("double"))
+    return per_series(df.withColumn("_two", two), keys, order, "_two", out, lambda x: zero_phase(*notch_coefficients(frequency, float(x[1][0]), bandwidth), x[0])).drop("_two")
 
 
 def huber_regression(t: np.ndarray, r: np.ndarray, r0: float = 1.5, most: int = 100, two_sided: bool = False) -> tuple[complex, float, int, float, bool]:
@@ -229,7 +193,8 @@ def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r"
     # as one struct, keys that are null meet too
     own = pairs.select(F.struct(*keys).alias("k"), *[F.when(known, F.col(c).cast("double")).alias(x) for c, x in zip(parts, ("tr", "ti", "rr", "ri"), strict=True)])
     own = written(own, "pairs")
-    sizes = written(own.groupBy("k").agg(F.count("*").alias("size")), "sizes")
+    # keys by number, as a struct is no pandas value; the numbers are written, so they stay what they are
+    sizes = written(own.groupBy("k").agg(F.count("*").alias("size")).withColumn("kk", F.monotonically_increasing_id()), "sizes")
     few = own.join(sizes.where(F.col("size") <= IN_ONE_TASK).select("k"), "k", "left_semi")
     own = own.join(sizes.where(F.col("size") > IN_ONE_TASK).select("k"), "k", "left_semi")
 
@@ -241,8 +206,7 @@ def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r"
         row = (group["kk"].iloc[0], len(t), *((None, None) if h is None else (h.real, h.imag)), v if good != 0 else None, rounds, good, converged)
         return pd.DataFrame([row], columns=["kk", "n", "re", "im", "v", "rounds", "good", "converged"]).astype(object)
 
-    # keys by number, as a struct is no pandas value; sizes has a row a key
-    named = sizes.select("k", F.xxhash64(F.to_json("k")).alias("kk"))
+    named = sizes.select("k", "kk")
     solved = few.join(named, "k").groupBy("kk").applyInPandas(in_one_task, "kk long, n long, re double, im double, v double, rounds long, good double, converged boolean")
     solved = solved.join(named, "kk").select(*[F.col("k")[c].alias(c) for c in keys], "n", "re", "im", "v", "rounds", "good", "converged")
     if sizes.where(F.col("size") > IN_ONE_TASK).isEmpty():

@@ -5,7 +5,6 @@ Records are rows (path, time, values): one second each, with the time it begins.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,9 +45,11 @@ def paired_records(records: DataFrame, pairs: DataFrame, start_offset: int = 2,
 
 
 def problems(paired: DataFrame, rates: DataFrame) -> DataFrame:
-    """(pair, problem): why a pair cannot be processed, else null. rates: (pair, tx_rate, rx_rate). A pair whose overlap holds no record has a row too."""
-    sides = paired.groupBy("pair").agg(F.count("tx").alias("_t"), F.count("rx").alias("_r"))
-    why = F.when(F.round("tx_rate") != F.round("rx_rate"), "sampling rates differ").when(F.coalesce(F.greatest("_t", "_r"), F.lit(0)) == 0, "no common records").when(F.col("_t") != F.col("_r"), "lengths differ")
+    """(pair, problem): why a pair cannot be processed, else null. rates: (pair, tx_rate, rx_rate). A pair whose overlap holds no record has a row too; lengths
+    differ where a record has no partner, or one of another length."""
+    unlike = F.count_if(F.col("tx").isNull() | F.col("rx").isNull() | (F.size("tx") != F.size("rx")))
+    sides = paired.groupBy("pair").agg(F.count("*").alias("_n"), unlike.alias("_unlike"))
+    why = F.when(F.round("tx_rate") != F.round("rx_rate"), "sampling rates differ").when(F.coalesce("_n", F.lit(0)) == 0, "no common records").when(F.col("_unlike") > 0, "lengths differ")
     return rates.join(sides, "pair", "left").select("pair", why.alias("problem"))
 
 
@@ -65,21 +66,24 @@ def _free_runs(samples: DataFrame, free: Column) -> DataFrame:
     return S.longest_run(samples, ["pair"], ["i"], free)
 
 
+def filled(samples: DataFrame) -> DataFrame:
+    """Missing samples of either side filled by straight lines, with the nearest value at the ends; `missing` tells where either side was."""
+    known = samples.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("tx", "rx")})
+    return S.filled(known.withColumn("missing", F.col("tx").isNull() | F.col("rx").isNull()), ["pair"], "i", ["tx", "rx"])
+
+
 def checks(samples: DataFrame, settings: DataFrame, tx_most: float = TX_MOST, rx_most: float = RX_MOST) -> DataFrame:
     """One row a pair: numbers of samples, cycles, missing and clipped samples, the longest runs without either (clip_first, clip_free samples),
     the least and largest current, and enough: no clips, or three transmitter cycles without one.
 
-    settings: (pair, rate, frequency). Missing samples are filled before clips are looked for, as in filled()."""
-    missing = F.col("tx").isNull() | F.col("rx").isNull() | F.isnan("tx") | F.isnan("rx")
+    samples: as filled() gives them; clips are looked for in what is filled too. settings: (pair, rate, frequency)."""
     clipped = F.coalesce(S.clip_limits("tx", "rx", tx_most, rx_most), F.lit(False))
     counts = samples.groupBy("pair").agg(
-        F.count("*").alias("num_samples"), F.min(F.when(~F.isnan("tx"), F.col("tx"))).alias("min_current"), F.max(F.when(~F.isnan("tx"), F.col("tx"))).alias("max_current"),
-        F.count_if(missing).alias("num_nans"), F.count_if(F.coalesce(F.abs("rx") >= rx_most, F.lit(False))).alias("rx_clips"),
+        F.count("*").alias("num_samples"), F.min("tx").alias("min_current"), F.max("tx").alias("max_current"), F.count_if("missing").alias("num_nans"), F.count_if(clipped).alias("num_clips"),
     )
-    clips = filled(samples).groupBy("pair").agg(F.count_if(clipped).alias("num_clips"))
-    nan_free = _free_runs(samples, ~missing).select("pair", F.col("n").alias("_nan_free"))
-    clip_free = _free_runs(filled(samples), ~clipped).select("pair", F.col("first").alias("clip_first"), F.col("n").alias("clip_free"))
-    own = settings.join(counts, "pair").join(clips, "pair").join(nan_free, "pair", "left").join(clip_free, "pair", "left")
+    nan_free = _free_runs(samples, ~F.col("missing")).select("pair", F.col("n").alias("_nan_free"))
+    clip_free = _free_runs(samples, ~clipped).select("pair", F.col("first").alias("clip_first"), F.col("n").alias("clip_free"))
+    own = settings.join(counts, "pair").join(nan_free, "pair", "left").join(clip_free, "pair", "left")
     cycle = F.bround(F.col("rate") / F.col("frequency")).cast("long")
     own = own.withColumns({"samples_per_cycle": cycle, "clip_free": F.coalesce("clip_free", F.lit(0)), "_nan_free": F.coalesce("_nan_free", F.lit(0))})
     own = own.withColumns({
@@ -87,68 +91,68 @@ def checks(samples: DataFrame, settings: DataFrame, tx_most: float = TX_MOST, rx
         "frac_nans": F.col("num_nans") / F.col("num_samples"), "nan_free_sec": F.col("_nan_free") / F.col("rate"),
         "frac_clips": F.col("num_clips") / F.col("num_samples"), "max_clipfree_tx_cycles": F.col("clip_free") / F.col("rate") * F.col("frequency"),
     })
-    return own.withColumn("enough", (F.col("num_clips") == 0) | (F.col("max_clipfree_tx_cycles") >= LEAST_CYCLES)).drop("_nan_free", "rx_clips")
-
-
-def filled(samples: DataFrame) -> DataFrame:
-    """Missing samples of either side filled by straight lines; the nearest value at the ends."""
-    for c in ("tx", "rx"):
-        known = samples.withColumn(c, F.when(~F.isnan(c), F.col(c)))
-        samples = S.interpolate(known, ["pair"], ["i"], "i", c, "_f").withColumn(c, F.col("_f")).drop("_f")
-    return samples
+    return own.withColumn("enough", (F.col("num_clips") == 0) | (F.col("max_clipfree_tx_cycles") >= LEAST_CYCLES)).drop("_nan_free")
 
 
 def trimmed(samples: DataFrame, checked: DataFrame) -> DataFrame:
-    """Samples of the pairs that have enough, filled; where there are clips, only the longest run without one, counted anew."""
-    own = filled(samples).join(checked.where("enough").select("pair", "num_clips", "clip_first", "clip_free"), "pair")
+    """Filled samples of the pairs that have enough; where there are clips, only the longest run without one, counted anew."""
+    own = samples.join(checked.where("enough").select("pair", "num_clips", "clip_first", "clip_free"), "pair")
     inside = (F.col("num_clips") == 0) | ((F.col("i") >= F.col("clip_first")) & (F.col("i") < F.col("clip_first") + F.col("clip_free")))
     return own.where(inside).select("pair", F.when(F.col("num_clips") > 0, F.col("i") - F.col("clip_first")).otherwise(F.col("i")).alias("i"), "tx", "rx")
 
 
-def coefficients(samples: DataFrame, rate: float, frequency: float, cycles_per_window: int = 2, strides_per_cycle: int = 2, notch_bandwidth: float = 0.2, hum: float = 60.0, periods: int = 15, before: int = 40, after: int = 100, taper: str = "hann") -> DataFrame:
-    """(pair, win, harmonic, f, t_re, t_im, r_re, r_im) of pairs of one rate and transmitter frequency: samples less hum and drift, in windows
-    of whole cycles (with the tapers of X.LONGER some samples more), at the odd harmonics that a window resolves.
+def coefficients(samples: DataFrame, settings: DataFrame, cycles_per_window: int = 2, strides_per_cycle: int = 2, notch_bandwidth: float = 0.2, hum: float = 60.0, periods: int = 15, phases: int = 100, before: int = 40, after: int = 100, taper: str = "hann", notched_above: float = 16.0) -> DataFrame:
+    """(pair, side, win, harmonic, f, re, im) of both sides, t and r: samples less hum and drift, in windows of whole cycles (with the tapers of X.LONGER
+    some samples more), at the odd harmonics that a window resolves. settings: (pair, rate, frequency); rates and frequencies are columns, so one plan
+    serves all pairs.
 
     Above 16 Hz hum is notched, else its mean waveform goes, which samples near the transmitter's edges do not count for. Drift is the robust
     running mean over a cycle."""
-    cycle = round(rate / frequency)
-    width, hop = cycle * cycles_per_window + X.longer(taper), max(1, round(cycle / strides_per_cycle))
-    found = width // 2 + 1
-    # whole bins for windows of whole cycles; a longer window reads the same frequencies between its bins
-    kept = [h for h in HARMONICS[: found // 2] if h * cycles_per_window < found]
-    per_bin = width / cycle
-    own = samples
-    if frequency <= 16:
-        offset = S.on_time_offset(own, ["pair"], ["i"], "tx", cycle)
-        own = own.join(offset, "pair", "left").withColumn("_near", F.coalesce(S.near_edges(F.col("i"), F.col("offset"), cycle // 2, before, after), F.lit(False))).drop("offset")
-    sides = []
-    for c, n in (("tx", "t"), ("rx", "r")):
-        if frequency > 16:
-            less = K.notch(own.select("pair", "i", c), ["pair"], ["i"], c, hum, rate, notch_bandwidth, "_f")
-        else:
-            less = K.waveform_filtered(own.select("pair", "i", c, "_near"), ["pair"], ["i"], c, rate / hum, periods, "_f", masked="_near")
-        flat = S.robust_running_mean(less, ["pair"], ["i"], "_f", cycle, out="_m").withColumn("_v", F.col("_f") - F.col("_m"))
-        bins = X.windowed_bins(flat, ["pair"], "i", "_v", width, hop, [h * per_bin for h in kept], taper, named=kept)
-        sides.append(bins.select("pair", "win", "bin", F.col("re").alias(f"{n}_re"), F.col("im").alias(f"{n}_im")))
-    harmonic = F.col("bin").cast("int")
-    return sides[0].join(sides[1], ["pair", "win", "bin"]).select("pair", "win", harmonic.alias("harmonic"), (harmonic * frequency).alias("f"), "t_re", "t_im", "r_re", "r_im")
+    cycle = F.bround(F.col("rate") / F.col("frequency")).cast("long")
+    own = samples.join(settings.select("pair", "rate", "frequency", cycle.alias("period")), "pair")
+    keys = ["pair", "side"]
+
+    def sides(df: DataFrame, *more: str) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(c).cast("double").alias("v")) for c, n in (("tx", "t"), ("rx", "r"))]))
+        return df.select("pair", "i", "rate", "frequency", "period", *more, each.alias("_s")).select("pair", "_s.side", "i", "rate", "frequency", "period", *more, "_s.v")
+
+    less = K.notch(sides(own.where(F.col("frequency") > notched_above)), keys, ["i"], "v", hum, F.col("rate"), notch_bandwidth, "_f")
+    slow = own.where(F.col("frequency") <= notched_above)
+    # the waveform's frames are as long as a hum period: a plan for each sampling rate, of which instruments have a few
+    for r in settings.where(F.col("frequency") <= notched_above).select("rate").distinct().sort("rate").collect():
+        at = slow.where(F.col("rate") == r.rate)
+        offset = S.on_time_offset(at.select("pair", "i", "tx", "period"), ["pair"], ["i"], "tx", F.col("period"))
+        near = F.coalesce(S.near_edges(F.col("i"), F.col("offset"), F.floor(F.col("period") / 2), before, after), F.lit(False))
+        edged = sides(at.join(offset, "pair", "left").withColumn("_near", near), "_near")
+        less = less.unionByName(S.waveform_filtered(edged, keys, ["i"], "v", r.rate / hum, periods, phases, "_f", masked="_near").drop("_near"))
+    flat = S.robust_running_mean(less, keys, ["i"], "_f", F.col("period"), out="_m").withColumn("_v", F.col("_f") - F.col("_m"))
+    width, hop = F.col("period") * cycles_per_window + X.longer(taper), F.greatest(F.lit(1), F.bround(F.col("period") / strides_per_cycle)).cast("long")
+    by = [*keys, "frequency", "period", "width", "hop"]
+    bins = X.harmonic_bins(flat.withColumns({"width": width, "hop": hop}), by, "i", "_v", "period", "width", "hop", HARMONICS, taper)
+    found = F.floor(F.col("width") / 2) + 1
+    place = F.array_position(F.array(*[F.lit(h) for h in HARMONICS]), F.col("harmonic"))
+    resolved = (place <= F.floor(found / 2)) & (F.col("harmonic") * cycles_per_window < found)
+    return bins.where(resolved).select(*keys, "win", "harmonic", (F.col("harmonic") * F.col("frequency")).alias("f"), "re", "im")
 
 
 def calibrated(fc: DataFrame, places: DataFrame, boards: DataFrame, antennas: DataFrame) -> DataFrame:
-    """Coefficients of both sides less the responses of their boards, and of antennas where the component begins with H.
+    """Coefficients (pair, side, ..., f, re, im) less the responses of their boards, and of antennas where the component begins with H; with `board`, whether
+    there is a board's calibration. Without one a coefficient stays as it is.
 
-    places: (pair, and for n in tx, rx: n_box, n_card, n_antenna, n_component, rate). boards: (box, CARDSNX, ADFREQ, CALFREQ, MAG, PHASE),
-    antennas: (antenna_sn, base_frequency, mag, phz); leading `0x` of card numbers does not count. Without a calibration
-    a side stays as it is."""
+    places: (pair, side, box, card, antenna, component, rate). boards: (box, CARDSNX, ADFREQ, CALFREQ, MAG, PHASE), antennas: (antenna_sn,
+    base_frequency, mag, phz); leading `0x` of card numbers does not count."""
     bare = lambda c: F.regexp_replace(F.col(c).cast("string"), "^0x", "")
     board = boards.select(F.col("box").cast("string").alias("box"), bare("CARDSNX").alias("card"), F.col("ADFREQ").cast("double").alias("rate"), F.col("CALFREQ").cast("double").alias("f"), F.col("MAG").alias("mag"), F.col("PHASE").alias("phase"))
     antenna = antennas.select(F.col("antenna_sn").cast("string").alias("antenna_sn"), "base_frequency", "mag", "phz")
-    for n, c in (("tx", "t"), ("rx", "r")):
-        at = places.select("pair", F.col(f"{n}_box").cast("string").alias("box"), bare(f"{n}_card").alias("card"), F.col("rate").cast("double").alias("rate"), F.when(F.col(f"{n}_component").startswith("H"), F.col(f"{n}_antenna").cast("string")).alias("antenna_sn"))
-        own = fc.join(at, "pair", "left").withColumnsRenamed({f"{c}_re": "re", f"{c}_im": "im"})
-        own = B.antenna_corrected(B.board_corrected(own, board, ["box", "card", "rate"]), antenna, ["antenna_sn"])
-        fc = own.withColumnsRenamed({"re": f"{c}_re", "im": f"{c}_im"}).drop("box", "card", "rate", "antenna_sn")
-    return fc
+    at = places.select("pair", "side", F.col("box").cast("string").alias("box"), bare("card").alias("card"), F.col("rate").cast("double").alias("rate"), F.when(F.col("component").startswith("H"), F.col("antenna").cast("string")).alias("antenna_sn"))
+    own = B.board_corrected(fc.join(at, ["pair", "side"], "left"), board, ["box", "card", "rate"], "board")
+    return B.antenna_corrected(own, antenna, ["antenna_sn"]).drop("box", "card", "rate", "antenna_sn")
+
+
+def side_by_side(fc: DataFrame) -> DataFrame:
+    """(pair, win, harmonic, f, t_re, t_im, t_board, r_re, r_im, r_board): coefficients of windows that both sides have."""
+    own = {n: fc.where(F.col("side") == n).select("pair", "win", "harmonic", "f", *[F.col(c).alias(f"{n}_{c}") for c in ("re", "im", "board")]) for n in ("t", "r")}
+    return own["t"].join(own["r"].drop("f"), ["pair", "win", "harmonic"])
 
 
 def transfer_functions(fc: DataFrame) -> DataFrame:
@@ -196,29 +200,27 @@ def result_table(done: DataFrame) -> DataFrame:
     return done.select(*[column(c) for c in RESULT_COLUMNS])
 
 
-def processed(records: DataFrame, pairs: DataFrame, boards: DataFrame, antennas: DataFrame, save_coefficients: str | None = None, **how) -> DataFrame:
+def processed(records: DataFrame, pairs: DataFrame, boards: DataFrame, antennas: DataFrame, save_coefficients: str | None = None, limits: tuple[float, float] = (TX_MOST, RX_MOST), **how) -> DataFrame:
     """All of it: result_rows of pairs (pair, tx_path, rx_path, start, end, tx_rate, rx_rate, frequency, tx_box, tx_card, tx_antenna,
-    tx_component, rx_..., any others), with `problem`: why a pair was left out. `how` goes to coefficients(), once for each rate and frequency that
-    occurs; a survey has a handful. save_coefficients: a folder for the calibrated coefficients, parted by pair."""
+    tx_component, rx_..., any others), with `problem`: why a pair was left out, and tx_board, rx_board: whether all its coefficients are calibrated. `how` goes
+    to coefficients(), limits are the readings that count as clipped. save_coefficients: a folder for the calibrated coefficients, parted by pair."""
     spans = pairs.select("pair", "tx_path", "rx_path", "start", "end")
     paired = written(paired_records(records, spans), "paired")
     wrong = written(problems(paired, pairs.select("pair", "tx_rate", "rx_rate")), "problems")
     sound = pairs.join(wrong.where("problem is null").select("pair"), "pair").withColumn("rate", F.round("rx_rate"))
-    samples = written(paired_samples(paired.join(sound.select("pair"), "pair", "left_semi")), "samples")
-    checked = written(checks(samples, sound.select("pair", "rate", "frequency")), "checked")
+    samples = written(filled(paired_samples(paired.join(sound.select("pair"), "pair", "left_semi"))), "samples")
+    checked = written(checks(samples, sound.select("pair", "rate", "frequency"), *limits), "checked")
     ready = written(trimmed(samples, checked), "ready")
-    parts = []
-    for r in checked.where("enough").select("rate", "frequency").distinct().sort("rate", "frequency").collect():
-        own = checked.where((F.col("rate") == r.rate) & (F.col("frequency") == r.frequency)).select("pair")
-        parts.append(coefficients(ready.join(own, "pair", "left_semi"), r.rate, r.frequency, **how))
     clips = checked.select("pair", F.when(~F.col("enough"), "insufficient clip-free data").alias("clipping"))
     catalog = pairs.join(wrong, "pair", "left").join(clips, "pair", "left").withColumn("problem", F.coalesce("problem", "clipping")).drop("clipping")
-    none = ready.select("pair", F.lit(0).cast("long").alias("win"), F.lit(0).alias("harmonic"), *[F.lit(0.0).alias(c) for c in ("f", "t_re", "t_im", "r_re", "r_im")]).limit(0)
-    places = sound.select("pair", "rate", *[f"{n}_{c}" for n in ("tx", "rx") for c in ("box", "card", "antenna", "component")])
-    fc = written(calibrated(reduce(DataFrame.unionByName, parts, none), places, boards, antennas), "coefficients")
+    each = F.inline(F.array(*[F.struct(F.lit(n[0]).alias("side"), *[F.col(f"{n}_{c}").cast("string").alias(c) for c in ("box", "card", "antenna", "component")]) for n in ("tx", "rx")]))
+    places = sound.select("pair", "rate", each)
+    long = coefficients(ready, checked.where("enough").select("pair", "rate", "frequency"), **how)
+    fc = written(side_by_side(calibrated(long, places, boards, antennas)), "coefficients")
     if save_coefficients:
         fc.write.partitionBy("pair").mode("overwrite").parquet(save_coefficients)
-    return result_rows(catalog, checked, transfer_functions(fc))
+    whole = fc.groupBy("pair").agg(F.bool_and("t_board").alias("tx_board"), F.bool_and("r_board").alias("rx_board"))
+    return result_rows(catalog.join(whole, "pair", "left"), checked, transfer_functions(fc))
 
 
 def bin_sums(df: DataFrame, keys: list[str], index: str, value: str, width: int, turns: float, halves: bool = False) -> DataFrame:

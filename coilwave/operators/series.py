@@ -41,23 +41,31 @@ def running_mean(df: DataFrame, keys: list[str], order: list[str], value: str, n
         mean = F.when((size == n) & (count == n), total / n)
     df = df.withColumn(out, mean)
     if edges == "same":
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        ahead = F.first(out, ignorenulls=True).over(whole)
-        df = df.withColumn(out, F.coalesce(out, F.when(F.count(out).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 0, ahead), F.last(out, ignorenulls=True).over(whole)))
+        df = _nearest_full(df, keys, order, out)
     elif edges == "edge":
         df = df.withColumn(out, F.coalesce(out, F.avg(value).over(frame)))
     return df.drop("_s", "_n")
 
 
-def running_mean_fractional(df: DataFrame, keys: list[str], order: list[str], value: str, n: float, out: str = "mean") -> DataFrame:
-    """Centred mean over a width n that need not be whole: k = floor((n-1)/2) samples on either side, and a part of the next. Null at the edges."""
+def _nearest_full(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Where `out` is null at the ends of a series, the nearest one that is not."""
+    w = _window(keys, order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ahead = F.first(out, ignorenulls=True).over(whole)
+    return df.withColumn(out, F.coalesce(out, F.when(F.count(out).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 0, ahead), F.last(out, ignorenulls=True).over(whole)))
+
+
+def running_mean_fractional(df: DataFrame, keys: list[str], order: list[str], value: str, n: float, out: str = "mean", edges: str = "null") -> DataFrame:
+    """Centred mean over a width n that need not be whole: k = floor((n-1)/2) samples on either side, and a part of the next. Null at the edges, or with
+    `same` the nearest full mean."""
     w = _window(keys, order)
     k = int((n - 1) // 2)
     c = (n - (2 * k + 1)) / 2
     frame = w.rowsBetween(-k, k)
     ends = F.lag(value, k + 1).over(w) + F.lead(value, k + 1).over(w)
     mean = (F.sum(value).over(frame) + F.lit(c) * ends) / n if c else F.when(F.count(value).over(frame) == 2 * k + 1, F.avg(value).over(frame))
-    return df.withColumn(out, mean)
+    df = df.withColumn(out, mean)
+    return _nearest_full(df, keys, order, out) if edges == "same" else df
 
 
 def windowed_mean(df: DataFrame, keys: list[str], order: list[str], value: str, weights: list[float], out: str = "mean", mask: str | None = None) -> DataFrame:
@@ -72,9 +80,9 @@ def windowed_mean(df: DataFrame, keys: list[str], order: list[str], value: str,
     return own.withColumns({"_t": total, "_c": count}).withColumn(out, F.col("_t") / F.nullif("_c", zero)).drop("_m", "_x", "_t", "_c")
 
 
-def demean(df: DataFrame, keys: list[str], order: list[str], value: str, n: float, out: str = "demeaned") -> DataFrame:
-    """The value less its centred mean over n samples; null at the edges."""
-    return running_mean_fractional(df, keys, order, value, n, "_m").withColumn(out, F.col(value) - F.col("_m")).drop("_m")
+def demean(df: DataFrame, keys: list[str], order: list[str], value: str, n: float, out: str = "demeaned", edges: str = "null") -> DataFrame:
+    """The value less its centred mean over n samples; null at the edges, or with `same` less the nearest full mean."""
+    return running_mean_fractional(df, keys, order, value, n, "_m", edges).withColumn(out, F.col(value) - F.col("_m")).drop("_m")
 
 
 def running_median(df: DataFrame, keys: list[str], order: list[str], value: str, n: int, out: str = "median") -> DataFrame:
@@ -126,6 +134,22 @@ def interpolate(df: DataFrame, keys: list[str], order: list[str], index: str, va
     return df.withColumn(out, value_at).drop("_p", "_a", "_b", "_u", "_d", "_f1", "_f2", "_l1", "_l2")
 
 
+def filled(df: DataFrame, keys: list[str], index: str, values: list[str]) -> DataFrame:
+    """interpolate() of several columns at once, in place, with the nearest value at the ends: two orders of the series, however many columns."""
+    back, ahead = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(index), F.col(index).desc()))
+    x = F.col(index).cast("double")
+    at = {c: F.when(F.col(c).isNotNull(), F.struct(x.alias("x"), F.col(c).cast("double").alias("y"))) for c in values}
+    own = df.withColumns({f"_p_{c}": p for c, p in at.items()})
+    own = own.withColumns({f"_a_{c}": F.last(f"_p_{c}", ignorenulls=True).over(back) for c in values}).withColumns({f"_b_{c}": F.last(f"_p_{c}", ignorenulls=True).over(ahead) for c in values})
+
+    def line(c: str) -> Column:
+        a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        between = a["y"] + (b["y"] - a["y"]) * (x - a["x"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))
+        return F.coalesce(F.col(c).cast("double"), between, a["y"], b["y"])
+
+    return own.withColumns({c: line(c) for c in values}).select(*df.columns)
+
+
 def unwrap(df: DataFrame, keys: list[str], order: list[str], phase: str, out: str = "unwrapped", period: float = 6.283185307179586) -> DataFrame:
     """Removes jumps of more than half a period between neighbours."""
     w = _window(keys, order)
@@ -177,7 +201,7 @@ def sessions(df: DataFrame, keys: list[str], ts: str, ties: list[str], gap_secon
     return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "session").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"))
 
 
-def folded(df: DataFrame, index: str, period: int, shift: int = 0) -> DataFrame:
+def folded(df: DataFrame, index: str, period: int | Column, shift: int = 0) -> DataFrame:
     """Adds cycle and phase of each sample."""
     i = F.col(index) - shift
     return df.withColumns({"cycle": F.floor(i / period).cast("long"), "phase": F.pmod(i, F.lit(period)).cast("long")})
@@ -200,43 +224,65 @@ def reshaped(df: DataFrame, keys: list[str], order: list[str], value: str, perio
     return own.select(*keys, F.floor(F.col("_p") / period).cast("long").alias("cycle"), (F.col("_p") % period).cast("int").alias("phase"), F.col("_v").alias(out))
 
 
-def robust_running_mean(df: DataFrame, keys: list[str], order: list[str], value: str, n: int, p: float = 0.05, out: str = "mean") -> DataFrame:
-    """Running mean over n samples after each phase of n has been winsorized over all cycles; edges repeat the nearest full mean."""
+def robust_running_mean(df: DataFrame, keys: list[str], order: list[str], value: str, n: int | Column, p: float = 0.05, out: str = "mean") -> DataFrame:
+    """Running mean over n samples after each phase of n has been winsorized over all cycles; edges repeat the nearest full mean. n may be a column that is
+    the same for all samples of a series, so that series of many periods go in one plan. Columns cycle and phase of df go."""
     own = folded(indexed(df, keys, order, "_i"), "_i", n)
     own = winsorize(own, [*keys, "phase"], value, p, ["_i"], "_w")
-    return running_mean(own, keys, ["_i"], "_w", n, out, "same").drop("_i", "_w", "cycle", "phase")
-
-
-def near_edges(index: Column, offset: Column, half: int, before: int, after: int) -> Column:
+    own = _mean_of_a_cycle(own, keys, n, out) if isinstance(n, Column) else running_mean(own, keys, ["_i"], "_w", n, out, "same")
+    return own.drop("_i", "_w", "cycle", "phase")
+
+
+def _mean_of_a_cycle(own: DataFrame, keys: list[str], n: Column, out: str) -> DataFrame:
+    """The centred mean of _w over n samples, n being a column and the length of a cycle: what leaves a frame of n samples is the sample of the same phase
+    a cycle before, so no frame depends on n. A mean is found at the last sample of its frame and moved to the middle as a row of its own, which the next
+    order of the series puts just before the sample it belongs to. A sample whose frame is not full or has a null takes the mean before it, or the first."""
+    lane = Window.partitionBy(*keys, "phase").orderBy("_i")
+    x, known = F.coalesce("_w", F.lit(0.0)), F.col("_w").isNotNull().cast("int")
+    own = own.withColumns({"_x": x - F.coalesce(F.lag(x).over(lane), F.lit(0.0)), "_c": known - F.coalesce(F.lag(known).over(lane), F.lit(0))})
+    run = Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumns({"_x": F.sum("_x").over(run), "_c": F.sum("_c").over(run)})
+    full = F.when((F.col("_i") >= n - 1) & (F.col("_c") == n), F.col("_x") / n)
+    here = F.struct(F.col("_i").alias("at"), F.lit(True).alias("sample"), F.lit(None).cast("double").alias("m"))
+    middle = F.struct((F.col("_i") - F.floor((n - 1) / 2)).cast("long").alias("at"), F.lit(False).alias("sample"), full.alias("m"))
+    own = own.withColumn("_e", F.explode(F.array(here, middle))).where("_e.sample or _e.m is not null")
+    w = Window.partitionBy(*keys).orderBy("_e.at", "_e.sample")
+    first = F.first("_e.m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    mean = F.coalesce(F.last("_e.m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), first)
+    return own.withColumn(out, mean).where("_e.sample").drop("_x", "_c", "_e")
+
+
+def near_edges(index: Column, offset: Column, half: int | Column, before: int, after: int) -> Column:
     """Whether a sample is within `after` samples after or `before` samples ahead of a half cycle's edge."""
     at = F.pmod(index - offset, F.lit(half))
     return (at < after) | (at >= half - before)
 
 
-def on_time_offset(df: DataFrame, keys: list[str], order: list[str], value: str, period: int, signed: bool = False, digits: int = 9) -> DataFrame:
+def on_time_offset(df: DataFrame, keys: list[str], order: list[str], value: str, period: int | Column, signed: bool = False, digits: int = 9) -> DataFrame:
     """(keys, offset): where the half cycles begin (signed: the cycles), as the place at which steps of the series match a
-    train of spikes best. The score at j adds the steps j - 1 + q * half (signed: those at q * period less those half a period before), q from 1; the smallest j of the best counts."""
-    half = period // 2
+    train of spikes best. The score at j adds the steps j - 1 + q * half (signed: those at q * period less those half a period before), q from 1; the smallest j of the best counts.
+    Unsigned, the period may be a column that is the same for all samples of a series."""
+    half = F.floor(period / 2) if isinstance(period, Column) else period // 2
     own = indexed(df, keys, order, "_i")
     w = Window.partitionBy(*keys).orderBy("_i")
     step = F.lead(value).over(w) - F.col(value)
-    own = own.withColumns({"_d": step if signed else F.abs(step), "_n": F.count("*").over(Window.partitionBy(*keys))}).where("_d is not null")
     by = period if signed else half
+    own = own.withColumns({"_d": step if signed else F.abs(step), "_n": F.count("*").over(Window.partitionBy(*keys)), "_by": F.lit(by)}).where("_d is not null")
     if signed:
         own = own.withColumn("_d", F.col("_d") - F.coalesce(F.lag("_d", half).over(w), F.lit(0.0)))
     cycles = F.floor(F.col("_n") / period)
     length = cycles - 1 if signed else 2 * cycles - 1
     lane = Window.partitionBy(*keys, "_lane").orderBy("_i")
-    own = own.withColumns({"_lane": F.col("_i") % by, "_len": length}).where("_len > 0")
+    own = own.withColumns({"_lane": F.col("_i") % F.col("_by"), "_len": length}).where("_len > 0")
     sums = F.sum("_d").over(lane.rowsBetween(Window.unboundedPreceding, 0))
     own = own.withColumns({"_s": sums, "_k": F.row_number().over(lane)})
     # the frame's length differs by series: its start is found by a join on the place that is `_len` rows before
     prior = own.select(*keys, "_lane", F.col("_k").alias("_pk"), F.col("_s").alias("_ps"))
     scored = own.withColumn("_pk", F.col("_k") - F.col("_len")).where("_pk >= 0").join(prior, [*keys, "_lane", "_pk"], "left")
     score = F.round(F.col("_s") - F.coalesce("_ps", F.lit(0.0)), digits)
-    start = F.col("_i") + 1 - F.col("_len") * by
-    best = scored.where(start >= 0).groupBy(*keys).agg(F.max(F.struct(score.alias("s"), (-start).alias("j"))).alias("b"))
-    return best.select(*keys, F.pmod(-F.col("b.j"), F.lit(period if signed else half)).cast("long").alias("offset"))
+    start = F.col("_i") + 1 - F.col("_len") * F.col("_by")
+    best = scored.where(start >= 0).groupBy(*keys, "_by").agg(F.max(F.struct(score.alias("s"), (-start).alias("j"))).alias("b"))
+    return best.select(*keys, F.pmod(-F.col("b.j"), F.col("_by")).cast("long").alias("offset"))
 
 
 def clip_limits(tx: str, rx: str, tx_most: float = 39.8, rx_most: float = 1.99) -> Column:
@@ -291,3 +337,13 @@ def running_waveform(df: DataFrame, keys: list[str], order: list[str], value: st
     cells = windowed_mean(resampled(df, keys, order, value, samples, phases, offset), [*keys, "phase"], ["cycle"], "value", hann, "_mean")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return unresampled(cells.select(*keys, "cycle", "phase", F.col("_mean").alias("value")), keys, sizes, samples, phases, offset)
+
+
+def waveform_filtered(df: DataFrame, keys: list[str], order: list[str], value: str, samples: float, periods: int, phases: int = 100, out: str = "filtered", masked: str | None = None) -> DataFrame:
+    """The series less the running mean of the waveform that repeats every `samples` samples; what the mean of each period holds stays. Samples for which
+    the column `masked` is true do not count for the waveform; where none counts, nothing is known of it and nothing goes. Missing samples stay missing."""
+    own = demean(indexed(df, keys, order, "_i"), keys, ["_i"], value, samples, "_d", "same")
+    known = F.col("_d") if masked is None else F.when(~F.coalesce(F.col(masked), F.lit(False)), F.col("_d"))
+    wave = running_waveform(own.select(*keys, "_i", known.alias("_d")), keys, ["_i"], "_d", samples, phases, periods)
+    found = wave.select(*keys, F.col("i").alias("_i"), F.col("value").alias("_wave"))
+    return own.join(found, [*keys, "_i"], "left").withColumn(out, F.col(value) - F.coalesce("_wave", F.lit(0.0))).select(*df.columns, out)

@@ -46,14 +46,14 @@ def hat(n: int, mode: str = "center") -> Column:
     return F.transform(i, lambda x: shape(x.cast("double")))
 
 
-def _tukey(place: Column, width: int, edge: int = 10) -> Column:
+def _tukey(place: Column, width: int | Column, edge: int = 10) -> Column:
     """Flat but for `edge` samples that rise and as many that fall, as a cosine."""
     near = F.least(place, width - place)
     return F.when(near < edge, 0.5 - 0.5 * F.cos(math.pi * near / edge)).otherwise(1.0)
 
 
 #: Tapers by name: the weight of a place (from 0) in a window of so many samples; the window after the last place begins anew. Add your own.
-TAPERS: dict[str, Callable[[Column, int], Column]] = {
+TAPERS: dict[str, Callable[[Column, int | Column], Column]] = {
     "none": lambda place, width: F.lit(1.0),
     "hann": lambda place, width: 0.5 - 0.5 * F.cos(2 * math.pi * place / width),
     "hamming": lambda place, width: 0.54 - 0.46 * F.cos(2 * math.pi * place / width),
@@ -92,6 +92,24 @@ def windowed_bins(df: DataFrame, keys: list[str], index: str, value: str, width:
     return wide.select(*keys, "win", F.expr(f"stack({len(bins)}, {stacked}) as (bin, re, im)"))
 
 
+def harmonic_bins(df: DataFrame, keys: list[str], index: str, value: str, cycle: str, width: str, hop: str, harmonics: tuple[int, ...], taper: str = "hann") -> DataFrame:
+    """(keys, win, harmonic, re, im): windowed_bins() at multiples of the frequency of a cycle, where cycle, width and hop are columns, each the same for all
+    samples of a series and among the keys. So series of any rates and frequencies go in one plan."""
+    i = F.col(index)
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((i - F.col(width) + 1) / F.col(hop)))
+    last = F.floor(i / F.col(hop))
+    windows = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
+    long = df.select(*keys, i.alias("_i"), F.col(value).alias("_v"), F.explode(windows).alias("win")).withColumn("_p", F.col("_i") - F.col("win") * F.col(hop))
+    long = long.withColumn("_w", TAPERS[taper](F.col("_p"), F.col(width)))
+    sums = [F.sum("_w").alias("_t")]
+    for h in harmonics:
+        angle = 2 * math.pi * h * F.col("_p") / F.col(cycle)
+        sums += [F.sum(F.col("_v") * F.col("_w") * F.cos(angle)).alias(f"re{h}"), (-F.sum(F.col("_v") * F.col("_w") * F.sin(angle))).alias(f"im{h}")]
+    wide = long.groupBy(*keys, "win").agg(F.count("_v").alias("_n"), *sums).where(F.col("_n") == F.col(width))
+    each = F.array(*[F.struct(F.lit(h).alias("harmonic"), (F.col(f"re{h}") / F.col("_t")).alias("re"), (F.col(f"im{h}") / F.col("_t")).alias("im")) for h in harmonics])
+    return wide.select(*keys, "win", F.inline(each))
+
+
 def least_squares(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r") -> DataFrame:
     """(keys, n, re, im, v): H = sum conj(T) R / sum |T|^2 and its variance from the residuals, in a second pass so that nothing cancels."""
     (tr, ti), (rr, ri) = pair(tx), pair(rx)

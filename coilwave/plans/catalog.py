@@ -261,7 +261,7 @@ def notch_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def waveform_average(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(K.waveform_filtered(events(spark, folder), ["user_id"], ORDER, "value", 6.5, 5).select("event_id", "filtered"), "filtered", digits=4)
+    return rounded(S.waveform_filtered(events(spark, folder), ["user_id"], ORDER, "value", 6.5, 5, 8).select("event_id", "filtered"), "filtered", digits=4)
 
 
 def lockin(spark: SparkSession, folder: str) -> DataFrame:
@@ -287,7 +287,7 @@ def pair_checks(spark: SparkSession, folder: str) -> DataFrame:
     side = lambda kind, n: own.where(F.col("event_type") == kind).select(F.col("user_id").alias("pair"), "i", F.col("value").alias(n))
     samples = side("view", "tx").join(side("click", "rx"), ["pair", "i"])
     settings = samples.select("pair").distinct().select("pair", F.lit(16.0).alias("rate"), F.lit(4.0).alias("frequency"))
-    got = P.checks(samples, settings, 80.0, 70.0)
+    got = P.checks(P.filled(samples), settings, 80.0, 70.0)
     return got.select("pair", "num_samples", "num_nans", "min_current", "max_current", "num_clips", "clip_first", F.col("clip_free").cast("long").alias("clip_free"), "num_cycles", "signal_duration", "max_clipfree_tx_cycles", "enough")
 
 

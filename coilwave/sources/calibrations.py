@@ -90,19 +90,21 @@ def divided(df: DataFrame, re: str, im: str, magnitude: Column, radians: Column)
     return df.withColumns({re: (F.col(re) * a + F.col(im) * b) / magnitude, im: (F.col(im) * a - F.col(re) * b) / magnitude})
 
 
-def board_corrected(fc: DataFrame, cal: DataFrame, keys: list[str]) -> DataFrame:
-    """Coefficients (keys, f, re, im) less the response of their board, interpolated over frequency; those without a calibration stay as they are.
-    cal: (keys, f, mag, phase in mrad)."""
+def board_corrected(fc: DataFrame, cal: DataFrame, keys: list[str], flag: str | None = None) -> DataFrame:
+    """Coefficients (keys, f, re, im) less the response of their board, interpolated over frequency; those without a calibration, or with one of so few
+    points that its phase is not known, stay as they are. `flag` names a column that says which are corrected. cal: (keys, f, mag, phase in mrad)."""
     flat = unwrapped_by_delay(cal.where("mag is not null and phase is not null and f > 0"), keys, "f", "phase")
-    own = C.interpolated(C.interpolated(fc, flat, keys, "f", "mag", "_mag"), flat, keys, "f", "unwrapped", "_phase")
-    return divided(own, "re", "im", F.coalesce("_mag", F.lit(1.0)), F.coalesce(F.col("_phase") / 1000, F.lit(0.0))).drop("_mag", "_phase")
+    own = C.interpolated(fc, flat, keys, "f", ["mag", "unwrapped"], ["_mag", "_phase"])
+    whole = F.col("_mag").isNotNull() & F.col("_phase").isNotNull()
+    own = own if flag is None else own.withColumn(flag, whole)
+    return divided(own, "re", "im", F.when(whole, F.col("_mag")).otherwise(1.0), F.when(whole, F.col("_phase") / 1000).otherwise(0.0)).drop("_mag", "_phase")
 
 
 def antenna_corrected(fc: DataFrame, cal: DataFrame, keys: list[str]) -> DataFrame:
     """The same for antennas: phase over log2 f, magnitude with both axes logarithmic; frequency 0 becomes 0. cal: (keys, base_frequency, mag, phz in mrad)."""
     knots = cal.select(*keys, F.log2("base_frequency").alias("_lf"), F.log2("mag").alias("_lm"), F.col("phz").alias("_p"))
     own = fc.withColumn("_lf", F.log2(F.nullif(F.col("f"), F.lit(0.0))))
-    own = C.interpolated(C.interpolated(own, knots, keys, "_lf", "_lm", "_mag"), knots, keys, "_lf", "_p", "_phase")
+    own = C.interpolated(own, knots, keys, "_lf", ["_lm", "_p"], ["_mag", "_phase"])
     own = divided(own, "re", "im", F.coalesce(F.pow(F.lit(2.0), F.col("_mag")), F.lit(1.0)), F.coalesce(F.col("_phase") / 1000, F.lit(0.0)))
     zero = F.col("f") == 0
     return own.withColumns({c: F.when(zero, 0.0).otherwise(F.col(c)) for c in ("re", "im")}).drop("_lf", "_mag", "_phase")
