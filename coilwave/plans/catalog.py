@@ -18,7 +18,7 @@ from coilwave.operators import overlap as O
 from coilwave.operators import pairs as P
 from coilwave.operators import series as S
 from coilwave.operators import spectral as X
-from coilwave.plans import files, steps, whole
+from coilwave.plans import files, steps, survey, whole
 from coilwave.plans.tables import ORDER, OVER, RESAMPLED, events, rounded, table
 
 
@@ -301,7 +301,7 @@ QUERIES = {
         regression_m, notch_filter, waveform_average, lockin, resample,
         mean_waveform, window_sums, pair_checks,
     )
-} | steps.QUERIES | files.QUERIES | whole.QUERIES
+} | steps.QUERIES | files.QUERIES | whole.QUERIES | survey.QUERIES
 
 _SPANS = """
     cut AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 10800000000 THEN 1 ELSE 0 END AS new FROM events),
@@ -361,6 +361,17 @@ ORACLE = {
         SELECT user_id, n, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im, round(sum((rr - (tr * re - ti * im)) ** 2 + (ri - (tr * im + ti * re)) ** 2) / pw / (2 * n - 2), 6) + 0.0 AS v FROM p JOIN h USING (user_id) GROUP BY user_id, n, pw, re, im
     """,
     "notch_filter": whole.notch_sql("user_id"),
+    "waveform_average": f"""
+        WITH s AS MATERIALIZED (SELECT event_id, user_id, value AS v, row_number() {OVER} - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n,
+            (sum(value) {OVER[:-1]} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) + 0.75::DOUBLE * (lag(value, 3) {OVER} + lead(value, 3) {OVER})) / 6.5::DOUBLE AS m FROM events),
+        d AS MATERIALIZED (SELECT s.user_id, s.i, s.n, s.v - coalesce(s.m, e.m) AS d FROM s LEFT JOIN s e ON e.user_id = s.user_id AND e.i = CASE WHEN s.i < 3 THEN 3 ELSE s.n - 4 END),
+        p AS MATERIALIZED (SELECT user_id, unnest(range(floor((max(n) - 1) / 0.8125::DOUBLE)::BIGINT + 1)) AS p FROM d GROUP BY user_id),
+        q AS MATERIALIZED (SELECT p.user_id, p, a.d + coalesce((b.d - a.d) * (p * 0.8125::DOUBLE - a.i), 0) AS x FROM p JOIN d a ON a.user_id = p.user_id AND a.i = floor(p * 0.8125::DOUBLE) LEFT JOIN d b ON b.user_id = p.user_id AND b.i = a.i + 1),
+        c AS MATERIALIZED (SELECT a.user_id, a.p, sum(b.x * g) / sum(g) AS x FROM q a, (VALUES (-2, 0.25::DOUBLE), (-1, 0.75::DOUBLE), (0, 1.0::DOUBLE), (1, 0.75::DOUBLE), (2, 0.25::DOUBLE)) w(o, g), q b WHERE b.user_id = a.user_id AND b.p = a.p + 8 * o GROUP BY a.user_id, a.p),
+        r AS (SELECT event_id, s.user_id, v, floor(i / 0.8125::DOUBLE)::BIGINT AS p, i / 0.8125::DOUBLE - floor(i / 0.8125::DOUBLE) AS part FROM s)
+        SELECT event_id, round(v - (a.x + CASE WHEN part = 0 THEN 0 ELSE (coalesce(b.x, e.x) - a.x) * part END), 4) + 0.0 AS filtered
+        FROM r LEFT JOIN c a ON a.user_id = r.user_id AND a.p = r.p LEFT JOIN c b ON b.user_id = r.user_id AND b.p = r.p + 1 LEFT JOIN c e ON e.user_id = r.user_id AND e.p = r.p - 7
+    """,
     "running_mean": f"SELECT event_id, round(CASE WHEN count(*) {OVER[:-1]} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) = 4 THEN avg(value) {OVER[:-1]} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) END, 6) + 0.0 AS mean FROM events",
     "running_mean_same": f"""
         WITH m AS (SELECT event_id, user_id, row_number() {OVER} AS i, count(*) OVER (PARTITION BY user_id) AS n, avg(value) {OVER[:-1]} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x FROM events)
@@ -482,4 +493,4 @@ ORACLE = {
     """,
     "resample": f"WITH {RESAMPLED} SELECT user_id, cycle, phase, round(value, 6) + 0.0 AS value FROM q",
     "mean_waveform": f"WITH {RESAMPLED} SELECT user_id, phase, round(avg(value), 10) + 0.0 AS mean FROM q GROUP BY user_id, phase",
-} | steps.ORACLE | files.ORACLE | whole.ORACLE
+} | steps.ORACLE | files.ORACLE | whole.ORACLE | survey.ORACLE

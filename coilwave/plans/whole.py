@@ -95,19 +95,18 @@ _FILL = """
     a AS (SELECT *, max(CASE WHEN gappy IS NOT NULL THEN i END) OVER (ORDER BY i) AS p, min(CASE WHEN gappy IS NOT NULL THEN i END) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM s),
     f AS (SELECT a.event_id, a.i, a.gappy, a.p, a.q, x.gappy AS py, y.gappy AS qy FROM a LEFT JOIN s x ON x.i = a.p LEFT JOIN s y ON y.i = a.q)
 """
-_B, _A = K.notch_coefficients(*NOTCH)
-_LEVEL = float(_B.sum() / _A.sum())
-_b0, _b1, _b2, _a1, _a2, _lv = (f"({float(c)!r}::DOUBLE)" for c in (*_B, _A[1], _A[2], _LEVEL))
 
 
-def _pass(name: str, source: str) -> str:
-    """A recursive CTE: y = b0 x + s1, s1 = b1 x - a1 y + s2, s2 = b2 x - a2 y, from the steady state of the first sample."""
-    y = f"({_b0} * x.x + f.s1)"
+def notch_pass(name: str, source: str, notch: tuple[float, float, float]) -> str:
+    """A recursive CTE: y = b0 x + s1, s1 = b1 x - a1 y + s2, s2 = b2 x - a2 y, from the steady state of the first sample; notch: frequency, rate, bandwidth."""
+    b, a = K.notch_coefficients(*notch)
+    b0, b1, b2, a1, a2, level = (f"({float(c)!r}::DOUBLE)" for c in (*b, a[1], a[2], b.sum() / a.sum()))
+    y = f"({b0} * x.x + f.s1)"
     return f"""
         {name}(user_id, i, m, y, s1, s2) AS (
-            SELECT user_id, i, m, {_lv} * x, ({_b1} - {_a1} * {_lv} + {_b2} - {_a2} * {_lv}) * x, ({_b2} - {_a2} * {_lv}) * x FROM {source} WHERE i = 0
+            SELECT user_id, i, m, {level} * x, ({b1} - {a1} * {level} + {b2} - {a2} * {level}) * x, ({b2} - {a2} * {level}) * x FROM {source} WHERE i = 0
             UNION ALL
-            SELECT f.user_id, f.i + 1, f.m, {y}, {_b1} * x.x - {_a1} * {y} + f.s2, {_b2} * x.x - {_a2} * {y} FROM {name} f JOIN {source} x ON x.user_id = f.user_id AND x.i = f.i + 1
+            SELECT f.user_id, f.i + 1, f.m, {y}, {b1} * x.x - {a1} * {y} + f.s2, {b2} * x.x - {a2} * {y} FROM {name} f JOIN {source} x ON x.user_id = f.user_id AND x.i = f.i + 1
         )"""
 
 
@@ -120,7 +119,7 @@ def notch_sql(key: str) -> str:
         SELECT user_id, i + 9 AS i, n + 18 AS m, v AS x FROM s WHERE n > 9
         UNION ALL SELECT s.user_id, 9 - i, s.n + 18, 2 * v0 - v FROM s JOIN e USING (user_id) WHERE s.n > 9 AND i BETWEEN 1 AND 9
         UNION ALL SELECT s.user_id, 2 * (s.n - 1) - i + 9, s.n + 18, 2 * v1 - v FROM s JOIN e USING (user_id) WHERE s.n > 9 AND i BETWEEN s.n - 10 AND s.n - 2
-    ), {_pass("f", "x")}, r AS MATERIALIZED (SELECT user_id, m - 1 - i AS i, m, y AS x FROM f), {_pass("g", "r")}
+    ), {notch_pass("f", "x", NOTCH)}, r AS MATERIALIZED (SELECT user_id, m - 1 - i AS i, m, y AS x FROM f), {notch_pass("g", "r", NOTCH)}
     SELECT event_id, round(CASE WHEN n <= 9 THEN v ELSE y END, 4) + 0.0 AS filtered FROM s LEFT JOIN g ON g.user_id = s.user_id AND g.i = g.m - 1 - (s.i + 9)
 """
 
