@@ -6,6 +6,7 @@ regression takes groups of any size, in rounds of aggregations."""
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -64,6 +65,21 @@ def per_series(df: DataFrame, keys: list[str], order: list[str], value: str, out
     return _series(df, keys, order, value, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]), result)
 
 
+def trailing_medians(x: np.ndarray, n: int) -> np.ndarray:
+    """The upper median of what is known among the last n samples. One sorted frame goes along: a sample enters and one leaves by binary search."""
+    frame: list[float] = []
+    out = np.full(len(x), np.nan)
+    samples = x.tolist()
+    for i, v in enumerate(samples):
+        if v == v:
+            insort(frame, v)
+        if i >= n and samples[i - n] == samples[i - n]:
+            del frame[bisect_left(frame, samples[i - n])]
+        if frame:
+            out[i] = frame[len(frame) // 2]
+    return out
+
+
 def spectrum(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """(keys, n, k, re, im): the Fourier sums of whole series of n samples at k / n cycles a sample, for k up to n / 2. A series with a missing
     sample has null sums: fill it first. Keys have other names than these columns."""

@@ -80,6 +80,11 @@ def demean(df: DataFrame, keys: list[str], index: str, value: str, n: float, out
     return framed(df, keys, index, int(n) + 1, int(n) + 1, lambda d, k, o: S.demean(d, k, o, value, n, out), size)
 
 
+def running_median(df: DataFrame, keys: list[str], index: str, value: str, n: int, out: str = "median", size: int = SIZE) -> DataFrame:
+    """series.running_median()."""
+    return framed(df, keys, index, n, 0, lambda d, k, o: S.running_median(d, k, o, value, n, out), size)
+
+
 def prewhiten(df: DataFrame, keys: list[str], index: str, value: str, out: str = "diff", size: int = SIZE) -> DataFrame:
     """series.prewhiten()."""
     return framed(df, keys, index, 1, 0, lambda d, k, o: S.prewhiten(d, k, o, value, out), size)

@@ -10,7 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to this width a moving frame is cheaper than two cumulative sums.
+from coilwave.operators import kernels as K
+
+#: Up to this width a moving frame is cheaper than two cumulative sums, or than a frame that is kept sorted.
 FRAME = 64
 
 
@@ -86,9 +88,14 @@ def demean(df: DataFrame, keys: list[str], order: list[str], value: str, n: floa
 
 
 def running_median(df: DataFrame, keys: list[str], order: list[str], value: str, n: int, out: str = "median") -> DataFrame:
-    """Trailing median of the last n samples (fewer at the start); of an even number the upper one."""
-    seen = F.sort_array(F.collect_list(value).over(_window(keys, order).rowsBetween(-(n - 1), 0)))
-    return df.withColumn(out, F.get(seen, F.floor(F.size(seen) / 2).cast("int")))
+    """Trailing median of the last n samples (fewer at the start), of which missing ones (null or NaN) count nowhere; of an even number the upper one. Narrow
+    frames are sorted as arrays; wide ones keep one sorted frame from sample to sample."""
+    own = df.withColumn("_known", F.when(~F.isnan(F.col(value).cast("double")), F.col(value)))
+    if n > FRAME:
+        wide = K.per_series(own, keys, order, "_known", out, lambda x: K.trailing_medians(x, n))
+        return wide.withColumn(out, F.col(out).cast(df.schema[value].dataType)).select(*df.columns, out)
+    seen = F.sort_array(F.collect_list("_known").over(_window(keys, order).rowsBetween(-(n - 1), 0)))
+    return own.withColumn(out, F.get(seen, F.floor(F.size(seen) / 2).cast("int"))).select(*df.columns, out)
 
 
 def prewhiten(df: DataFrame, keys: list[str], order: list[str], value: str, out: str = "diff") -> DataFrame:

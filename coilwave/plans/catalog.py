@@ -20,6 +20,7 @@ from coilwave.operators import series as S
 from coilwave.operators import spectral as X
 from coilwave.plans import files, steps, survey, whole
 from coilwave.plans.tables import ORDER, OVER, RESAMPLED, events, rounded, table
+from coilwave.tables import written
 
 
 def tf_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,7 +119,7 @@ def interval_overlap_bucketed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def full_overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    tx, rx = _spans(spark, folder, 0), _spans(spark, folder, 1)
+    tx, rx = (written(_spans(spark, folder, odd), "recordings") for odd in (0, 1))
     return O.full_overlaps(tx, rx, O.overlaps(tx, rx)).select("tx_id", "rx_id", "overlap_start", "overlap_end", "tx_start", "rx_end", "ok")
 
 

@@ -39,6 +39,11 @@ def long_demean(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(G.demean(_series(spark, folder), ["series"], "i", "value", 4.5, size=SIZE).select("event_id", "demeaned"), "demeaned")
 
 
+def long_median(spark: SparkSession, folder: str) -> DataFrame:
+    """The median of the 201 events up to each one, holes left out."""
+    return G.running_median(_series(spark, folder), ["series"], "i", "gappy", 201, size=SIZE).select("event_id", "median")
+
+
 def long_diff(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(G.prewhiten(_series(spark, folder), ["series"], "i", "value", size=SIZE).select("event_id", "diff"), "diff")
 
@@ -88,7 +93,7 @@ def long_notch(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(G.notch(own, ["event_type"], "i", "value", *NOTCH, size=256).select("event_id", "filtered"), "filtered", digits=4)
 
 
-QUERIES = {f.__name__: f for f in (long_index, long_mean, long_mean_same, long_demean, long_diff, long_weeks, long_unwrap, long_hold, long_extend, long_winsorize, long_mask, long_notch, autocorr_period, tapered_bins)}
+QUERIES = {f.__name__: f for f in (long_index, long_mean, long_mean_same, long_demean, long_median, long_diff, long_weeks, long_unwrap, long_hold, long_extend, long_winsorize, long_mask, long_notch, autocorr_period, tapered_bins)}
 
 _ALL = "s AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, CASE WHEN event_id % 7 <> 0 THEN value END AS gappy FROM events)"
 _FILL = """
@@ -133,6 +138,7 @@ ORACLE = {
         SELECT event_id, round(coalesce(mean, CASE WHEN i <= 50 THEN (SELECT mean FROM m WHERE i = 51) ELSE (SELECT mean FROM m WHERE i = n - 50) END), 4) + 0.0 AS mean FROM m
     """,
     "long_demean": f"SELECT event_id, round(value - (sum(value) {_FRAME.format(1)} + 0.75::DOUBLE * (lag(value, 2) OVER (ORDER BY ts, event_id) + lead(value, 2) OVER (ORDER BY ts, event_id))) / 4.5::DOUBLE, 6) + 0.0 AS demeaned FROM events",
+    "long_median": f"WITH {_ALL}, l AS (SELECT event_id, list_sort(list(gappy) FILTER (gappy IS NOT NULL) OVER (ORDER BY i ROWS BETWEEN 200 PRECEDING AND CURRENT ROW)) AS x FROM s) SELECT event_id, x[len(x) // 2 + 1] AS median FROM l",
     "long_diff": "SELECT event_id, round(coalesce(value - lag(value) OVER (ORDER BY ts, event_id), 0), 6) + 0.0 AS diff FROM events",
     "long_weeks": """
         WITH s AS (SELECT event_id, ts, event_id * 7919 % 604800 AS sec, lag(event_id * 7919 % 604800) OVER (ORDER BY ts, event_id) AS before FROM events)

@@ -218,3 +218,69 @@ def test_points_between_knots(spark):
 
     got = {r["id"]: r["out"] for r in df.collect()}
     assert got == {i: pytest.approx(line(k, x)) if line(k, x) is not None else None for i, k, x in points}
+
+
+def test_periods_as_columns(spark):
+    """Robust means and offsets of series of several periods in one plan are those of each period by itself."""
+    rng = np.random.default_rng(12)
+    rows = [(k, i, float(np.where(i // (n // 2) % 2 == 0, 3.0, -3.0) + rng.normal()), n) for k, (n, m) in enumerate([(4, 83), (5, 61), (8, 200), (9, 8), (2, 1), (7, 7)]) for i in range(m)]
+    df = spark.createDataFrame(rows, "k int, i int, v double, n long")
+    got = {(r.k, r.i): r.mean for r in S.robust_running_mean(df, ["k"], ["i"], "v", F.col("n"), 0.1).collect()}
+    offsets = {r.k: r.offset for r in S.on_time_offset(df, ["k"], ["i"], "v", F.col("n")).collect()}
+    assert len(got) == len(rows)
+    for k, n in {(r[0], r[3]) for r in rows}:
+        own = df.where(F.col("k") == k)
+        for r in S.robust_running_mean(own, ["k"], ["i"], "v", n, 0.1).collect():
+            assert got[k, r.i] == (r.mean if r.mean is None else pytest.approx(r.mean, abs=1e-9)), (k, r.i)
+        assert [o for j, o in offsets.items() if j == k] == [r.offset for r in S.on_time_offset(own, ["k"], ["i"], "v", n).collect()]
+    assert got[3, 0] is None and got[5, 3] is not None
+
+
+@pytest.mark.parametrize("n", [5, 64, 65, 101])
+def test_medians_of_known_samples(spark, n):
+    """Narrow and wide frames by hand: missing samples, repeated values, frames of missing samples only, whole numbers."""
+    rng = np.random.default_rng(13)
+    x = rng.integers(0, 9, 300).astype(float)
+    x[rng.random(300) < 0.3] = np.nan
+    x[100:230] = np.nan
+    rows = [(1, i, None if np.isnan(v) and i % 2 else float(v), None if np.isnan(v) else int(v)) for i, v in enumerate(x)] + [(2, 0, 4.0, 4), (None, 0, None, None)]
+    df = spark.createDataFrame(rows, "k int, i int, v double, w int").repartition(4)
+    got = S.running_median(S.running_median(df, ["k"], ["i"], "v", n), ["k"], ["i"], "w", n, "whole")
+    assert dict(got.dtypes)["whole"] == "int" and got.columns == ["k", "i", "v", "w", "median", "whole"]
+    found = {(r.k, r.i): (r.median, r.whole) for r in got.collect()}
+    assert found[2, 0] == (4.0, 4) and found[None, 0] == (None, None)
+    for i in range(300):
+        seen = np.sort(x[max(0, i - n + 1) : i + 1][~np.isnan(x[max(0, i - n + 1) : i + 1])])
+        want = seen[len(seen) // 2] if len(seen) else None
+        assert found[1, i] == (want, None if want is None else int(want))
+
+
+def test_ends_of_fractional_means(spark):
+    x = np.random.default_rng(14).normal(size=20)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)] + [(2, 0, 1.0)], "k int, i int, v double")
+    got = {(r.k, r.i): r.mean for r in S.running_mean_fractional(df, ["k"], ["i"], "v", 4.5, edges="same").collect()}
+    full = [(x[i - 1 : i + 2].sum() + 0.75 * (x[i - 2] + x[i + 2])) / 4.5 for i in range(2, 18)]
+    assert [got[1, i] for i in range(20)] == pytest.approx([full[0]] * 2 + full + [full[-1]] * 2) and got[2, 0] is None
+
+
+def test_half_a_calibration_corrects_nothing(spark):
+    """Boards with eight points and with fewer: the first divides, the second leaves its coefficients and says so."""
+    from coilwave.sources import calibrations as B
+
+    cal = spark.createDataFrame([(k, float(2**j), 2.0, 0.0) for k, n in (("whole", 9), ("few", 5)) for j in range(n)], "box string, f double, mag double, phase double")
+    fc = spark.createDataFrame([(k, 8.0, 6.0, -2.0) for k in ("whole", "few", "none", None)], "box string, f double, re double, im double")
+    got = {r.box: (r.ok, r.re, r.im) for r in B.board_corrected(fc, cal, ["box"], "ok").collect()}
+    assert got["whole"] == (True, pytest.approx(3.0), pytest.approx(-1.0)) and all(got[k] == (False, 6.0, -2.0) for k in ("few", "none", None))
+
+
+def test_a_waveform_goes_and_a_step_stays(spark):
+    """A hum of 40.5 samples beside a slow drift: the hum goes, also where edges are masked; all masked, nothing goes."""
+    i = np.arange(400)
+    drift = i / 10_000
+    x = drift + np.sin(2 * np.pi * i / 40.5) + 0.4 * np.cos(4 * np.pi * i / 40.5)
+    rows = [(1, int(a), float(v), bool(a % 50 < 5)) for a, v in zip(i, x, strict=True)] + [(2, int(a), float(v), True) for a, v in zip(i, x, strict=True)] + [(3, 0, 1.5, False)]
+    df = spark.createDataFrame(rows, "k int, i int, v double, near boolean")
+    got = {(r.k, r.i): r.f for r in S.waveform_filtered(df, ["k"], ["i"], "v", 40.5, 7, 100, "f", masked="near").collect()}
+    assert len(got) == len(rows)
+    assert max(abs(got[1, a] - drift[a]) for a in range(10, 390)) < 0.05
+    assert all(got[2, a] == x[a] for a in range(400)) and got[3, 0] == 1.5
