@@ -196,12 +196,13 @@ def huber_regression(t: np.ndarray, r: np.ndarray, r0: float = 1.5, most: int =
     return h, float(pulled @ pulled - fit @ fit) / power / (2 * n - 2) / good**2, rounds, good, now >= old * (1 - FALL)
 
 
-def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r", r0: float = 1.5, most: int = 100, two_sided: bool = False) -> DataFrame:
+def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r", r0: float = 1.5, most: int = 100, two_sided: bool = False, in_one_task: int | None = None) -> DataFrame:
     """(keys, n, re, im, v, rounds, good, converged): a robust transfer function of each group of complex pairs, as by huber_regression. Pairs with
     a null or NaN count nowhere; groups of one pair, or without power, have nulls. converged is false where `most` rounds were not enough.
 
-    Keys of at most IN_ONE_TASK pairs are solved in one task each. A key may have any number of pairs: for larger ones each round is two
-    aggregations over the pairs, and only H and the scale of each key go back to them."""
+    Keys of at most `in_one_task` (else IN_ONE_TASK) pairs are solved in one task each. A key may have any number of pairs: for larger ones each round is one
+    aggregation over the pairs, and only H and the scale of each key go back to them."""
+    in_one_task = IN_ONE_TASK if in_one_task is None else in_one_task
     parts = [f"{c}_{p}" for c in (tx, rx) for p in ("re", "im")]
     known = F.lit(True)
     for c in parts:
@@ -211,10 +212,10 @@ def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r"
     own = written(own, "pairs")
     # keys by number, as a struct is no pandas value; the numbers are written, so they stay what they are
     sizes = written(own.groupBy("k").agg(F.count("*").alias("size")).withColumn("kk", F.monotonically_increasing_id()), "sizes")
-    few = own.join(sizes.where(F.col("size") <= IN_ONE_TASK).select("k"), "k", "left_semi")
-    own = own.join(sizes.where(F.col("size") > IN_ONE_TASK).select("k"), "k", "left_semi")
+    few = own.join(sizes.where(F.col("size") <= in_one_task).select("k"), "k", "left_semi")
+    own = own.join(sizes.where(F.col("size") > in_one_task).select("k"), "k", "left_semi")
 
-    def in_one_task(group: pd.DataFrame) -> pd.DataFrame:
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
         known = group[["tr", "ti", "rr", "ri"]].dropna().to_numpy(float)
         t, r = known[:, 0] + 1j * known[:, 1], known[:, 2] + 1j * known[:, 3]
         power = float((np.abs(t) ** 2).sum())
@@ -223,9 +224,9 @@ def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r"
         return pd.DataFrame([row], columns=["kk", "n", "re", "im", "v", "rounds", "good", "converged"]).astype(object)
 
     named = sizes.select("k", "kk")
-    solved = few.join(named, "k").groupBy("kk").applyInPandas(in_one_task, "kk long, n long, re double, im double, v double, rounds long, good double, converged boolean")
+    solved = few.join(named, "k").groupBy("kk").applyInPandas(solve, "kk long, n long, re double, im double, v double, rounds long, good double, converged boolean")
     solved = solved.join(named, "kk").select(*[F.col("k")[c].alias(c) for c in keys], "n", "re", "im", "v", "rounds", "good", "converged")
-    if sizes.where(F.col("size") > IN_ONE_TASK).isEmpty():
+    if sizes.where(F.col("size") > in_one_task).isEmpty():
         return solved
     own = written(own, "many")
     tr, ti, rr, ri = (F.col(x) for x in ("tr", "ti", "rr", "ri"))
@@ -243,15 +244,16 @@ def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r"
 
     def met(state: DataFrame, *aggs: Column) -> DataFrame:
         """Sums over the pairs of the keys of a state, beside the state."""
-        sums = own.join(F.broadcast(state), "k").groupBy("k").agg(*aggs)
-        return state.join(sums, "k")
+        kept = [F.first(c).alias(c) for c in state.columns if c != "k"]
+        return own.join(F.broadcast(state), "k").groupBy("k").agg(*kept, *aggs)
 
     squares = F.sum(residuals()[0] ** 2 + residuals()[1] ** 2).alias("ss")
     first = own.groupBy("k").agg(F.count("tr").alias("n"), F.sum(tr * tr + ti * ti).alias("power"), *fitted((rr, ri)))
     first = written(first.withColumns({"h_re": F.try_divide("a", "power"), "h_im": F.try_divide("b", "power")}).drop("a", "b"), "first")
     able = (F.col("n") > 1) & (F.col("power") > 0)
     state = met(first.where(able), squares)
-    state = state.select("k", "n", "power", "h_re", "h_im", F.sqrt(F.col("ss") / (2 * F.col("n") - 2)).alias("scale"), F.lit(0).cast("long").alias("rounds"), F.lit(math.inf).alias("old"), F.lit(0.0).alias("g_re"), F.lit(0.0).alias("g_im"), F.lit(0.0).alias("was"))
+    # what the least-squares H leaves is orthogonal to t, so any other H leaves that and |H - H0| ** 2 times the power: a round needs no pass for its scale
+    state = state.select("k", "n", "power", "ss", F.col("h_re").alias("z_re"), F.col("h_im").alias("z_im"), "h_re", "h_im", F.sqrt(F.col("ss") / (2 * F.col("n") - 2)).alias("scale"), F.lit(0).cast("long").alias("rounds"), F.lit(math.inf).alias("old"), F.lit(0.0).alias("g_re"), F.lit(0.0).alias("g_im"), F.lit(0.0).alias("was"))
     state = written(state, "state")
     ended = []
     loss = sum((F.sum(X.huber_loss(x / F.col("scale"), r0)) for x in residuals()), F.lit(0.0)).alias("now")
@@ -263,8 +265,9 @@ def regression_m(pairs: DataFrame, keys: list[str], tx: str = "t", rx: str = "r"
         again = tried.where(falls)
         if again.isEmpty():
             break
-        again = again.select("k", "n", "power", (F.col("a") / F.col("power")).alias("h_re"), (F.col("b") / F.col("power")).alias("h_im"), (F.col("rounds") + 1).alias("rounds"), F.col("now").alias("old"), F.col("h_re").alias("g_re"), F.col("h_im").alias("g_im"), F.col("scale").alias("was"))
-        state = written(met(again, squares).withColumn("scale", F.sqrt(F.col("ss") / (2 * F.col("n") - 2) / SPREAD)).select(*state.columns), "state")
+        again = again.select("k", "n", "power", "ss", "z_re", "z_im", (F.col("a") / F.col("power")).alias("h_re"), (F.col("b") / F.col("power")).alias("h_im"), (F.col("rounds") + 1).alias("rounds"), F.col("now").alias("old"), F.col("h_re").alias("g_re"), F.col("h_im").alias("g_im"), F.col("scale").alias("was"))
+        left = F.col("ss") + ((F.col("h_re") - F.col("z_re")) ** 2 + (F.col("h_im") - F.col("z_im")) ** 2) * F.col("power")
+        state = again.withColumn("scale", F.sqrt(left / (2 * F.col("n") - 2) / SPREAD)).select(*state.columns)
     done = written(reduce(DataFrame.unionByName, ended), "done")
     # What the last fit leaves of the pulled values: H is fitted to them, so it is also their power less the fit's.
     last, fit = pulled("g", "was"), X.times((tr, ti), X.pair("h"))

@@ -254,7 +254,12 @@ def record_check(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def regression_m(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(K.regression_m(_complex_pairs(spark, folder), ["event_type"]), "re", "im", digits=4)
+    return rounded(K.regression_m(_complex_pairs(spark, folder), ["event_type"]), "re", "im", "v", "good", digits=7)
+
+
+def regression_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """The same in rounds of aggregations over the pairs, as keys of many pairs go."""
+    return rounded(K.regression_m(_complex_pairs(spark, folder), ["event_type"], in_one_task=0), "re", "im", "v", "good", digits=7)
 
 
 def notch_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,7 +304,7 @@ QUERIES = {
         longest_run, week_rollover, interp_edge_hold, interp_linear, unwrap_phase, interval_overlap, interval_overlap_bucketed, full_overlaps, nearest_station,
         dedup_first, date_subset, gps_to_utc, mountain_time, dft_bins, window_dft, embedding_dft, ls_tf, ls_cov, mean_cov, huber_norm, on_time_offset,
         on_time_offset_signed, on_time_mask, rotate3, utm_projection, unpivot_harmonics, cal_interp, quality_counts, commonest_and_range, station_codes, record_check,
-        regression_m, notch_filter, waveform_average, lockin, resample,
+        regression_m, regression_rounds, notch_filter, waveform_average, lockin, resample,
         mean_waveform, window_sums, pair_checks,
     )
 } | steps.QUERIES | files.QUERIES | whole.QUERIES | survey.QUERIES
@@ -322,7 +327,52 @@ _GAPS = f"""
         LEFT JOIN k f1 ON f1.user_id = g.user_id AND f1.up = 1 LEFT JOIN k f2 ON f2.user_id = g.user_id AND f2.up = 2
         LEFT JOIN k l1 ON l1.user_id = g.user_id AND l1.down = 1 LEFT JOIN k l2 ON l2.user_id = g.user_id AND l2.down = 2)
 """
+_HUBER = "(CASE WHEN abs({0} / scale) < 1.5 THEN ({0} / scale) ** 2 / 2 ELSE 1.5 * abs({0} / scale) - 1.125 END)"
+_PULLED = "({0} * CASE WHEN abs({0} / {1}) <= 1.5 THEN 1 ELSE 1.5 / abs({0} / {1}) END)"
+_X, _Y = (f"({r} - ({t}))" for r, t in (("rr", "tr * {0}re - ti * {0}im"), ("ri", "tr * {0}im + ti * {0}re")))
+_LOSS = f"sum({_HUBER.format(_X.format(''))} + {_HUBER.format(_Y.format(''))})"
+# A round: H is fitted to the pulled values, which are the last fit and its pulled residuals; then the scale of what H leaves; then the loss.
+_REGRESSION = f"""
+    WITH RECURSIVE {_PAIRS.replace("p AS", "p AS MATERIALIZED")},
+    a0 AS (SELECT event_type, count(*) AS n, sum(tr * tr + ti * ti) AS pw, sum(tr * rr + ti * ri) / sum(tr * tr + ti * ti) AS re, sum(tr * ri - ti * rr) / sum(tr * tr + ti * ti) AS im FROM p GROUP BY event_type),
+    b0 AS (SELECT event_type, n, pw, re, im, sqrt(sum({_X.format("")} ** 2 + {_Y.format("")} ** 2) / (2 * n - 2)) AS scale FROM a0 JOIN p USING (event_type) GROUP BY event_type, n, pw, re, im),
+    r(event_type, n, pw, re, im, scale, gre, gim, was, rounds, old, now) AS (
+        SELECT event_type, n, pw, re, im, scale, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0::BIGINT, 'inf'::DOUBLE, {_LOSS} FROM b0 JOIN p USING (event_type) GROUP BY event_type, n, pw, re, im, scale
+        UNION ALL
+        SELECT event_type, n, pw, re, im, scale, gre, gim, was, rounds, old, {_LOSS} FROM (
+            SELECT event_type, n, pw, re, im, gre, gim, was, rounds, old, sqrt(sum({_X.format("")} ** 2 + {_Y.format("")} ** 2) / (2 * n - 2) / 0.7784::DOUBLE) AS scale FROM (
+                SELECT event_type, n, pw, r.re AS gre, r.im AS gim, scale AS was, rounds + 1 AS rounds, now AS old,
+                    r.re + sum(tr * {_PULLED.format(_X.format("r."), "scale")} + ti * {_PULLED.format(_Y.format("r."), "scale")}) / pw AS re,
+                    r.im + sum(tr * {_PULLED.format(_Y.format("r."), "scale")} - ti * {_PULLED.format(_X.format("r."), "scale")}) / pw AS im
+                FROM r JOIN p USING (event_type) WHERE rounds = 0 OR (now < old * (1 - 2e-9::DOUBLE) AND rounds < 100) GROUP BY event_type, n, pw, r.re, r.im, scale, rounds, now
+            ) JOIN p USING (event_type) GROUP BY event_type, n, pw, re, im, gre, gim, was, rounds, old
+        ) JOIN p USING (event_type) GROUP BY event_type, n, pw, re, im, scale, gre, gim, was, rounds, old
+    ),
+    z AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY rounds DESC) = 1),
+    g AS (SELECT event_type, n, pw, re, im, rounds, now >= old * (1 - 2e-9::DOUBLE) AS converged, (count(*) FILTER ({_X.format("z.")} / scale < 1.5) + count(*) FILTER ({_Y.format("z.")} / scale < 1.5)) / (2 * n)::DOUBLE AS good,
+        sum((tr * (gre - re) - ti * (gim - im) + {_PULLED.format(_X.format("g"), "was")}) ** 2 + (tr * (gim - im) + ti * (gre - re) + {_PULLED.format(_Y.format("g"), "was")}) ** 2) AS rest
+        FROM z JOIN p USING (event_type) GROUP BY event_type, n, pw, re, im, rounds, now, old)
+    SELECT event_type, n, round(re, 7) + 0.0 AS re, round(im, 7) + 0.0 AS im, round(rest / pw / (2 * n - 2) / good ** 2, 7) + 0.0 AS v, rounds, round(good, 7) + 0.0 AS good, converged FROM g
+"""
 ORACLE = {
+    "regression_m": _REGRESSION,
+    "regression_rounds": _REGRESSION,
+    "lockin": f"""
+        WITH s AS MATERIALIZED (SELECT event_id, user_id, value AS v, row_number() {OVER} - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, abs(lead(value) {OVER} - value) AS d,
+            CASE WHEN count(*) {OVER[:-1]} ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) = 8 THEN avg(value) {OVER[:-1]} ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) END AS m FROM events),
+        j AS (SELECT user_id, n // 16 AS c, unnest(range(0, n - 8 * (2 * (n // 16) - 1))) AS j FROM (SELECT DISTINCT user_id, n FROM s WHERE n >= 16)),
+        r AS (SELECT user_id, j, round(sum(d), 6) AS score FROM j JOIN s USING (user_id) WHERE i - j + 1 BETWEEN 8 AND 8 * (2 * c - 1) AND (i - j + 1) % 8 = 0 GROUP BY user_id, j),
+        o AS (SELECT user_id, j % 8 AS off FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, j) = 1),
+        d AS MATERIALIZED (SELECT s.event_id, s.user_id, s.i, s.n, s.v, CASE WHEN (s.i - off + 8) % 8 BETWEEN 2 AND 6 THEN s.v - e.m END AS x FROM s JOIN o USING (user_id) JOIN s e ON e.user_id = s.user_id AND e.i = least(greatest(s.i, 4), s.n - 4)),
+        k AS (SELECT user_id, x, row_number() OVER (PARTITION BY user_id ORDER BY x) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM d WHERE x IS NOT NULL),
+        b AS (SELECT user_id, max(x) FILTER (r = floor(0.05::DOUBLE * n)) AS lo, max(x) FILTER (r = n - floor(0.05::DOUBLE * n) - 1) AS hi FROM k GROUP BY user_id),
+        w AS MATERIALIZED (SELECT user_id, i, k, i - 8 * k AS j, n // 16 + (n - 8) // 16 AS w, CASE WHEN x BETWEEN lo AND hi THEN x END AS x FROM (SELECT *, unnest([i // 8, i // 8 - 1]) AS k FROM d) LEFT JOIN b USING (user_id)
+            WHERE k >= 0 AND k < n // 16 + (n - 8) // 16),
+        f AS (SELECT user_id, k, 2 * sum(x * cos(j * pi() / 4)) / nullif(count(x), 0) AS re, -2 * sum(x * sin(j * pi() / 4)) / nullif(count(x), 0) AS im FROM w GROUP BY user_id, k),
+        h AS (SELECT user_id, i, coalesce(sum((re * cos(j * pi() / 4) - im * sin(j * pi() / 4)) * CASE WHEN k = w - 1 AND j >= 8 THEN 1 WHEN k < w - 1 AND k = 0 AND j < 8 THEN 1 ELSE
+            (CASE WHEN k = w - 1 THEN j WHEN k = 0 THEN 15 - j ELSE least(j, 15 - j) END + 0.5::DOUBLE) / 8 END), 0) AS hum FROM w JOIN f USING (user_id, k) GROUP BY user_id, i)
+        SELECT event_id, round(v - hum, 4) + 0.0 AS filtered FROM d JOIN h USING (user_id, i)
+    """,
     "utm_projection": """
         WITH c AS (SELECT 1 / 298.257223563::DOUBLE / (2 - 1 / 298.257223563::DOUBLE) AS n),
         k AS (SELECT 0.9996 * 6378137 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS scale, 2 * sqrt(n) / (1 + n) AS e,

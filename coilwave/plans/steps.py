@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from coilwave.functions import geometry as G
 from coilwave.functions import timeconv as T
 from coilwave.operators import catalog as C
-from coilwave.operators import kernels as K
+from coilwave.operators import fourier as R
 from coilwave.operators import pairs as P
 from coilwave.operators import series as S
 from coilwave.operators import spectral as X
@@ -115,11 +115,11 @@ def running_waveform(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def series_spectrum(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(K.spectrum(events(spark, folder), ["user_id"], ORDER, "value"), "re", "im", digits=5)
+    return rounded(R.spectrum(events(spark, folder), ["user_id"], ORDER, "value"), "re", "im", digits=5)
 
 
 def spectrum_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(K.series_of(K.spectrum(events(spark, folder), ["user_id"], ORDER, "value"), ["user_id"]), "value", digits=5)
+    return rounded(R.series_of(R.spectrum(events(spark, folder), ["user_id"], ORDER, "value"), ["user_id"]), "value", digits=5)
 
 
 def embedding_harmonics(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coilwave.operators import fourier as R
 from coilwave.operators import kernels as K
 from coilwave.operators import long as G
 from coilwave.operators import series as S
@@ -93,7 +94,28 @@ def long_notch(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(G.notch(own, ["event_type"], "i", "value", *NOTCH, size=256).select("event_id", "filtered"), "filtered", digits=4)
 
 
-QUERIES = {f.__name__: f for f in (long_index, long_mean, long_mean_same, long_demean, long_median, long_diff, long_weeks, long_unwrap, long_hold, long_extend, long_winsorize, long_mask, long_notch, autocorr_period, tapered_bins)}
+#: log2 of the places of a block of the spectra here, so that a series is spread over tasks.
+SPREAD = 10
+
+
+def _spectrum(spark: SparkSession, folder: str) -> DataFrame:
+    own = events(spark, folder).withColumn("series", F.lit("all"))
+    return R.spectrum(own, ["series"], ORDER, "value", whole=0, block=SPREAD)
+
+
+def long_spectrum(spark: SparkSession, folder: str) -> DataFrame:
+    """The Fourier sums of all events as one series."""
+    return rounded(_spectrum(spark, folder).select("n", "k", "re", "im"), "re", "im", digits=3)
+
+
+def long_lowpass(spark: SparkSession, folder: str) -> DataFrame:
+    """That series, rebuilt from the slowest sixteenth of its sums."""
+    slow = lambda c: F.when(16 * F.col("k") < F.col("n"), F.col(c)).otherwise(0.0)
+    sums = _spectrum(spark, folder).withColumns({"re": slow("re"), "im": slow("im")})
+    return rounded(R.series_of(sums, ["series"], whole=0, block=SPREAD).select("i", "value"), "value", digits=5)
+
+
+QUERIES = {f.__name__: f for f in (long_spectrum, long_lowpass, long_index, long_mean, long_mean_same, long_demean, long_median, long_diff, long_weeks, long_unwrap, long_hold, long_extend, long_winsorize, long_mask, long_notch, autocorr_period, tapered_bins)}
 
 _ALL = "s AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, CASE WHEN event_id % 7 <> 0 THEN value END AS gappy FROM events)"
 _FILL = """
@@ -129,6 +151,12 @@ def notch_sql(key: str) -> str:
 """
 
 
+# turns are reduced to less than one before the cosine, so that they stay exact
+_SUMS = """
+    s AS MATERIALIZED (SELECT value AS v, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events),
+    c AS MATERIALIZED (SELECT n, k, sum(v * cos(2 * pi() * (i * k % n) / n::DOUBLE)) AS re, -sum(v * sin(2 * pi() * (i * k % n) / n::DOUBLE)) AS im
+        FROM s, (SELECT unnest(range((SELECT {upto} FROM s))) AS k) GROUP BY n, k)
+"""
 _FRAME = "OVER (ORDER BY ts, event_id ROWS BETWEEN {0} PRECEDING AND {0} FOLLOWING)"
 ORACLE = {
     "long_index": f"WITH {_ALL} SELECT event_id, i FROM s",
@@ -184,4 +212,9 @@ ORACLE = {
         FROM t GROUP BY taper, event_type, win HAVING count(*) = 40
     """,
     "long_notch": notch_sql("event_type"),
+    "long_spectrum": f"WITH {_SUMS.format(upto='max(n) // 2 + 1')} SELECT n, k, round(re, 3) + 0.0 AS re, round(im, 3) + 0.0 AS im FROM c",
+    "long_lowpass": f"""
+        WITH {_SUMS.format(upto="(max(n) + 15) // 16")}
+        SELECT i, round(sum((CASE WHEN k = 0 THEN 1 ELSE 2 END) * (re * cos(2 * pi() * (i * k % c.n) / c.n::DOUBLE) - im * sin(2 * pi() * (i * k % c.n) / c.n::DOUBLE))) / any_value(c.n), 5) + 0.0 AS value FROM s, c GROUP BY i
+    """,
 }

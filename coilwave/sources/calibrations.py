@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coilwave.operators import catalog as C
-from coilwave.operators import kernels as K
+from coilwave.operators import fourier as R
 
 # Fixed values of the format.
 HARMONICS = (1, 3, 5, 7, 9)
@@ -113,9 +113,9 @@ def antenna_corrected(fc: DataFrame, cal: DataFrame, keys: list[str]) -> DataFra
 def calibrated_series(df: DataFrame, keys: list[str], order: list[str], value: str, rate: float, board: DataFrame, antenna: DataFrame | None = None) -> DataFrame:
     """(keys, i, value): whole series less the responses of their boards, and of their antennas where a table is given, through one spectrum of the
     series. Calibrations have the keys of the series. With antennas the mean becomes 0."""
-    sums = K.spectrum(df, keys, order, value).withColumn("f", F.col("k") * rate / F.col("n"))
+    sums = R.spectrum(df, keys, order, value).withColumn("f", F.col("k") * rate / F.col("n"))
     sums = board_corrected(sums, board, keys)
-    return K.series_of(sums if antenna is None else antenna_corrected(sums, antenna, keys), keys, value)
+    return R.series_of(sums if antenna is None else antenna_corrected(sums, antenna, keys), keys, value)
 
 
 def write_as_text(series: DataFrame, keys: list[str], order: list[str], value: str, path: str) -> None:
