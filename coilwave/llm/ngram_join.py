@@ -7,7 +7,7 @@ are dealt to the tasks by column, where rows that meet form lists, (3) pairs fro
 size and place are multiplied out over the whole rows, in blocks of columns, and dropped as soon as the overlap
 counted so far and what is left cannot reach the bound. Pairs inside one component need no product to find the
 component: of long lists only a pair a row is tried first, and then only pairs between components that are still
-apart. (4) For the links themselves, all rows of a component are multiplied out with each other, in blocks of rows.
+apart. (4) For the links themselves, the rows of a component that are near in size are multiplied out with each other, in blocks of rows.
 """
 
 from __future__ import annotations
@@ -435,15 +435,16 @@ def _cross_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame, percent:
 
 
 def _in_blocks(percent: int, as_pairs: bool) -> Callable[[Batches], Batches]:
-    """Links between two blocks of a component's rows (side 0 and 1; or in one block, with side 0 alone), from entries (label,
-    block, other, side, row, copies, grams) sorted by block: pairs (a, b), or (row, links), where links counts copies."""
+    """Links between two blocks of a component's rows (side 0 and 1; or in one block of a class, with side 0 alone), from entries (label,
+    low, high, block, other, side, row, copies, grams) sorted by block: pairs (a, b), or (row, links), where links counts copies."""
 
-    def product(held: list[tuple]) -> pa.RecordBatch:
+    def product(held: list[tuple], alone: bool) -> pa.RecordBatch:
         side, row, copies = (np.array([x[i] for x in held], np.int64) for i in range(3))
         sets = [np.frombuffer(x[3], np.uint64) for x in held]
         n = np.array([len(x) for x in sets])
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = not len(y)
+        if not alone and not (len(x) and len(y)):  # a block that the hash left empty
+            return pa.RecordBatch.from_pylist([], PAIR if as_pairs else pa.schema([("row", pa.int64()), ("links", pa.int64())]))
         y = x if alone else y
         _, column, met = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         of = np.repeat(np.arange(len(n)), n)
@@ -475,16 +476,16 @@ def _in_blocks(percent: int, as_pairs: bool) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         last, held = None, []
         for batch in batches:
-            place = zip(*(batch.column(c).to_pylist() for c in ("label", "block", "other")), strict=True)
+            place = zip(*(batch.column(c).to_pylist() for c in ("label", "low", "high", "block", "other")), strict=True)
             own = zip(*(batch.column(c).to_pylist() for c in ("side", "row", "copies", "grams")), strict=True)
             for at, entry in zip(place, own, strict=True):
                 if at != last and held:
-                    yield product(held)
+                    yield product(held, last[1:4:2] == last[2:5:2])
                     held = []
                 last = at
                 held.append(entry)
         if held:
-            yield product(held)
+            yield product(held, last[1:4:2] == last[2:5:2])
 
     return run
 
@@ -493,16 +494,38 @@ def _in_blocks(percent: int, as_pairs: bool) -> Callable[[Batches], Batches]:
 COLUMNS_AT_ONCE = 4096
 
 
+#: Classes of size between the sizes of rows that may just link.
+CLASSES = 4
+
+
 def _links_within(of_row: DataFrame, sets: DataFrame, percent: int, as_pairs: bool) -> DataFrame:
-    """All links between rows: they lie within components, so each pair of rows of a component is multiplied out once, in blocks.
-    of_row: (row, label, copies)."""
-    sizes = of_row.groupBy("label").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
-    members = of_row.join(sizes, "label").join(sets.select("row", "grams").dropDuplicates(["row"]), "row").withColumn("own", F.pmod(F.xxhash64("row"), blocks).cast("int"))
-    # block i meets every block j >= i, as side 0, and every block below i as side 1
-    met = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("own", j).alias("block"), F.greatest("own", j).alias("other"), (F.col("own") > j).cast("int").alias("side")))
-    dealt = members.select("label", "row", "copies", "grams", F.explode(met).alias("met")).select("label", "met.*", "row", "copies", "grams")
-    both = dealt.repartition("label", "block", "other").sortWithinPartitions("label", "block", "other")
+    """All links between rows: they lie within components, so the pairs of rows of a component that are near enough in size are multiplied out
+    once, in blocks. of_row: (row, label, copies).
+
+    A component's rows fall into classes of size, so narrow that linked rows are at most CLASSES apart, and each class into blocks of some
+    BLOCK_ROWS rows: a row goes only to the blocks of its class and of those that near, whatever else the component holds."""
+    small = of_row.join(sets.select("row", "n").dropDuplicates(["row"]), "row")
+    # a little more than the ratio of linked sizes, so that rounding parts no pair
+    step = math.log(max(100 / percent, 1.01) * 1.001) / CLASSES
+    small = small.select("label", "row", "copies", F.floor(F.log("n") / step).cast("int").alias("cell"))
+    sizes = written(small.groupBy("label", "cell").agg(F.count("*").alias("m")), "classes")
+    near = sizes.select("label", F.col("cell").alias("low"), F.col("m").alias("m_low"), F.explode(F.array(*[F.col("cell") + d for d in range(CLASSES + 1)])).alias("high"))
+    near = near.join(sizes.select("label", F.col("cell").alias("high"), F.col("m").alias("m_high")), ["label", "high"]).where("low < high or m_low > 1")
+    blocks = lambda m: F.ceil(F.col(m) / BLOCK_ROWS).cast("int")
+    near = written(near.select("label", "low", "high", blocks("m_low").alias("b_low"), blocks("m_high").alias("b_high")), "classes")
+    own = F.pmod(F.xxhash64("row"), F.col("own_blocks")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda i, j, side: F.struct(i.alias("block"), j.alias("other"), side.cast("int").alias("side"))
+    # in its class, block i meets every block j >= i, as side 0, and every block below i as side 1; else side 0 is the smaller class
+    alone = F.transform(every(F.col("b_low")), lambda j: place(F.least("own", j), F.greatest("own", j), F.col("own") > j))
+    as_low = F.when(F.col("low") == F.col("high"), alone).otherwise(F.transform(every(F.col("b_high")), lambda j: place(F.col("own"), j, F.lit(0))))
+    as_high = F.transform(every(F.col("b_low")), lambda i: place(i, F.col("own"), F.lit(1)))
+    kept = ["label", "low", "high", "row", "copies"]
+    low = small.join(near.withColumns({"cell": F.col("low"), "own_blocks": F.col("b_low")}), ["label", "cell"]).withColumn("own", own).select(*kept, as_low.alias("met"))
+    high = small.join(near.where("low < high").withColumns({"cell": F.col("high"), "own_blocks": F.col("b_high")}), ["label", "cell"]).withColumn("own", own).select(*kept, as_high.alias("met"))
+    dealt = low.unionByName(high).join(sets.select("row", "grams").dropDuplicates(["row"]), "row").select(*kept, "grams", F.explode("met").alias("met"))
+    block = ["label", "low", "high", "block", "other"]
+    both = dealt.select("label", "low", "high", "met.*", "row", "copies", "grams").repartition(*block).sortWithinPartitions(*block)
     return both.mapInArrow(_in_blocks(percent, as_pairs), "a long, b long" if as_pairs else "row long, links long")
 
 

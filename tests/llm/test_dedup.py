@@ -125,6 +125,18 @@ def test_all_links_are_counted(spark, monkeypatch, block):
     assert len(found) == len(set(found)) and set(found) == {(row[i], row[j]) for i, own in enumerate(near) for j, hit in enumerate(own) if hit and row[i] < row[j]}
 
 
+@pytest.mark.parametrize(("block", "percent"), [(4, 80), (2, 60), (3, 95)])
+def test_links_between_texts_of_many_sizes(spark, monkeypatch, block, percent):
+    """Beginnings of one text, of 20 to 90 words: one component of many classes of size, in which only near sizes link."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    words = [f"w{i}" for i in range(90)]
+    texts = [" ".join(words[:n]) for n in range(20, 91)] + [" ".join(words[:n]) for n in (30, 31, 90)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = {i: sum(i != j and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.n_links for x in ngram_join.linked(docs, 5, percent).collect()} == want
+
+
 def test_odd_rows(odd):
     assert substring_dedup.remove_repeats(odd).count() == suffix_dedup.remove_repeats(odd).count() == 6
     got = ngram_join.link(odd).collect()
