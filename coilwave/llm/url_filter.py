@@ -14,6 +14,9 @@ RATE = 0.5
 #: The correlation of outcomes within a group is kept inside these, so that a prior is worth 1/rho - 1 outcomes: 0.25 to 99.
 RHO = (0.01, 0.8)
 
+#: Hosts whose bounds are broadcast, and their longest name: 13 MB. Each other host has at most as many pages as all pages divided by this.
+BROADCAST_HOSTS, HOST_BYTES = 50_000, 256
+
 Rules = list[tuple[str, str]]
 
 
@@ -81,6 +84,21 @@ def reputation(outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFr
     return _with_prior(level, "mean").select("host", "n", "x", "post_a", "post_b", bound.alias("bound"))
 
 
+def _with_bounds(parsed: DataFrame, bounds: DataFrame) -> DataFrame:
+    """parsed (host, ...) with the bound of each host. Hosts of many pages are broadcast, as their number is bounded, so their pages
+    stay where they are; only pages of the other hosts are shuffled, of which none has more than a fair part."""
+    pages = parsed.groupBy("host").agg(F.count("*").alias("pages"))
+    hosts = written(bounds.join(pages, "host"), "bounds")
+    total = hosts.agg(F.sum("pages").alias("pages")).first().pages or 0
+    many = (F.col("pages") * BROADCAST_HOSTS > total) & (F.octet_length("host") <= HOST_BYTES)
+    named = lambda rows: rows.select("host", "bound")
+    often, seldom = named(hosts.where(many)), named(hosts.where(~many))
+    if seldom.isEmpty():
+        return parsed.join(F.broadcast(often), "host")
+    rest = parsed.join(F.broadcast(often), "host", "left_anti").join(seldom, "host")
+    return parsed.join(F.broadcast(often), "host").unionByName(rest)
+
+
 def judge_urls(pages: DataFrame, rules: Rules, outcomes: DataFrame | None = None, suffixes: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) of each row.
 
@@ -97,5 +115,5 @@ def judge_urls(pages: DataFrame, rules: Rules, outcomes: DataFrame | None = None
         known = parsed.select("host", F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0).alias("bad"))
     else:
         known = outcomes.select(host_and_path(F.col("url"))[0].alias("host"), F.col("bad").cast("int").alias("bad")).unionByName(parsed.select("host", F.lit(None).cast("int").alias("bad")))
-    judged = parsed.join(reputation(known, suffixes).select("host", "bound"), "host", "left")
+    judged = _with_bounds(parsed, reputation(known, suffixes).select("host", "bound"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("bound") > RATE, "block").otherwise("allow")).alias("verdict"))

@@ -175,3 +175,15 @@ def test_pipeline_against_its_parts(spark, small):
     assert {r.doc_id for r in got} <= clean
     assert all((r.size, r.text_crc32) == brute.size_and_crc(texts[r.doc_id]) for r in got)
     assert {len([1 for r in got if r.doc_id == k]) for k in clean} <= {0, 1, 2} and len({r.doc_id for r in got}) > 0.6 * len(clean)
+
+
+@pytest.mark.parametrize("hosts", [1, 3, 10])
+def test_pages_of_hot_hosts_stay_where_they_are(spark, monkeypatch, hosts):
+    """However many hosts are broadcast: each page keeps its own host's verdict, repeated rows too."""
+    urls = ["http://a.net/de/8/x"] * 3 + ["http://a.net/q"] * 9 + ["http://bad.com/en/1"] * 6 + ["http://bad.com/z"] * 2 + [None, "no host"] + [f"http://h{i}.org/{i}" for i in range(5)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(0, urls[0])], "page_id long, url string")
+    want = sorted((tuple(r) for r in url_filter.judge_urls(pages, queries.URL_RULES).collect()), key=str)
+    monkeypatch.setattr(url_filter, "BROADCAST_HOSTS", hosts)
+    assert sorted((tuple(r) for r in url_filter.judge_urls(pages, queries.URL_RULES).collect()), key=str) == want and len(want) == len(urls) + 1
+    monkeypatch.setattr(url_filter, "HOST_BYTES", 6)
+    assert sorted((tuple(r) for r in url_filter.judge_urls(pages, queries.URL_RULES).collect()), key=str) == want
