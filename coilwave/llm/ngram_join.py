@@ -512,8 +512,12 @@ def _links_within(of_row: DataFrame, sets: DataFrame, percent: int, as_pairs: bo
     near = sizes.select("label", F.col("cell").alias("low"), F.col("m").alias("m_low"), F.explode(F.array(*[F.col("cell") + d for d in range(CLASSES + 1)])).alias("high"))
     near = near.join(sizes.select("label", F.col("cell").alias("high"), F.col("m").alias("m_high")), ["label", "high"]).where("low < high or m_low > 1")
     blocks = lambda m: F.ceil(F.col(m) / BLOCK_ROWS).cast("int")
-    near = written(near.select("label", "low", "high", blocks("m_low").alias("b_low"), blocks("m_high").alias("b_high")), "classes")
-    own = F.pmod(F.xxhash64("row"), F.col("own_blocks")).cast("int")
+    near = near.select("label", "low", "high", blocks("m_low").alias("b_low"), blocks("m_high").alias("b_high"))
+    # a row meets a pair of classes as one of the smaller, or as one of the larger
+    side = lambda c, larger: F.struct(F.col(c).alias("cell"), F.lit(larger).alias("larger"))
+    sides = F.when(F.col("low") == F.col("high"), F.array(side("low", False))).otherwise(F.array(side("low", False), side("high", True)))
+    near = written(near.select("*", F.explode(sides).alias("_s")).select("label", "low", "high", "b_low", "b_high", "_s.*"), "classes")
+    own = F.pmod(F.xxhash64("row"), F.when(F.col("larger"), F.col("b_high")).otherwise(F.col("b_low"))).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
     place = lambda i, j, side: F.struct(i.alias("block"), j.alias("other"), side.cast("int").alias("side"))
     # in its class, block i meets every block j >= i, as side 0, and every block below i as side 1; else side 0 is the smaller class
@@ -521,9 +525,8 @@ def _links_within(of_row: DataFrame, sets: DataFrame, percent: int, as_pairs: bo
     as_low = F.when(F.col("low") == F.col("high"), alone).otherwise(F.transform(every(F.col("b_high")), lambda j: place(F.col("own"), j, F.lit(0))))
     as_high = F.transform(every(F.col("b_low")), lambda i: place(i, F.col("own"), F.lit(1)))
     kept = ["label", "low", "high", "row", "copies"]
-    low = small.join(near.withColumns({"cell": F.col("low"), "own_blocks": F.col("b_low")}), ["label", "cell"]).withColumn("own", own).select(*kept, as_low.alias("met"))
-    high = small.join(near.where("low < high").withColumns({"cell": F.col("high"), "own_blocks": F.col("b_high")}), ["label", "cell"]).withColumn("own", own).select(*kept, as_high.alias("met"))
-    dealt = low.unionByName(high).join(sets.select("row", "grams").dropDuplicates(["row"]), "row").select(*kept, "grams", F.explode("met").alias("met"))
+    members = small.join(near, ["label", "cell"]).withColumn("own", own).select(*kept, F.when(F.col("larger"), as_high).otherwise(as_low).alias("met"))
+    dealt = members.join(sets.select("row", "grams").dropDuplicates(["row"]), "row").select(*kept, "grams", F.explode("met").alias("met"))
     block = ["label", "low", "high", "block", "other"]
     both = dealt.select("label", "low", "high", "met.*", "row", "copies", "grams").repartition(*block).sortWithinPartitions(*block)
     return both.mapInArrow(_in_blocks(percent, as_pairs), "a long, b long" if as_pairs else "row long, links long")
