@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from coilwave.plans.tables import ORDER, events, rounded
 from coilwave.sources import ranged as N
 from coilwave.sources import recordings as R
-from coilwave.tables import shared_dir
+from coilwave.tables import shared_dir, written
 
 RATE, FIRST_SECOND = 16, 604_790
 #: Bytes of a range, and of a task's ranges.
@@ -70,7 +70,7 @@ def recordings_rotated(spark: SparkSession, folder: str) -> DataFrame:
     """Users 3k, 3k + 1 and 3k + 2 are a triplet: turned, written as files and read back."""
     at = recorded(spark, folder)
     records = N.records(spark, at, *SPLIT)
-    three = N.preambles(spark, at).select("path", _user()).groupBy(F.floor(F.col("user_id") / 3).alias("k")).agg(*[F.max(F.when(F.col("user_id") % 3 == j, F.col("path"))).alias(f"file{j + 1}") for j in range(3)])
+    three = written(N.files(spark, at).select("path", _user()).groupBy(F.floor(F.col("user_id") / 3).alias("k")).agg(*[F.max(F.when(F.col("user_id") % 3 == j, F.col("path"))).alias(f"file{j + 1}") for j in range(3)]), "triplets")
     turned = R.rotated(records, three, [[F.lit(x) for x in row] for row in TURN])
     N.write(turned, N.preambles(spark, at).join(three.selectExpr("explode(array(file1, file2, file3)) AS path"), "path"), f"{at}-rot", F.regexp_replace(R.renamed(F.col("path")), r"/(u[^/]*)$", "-rot/$1"))
     back = N.records(spark, f"{at}-rot", *SPLIT).select(_user(), "record_no", F.posexplode("counts").alias("k", "count"))

@@ -5,14 +5,16 @@
 
 Folders are local paths or URIs that pyarrow.fs opens (file, s3, gs, hdfs and others); all machines must reach them. A range has the
 records whose flags begin in it: a task looks for the first flag at or after the start of its range and reads on past its end until
-the last one's record is whole. Flags stand at multiples of four bytes, and so do ranges. Small files share a task."""
+the last one's record is whole. Flags stand at multiples of four bytes, and so do ranges. A task has ranges of a file that follow one
+another, a piece: a file is cut into pieces by its own length alone, whatever else lies in the folder. Small files share a task."""
 
 from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql.types import StructType
 from coilwave.sources import recordings as R
 from coilwave.tables import written
 
-#: Bytes of a range and of a task's ranges, unless the options `split` and `pack` say otherwise, and what opening a file counts for.
+#: Bytes of a range and of a task's ranges, unless the options `split` and `pack` say otherwise, and what opening a file counts for, once for each piece.
 SPLIT, OPENING = 64 << 20, 1 << 14
 #: Bytes that are read at once.
 CHUNK = 4 << 20
@@ -34,7 +36,7 @@ CHUNK = 4 << 20
 END = 1 << 16
 
 SCHEMAS = {
-    # records with all their fields; range_start and place (from 0) say which of a range's records it is
+    # records with all their fields; range_start and place (from 0) say where their piece of the file begins and which of its records it is
     "records": "path string, range_start long, place long, position long, length long, gps_stamp long, lat double, lon double, status binary, accuracy long, temperature float, opaque binary, counts array<int>",
     # where records begin, without what they hold
     "flags": "path string, range_start long, place long, position long, file_size long",
@@ -59,7 +61,7 @@ def opened(folder: str) -> tuple[A.FileSystem, str, str]:
 
 @dataclass
 class Ranges(InputPartition):
-    """(path, start, end, file size, modified) of one or more ranges."""
+    """(path, start, end, file size, modified) of one or more pieces of files."""
 
     ranges: list[tuple[str, int, int, int, int]]
 
@@ -73,7 +75,7 @@ class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.folder, self.mode, self.split = options["path"], options.get("mode", "records"), max(8, int(options.get("split", SPLIT)) // 4 * 4)
         self.pack = int(options.get("pack", max(SPLIT, self.split)))
-        self.second = options.get("second", "false").lower() == "true"
+        self.second, self.cut = (options.get(o, "false").lower() == "true" for o in ("second", "cut"))
         self.paths = set(options["only"].split("\n")) if options.get("only") else None
 
     def partitions(self) -> list[Ranges]:
@@ -81,16 +83,19 @@ class Reader(DataSourceReader):
         found = system.get_file_info(path)
         infos = [found] if found.type == A.FileType.File else system.get_file_info(A.FileSelector(path, recursive=True))
         packed: list[list] = [[]]
-        room = self.pack
+        room, ranged = self.pack, self.mode in ("records", "flags")
+        piece = max(1, self.pack // self.split) * self.split
         for i in sorted(infos, key=lambda i: i.path):
             name = prefix + i.path
             hidden = any(x.startswith((".", "_")) for x in i.path.removeprefix(path).split("/"))
             if i.type != A.FileType.File or hidden or not i.path.lower().endswith(".z3d") or (self.paths is not None and name not in self.paths):
                 continue
-            step = self.split if self.mode in ("records", "flags") else max(1, i.size)
+            if self.cut and i.size <= piece:
+                continue
+            step = piece if ranged else max(1, i.size)
             for start in range(0, max(1, i.size), step):
                 end = min(start + step, i.size)
-                cost = (end - start if self.mode in ("records", "flags") else END) + OPENING
+                cost = (end - start if ranged else END) + OPENING
                 if cost > room and packed[-1]:
                     packed.append([])
                     room = self.pack
@@ -99,6 +104,9 @@ class Reader(DataSourceReader):
         return [Ranges(p) for p in packed if p] or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        if self.mode == "records":
+            yield from _batches(self._pieces(partition))
+            return
         for name, start, end, size, modified in partition.ranges:
             if self.mode == "files":
                 yield _batch(self.mode, [(name, size, modified)])
@@ -116,8 +124,15 @@ class Reader(DataSourceReader):
                         n = len(at)
                         yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.full(n, start)), pa.array(np.arange(place, place + n)), pa.array(at), pa.array(np.full(n, size))], ["path", "range_start", "place", "position", "file_size"])
                         place += n
-                else:
-                    yield from _records(f, name, start, end, size)
+
+    def _pieces(self, partition: Ranges) -> Iterator[tuple]:
+        """Rows of a task's pieces, range by range; a file is opened once for a piece."""
+        for name, start, end, size, _ in partition.ranges:
+            system, path, _ = opened(name)
+            with system.open_input_file(path) as f:
+                place = 0
+                for at in range(start, end, self.split):
+                    place = yield from _rows(f, name, at, min(at + self.split, end), size, start, place)
 
 
 class FilteringReader(Reader):
@@ -145,11 +160,21 @@ def _flags(f: pa.NativeFile, start: int, end: int, size: int) -> Iterator[np.nda
 
 
 def _records(f: pa.NativeFile, name: str, start: int, end: int, size: int) -> Iterator[pa.RecordBatch]:
-    data, at, place, rows = b"", start, 0, []
-    read = start
+    yield from _batches(_rows(f, name, start, end, size, start, 0))
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, R.BATCH)):
+        yield _batch("records", some)
+
+
+def _rows(f: pa.NativeFile, name: str, start: int, end: int, size: int, piece: int, place: int) -> Generator[tuple, None, int]:
+    """Records of a range, of which the first one is number `place` of its piece; returns the number that comes next."""
+    data, at, read = b"", start, start
     while True:
         f.seek(read)
-        more = f.read(CHUNK)
+        # little more than the range holds, then twice as much each time
+        more = f.read(min(CHUNK, max(end - read, len(data)) + END))
         data, read = data + more, read + len(more)
         found = aligned_flags(data, at)
         whole = read >= size
@@ -160,19 +185,15 @@ def _records(f: pa.NativeFile, name: str, start: int, end: int, size: int) -> It
             # a last record cut within its 64 bytes is left out
             if q - p >= R.RECORD_HEADER:
                 stamp, lat, lon, status, accuracy, temperature, opaque = struct.unpack_from("<Idd4sIf24s", data, p - at + len(R.FLAG))
-                counts = np.frombuffer(data, "<i4", (q - p - R.RECORD_HEADER) // 4, p - at + R.RECORD_HEADER)
-                rows.append((name, start, place, p, q - p, stamp, lat, lon, status, accuracy, temperature, opaque, counts))
+                # a copy, as a batch may have records of many ranges
+                counts = np.frombuffer(data, "<i4", (q - p - R.RECORD_HEADER) // 4, p - at + R.RECORD_HEADER).copy()
+                yield name, piece, place, p, q - p, stamp, lat, lon, status, accuracy, temperature, opaque, counts
             place += 1
-            if len(rows) == R.BATCH:
-                yield _batch("records", rows)
-                rows = []
         if whole or (len(found) and found[-1] >= end) or (not len(found) and read >= end + len(R.FLAG)):
-            break
+            return place
         # from the last flag on, or what may be the beginning of one
         keep = int(found[-1]) if len(found) else max(start, read // 4 * 4 - len(R.FLAG))
         data, at = data[keep - at :], keep
-    if rows:
-        yield _batch("records", rows)
 
 
 def _first_flag(f: pa.NativeFile, size: int) -> tuple[int | None, bytes]:
@@ -229,9 +250,10 @@ def _batch(mode: str, rows: list[tuple]) -> pa.RecordBatch:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """(file as it was written, its name to be)."""
+    """A task's folder and the names that its files, 0, 1 and so on, are to have."""
 
-    files: list[tuple[str, str]]
+    folder: str
+    targets: list[str]
 
 
 class Writer(DataSourceArrowWriter):
@@ -244,8 +266,8 @@ class Writer(DataSourceArrowWriter):
         self.job = f"{self.folder}/_temporary/{uuid.uuid4().hex}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        system, job, _ = opened(self.job)
-        done: list[tuple[str, str]] = []
+        system, job, _ = opened(f"{self.job}/{uuid.uuid4().hex}")
+        done: dict[str, None] = {}
         out, target = None, None
         try:
             for batch in batches:
@@ -253,27 +275,32 @@ class Writer(DataSourceArrowWriter):
                     if name != target:
                         if out:
                             out.close()
-                        if any(name == t for _, t in done):
+                        if name in done:
                             raise ValueError(f"rows of {name} are not together")
-                        system.create_dir(job, recursive=True)
-                        done.append((f"{job}/{uuid.uuid4().hex}", name))
-                        out, target = system.open_output_stream(done[-1][0]), name
+                        if not done:
+                            system.create_dir(job, recursive=True)
+                        out, target = system.open_output_stream(f"{job}/{len(done)}"), name
+                        done[name] = None
                     out.write(part.as_buffer())
         finally:
             if out:
                 out.close()
-        return Written(done)
+        return Written(job, list(done))
 
     def commit(self, messages: list[Written | None]) -> None:
-        files = [x for m in messages if m for x in m.files]
-        if len({t for _, t in files}) < len(files):
+        done = [m for m in messages if m]
+        if len({t for m in done for t in m.targets}) < sum(len(m.targets) for m in done):
             self.abort(messages)
             raise ValueError("a file was written by two tasks")
         system, _, _ = opened(self.job)
-        for part, target in files:
-            path = opened(target)[1]
-            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-            system.move(part, path)
+        folders: set[str] = set()
+        for m in done:
+            for k, target in enumerate(m.targets):
+                path = opened(target)[1]
+                if (folder := path.rsplit("/", 1)[0]) not in folders:
+                    system.create_dir(folder, recursive=True)
+                    folders.add(folder)
+                system.move(f"{m.folder}/{k}", path)
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -283,7 +310,7 @@ class Writer(DataSourceArrowWriter):
 
 
 class Recordings(DataSource):
-    """Options: mode (see SCHEMAS), split (bytes of a range), pack (bytes of a task), second (true: heads also tell the second record), only (only these paths, one a line)."""
+    """Options: mode (see SCHEMAS), split (bytes of a range), pack (bytes of a task), second (true: heads also tell the second record), cut (true: only files in several pieces), only (only these paths, one a line)."""
 
     @classmethod
     def name(cls) -> str:
@@ -309,13 +336,20 @@ def _read(spark: SparkSession, folder: str, mode: str, **options: object) -> Dat
 def records(spark: SparkSession, folder: str, split: int = SPLIT, pack: int = SPLIT) -> DataFrame:
     """Every record of a folder's recordings, as recordings.records() gives them, whatever the split; files may have any size.
 
-    Records are numbered from counts of flags by range: a row for each range is sent to the tasks, no record is moved."""
+    A file of one piece is numbered as it is read. Longer ones are read before, and how many flags stand before each of their pieces is sent to the
+    tasks: a row for each piece but the first, so at most one for every `pack` bytes. No record is moved."""
     held = _read(spark, folder, "records", split=split, pack=pack)
-    counts = _read(spark, folder, "flags", split=split, pack=pack).groupBy("path", "range_start").agg(F.count("*").alias("n"))
+    counts = _read(spark, folder, "flags", split=split, pack=pack, cut=True).groupBy("path", "range_start").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = counts.select("path", "range_start", before.alias("_base"))
+    bases = counts.select("path", "range_start", before.alias("_base")).where("range_start > 0")
     named = [c.split()[0] for c in R.RECORD_SCHEMA.split(", ")]
-    return held.join(F.broadcast(bases), ["path", "range_start"]).withColumn("record_no", F.col("_base") + F.col("place")).select(*named)
+    numbered = held.join(F.broadcast(bases), ["path", "range_start"], "left").where("range_start = 0 or _base is not null")
+    return numbered.withColumn("record_no", F.coalesce("_base", F.lit(0)) + F.col("place")).select(*named)
+
+
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, file_size, modified) of every recording below a folder; none is opened."""
+    return _read(spark, folder, "files")
 
 
 def heads(spark: SparkSession, folder: str, second: bool = False, paths: list[str] | None = None) -> DataFrame:
@@ -344,7 +378,7 @@ def grown_catalog(spark: SparkSession, folder: str, kept: str, parts: int = 16)
     """catalog() of a folder, kept as Parquet at `kept`, with file_size and modified. Only files that are new, or have another size or time than when they were
     read, are opened; files that are gone are marked so and left out. The kept table has `parts` parts by path, and only those that change are written."""
     part = F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int").alias("part")
-    listed = written(_read(spark, folder, "files").select("*", part), "listed")
+    listed = written(files(spark, folder).select("*", part), "listed")
     same = ["path", "file_size", "modified"]
     try:
         had = spark.read.parquet(kept)

@@ -3,15 +3,16 @@
 A recording is two 512-byte header blocks, metadata blocks, a calibration text that ends in a zero byte, and records of one second:
 64 bytes that begin with a flag, then 32-bit counts. Here Spark reads the files, so they may be in any store that it reads; a task holds
 one file at a time, of up to 2 GB (a day and a half at 4096 samples a second). sources/ranged.py reads files of any size in parts,
-and writes them."""
+and writes them. Nothing here imports pandas before a task needs it: the driver's helpers of the data source, a process each, import this module."""
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -19,6 +20,9 @@ from pyspark.sql.types import BinaryType
 from coilwave.functions import timeconv as T
 from coilwave.operators import catalog as C
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 # Fixed values of the format.
 FLAG = b"\xff\xff\xff\x7f\x00\x00\x00\x80"
 BLOCK = 512
@@ -79,6 +83,8 @@ def headers(files: DataFrame) -> DataFrame:
     """One row a file: path, file_size, first_record (bytes; null without records), metadata, syscal, and error (null if it was read)."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 own, text, error = None, None, None
@@ -98,6 +104,8 @@ def records(files: DataFrame) -> DataFrame:
     within its 64 bytes is left out."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 content = content or b""
@@ -196,31 +204,35 @@ def described(h: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.when(magnetic, F.col(c)) for c in ("antenna", "azimuth", "inclination")}).drop("_1", "_2")
 
 
-@F.pandas_udf(BinaryType())
-def record_bytes(gps_stamp: pd.Series, lat: pd.Series, lon: pd.Series, status: pd.Series, accuracy: pd.Series, temperature: pd.Series, opaque: pd.Series, counts: pd.Series) -> pd.Series:
-    rows = zip(gps_stamp, lat, lon, status, accuracy, temperature, opaque, counts, strict=True)
-    return pd.Series([FLAG + struct.pack("<Idd4sIf24s", *row[:-1]) + np.asarray(row[-1], "<i4").tobytes() for row in rows], dtype=object)
+@F.arrow_udf(BinaryType())
+def record_bytes(gps_stamp: pa.Array, lat: pa.Array, lon: pa.Array, status: pa.Array, accuracy: pa.Array, temperature: pa.Array, opaque: pa.Array, counts: pa.Array) -> pa.Array:
+    fields = zip(*[x.to_pylist() for x in (gps_stamp, lat, lon, status, accuracy, temperature, opaque)], strict=True)
+    return pa.array([FLAG + struct.pack("<Idd4sIf24s", *row) + own.values.to_numpy().astype("<i4").tobytes() for row, own in zip(fields, counts, strict=True)], pa.binary())
 
 
 def rotated(records: DataFrame, triplets: DataFrame, matrix: list[list[Column]]) -> DataFrame:
     """Records of three files turned by a matrix over columns of triplets (file1, file2, file3, ...): counts cut to whole numbers, as many
     as the shortest of the three has; all other fields stay. Triplets without all three files are skipped; records whose seconds differ raise."""
-    own = triplets.where(" and ".join(f"file{k} is not null and file{k} <> ''" for k in (1, 2, 3)))
-    for k in (1, 2, 3):
-        side = records.select(F.col("path").alias(f"file{k}"), "record_no", F.struct(*[c for c in records.columns if c not in ("path", "record_no")]).alias(f"_r{k}"))
-        own = own.join(side, [f"file{k}"] if k == 1 else [f"file{k}", "record_no"])
+    whole = triplets.where(" and ".join(f"file{k} is not null and file{k} <> ''" for k in (1, 2, 3)))
+    names = ["file1", "file2", "file3", "_m"]
+    whole = whole.select(*names[:3], F.array(*[F.array(*row) for row in matrix]).cast("array<array<double>>").alias("_m")).groupBy(*names).agg(F.count("*").alias("_n"))
+    fields = [c for c in records.columns if c not in ("path", "record_no")]
+    # every record is read once and meets the two others of its triplet by grouping
+    sides = records.select("path", "record_no", F.struct(*fields).alias("_r")).join(whole.select("*", F.posexplode(F.array(*names[:3])).alias("_k", "path")), "path")
+    own = sides.groupBy(*names, "_n", "record_no").agg(*[F.max(F.when(F.col("_k") == k - 1, F.col("_r"))).alias(f"_r{k}") for k in (1, 2, 3)]).where("_r1 is not null and _r2 is not null and _r3 is not null")
     second = lambda k: F.floor(F.col(f"_r{k}.gps_stamp") / 1024)
-    own = own.withColumn("_m", F.when((second(1) == second(2)) & (second(1) == second(3)), F.array(*[F.array(*row) for row in matrix])).otherwise(F.raise_error(F.lit("times of the records differ")).cast("array<array<double>>")))
+    own = own.withColumn("_m", F.when((second(1) == second(2)) & (second(1) == second(3)), F.col("_m")).otherwise(F.raise_error(F.lit("times of the records differ")).cast("array<array<double>>")))
     n = F.least(*[F.size(f"_r{k}.counts") for k in (1, 2, 3)])
     zipped = F.slice(F.arrays_zip(*[F.col(f"_r{k}.counts").alias(f"c{k}") for k in (1, 2, 3)]), F.lit(1), n)
     own = own.withColumn("_v", zipped)
 
-    def side(k: int) -> DataFrame:
+    def side(k: int) -> Column:
         turned = F.transform("_v", lambda v: sum((F.col("_m")[k - 1][j] * v[f"c{j + 1}"] for j in (1, 2)), F.col("_m")[k - 1][0] * v["c1"]).cast("int"))
-        fields = [F.col(f"_r{k}.{c}") for c in records.columns if c not in ("path", "record_no", "counts")]
-        return own.select(F.col(f"file{k}").alias("path"), "record_no", *fields, turned.alias("counts"))
+        return F.struct(F.col(f"file{k}").alias("path"), *[F.col(f"_r{k}.{c}").alias(c) for c in fields if c != "counts"], turned.alias("counts"))
 
-    return side(1).unionByName(side(2)).unionByName(side(3))
+    # a triplet that is named several times gives its records as often
+    three = own.withColumn("_i", F.explode(F.sequence(F.lit(1), "_n"))).select("record_no", F.inline(F.array(*[side(k) for k in (1, 2, 3)])))
+    return three.select("path", "record_no", *[c for c in fields if c != "counts"], "counts")
 
 
 def renamed(path: Column, suffix: str = "_rot") -> Column:

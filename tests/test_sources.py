@@ -207,6 +207,42 @@ def test_rotation_round_trip(spark, tmp_path):
         assert (bytes(r["status"]), bytes(r["opaque"]), r["gps_stamp"]) == (b"abcd", bytes(range(24)), (9 + i) * 1024)
 
 
+def test_small_files_need_no_numbers_from_the_driver(spark, tmp_path, monkeypatch):
+    """A file is opened once for a piece and counts as one opening; only files of several pieces are numbered from counts, and a file's pieces do not depend on the others."""
+    for k in range(40):
+        (tmp_path / f"f{k}.z3d").write_bytes(recording([(i, np.arange(RATE)) for i in range(50)]))
+    (tmp_path / "long.z3d").write_bytes(recording([(i, np.arange(RATE)) for i in range(900)]))
+    options = {"path": str(tmp_path), "split": "1024", "pack": str(5 * N.OPENING)}
+    parts = [p.ranges for p in N.Reader(options).partitions()]
+    pieces = [r[:3] for p in parts for r in p]
+    assert len(pieces) == 42 and len(parts) < 20
+    cut = N.Reader(options | {"mode": "flags", "cut": "true"})
+    assert [r[:3] for p in cut.partitions() for r in p.ranges] == [r for r in pieces if r[0].endswith("long.z3d")] and len({r[1] for r in pieces}) == 2
+    opened = []
+    monkeypatch.setattr(N, "opened", lambda name, f=N.opened: opened.append(name) or f(name))
+    rows = [r for p in parts for b in N.Reader(options).read(N.Ranges(p)) for r in b.to_pylist()]
+    assert len(opened) == 42 and len(rows) == 40 * 50 + 900
+    assert [r["place"] for r in rows if r["path"].endswith("f7.z3d")] == list(range(50))
+    monkeypatch.undo()
+    got = {(r["path"], r["position"]): r["record_no"] for r in N.records(spark, str(tmp_path), 1024, 5 * N.OPENING).collect()}
+    assert got == {(r["path"], r["position"]): r["record_no"] for r in R.records(R.files(spark, str(tmp_path))).collect()}
+
+
+def test_triplets_that_share_files(spark, tmp_path):
+    """Each record is read once, whatever triplets its file is in; a triplet named twice gives its records twice, and records that one of three lacks are left out."""
+    names = [f"file:{tmp_path}/f{k}.z3d" for k in range(4)]
+    for k in range(4):
+        (tmp_path / f"f{k}.z3d").write_bytes(recording([(i, np.arange(RATE) + 100 * k + i) for i in range(3 - (k == 3))]))
+    records = N.records(spark, str(tmp_path), split=200, pack=300)
+    triplets = spark.createDataFrame([(names[0], names[1], names[2]), (names[0], names[1], names[2]), (names[3], names[0], names[0])], "file1 string, file2 string, file3 string")
+    turned = R.rotated(records, triplets, [[F.lit(float(x)) for x in row] for row in ((0, 1, 0), (1, 0, 0), (0, 0, 2))])
+    assert turned.columns == [c.split()[0] for c in R.RECORD_SCHEMA.split(", ")][:2] + [c for c in records.columns if c not in ("path", "record_no", "counts")] + ["counts"]
+    values = lambda k, i, by=1: [by * (x + 100 * k + i) for x in range(RATE)]
+    want = [(names[a], i, values(b, i, by)) for _ in range(2) for a, b, by in ((0, 1, 1), (1, 0, 1), (2, 2, 2)) for i in range(3)]
+    want += [(names[a], i, values(b, i, by)) for a, b, by in ((3, 0, 1), (0, 3, 1), (0, 0, 2)) for i in range(2)]
+    assert sorted((r["path"], r["record_no"], list(r["counts"])) for r in turned.collect()) == sorted(want)
+
+
 def test_board_texts(spark, tmp_path):
     row = lambda card: ",".join([card, "2", "4096", "1", " ", *[str(x) for x in range(1, 11)]])
     (tmp_path / "zen7.cal").write_text("$CAL.VER,29\n" + row("0xab key 1") + "\n")
