@@ -189,6 +189,49 @@ def test_overlaps_of_all_lengths(spark):
         assert sorted(map(tuple, got.collect())) == want
 
 
+def test_overlaps_in_crowded_buckets(spark, monkeypatch):
+    """Blocks and parts of a few rows, and tasks by pairs: the same pairs, each once; a recording's partners follow each other by time; equal ids and columns of any name go along."""
+    monkeypatch.setattr(O, "BLOCK", 7)
+    monkeypatch.setattr(O, "PART", 11)
+    monkeypatch.setattr(O, "LEAST", 50)
+    monkeypatch.setattr(O, "MOST", 400)
+    rng = np.random.default_rng(9)
+    base = dt.datetime(2020, 1, 1)
+    some = lambda n: [(k // 2, base + dt.timedelta(seconds=int(s)), base + dt.timedelta(seconds=int(s + d)), k % 3 > 0, f"n{k}") for k, (s, d) in enumerate(zip(rng.integers(0, 9000, n), rng.choice([300, 2000, 9000, 40_000], n), strict=True))]
+    tx, rx = some(90), some(70)
+    fields = "id long, start timestamp_ntz, end timestamp_ntz, valid boolean, level string"
+    want = sorted((u[0], t[0], max(t[1], u[1]), min(t[2], u[2]), *t[1:], *u[1:], t[3] and u[3]) for t in tx for u in rx if max(t[1], u[1]) < min(t[2], u[2]))
+    got = O.full_overlaps(spark.createDataFrame(tx, fields), spark.createDataFrame(rx, fields))
+    assert got.columns == ["rx_id", "tx_id", "overlap_start", "overlap_end", *[f"{n}_{c}" for n in ("tx", "rx") for c in ("start", "end", "valid", "level")], "ok"]
+    assert len(want) > 3000 and sorted(map(tuple, got.collect())) == want
+    short = O.overlaps(*[spark.createDataFrame(x, fields) for x in (tx, rx)], 600)
+    assert sorted(map(tuple, short.collect())) == sorted((w[1], w[0], w[2], w[3]) for w in want)
+
+
+def _ops(plan):
+    """The operators of a plan without what lies below its joins."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _ops(plan.initialPlan())
+    kids = plan.children()
+    return [plan.simpleString(99)] + ([] if "Join" in plan.nodeName() else [x for k in range(kids.size()) for x in _ops(kids.apply(k))])
+
+
+def test_pairs_are_not_shuffled(spark):
+    """No exchange stands above the joins that make pairs, and partners of a recording come in order of time, so that written pairs are small."""
+    base = dt.datetime(2020, 1, 1)
+    rows = [(k, base + dt.timedelta(seconds=97 * k % 3000), base + dt.timedelta(seconds=97 * k % 3000 + 4000), True) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, start timestamp_ntz, end timestamp_ntz, valid boolean").repartition(8)
+    pairs = O.overlaps(df, df)
+    for found in (pairs, O.full_overlaps(df, df)):
+        names = _ops(found._jdf.queryExecution().executedPlan())
+        joins = [x for x in names if "Join" in x.split(" ")[0]]
+        assert len(joins) == 2 and all("bucket" in x for x in joins) and not any("Exchange" in x for x in names), names
+    start, partners = {r[0]: r[1] for r in rows}, {}
+    for p in pairs.collect():
+        partners.setdefault(p.tx_id, []).append(start[p.rx_id])
+    assert len(partners) == 300 and all(x == sorted(x) for x in partners.values())
+
+
 def test_codes_over_many_parts(spark):
     names = [f"s{k * 7919 % 1000:03d}" for k in range(1000)] + [None, "s005"]
     got = C.coded(spark.createDataFrame([(n,) for n in names], "station string").repartition(16), "station", "code").collect()
